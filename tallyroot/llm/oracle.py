@@ -39,7 +39,21 @@ adj AS (SELECT *, max(raw - ln(m / place)) OVER (PARTITION BY document_id ORDER
 SELECT document_id, term, k AS freq, df, round(raw, 5) AS raw, round(greatest(least(s, raw), 0.0), 5) AS score FROM adj"""
 )
 
+_P3 = r"""WITH cur AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY column_id ORDER BY profiled_at DESC) AS rn FROM sheet_columns) WHERE rn = 1
+), raw AS (SELECT column_id, trim(regexp_replace(lower(unnest(column_values)), '\s+', ' ', 'g')) AS v FROM cur WHERE column_values IS NOT NULL),
+c1 AS (SELECT column_id, CASE WHEN regexp_full_match(v, '[+-]?\d{1,3}(,\d{3})+(\.\d+)?') THEN replace(v, ',', '') ELSE v END AS v FROM raw WHERE v <> ''),
+vals AS (SELECT DISTINCT column_id, CASE WHEN regexp_full_match(v, '[+-]?\d+\.0+') THEN regexp_replace(v, '\.0+$', '') ELSE v END AS v FROM c1),
+sizes AS (SELECT column_id, count(*) AS n FROM vals GROUP BY 1 HAVING count(*) >= 8),
+big AS (SELECT vals.* FROM vals JOIN sizes USING (column_id)),
+shared AS (SELECT a.column_id AS ia, b.column_id AS ib, count(*) AS c FROM big a JOIN big b ON a.v = b.v AND a.column_id < b.column_id GROUP BY ALL),
+sk AS (SELECT column_id, sketch_num_perm AS np, sketch_seed AS seed, unnest(sketch) AS v, generate_subscripts(sketch, 1) AS i FROM cur WHERE column_values IS NULL AND sketch IS NOT NULL AND sketch_count >= 8),
+skp AS (SELECT a.column_id AS ia, b.column_id AS ib FROM sk a JOIN sk b ON a.np = b.np AND a.seed = b.seed AND a.i = b.i AND a.v = b.v AND a.column_id < b.column_id GROUP BY a.column_id, b.column_id, a.np HAVING count(*) >= 0.7 * a.np)
+SELECT ia AS column_id_a, ib AS column_id_b FROM shared JOIN sizes x ON x.column_id = ia JOIN sizes y ON y.column_id = ib WHERE c >= 0.7 * (x.n + y.n - c)
+UNION ALL SELECT ia, ib FROM skp"""
+
 ORACLE = {
+    "p3_found": _P3,
     "p2_ranking": f"{_P2} SELECT search_id, document_id, vector, place FROM ranked",
     "p2_found": f"{_P2} SELECT search_id, document_id FROM ranked WHERE place = 1",
     "p5_found": f"{_P5} SELECT id FROM lim LEFT JOIN last ON last.document_id = lim.id WHERE length(content) > max_chars OR t >= max_tokens",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyroot.llm import encoding, enrichment, fusion, packing, splitting
+from tallyroot.llm import encoding, enrichment, fusion, languages, packing, setjoin, splitting
 from tallyroot.llm.oracle import ORACLE
 from tallyroot.sources.tables import table
 
@@ -21,6 +21,10 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return p2_ranking(spark, folder).where("place = 1").select("search_id", "document_id")
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return setjoin.similar_columns(table(spark, folder, "sheet_columns"))
+
+
 def _split(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_nodes(table(spark, folder, "nodes"), table(spark, folder, "token_embeddings"), table(spark, folder, "chunk_limits"))
 
@@ -64,9 +68,18 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_packs(spark, folder).where("part = 1").select("doc_id")
 
 
+def p9_segments(spark: SparkSession, folder: str) -> DataFrame:
+    return languages.languages(table(spark, folder, "documents"), table(spark, folder, "lang_codes"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return languages.mislabelled(p9_segments(spark, folder))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_ranking": p2_ranking,
+    "p3_found": p3_found,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p6_found": p6_found,
@@ -74,4 +87,6 @@ QUERIES = {
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_packs": p8_packs,
+    "p9_found": p9_found,
+    "p9_segments": p9_segments,
 }
