@@ -9,6 +9,7 @@ is smoothed by the uniform one, both from grouped counts over all documents.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -79,7 +80,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 
 def words(sentence: str) -> list[str]:
-    return WORD.findall(CODE.sub(" ", sentence).lower())
+    return WORD.findall(unicodedata.normalize("NFC", CODE.sub(" ", sentence)).lower())
 
 
 def _grams(word: str) -> list[int]:
