@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyroot.llm import encoding, enrichment, fusion, languages, packing, setjoin, splitting
+from tallyroot.llm import encoding, enrichment, fusion, languages, packing, scans, setjoin, splitting
 from tallyroot.llm.oracle import ORACLE
 from tallyroot.sources.tables import table
 
@@ -25,6 +25,10 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return setjoin.similar_columns(table(spark, folder, "sheet_columns"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.scan_noise(table(spark, folder, "nodes"))[0]
+
+
 def _split(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_nodes(table(spark, folder, "nodes"), table(spark, folder, "token_embeddings"), table(spark, folder, "chunk_limits"))
 
@@ -80,6 +84,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_ranking": p2_ranking,
     "p3_found": p3_found,
+    "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p6_found": p6_found,
