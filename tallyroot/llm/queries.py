@@ -29,6 +29,10 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return scans.scan_noise(table(spark, folder, "nodes"))[0]
 
 
+def p4_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.paragraphs(table(spark, folder, "nodes"))
+
+
 def _split(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_nodes(table(spark, folder, "nodes"), table(spark, folder, "token_embeddings"), table(spark, folder, "chunk_limits"))
 
@@ -85,6 +89,7 @@ QUERIES = {
     "p2_ranking": p2_ranking,
     "p3_found": p3_found,
     "p4_found": p4_found,
+    "p4_paragraphs": p4_paragraphs,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p6_found": p6_found,

@@ -235,7 +235,8 @@ def vocabulary(nodes: DataFrame, items: DataFrame, usetype: str, work: Workspace
     """(w, f, sk, sk2): words of the corpus with their numbers; of scanned lines those that are surely whole."""
     clean = nodes.where((F.col("usetype") != usetype) | F.col("usetype").isNull()).where("content is not null")
     words = clean.select(F.explode(F.regexp_extract_all(F.lower("content"), F.lit(f"({WORD})"), F.lit(1))).alias("w")).groupBy("w").agg(F.count("*").alias("f"))
-    inner = items.where("role = 0").groupBy("w").agg(F.count("*").alias("f"))
+    # Words at line ends may be halves of cut ones: they are known, but count nothing.
+    inner = items.where("role < 3").groupBy("w").agg(F.count_if(F.col("role") == 0).alias("f"))
     both = words.unionByName(inner).groupBy("w").agg(F.sum("f").alias("f")).where("length(w) > 1")
     as_skeleton = F.pandas_udf(lambda s: s.map(skeleton), "string")
     second = F.pandas_udf(lambda s: s.map(skeleton_in), "string")
@@ -243,7 +244,8 @@ def vocabulary(nodes: DataFrame, items: DataFrame, usetype: str, work: Workspace
 
 
 def scan_noise(nodes: DataFrame, usetype: str = "scan:page") -> tuple[DataFrame, DataFrame, DataFrame, Workspace]:
-    """(id, line_no, kind) of noisy lines; the body lines; the repairs (id, line_no, kind, w, to).
+    """(id, line_no, kind) of noisy lines; the body lines; the repairs (id, line_no, kind, w, to):
+    kind `rest` is the half of a cut word at a line's start, `compound` a hyphen that stays.
 
     kind: `running`, `page_no`, `broken` (the last word goes on in the next line of running
     text), `misread`. Lines are counted from 1 after splitting the content at line feeds. Of
@@ -258,11 +260,11 @@ def scan_noise(nodes: DataFrame, usetype: str = "scan:page") -> tuple[DataFrame,
     items = work.keep(lines.mapInPandas(_items, ITEMS))
     vocab = vocabulary(nodes, items, usetype, work)
     plain = F.col("w").rlike(r"\p{L}")
-    looks = vocab.where(plain).groupBy("sk").agg(F.max(F.struct("f", "w")).alias("best")).select("sk", F.col("best.f").alias("best_f"), F.col("best.w").alias("best_w"))
+    looks = vocab.where(plain & (F.col("f") > 0)).groupBy("sk").agg(F.max(F.struct("f", "w")).alias("best")).select("sk", F.col("best.f").alias("best_f"), F.col("best.w").alias("best_w"))
     looks = work.keep(looks)
-    second = vocab.where(plain & F.col("sk2").isNotNull()).groupBy("sk2").agg(F.max(F.struct("f", "w")).alias("best")).select("sk2", F.col("best.f").alias("best_f"), F.col("best.w").alias("best_w"))
+    second = vocab.where(plain & (F.col("f") > 0) & F.col("sk2").isNotNull()).groupBy("sk2").agg(F.max(F.struct("f", "w")).alias("best")).select("sk2", F.col("best.f").alias("best_f"), F.col("best.w").alias("best_w"))
     pairs = vocab.join(looks, "sk").select("w", "f", "best_f", "best_w").unionByName(vocab.join(second, "sk2").select("w", "f", "best_f", "best_w"))
-    rare = (F.col("w") != F.col("best_w")) & (F.col("best_f") >= RATIO * F.col("f")) & F.col("w").rlike(r"[^\p{N}]")
+    rare = (F.col("w") != F.col("best_w")) & (F.col("best_f") >= RATIO * F.greatest("f", F.lit(1))) & F.col("w").rlike(r"[^\p{N}]")
     wrong = pairs.where(rare).groupBy("w").agg(F.max_by("best_w", F.struct("best_f", "best_w")).alias("best_w"))
     # A mark of exclamation or a bar after a word of the vocabulary is punctuation.
     bare = F.regexp_replace("w", r"[!|$+@]+$", "")
@@ -292,6 +294,78 @@ def scan_noise(nodes: DataFrame, usetype: str = "scan:page") -> tuple[DataFrame,
     left = halves.where(~F.expr("startswith(true, a)")).select("id", "line_no", F.col("a").alias("w"), F.col("true").alias("to"))
     right = halves.where(~F.expr("endswith(true, b)")).select(F.col("next_id").alias("id"), F.col("next_line").alias("line_no"), F.col("b").alias("w"), F.col("true").alias("to"))
     bad = misread.unionByName(left).unionByName(right).select("id", "line_no", F.lit("misread").alias("kind"), "w", "to")
-    repairs = broken.unionByName(bad)
-    found = edges.select("id", "line_no", "kind").unionByName(repairs.select("id", "line_no", "kind")).distinct()
+    rest = judged.where("cut").select(F.col("next_id").alias("id"), F.col("next_line").alias("line_no"), F.lit("rest").alias("kind"), F.col("b").alias("w"), F.lit("").alias("to"))
+    compound = judged.where("marked and not cut").select("id", "line_no", F.lit("compound").alias("kind"), "a", F.lit("").alias("to")).withColumnRenamed("a", "w")
+    repairs = broken.unionByName(bad).unionByName(rest).unionByName(compound)
+    noise = F.col("kind").isin("broken", "misread")
+    found = edges.select("id", "line_no", "kind").unionByName(repairs.where(noise).select("id", "line_no", "kind")).distinct()
     return found, lines, repairs, work
+
+
+REPAIRED = "file long, id long, position long, seq int, line_no int, gap boolean, last boolean, ends boolean, next_id long, text string, glue boolean"
+
+
+def _like(word: str, pattern: str) -> str:
+    return word.upper() if pattern.isupper() and len(pattern) > 1 else word[:1].upper() + word[1:] if pattern[:1].isupper() else word
+
+
+def _repaired(batches):
+    for frame in batches:
+        rows = []
+        for file, key, pos, seq, no, gap, last, nid, text, fixes in zip(frame["file"], frame["id"], frame["position"], frame["seq"], frame["line_no"], frame["gap"], frame["last"], frame["next_id"], frame["text"], frame["fixes"]):
+            ends = bool(regex.search(r"""[.!?:]["'”’»)]*\s*$""", text))
+            line, glue = text.strip(), False
+            fixes = [] if fixes is None else list(fixes)
+            wrong = {f["w"]: f["to"] for f in fixes if f["kind"] == "misread"}
+            if wrong:
+                line = _word.sub(lambda m: _like(wrong[m[0].lower()], m[0]) if m[0].lower() in wrong else m[0], line)
+            for f in fixes:
+                if f["kind"] == "rest":  # it was written at the end of the line before, but its punctuation is here
+                    first, _, after = line.partition(" ")
+                    tail = regex.sub(rf"^.*[{_INNER}]", "", first)
+                    line = (tail + " " + after).strip() if tail else after.strip()
+                    if tail:
+                        line = "\x00" + line
+                elif f["kind"] == "compound":
+                    glue = True
+            for f in fixes:
+                if f["kind"] == "broken":
+                    cut = line.split(" ")[-1]
+                    lead = regex.match(rf"^[^{_INNER}]*", cut)[0]
+                    line = line[: len(line) - len(cut)] + lead + _like(f["to"], cut[len(lead) :][:1])
+            rows.append((file, key, pos, seq, no, gap, last, ends, nid, line, glue))
+        out = pd.DataFrame(rows, columns=["file", "id", "position", "seq", "line_no", "gap", "last", "ends", "next_id", "text", "glue"])
+        yield out.astype({"next_id": "Int64"})
+
+
+def paragraphs(nodes: DataFrame, usetype: str = "scan:page") -> DataFrame:
+    """(file, id, line_no, text): the repaired paragraphs of each file, by the page and line they begin on.
+
+    Running lines and page numbers are gone, cut words are whole, misread words are replaced. A
+    paragraph ends at a blank line; at a page's end it goes on unless the last line ends a
+    sentence.
+    """
+    _, lines, repairs, work = scan_noise(nodes, usetype)
+    fixes = repairs.groupBy("id", "line_no").agg(F.collect_set(F.struct("kind", "w", "to")).alias("fixes"))
+    done = work.keep(lines.join(fixes, ["id", "line_no"], "left").mapInPandas(_repaired, REPAIRED))
+    ended = done.where("last and next_id is not null").select(F.col("next_id").alias("id"), F.lit(0).alias("seq"), F.col("ends").alias("before"))
+    starts = F.col("gap") | ((F.col("seq") == 0) & F.coalesce("before", F.lit(True)))
+    own = F.when(starts, F.struct("id", "line_no"))
+    inside = Window.partitionBy("id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    marked = done.join(ended, ["id", "seq"], "left").withColumn("p", F.last(own, ignorenulls=True).over(inside))
+    # The paragraph a page goes on with: the last one begun on the pages before it, in stretches of positions.
+    pages = marked.groupBy("file", "id", "position").agg(F.max_by("p", "seq").alias("p")).withColumn("c", F.floor(F.col("position") / STRETCH))
+    w = Window.partitionBy("file", "c").orderBy("position", "id").rowsBetween(Window.unboundedPreceding, -1)
+    pages = pages.withColumn("open", F.last("p", ignorenulls=True).over(w))
+    ends = pages.where("p is not null").groupBy("file", "c").agg(F.max_by("p", F.struct("position", "id")).alias("end"))
+    every = pages.select("file", "c").distinct()
+    ends = every.join(ends.select(F.col("file").alias("f2"), F.col("c").alias("c2"), "end"), F.col("file").eqNullSafe(F.col("f2")) & (F.col("c") == F.col("c2")), "left")
+    over = Window.partitionBy("file").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(F.col("file").alias("f3"), F.col("c").alias("c3"), F.last("end", ignorenulls=True).over(over).alias("carry"))
+    opened = pages.join(ends, F.col("file").eqNullSafe(F.col("f3")) & (F.col("c") == F.col("c3"))).select("id", F.coalesce("open", "carry").alias("open"))
+    full = marked.join(opened, "id").withColumn("p", F.coalesce("p", "open", F.struct("id", "line_no")))
+    lines_ = F.sort_array(F.collect_list(F.struct("position", "id", "seq", "text", "glue")))
+    per = full.groupBy("file", "p").agg(lines_.alias("x"))
+    joined = F.aggregate("x", F.lit(""), lambda s, r: F.concat(s, r["text"], F.when(r["glue"], F.lit("")).otherwise(F.lit(" "))))
+    text = F.trim(F.regexp_replace(F.regexp_replace(joined, r" ?\x00", ""), r" +", " "))
+    return per.select("file", F.col("p.id").alias("id"), F.col("p.line_no").alias("line_no"), text.alias("text")).where("text <> ''")
