@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyroot.operators.current import in_force
@@ -147,34 +147,32 @@ def _body(batches):
         yield pd.DataFrame(rows, columns=["file", "id", "position", "seq", "line_no", "text", "gap", "last"])
 
 
-def _starts_word(text: str) -> bool:
-    return bool(text) and (text[0].islower() or text[0] in "0156924+@!¢|ﬁﬂ")
+def chunks(text: Column) -> Column:
+    """What stands between white space, in order; empty strings where there is more than one blank."""
+    return F.split(F.trim(F.translate(text, "\n\r\t\x0b\x0c\u00a0", "      ")), " ")
 
 
-ITEMS = "id long, line_no int, role int, w string, sk string, next_id long, next_line int, a string, b string, marked boolean"
+def line_chunks(lines: DataFrame) -> DataFrame:
+    """(id, line_no, role, chunk): role 1: the line's first chunk, 2: its last, else 0."""
+    c = lines.select("id", "line_no", chunks(F.col("text")).alias("c"))
+    c = c.select("id", "line_no", F.size("c").alias("n"), F.posexplode("c").alias("i", "chunk")).where("chunk <> ''")
+    return c.select("id", "line_no", F.when(F.col("i") == F.col("n") - 1, 2).when(F.col("i") == 0, 1).otherwise(0).alias("role"), "chunk")
 
 
-def _items(batches):
-    """Words of each line (role 0; 1: its first, 2: its last) and possible cuts at its end (role 3)."""
-    for frame in batches:
-        rows = []
-        for key, no, text, nid, nno, ntext, ngap in zip(frame["id"], frame["line_no"], frame["text"], frame["next_id"], frame["next_line"], frame["next_text"], frame["next_gap"]):
-            chunks = text.split()
-            for i, chunk in enumerate(chunks):
-                role = 2 if i == len(chunks) - 1 else 1 if i == 0 else 0
-                for w in _word.findall(chunk):
-                    if len(w) > 1:
-                        rows.append((key, no, role, w.lower(), None, None, None, None, None, None))
-            if not chunks or not isinstance(ntext, str) or not ntext.split() or ngap is True:
-                continue
-            last, first = chunks[-1], ntext.split()[0]
-            marked = last[-1] in MARKS
-            a = regex.sub(rf"^[^{_INNER}]+", "", last.rstrip(MARKS) if marked else last).lower()
-            b = _word.match(first)
-            if a and b and _starts_word(first) and regex.search(rf"[{_INNER}]$", a) and regex.search(r"\p{L}", a + b[0]) and not (a.isdecimal()):
-                rows.append((key, no, 3, None, None, nid, nno, a, b[0].lower(), marked))
-        out = pd.DataFrame(rows, columns=["id", "line_no", "role", "w", "sk", "next_id", "next_line", "a", "b", "marked"])
-        yield out.astype({"next_id": "Int64", "next_line": "Int32"})
+def line_cuts(lines: DataFrame) -> DataFrame:
+    """(id, line_no, next_id, next_line, a, b, marked): line ends at which a word a + b may be cut."""
+    text = F.rtrim(F.translate("text", "\r\t\u00a0", "   "))
+    near = lines.where(F.col("next_text").isNotNull() & ~F.col("next_gap"))
+    near = near.select("id", "line_no", "next_id", "next_line", F.substring_index(text, " ", -1).alias("last"), F.substring_index(F.ltrim(F.translate("next_text", "\r\t\u00a0", "   ")), " ", 1).alias("first"))
+    c, e = F.substring("first", 1, 1), F.substring("last", -1, 1)
+    marked = F.position(e, F.lit(MARKS)) > 0
+    starts = ((F.lower(c) == c) & (F.upper(c) != c)) | c.rlike("[0156924+@!¢|ﬁﬂ]")
+    near = near.where(starts & (F.col("last") != "") & (marked | e.rlike(f"[{_INNER}]"))).withColumn("marked", marked)
+    near = near.where(~F.col("last").rlike(r"^\P{L}*\p{N}$"))
+    a = F.lower(F.regexp_replace(F.when(F.col("marked"), F.regexp_replace("last", f"[{MARKS}]+$", "")).otherwise(F.col("last")), f"^[^{_INNER}]+", ""))
+    b = F.lower(F.regexp_extract("first", f"({WORD})", 1))
+    cuts = near.select("id", "line_no", "next_id", "next_line", a.alias("a"), b.alias("b"), "marked").where("a <> '' and b <> ''")
+    return cuts.where(F.concat("a", F.substring("b", 1, 1)).rlike(r"\p{L}") & ~F.col("a").rlike(r"^\p{N}+$"))
 
 
 def scanned_pages(nodes: DataFrame, usetype: str = "scan:page") -> DataFrame:
@@ -231,16 +229,21 @@ def body_lines(pages: DataFrame, edges: DataFrame, work: Workspace) -> DataFrame
     return full.select("file", "id", "position", "seq", "line_no", "text", "gap", "last", pick("nid").alias("next_id"), pick("nno").alias("next_line"), pick("ntext").alias("next_text"), F.coalesce("ngap", F.lit(False)).alias("next_gap"))
 
 
-def vocabulary(nodes: DataFrame, items: DataFrame, usetype: str, work: Workspace) -> DataFrame:
-    """(w, f, sk, sk2): words of the corpus with their numbers; of scanned lines those that are surely whole."""
+def vocabulary(nodes: DataFrame, items: DataFrame, usetype: str, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """(w, f, sk, sk2): words of the corpus with their numbers; (chunk, w): the words of each chunk of a scanned line.
+
+    Texts are only cut at blanks; words are taken out of the distinct chunks, after counting.
+    Chunks at line ends may hold halves of cut words: they are known, but count nothing.
+    """
     clean = nodes.where((F.col("usetype") != usetype) | F.col("usetype").isNull()).where("content is not null")
-    words = clean.select(F.explode(F.regexp_extract_all(F.lower("content"), F.lit(f"({WORD})"), F.lit(1))).alias("w")).groupBy("w").agg(F.count("*").alias("f"))
-    # Words at line ends may be halves of cut ones: they are known, but count nothing.
-    inner = items.where("role < 3").groupBy("w").agg(F.count_if(F.col("role") == 0).alias("f"))
-    both = words.unionByName(inner).groupBy("w").agg(F.sum("f").alias("f")).where("length(w) > 1")
+    counted = clean.select(F.explode(chunks(F.col("content"))).alias("chunk")).groupBy("chunk").agg(F.count("*").alias("f"))
+    inner = items.groupBy("chunk").agg(F.count_if(F.col("role") == 0).alias("f"))
+    found = lambda d: d.select("*", F.explode(F.regexp_extract_all(F.lower("chunk"), F.lit(f"({WORD})"), F.lit(1))).alias("w")).where("length(w) > 1")
+    inner = work.keep(found(inner))
+    both = found(counted).select("w", "f").unionByName(inner.select("w", "f")).groupBy("w").agg(F.sum("f").alias("f"))
     as_skeleton = F.pandas_udf(lambda s: s.map(skeleton), "string")
     second = F.pandas_udf(lambda s: s.map(skeleton_in), "string")
-    return work.keep(both.withColumn("sk", as_skeleton("w")).withColumn("sk2", second("w")))
+    return work.keep(both.withColumn("sk", as_skeleton("w")).withColumn("sk2", second("w"))), inner.select("chunk", "w")
 
 
 def scan_noise(nodes: DataFrame, usetype: str = "scan:page") -> tuple[DataFrame, DataFrame, DataFrame, Workspace]:
@@ -257,8 +260,8 @@ def scan_noise(nodes: DataFrame, usetype: str = "scan:page") -> tuple[DataFrame,
     pages = work.keep(scanned_pages(nodes, usetype))
     edges = edge_kinds(pages, work)
     lines = work.keep(body_lines(pages, edges, work))
-    items = work.keep(lines.mapInPandas(_items, ITEMS))
-    vocab = vocabulary(nodes, items, usetype, work)
+    items = work.keep(line_chunks(lines))
+    vocab, in_chunks = vocabulary(nodes, items, usetype, work)
     plain = F.col("w").rlike(r"\p{L}")
     looks = vocab.where(plain & (F.col("f") > 0)).groupBy("sk").agg(F.max(F.struct("f", "w")).alias("best")).select("sk", F.col("best.f").alias("best_f"), F.col("best.w").alias("best_w"))
     looks = work.keep(looks)
@@ -271,7 +274,7 @@ def scan_noise(nodes: DataFrame, usetype: str = "scan:page") -> tuple[DataFrame,
     tail = wrong.where(bare != F.col("w")).select("w", bare.alias("stem")).join(vocab.select(F.col("w").alias("stem"), F.col("f").alias("stem_f")), "stem").where("stem_f > 1").select("w")
     wrong = work.keep(wrong.join(tail, "w", "left_anti").select("w", F.col("best_w").alias("to")))
 
-    cuts = items.where("role = 3").select("id", "line_no", "next_id", "next_line", "a", "b", "marked")
+    cuts = line_cuts(lines)
     sk = F.pandas_udf(lambda s: s.map(skeleton), "string")
     # Unmarked line ends are cuts only if the halves together are a word, so few of them go on from here.
     joined = cuts.withColumn("sk", sk(F.concat("a", "b"))).join(looks.select("sk", F.col("best_f").alias("f_ab"), F.col("best_w").alias("whole")), "sk", "left").drop("sk").where("marked or f_ab is not null")
@@ -285,7 +288,7 @@ def scan_noise(nodes: DataFrame, usetype: str = "scan:page") -> tuple[DataFrame,
     # Whole words: inside a line, and at its ends where no word is cut.
     lead = judged.where("cut or (marked and f_c is not null)").select("id", "line_no", F.lit(2).alias("role"))
     trail = judged.where("cut or (marked and f_c is not null)").select(F.col("next_id").alias("id"), F.col("next_line").alias("line_no"), F.lit(1).alias("role"))
-    whole = items.where("role < 3").select("id", "line_no", "role", "w").join(wrong, "w")
+    whole = items.join(in_chunks.join(wrong, "w"), "chunk").select("id", "line_no", "role", "w", "to")
     misread = whole.join(lead.unionByName(trail), ["id", "line_no", "role"], "left_anti").select("id", "line_no", "w", "to")
     # A misread character in a cut word is in the half that the right word does not begin or end with.
     true = F.when(F.col("cut"), F.col("whole")).otherwise(F.regexp_replace("compound", "-", ""))
