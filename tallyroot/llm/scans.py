@@ -159,7 +159,7 @@ def line_chunks(lines: DataFrame) -> DataFrame:
     return c.select("id", "line_no", F.when(F.col("i") == F.col("n") - 1, 2).when(F.col("i") == 0, 1).otherwise(0).alias("role"), "chunk")
 
 
-def line_cuts(lines: DataFrame) -> DataFrame:
+def line_cuts(lines: DataFrame, work: Workspace) -> DataFrame:
     """(id, line_no, next_id, next_line, a, b, marked): line ends at which a word a + b may be cut."""
     text = F.rtrim(F.translate("text", "\r\t\u00a0", "   "))
     near = lines.where(F.col("next_text").isNotNull() & ~F.col("next_gap"))
@@ -167,11 +167,14 @@ def line_cuts(lines: DataFrame) -> DataFrame:
     c, e = F.substring("first", 1, 1), F.substring("last", -1, 1)
     marked = F.position(e, F.lit(MARKS)) > 0
     starts = ((F.lower(c) == c) & (F.upper(c) != c)) | c.rlike("[0156924+@!¢|ﬁﬂ]")
-    near = near.where(starts & (F.col("last") != "") & (marked | e.rlike(f"[{_INNER}]"))).withColumn("marked", marked)
+    # Kept step by step: else each condition below would take the lines apart again.
+    near = work.keep(near.where("last <> '' and first <> ''"))
+    near = near.where(starts & (marked | e.rlike(f"[{_INNER}]"))).withColumn("marked", marked)
     near = near.where(~F.col("last").rlike(r"^\P{L}*\p{N}$"))
     a = F.lower(F.regexp_replace(F.when(F.col("marked"), F.regexp_replace("last", f"[{MARKS}]+$", "")).otherwise(F.col("last")), f"^[^{_INNER}]+", ""))
     b = F.lower(F.regexp_extract("first", f"({WORD})", 1))
-    cuts = near.select("id", "line_no", "next_id", "next_line", a.alias("a"), b.alias("b"), "marked").where("a <> '' and b <> ''")
+    cuts = work.keep(near.select("id", "line_no", "next_id", "next_line", a.alias("a"), b.alias("b"), "marked"))
+    cuts = cuts.where("a <> '' and b <> ''")
     return cuts.where(F.concat("a", F.substring("b", 1, 1)).rlike(r"\p{L}") & ~F.col("a").rlike(r"^\p{N}+$"))
 
 
@@ -274,7 +277,7 @@ def scan_noise(nodes: DataFrame, usetype: str = "scan:page") -> tuple[DataFrame,
     tail = wrong.where(bare != F.col("w")).select("w", bare.alias("stem")).join(vocab.select(F.col("w").alias("stem"), F.col("f").alias("stem_f")), "stem").where("stem_f > 1").select("w")
     wrong = work.keep(wrong.join(tail, "w", "left_anti").select("w", F.col("best_w").alias("to")))
 
-    cuts = line_cuts(lines)
+    cuts = line_cuts(lines, work)
     sk = F.pandas_udf(lambda s: s.map(skeleton), "string")
     # Unmarked line ends are cuts only if the halves together are a word, so few of them go on from here.
     joined = cuts.withColumn("sk", sk(F.concat("a", "b"))).join(looks.select("sk", F.col("best_f").alias("f_ab"), F.col("best_w").alias("whole")), "sk", "left").drop("sk").where("marked or f_ab is not null")
