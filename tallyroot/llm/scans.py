@@ -105,7 +105,7 @@ def running_form(line: str) -> str | None:
     line = line.strip()
     if _heading.match(line) or _ended.search(line):
         return None
-    text = regex.sub(r"\p{N}+", "#", _page.sub(" ", line, count=1))
+    text = regex.sub(r"(?<!\p{L})\p{N}+(?!\p{L})", "#", _page.sub(" ", line, count=1))
     form = regex.sub(r"\s+", " ", skeleton(text)).strip()
     return form if sum(c.isalpha() for c in form) >= 4 else None
 

@@ -30,8 +30,7 @@ def units(text: str, start: int, end: int, cap: int, level: int = 0) -> Iterator
     if end - start <= cap:
         yield end
     elif level == len(LEVELS):
-        yield from range(start + cap, end, cap)
-        yield end
+        yield from range(start + 1, end + 1)  # single characters, so that pieces of an unbroken text are full
     else:
         at = start
         for m in LEVELS[level].finditer(text, start, end):
