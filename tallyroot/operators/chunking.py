@@ -1,0 +1,130 @@
+"""Cutting texts: paragraphs, token windows, packed sentences, headings; segments of vector sequences."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+# Abbreviations after which a sentence does not end.
+ABBREVIATIONS = "Mr Mrs Ms Dr Prof Sr Jr St vs etc e.g i.e cf No Fig al approx".split()
+
+
+def paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, piece, text): blocks between blank lines, trimmed, empty ones dropped."""
+    parts = F.filter(F.transform(F.split(F.col(text), r"\n[ \t]*\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+    return docs.where(F.col(text).isNotNull()).select(key, F.posexplode(parts).alias("piece", "text"))
+
+
+def token_windows(docs: DataFrame, key: str, text: str, size: int, overlap: int) -> DataFrame:
+    """(key, piece, text): windows of `size` white-space tokens, each starting size - overlap after the last; the first that reaches the end is the last."""
+    step = max(1, size - overlap)
+    words = F.filter(F.split(F.col(text), r"\s+"), lambda w: w != "")
+    t = docs.select(key, words.alias("w")).where(F.size("w") > 0)
+    last = F.greatest(F.ceil((F.size("w") - size) / F.lit(step)), F.lit(0)).cast("int")
+    return t.select(key, F.explode(F.sequence(F.lit(0), last)).alias("piece"), "w").select(key, "piece", F.array_join(F.slice("w", F.col("piece") * step + 1, F.lit(size)), " ").alias("text"))
+
+
+def sentences(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, piece, text): cut at . ! or ? before white space and a capital, digit or quote, but not after an abbreviation."""
+    stop = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
+    # Java's look-behind needs a bounded length; abbreviations are short.
+    parts = F.split(F.col(text), rf"(?<=[.!?])(?<!\b(?:{stop})\.)\s+(?=[\p{{Lu}}\p{{N}}\"'“‘(])")
+    return docs.where(F.col(text).isNotNull()).select(key, F.posexplode(F.filter(F.transform(parts, F.trim), lambda p: p != "")).alias("piece", "text"))
+
+
+def packed_sentences(docs: DataFrame, key: str, text: str, max_words: int = 120) -> DataFrame:
+    """(key, piece, text): sentences packed in order to at most max_words; a longer sentence stands alone."""
+    stop = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
+    parts = F.filter(F.transform(F.split(F.col(text), rf"(?<=[.!?])(?<!\b(?:{stop})\.)\s+(?=[\p{{Lu}}\p{{N}}\"'“‘(])"), F.trim), lambda p: p != "")
+    size = lambda s: F.size(F.split(s, r"\s+"))
+    start = F.array(F.struct(F.lit("").alias("t"), F.lit(0).alias("n")))
+    start = F.slice(start, 1, 0)
+
+    def add(acc, s):
+        end = F.try_element_at(acc, F.lit(-1))
+        fits = end.isNotNull() & (end["n"] + size(s) <= max_words)
+        grown = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.concat(end["t"], F.lit(" "), s).alias("t"), (end["n"] + size(s)).alias("n"))))
+        return F.when(fits, grown).otherwise(F.concat(acc, F.array(F.struct(s.alias("t"), size(s).alias("n")))))
+
+    packed = F.aggregate(parts, start.cast("array<struct<t:string,n:int>>"), add)
+    return docs.where(F.col(text).isNotNull()).select(key, F.posexplode(F.transform(packed, lambda x: x["t"])).alias("piece", "text"))
+
+
+def headings(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, section, level, title, body): sections under `#` headings; what stands before the first has level 0."""
+    parts = F.split(F.concat(F.lit("\n"), F.regexp_replace(text, r"\r\n?", "\n")), r"\n(?=#{1,6}[ \t]+\S)")
+    rows = docs.where(F.col(text).isNotNull()).select(key, F.posexplode(parts).alias("section", "p"))
+    level = F.length(F.regexp_extract("p", r"^(#{1,6})[ \t]", 1))
+    out = rows.select(key, "section", level.alias("level"), F.when(level > 0, F.trim(F.regexp_extract("p", r"^#{1,6}[ \t]+([^\n]*)", 1))).alias("title"), F.trim(F.when(level > 0, F.regexp_replace("p", r"^[^\n]*\n?", "")).otherwise(F.regexp_replace("p", r"^\n", ""))).alias("body"))
+    return out.where("level > 0 or body <> ''")
+
+
+def nest(sections: DataFrame, key: str) -> DataFrame:
+    """sections with `parent`: the nearest section before it with a lower level, null at the top.
+
+    One window for each of the six levels; a document's sections are one small group.
+    """
+    w = Window.partitionBy(key).orderBy("section").rowsBetween(Window.unboundedPreceding, -1)
+    last = [F.last(F.when(F.col("level") == k, F.col("section")), ignorenulls=True).over(w) for k in range(1, 6)]
+    above = F.greatest(*[F.when(F.col("level") > k, last[k - 1]) for k in range(1, 6)])
+    return sections.withColumn("parent", above)
+
+
+def change_points(x: np.ndarray, penalty: float, min_size: int = 2, jump: int = 1) -> list[int]:
+    """Ends of segments with the least sum of squared distances to their means plus a penalty for each (PELT)."""
+    n = len(x)
+    if n < max(min_size, 1):
+        return [n] if n else []
+    s1 = np.vstack([np.zeros(x.shape[1]), np.cumsum(x, axis=0)])
+    s2 = np.concatenate([[0.0], np.cumsum((x * x).sum(axis=1))])
+    cost = lambda a, b: s2[b] - s2[a] - ((s1[b] - s1[a]) ** 2).sum(axis=-1) / (b - a)
+    best, back = {0: -penalty}, {}
+    live = [0]
+    for end in [e for e in range(jump, n, jump) if e >= min_size] + [n]:
+        ok = np.array([a for a in live if end - a >= min_size])
+        if not len(ok):
+            continue
+        total = np.array([best[a] for a in ok]) + cost(ok, end) + penalty
+        i = int(total.argmin())
+        best[end], back[end] = float(total[i]), int(ok[i])
+        gone = {int(a) for a, t in zip(ok, total) if t - penalty > best[end]}
+        live = [a for a in live if a not in gone] + [end]
+    out, at = [], n
+    while at:
+        out.append(at)
+        at = back.get(at, 0)
+    return out[::-1]
+
+
+def bounded(ends: list[int], least: int, most: int) -> list[int]:
+    """Segments below `least` join the smaller neighbour (left on a tie); those above `most` are cut evenly."""
+    sizes = np.diff([0, *ends]).tolist()
+    while len(sizes) > 1 and min(sizes) < least:
+        i = sizes.index(min(sizes))
+        left, right = sizes[i - 1] if i else None, sizes[i + 1] if i + 1 < len(sizes) else None
+        j = i - 1 if right is None or (left is not None and left <= right) else i + 1
+        a = min(i, j)
+        sizes[a : a + 2] = [sizes[i] + sizes[j]]
+    out = []
+    for n in sizes:
+        parts = -(-n // most)
+        out += [n // parts + (k < n % parts) for k in range(parts)]
+    return np.cumsum(out).tolist()
+
+
+def segment(rows: DataFrame, group: str, order: str, vector: str, penalty: float, min_size: int = 2, least: int = 1, most: int = 1 << 30) -> DataFrame:
+    """(group, order, segment): contiguous segments of each group's vectors; rows without a vector are dropped."""
+    kinds = dict(rows.dtypes)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(order)
+        x = np.vstack([np.asarray(v, dtype="float64") for v in frame[vector]])
+        ends = bounded(change_points(x, penalty, min_size), least, most)
+        label = np.repeat(np.arange(len(ends)), np.diff([0, *ends]))
+        return pd.DataFrame({group: frame[group].to_numpy(), order: frame[order].to_numpy(), "segment": label.astype("int32")})
+
+    some = rows.where(F.col(vector).isNotNull() & F.col(group).isNotNull()).select(group, order, vector)
+    return some.groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {order} {kinds[order]}, segment int")
+

@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyroot.operators import hierarchy as h
 from tallyroot.sources.tables import table
 
 
+def sound_ancestors(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, ancestor, ancestor_depth, distance): nodes of sound trees with those above them."""
+    tree = h.hierarchy(table(spark, folder, "nodes"))
+    depths = tree.nodes.where("kind = 'tree'").select("id", F.col("depth").alias("_d"))
+    return h.ancestors(tree).join(depths, "id").withColumn("distance", F.col("_d") - F.col("ancestor_depth")).drop("_d")
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return h.rootless(h.hierarchy(table(spark, folder, "nodes")))
 
