@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyroot.functions.text import tokens
+from tallyroot.work import Workspace
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -79,30 +81,99 @@ def truncate_vector(v: Column, dims: int) -> Column:
     return normalise(F.slice(v, 1, dims))
 
 
+#: Query vectors sent to the executors at once: with 768 dimensions about 25 MB.
+QUERY_BLOCK = 4096
+
+
+def _nearest(block, k: int, least: float | None):
+    """Per batch of documents the k best of each query of the block, by one matrix product."""
+
+    def run(batches):
+        keys, q = block.value
+        for frame in batches:
+            if not len(frame):
+                continue
+            v = np.asarray(frame["v"].tolist(), dtype="float64")
+            size = np.sqrt((v * v).sum(axis=1))
+            docs, v = frame[frame.columns[:-1]], v / np.where(size > 0, size, np.nan)[:, None]
+            s = q @ v.T
+            s[np.isnan(s)] = -np.inf
+            for i in range(len(keys)):
+                # All that tie with the k-th stay, so that ties are decided over the whole table.
+                cut = np.partition(s[i], -k)[-k] if s.shape[1] > k else -np.inf
+                at = np.flatnonzero((s[i] >= cut) & np.isfinite(s[i]) & (s[i] >= (least if least is not None else -np.inf)))
+                out = docs.iloc[at].copy()
+                out.insert(0, "q", keys[i])
+                out["score"] = s[i, at]
+                yield out
+
+    return run
+
+
+def nearest(docs: DataFrame, queries: DataFrame, k: int, least: float | None = None, block: int = QUERY_BLOCK) -> DataFrame:
+    """(q, *docs without v, score): for each query (q long, v) candidates that hold its k nearest documents (..., v last).
+
+    Exact cosine similarity. The queries are a stated set: they are walked in blocks of a fixed
+    size, the only thing that is broadcast; each block meets all documents once, in batches,
+    and only the best of a batch leave the task. Null vectors, and those of length 0, have no
+    score.
+    """
+    spark = docs.sparkSession
+    work = Workspace(spark, "nearest")
+    others = [c for c in docs.columns if c != "v"]
+    kinds = dict(docs.dtypes)
+    schema = ", ".join(["q long", *[f"{c} {kinds[c]}" for c in others], "score double"])
+    d = docs.where("v is not null").select(*others, "v")
+    q = work.keep(queries.where("q is not null and v is not null").select("q", F.transform("v", lambda x: x.cast("double")).alias("v")))
+    n = q.count()
+    parts = -(-n // block)
+    out = None
+    for part in range(max(parts, 1)):
+        rows = q.where(F.pmod(F.xxhash64("q"), F.lit(parts)) == part).collect() if parts > 1 else q.collect()
+        if not rows:
+            continue
+        vectors = np.array([r.v for r in rows], dtype="float64").reshape(len(rows), -1)
+        size = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+        shared = spark.sparkContext.broadcast(([r.q for r in rows], vectors / np.where(size > 0, size, np.nan)))
+        found = d.mapInPandas(_nearest(shared, k, least), schema)
+        if parts > 1:
+            found = work.keep(found)
+        out = found if out is None else out.unionByName(found)
+    return spark.createDataFrame([], schema) if out is None else out
+
+
 def vector_search(docs: DataFrame, queries: DataFrame, k: int, least: float = 0.0) -> DataFrame:
-    """(query, doc, score, rank): exact cosine similarity of each query (query, v) with all documents (doc, v).
+    """(query, doc, score, rank): the k nearest documents (doc, v) of each query (query, v) by cosine similarity.
 
-    The queries are a stated set: they are cut into blocks, each block meets all documents, and
-    the best k of a block's query are kept before anything is shuffled on. Null vectors have no
-    score. Both sides are normalised once.
+    `least`: only similarities of so much or more, if above 0.
     """
-    d = docs.select("doc", normalise(F.col("v")).alias("dv")).where("dv is not null")
-    q = queries.select("query", normalise(F.col("v")).alias("qv")).where("qv is not null")
-    pairs = d.join(q, how="cross").select("query", "doc", dot(F.col("dv"), F.col("qv")).alias("score"))
-    if least > 0:
-        pairs = pairs.where(F.col("score") >= least)
-    return top_k(pairs, k)
+    found = nearest(docs.select("doc", "v"), queries.select(F.col("query").cast("long").alias("q"), "v"), k, least if least > 0 else None)
+    return top_k(found.withColumnRenamed("q", "query"), k)
 
 
 def maxsim(query_tokens: DataFrame, doc_tokens: DataFrame, per_token: int = 100) -> DataFrame:
-    """(query, doc, score): late interaction. Each query token finds its nearest `per_token` token rows; a document
-    gets the sum over query tokens of its best of those. Tokens of importance 0 or less are skipped."""
+    """(query, doc, score): late interaction of query tokens (query, q_idx, importance, v) and token rows (doc, t_idx, v).
+
+    Each query token finds its nearest `per_token` token rows; a document gets the sum over
+    query tokens of its best of those. Tokens of importance 0 or less are skipped.
+    """
+    q = query_tokens.where("importance > 0").withColumn("q", F.xxhash64("query", "q_idx"))
+    near = nearest(doc_tokens.select("doc", "t_idx", "v"), q.select("q", "v"), per_token)
+    w = Window.partitionBy("q").orderBy(F.desc("score"), "doc", "t_idx")
+    best = near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_token).groupBy("q", "doc").agg(F.max("score").alias("s"))
+    return best.join(q.select("q", "query"), "q").groupBy("query", "doc").agg(F.sum("s").alias("score"))
+
+
+def maxsim_rerank(candidates: DataFrame, query_tokens: DataFrame, doc_tokens: DataFrame) -> DataFrame:
+    """(query, doc, score): candidates (query, doc) scored exactly; those without tokens get 0.
+
+    Token rows are joined to the candidates they belong to, and summed by partial maxima.
+    """
     q = query_tokens.where("importance > 0").select("query", "q_idx", normalise(F.col("v")).alias("qv"))
-    d = doc_tokens.select("doc", "t_idx", normalise(F.col("v")).alias("dv")).where("dv is not null")
-    near = d.join(F.broadcast(q.limit(10_000)), how="cross").select("query", "q_idx", "doc", "t_idx", dot(F.col("dv"), F.col("qv")).alias("s"))
-    w = Window.partitionBy("query", "q_idx").orderBy(F.desc("s"), "doc", "t_idx")
-    best = near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_token)
-    return best.groupBy("query", "q_idx", "doc").agg(F.max("s").alias("s")).groupBy("query", "doc").agg(F.sum("s").alias("score"))
+    d = doc_tokens.select("doc", normalise(F.col("v")).alias("dv")).where("dv is not null")
+    pairs = candidates.select("query", "doc").distinct().join(d, "doc").join(q, "query")
+    best = pairs.groupBy("query", "doc", "q_idx").agg(F.max(dot(F.col("dv"), F.col("qv"))).alias("s")).groupBy("query", "doc").agg(F.sum("s").alias("score"))
+    return candidates.select("query", "doc").distinct().join(best, ["query", "doc"], "left").select("query", "doc", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def rrf(lists: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:

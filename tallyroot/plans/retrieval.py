@@ -48,6 +48,14 @@ def r_maxsim(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.maxsim(queries, docs).select("query", "doc", F.round("score", 6).alias("score"))
 
 
+def r_rerank(spark: SparkSession, folder: str) -> DataFrame:
+    e = table(spark, folder, "embeddings")
+    docs = e.select(F.col("label").cast("long").alias("doc"), F.col("embedding").alias("v"))
+    queries = e.where(F.col("vec_id") % 100 == 0).select((F.col("vec_id") % 300).alias("query"), F.col("vec_id").alias("q_idx"), F.lit(1.0).alias("importance"), F.col("embedding").alias("v"))
+    cand = queries.select("query").distinct().join(docs.select("doc").distinct().union(docs.select(F.max("doc") + 1)), how="cross")
+    return retrieval.maxsim_rerank(cand, queries, docs).select("query", "doc", F.round("score", 6).alias("score"))
+
+
 def _lists(spark: SparkSession, folder: str) -> DataFrame:
     hits = table(spark, folder, "search_hits").where("score is not null and not isnan(score)")
     best = hits.groupBy("search_id", F.lower("method").alias("method"), "document_id").agg(F.max("score").alias("score"))
@@ -106,7 +114,7 @@ def e_means(spark: SparkSession, folder: str) -> DataFrame:
     return m.select(*[F.round(c, 5).alias(c) for c in ("ndcg", "precision", "recall", "ap", "rr")], "queries")
 
 
-QUERIES = {f.__name__: f for f in (r_terms, r_bm25, r_vector, r_truncated, r_maxsim, r_fused, r_parents, r_boosted, r_routes, r_tiers, r_containers, e_metrics, e_means)}
+QUERIES = {f.__name__: f for f in (r_terms, r_bm25, r_vector, r_truncated, r_maxsim, r_rerank, r_fused, r_parents, r_boosted, r_routes, r_tiers, r_containers, e_metrics, e_means)}
 
 _TOK = "list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda x: length(x) >= 2)"
 _CUR = "cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) AS rn FROM nodes WHERE id IS NOT NULL) WHERE rn = 1)"
@@ -138,6 +146,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc)
     "r_maxsim": """WITH s AS (SELECT q.vec_id AS qi, d.vec_id AS ti, d.label::BIGINT AS doc, list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]) AS s FROM embeddings q, embeddings d WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY qi ORDER BY s DESC, doc, ti) AS r FROM s),
 b AS (SELECT qi, doc, max(s) AS s FROM r WHERE r <= 100 GROUP BY ALL) SELECT 1 AS query, doc, round(sum(s), 6) AS score FROM b GROUP BY doc""",
+    "r_rerank": """WITH q AS (SELECT vec_id % 300 AS query, vec_id AS qi, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT query, qi, label::BIGINT AS doc, max(list_cosine_similarity(v, embedding::DOUBLE[])) AS s FROM q, embeddings GROUP BY ALL)
+SELECT query, doc, round(sum(s), 6) AS score FROM s GROUP BY ALL UNION ALL SELECT DISTINCT query, (SELECT max(label) + 1 FROM embeddings)::BIGINT, 0.0 FROM q""",
     "r_fused": f"WITH {_LISTS} SELECT query, doc, round(sum(CASE method WHEN 'vector' THEN 0.86 WHEN 'bm25' THEN 0.14 ELSE 1.0 END / (60 + rank)), 8) AS score FROM lists GROUP BY ALL",
     "r_parents": f"WITH {_CUR}, {_LISTS} SELECT query, parent_id AS parent, round(sum(score), 6) AS score, max(score) AS best, count(*) AS hits FROM lists JOIN cur ON cur.id = doc WHERE method = 'bm25' AND parent_id IS NOT NULL GROUP BY ALL",
     "r_boosted": f"WITH {_CUR}, {_LISTS} SELECT query, doc, round(score * (1 + 0.5 * coalesce(exp(-ln(2) * greatest(epoch_us(TIMESTAMP '2025-02-01') - epoch_us(coalesce(event_time, created_at)), 0) / 86400000000.0 / 7), 0)), 6) AS score FROM lists JOIN cur ON cur.id = doc WHERE method = 'vector' AND settled = 'settled'",

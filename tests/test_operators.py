@@ -214,3 +214,19 @@ def test_stream_index(spark, tmp_path):
     p, t = incremental.read_index(spark, out)
     assert sorted((r.doc, r.term) for r in p.collect()) == [(1, "beta"), (1, "gamma"), (2, "delta")]
     assert {r.term: r.df for r in t.collect()} == {"beta": 1, "gamma": 1, "delta": 1}
+
+
+def test_nearest_blocks(spark):
+    rnd = np.random.default_rng(1)
+    v = rnd.normal(size=(60, 5))
+    v[10] = v[11] = v[12]
+    docs = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(100, None), (101, [0.0] * 5)], "doc long, v array<double>")
+    queries = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v[:20])] + [(30, None)], "query long, v array<double>")
+    whole = sorted(map(tuple, retrieval.vector_search(docs, queries, 4).collect()))
+    found = retrieval.nearest(docs, queries.withColumnRenamed("query", "q"), 4, block=3).withColumnRenamed("q", "query")
+    blocks = sorted(map(tuple, retrieval.top_k(found, 4).collect()))
+    n = v / np.linalg.norm(v, axis=1)[:, None]
+    want = sorted((q, d, r) for q in range(20) for r, d in enumerate(sorted(range(60), key=lambda d: (-round(float(n[q] @ n[d]), 12), d))[:4], 1))
+    assert [(a, b, r) for a, b, _, r in whole] == [(a, b, r) for a, b, _, r in blocks] == want
+    assert retrieval.vector_search(docs, queries.limit(0), 4).count() == 0
+    assert retrieval.vector_search(docs.limit(0), queries, 4).count() == 0
