@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 #: The word pattern that the byte-level vocabularies were published with.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words remembered from batch to batch within a task; then the memory starts anew.
+#: Words, and pairs of tokens, remembered from batch to batch within a task; then the memory starts anew.
 MEMORY = 400_000
 
 
@@ -75,6 +75,8 @@ class TrieEncoder:
         """Whether the tokens a, b stay as they are when their bytes are encoded together."""
         got = self.fits.get((a, b))
         if got is None:
+            if len(self.fits) > MEMORY:
+                self.fits.clear()
             got = self.fits[a, b] = self._merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return got
 

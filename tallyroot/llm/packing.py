@@ -19,16 +19,16 @@ CAPACITY = 4096
 RANK_BUCKETS = 256
 
 
-def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, containers): patterns that together use every item of the histogram once."""
+def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+    """(((length, times), ...), containers): patterns that together use every item of the histogram once."""
     rooms: list[int] = []  # rooms that some open pattern has, ascending
-    open_: dict[int, list[list]] = {}  # room -> [lengths, count]
+    open_: dict[int, list[list]] = {}  # room -> [runs, count]
 
-    def put(room: int, lengths: tuple[int, ...], count: int) -> None:
+    def put(room: int, runs: tuple[tuple[int, int], ...], count: int) -> None:
         if room not in open_:
             open_[room] = []
             insort(rooms, room)
-        open_[room].append([lengths, count])
+        open_[room].append([runs, count])
 
     for length in sorted((x for x in histogram if x > 0), reverse=True):
         left = histogram[length]
@@ -39,13 +39,13 @@ def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int,
                 each = capacity // length
                 full, rest = divmod(left, each)
                 if full:
-                    put(capacity - each * length, (length,) * each, full)
+                    put(capacity - each * length, ((length, each),), full)
                 if rest:
-                    put(capacity - rest * length, (length,) * rest, 1)
+                    put(capacity - rest * length, ((length, rest),), 1)
                 break
             room = rooms[at]
             group = open_[room]
-            lengths, count = group[-1]
+            runs, count = group[-1]
             each = min(room // length, left)
             take = min(count, left // each)
             if take == count:
@@ -55,9 +55,9 @@ def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int,
                     rooms.pop(at)
             else:
                 group[-1][1] -= take
-            put(room - each * length, lengths + (length,) * each, take)
+            put(room - each * length, (*runs, (length, each)), take)
             left -= take * each
-    return [(tuple(lengths), count) for group in open_.values() for lengths, count in group]
+    return [(runs, count) for group in open_.values() for runs, count in group]
 
 
 def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY) -> DataFrame:
@@ -80,19 +80,20 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY) -> Dat
     sizes = work.keep(sizes)
     histogram = {r.length: r.c for r in sizes.groupBy("length").agg(F.sum("c").alias("c")).collect()}  # at most `capacity` rows
     slots, first, used = [], 0, dict.fromkeys(histogram, 0)
-    for lengths, count in patterns(histogram, capacity):
+    for runs, count in patterns(histogram, capacity):
         offset = 0
-        for x in lengths:
-            slots.append((x, used[x], used[x] + count, first, offset))
-            used[x] += count
-            offset += x
+        for x, times in runs:
+            slots.append((x, used[x], used[x] + count * times, first, offset, times))
+            used[x] += count * times
+            offset += x * times
         first += count
-    # As many slots as the patterns have places: it depends on the lengths, not on the items.
-    table = spark.createDataFrame(slots, "length long, lo long, hi long, first long, offset long")
+    # One row for each length of a pattern: their number depends on the lengths, not on the items.
+    table = spark.createDataFrame(slots, "length long, lo long, hi long, first long, room long, times long")
     before = sizes.select("length", "b", (F.sum("c").over(Window.partitionBy("length").orderBy("b")) - F.col("c")).alias("before"))
     ranked = parts.where("length > 0").withColumn("r", F.row_number().over(Window.partitionBy("length", "b").orderBy("k", "part")) - 1)
     ranked = ranked.join(before, ["length", "b"]).withColumn("rank", F.col("r") + F.col("before"))
     placed = ranked.join(F.broadcast(table), "length").where("rank >= lo and rank < hi")
-    out = placed.select("k", "part", "start", "length", (F.col("first") + F.col("rank") - F.col("lo")).alias("container"), "offset")
+    nth = F.col("rank") - F.col("lo")
+    out = placed.select("k", "part", "start", "length", (F.col("first") + F.floor(nth / F.col("times"))).alias("container"), (F.col("room") + nth % F.col("times") * F.col("length")).alias("offset"))
     zero = parts.where("length = 0").select("k", "part", "start", "length", F.lit(0).cast("long").alias("container"), F.lit(0).cast("long").alias("offset"))
     return out.unionByName(zero).withColumnRenamed("k", key)

@@ -43,10 +43,10 @@ def test_patterns():
         h = {rnd.randrange(1, cap + 1): rnd.randrange(1, 300) for _ in range(20)}
         p = packing.patterns(h, cap)
         seen = Counter()
-        for lengths, count in p:
-            assert sum(lengths) <= cap and count > 0
-            for x in lengths:
-                seen[x] += count
+        for runs, count in p:
+            assert sum(x * times for x, times in runs) <= cap and count > 0
+            for x, times in runs:
+                seen[x] += count * times
         assert seen == Counter(h)
 
 
