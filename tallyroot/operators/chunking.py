@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyroot.work import ship
+
 # Abbreviations after which a sentence does not end.
 ABBREVIATIONS = "Mr Mrs Ms Dr Prof Sr Jr St vs etc e.g i.e cf No Fig al approx".split()
 
@@ -116,6 +118,7 @@ def bounded(ends: list[int], least: int, most: int) -> list[int]:
 
 def segment(rows: DataFrame, group: str, order: str, vector: str, penalty: float, min_size: int = 2, least: int = 1, most: int = 1 << 30) -> DataFrame:
     """(group, order, segment): contiguous segments of each group's vectors; rows without a vector are dropped."""
+    ship(rows.sparkSession)
     kinds = dict(rows.dtypes)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
