@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyroot.work import ship
+
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 #: The word pattern that the byte-level vocabularies were published with.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -139,6 +141,7 @@ def encode_column(docs: DataFrame, text: str, out: str, path: str, only_counts:
     Null and empty texts have no ids. Special tokens' strings are ordinary text. All other
     columns are passed through; a column named `out` is replaced.
     """
+    ship(docs.sparkSession)
     docs = docs.drop(*([out] if out in docs.columns and out != text else []))
     kind = "bigint" if only_counts else "array<int>"
     rest = [c for c in docs.columns if c != text]

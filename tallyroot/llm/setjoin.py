@@ -111,14 +111,24 @@ def similar_in(records: list[tuple[int, int, list[int], list[int]]], theta: floa
     return out
 
 
+def _groups(batches):
+    """Runs of rows with one (part, side), one after the other; rows come sorted by them."""
+    key, records = None, []
+    for frame in batches:
+        for part, side, c, n, h, keys in zip(frame["part"], frame["side"], frame["c"], frame["n"], frame["h"], frame["keys"]):
+            if (part, side) != key:
+                if len(records) > 1:
+                    yield key[0], records
+                key, records = (part, side), []
+            records.append((c, n, h.tolist(), keys.tolist()))
+    if len(records) > 1:
+        yield key[0], records
+
+
 def _probe(theta: float, parts: int):
     def run(batches):
-        groups: dict[tuple, list] = defaultdict(list)
-        for frame in batches:
-            for part, side, c, n, h, keys in zip(frame["part"], frame["side"], frame["c"], frame["n"], frame["h"], frame["keys"]):
-                groups[part, side].append((c, n, list(map(int, h)), list(map(int, keys))))
         rows = []
-        for (part, _), records in groups.items():
+        for part, records in _groups(batches):
             for i, j, overlap in similar_in(records, theta):
                 a, b = records[i], records[j]
                 shared = set(b[3])
@@ -126,6 +136,9 @@ def _probe(theta: float, parts: int):
                 # The pair belongs to the partition of the rarest value that both list among their keys.
                 if first is not None and first % parts == part:
                     rows.append((min(a[0], b[0]), max(a[0], b[0]), overlap, a[1] + b[1] - overlap))
+            if len(rows) > 50_000:
+                yield pd.DataFrame(rows, columns=["a", "b", "shared", "together"])
+                rows = []
         yield pd.DataFrame(rows, columns=["a", "b", "shared", "together"])
 
     return run
@@ -177,9 +190,9 @@ def _pairs(keyed: DataFrame, theta: float, parts: int, work: Workspace) -> DataF
         both = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, own).alias("i"), F.greatest(i, own).alias("j")))
         blocks = sized.withColumn("pair", F.explode(both)).select("part", "side", "c", "n", "h", "keys", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"))
         usual = sided.join(hot.select("part", "side"), ["part", "side"], "left_anti")
-    found = usual.select("part", "side", "c", "n", "h", "keys").repartition("part", "side").mapInPandas(_probe(theta, parts), schema)
+    found = usual.select("part", "side", "c", "n", "h", "keys").repartition("part", "side").sortWithinPartitions("part", "side").mapInPandas(_probe(theta, parts), schema)
     if blocks is not None:
-        per = blocks.groupBy("part", "side", "i", "j").applyInPandas(lambda f: next(_probe(theta, parts)(iter([f]))), schema)
+        per = blocks.groupBy("part", "side", "i", "j").applyInPandas(lambda f: pd.concat(_probe(theta, parts)(iter([f]))), schema)
         found = found.unionByName(per)
     return found.distinct()
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyroot.operators.current import in_force
+from tallyroot.work import ship
 
 #: Where a unit ends, from coarse to fine: before a heading or a form feed, after a blank line, a sentence, a word.
 LEVELS = (
@@ -60,6 +61,7 @@ def split(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     return pieces
 
 
+COLUMNS = ["id", "piece", "pieces", "unit", "start", "stop", "text"]
 PIECES = "id long, piece int, pieces int, unit string, start long, stop long, text string"
 
 
@@ -78,8 +80,11 @@ def _cut(batches):
                 step = max(1, int(tokens))
                 starts = range(0, int(n), step)
                 out += [(key, i, len(starts), "token", a, min(a + step, int(n)), None) for i, a in enumerate(starts)]
+            if len(out) > 5000:
+                yield pd.DataFrame(out, columns=COLUMNS)
+                out = []
         if out:
-            yield pd.DataFrame(out, columns=["id", "piece", "pieces", "unit", "start", "stop", "text"])
+            yield pd.DataFrame(out, columns=COLUMNS)
 
 
 def split_nodes(nodes: DataFrame, tokens: DataFrame, limits: DataFrame) -> DataFrame:
@@ -98,6 +103,7 @@ def split_nodes(nodes: DataFrame, tokens: DataFrame, limits: DataFrame) -> DataF
     `limits` is a configuration of a few rows; more than 10,000 are refused.
     """
     spark = nodes.sparkSession
+    ship(spark)
     few = limits.select("usetype", "max_chars", "max_tokens", "overlap_chars").where("usetype is not null").limit(10_001).collect()
     if len(few) > 10_000:
         raise ValueError("more than 10,000 limits")
