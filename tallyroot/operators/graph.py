@@ -209,3 +209,31 @@ def lint_stale(facts: DataFrame, now, days: int = 90) -> DataFrame:
     clock = F.coalesce("valid_from", "recorded_at")
     age = (F.unix_micros(F.lit(now)) - F.unix_micros(clock)) / F.lit(86_400_000_000.0)
     return facts.where("fact_type = 'dynamic' and invalidated_at is null").withColumn("age_days", F.floor(age)).where(age > days).select("id", "age_days")
+
+
+def spines(scores: DataFrame, up: DataFrame, k: int = 5, cut: float = 0.85) -> DataFrame:
+    """(root, leaf, total, place): the heaviest root-to-leaf paths of each tree, at most k, until one falls below `cut` of the best.
+
+    scores: (id, score) of all nodes; up: (id, ancestor, ancestor_depth). A path's weight is the
+    sum of the scores on it. The k best of a tree are found by a partial top-k in each of a
+    fixed number of buckets first, so a large tree is not one task's work.
+    """
+    inner = up.select(F.col("ancestor").alias("id")).distinct()
+    leaves = scores.join(inner, "id", "left_anti")
+    roots = up.where("ancestor_depth = 0").select("id", F.col("ancestor").alias("root"))
+    above = up.join(leaves.select("id"), "id", "left_semi").join(scores.select(F.col("id").alias("ancestor"), F.col("score").alias("s")), "ancestor").groupBy("id").agg(F.sum("s").alias("s"))
+    total = leaves.join(above, "id").join(roots, "id").select("root", F.col("id").alias("leaf"), (F.col("score") + F.col("s")).alias("total"))
+    part = Window.partitionBy("root", F.pmod(F.xxhash64("leaf"), F.lit(64))).orderBy(F.desc("total"), "leaf")
+    whole = Window.partitionBy("root").orderBy(F.desc("total"), "leaf")
+    near = total.withColumn("r", F.row_number().over(part)).where(F.col("r") <= k).drop("r")
+    ranked = near.withColumn("place", F.row_number().over(whole)).where(F.col("place") <= k)
+    return ranked.withColumn("best", F.max("total").over(Window.partitionBy("root"))).where(F.col("total") >= cut * F.col("best")).select("root", "leaf", "total", "place")
+
+
+def lint_all(*reports: tuple[str, DataFrame]) -> DataFrame:
+    """(rule, severity, id, rank): several reports (id, severity) in one, errors before warnings before infos."""
+    out = None
+    for rule, r in reports:
+        rows = r.select(F.lit(rule).alias("rule"), "severity", F.col("id").cast("string").alias("id"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.withColumn("rank", F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).otherwise(2))

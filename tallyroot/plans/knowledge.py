@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyroot.functions import text as tx
-from tallyroot.operators import chunking, facts, graph, sheets, views
+from tallyroot.functions import templates
+from tallyroot.operators import chunking, facts, fulltext, graph, intervals, sheets, views
 from tallyroot.plans.trees import sound_ancestors
 from tallyroot.sources.tables import table
 from tallyroot.streaming import incremental
@@ -126,6 +127,34 @@ def g_orphans(spark: SparkSession, folder: str) -> DataFrame:
     return graph.lint_orphans(_vertices(spark, folder), graph.link_graph(_links(spark, folder), ["R"]), 12)
 
 
+def g_spines(spark: SparkSession, folder: str) -> DataFrame:
+    scores = views.children_counts(_nodes(spark, folder)).select("id", F.col("n_children").cast("double").alias("score"))
+    return graph.spines(scores, sound_ancestors(spark, folder))
+
+
+def g_lint(spark: SparkSession, folder: str) -> DataFrame:
+    stale = k_stale(spark, folder).select("id", F.lit("info").alias("severity"))
+    clash = k_contradictions(spark, folder).select(F.col("a").alias("id"), F.lit("error").alias("severity"))
+    return graph.lint_all(("orphan", g_orphans(spark, folder)), ("stale", stale), ("contradiction", clash)).groupBy("rule", "severity", "rank").agg(F.count("*").alias("n"))
+
+
+def k_overlaps(spark: SparkSession, folder: str) -> DataFrame:
+    e = table(spark, folder, "events").select(F.col("event_id").alias("id"), "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("start"))
+    hours = 3_600_000_000
+    e = e.withColumn("stop", F.col("start") + 6 * hours)
+    return intervals.overlaps(e.where("event_type = 'purchase'"), e.where("event_type <> 'purchase'"), "user_id", 6 * hours)
+
+
+def x_fulltext(spark: SparkSession, folder: str) -> DataFrame:
+    return fulltext.fulltext(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_queries"), "query_id", "query_text")
+
+
+def c_rendered(spark: SparkSession, folder: str) -> DataFrame:
+    values = F.create_map(F.lit("name"), F.col("s_name"), F.lit("nation"), F.col("s_nationkey").cast("string"))
+    t = F.lit("{{ name }} of {{nation}}: {{other}}")
+    return table(spark, folder, "supplier").select("s_suppkey", templates.render(t, values).alias("text"), F.array_join(templates.missing(t, values), ",").alias("missing"))
+
+
 def _facts(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events")
     ts = F.col("ts").cast("timestamp")
@@ -251,6 +280,12 @@ q AS (SELECT list_sort(list(score))[(0.75 * (count(*) - 1))::DOUBLE::INT + 1] AS
 b AS (SELECT anc AS id, sum(score * power(0.7, depth - ad)) AS below, count(*) FILTER (score >= (SELECT t FROM t)) AS spread, count(*) + 1 AS size FROM up JOIN sc USING (id) GROUP BY 1)
 SELECT id, score AS own, round(below, 6) AS below, spread, size, round((score + below) * (1 + ln(1 + spread)), 5) AS authority FROM sc JOIN b USING (id) WHERE size >= 3""",
     "g_orphans": f"WITH {_LINKS}, {_DEG.format(' WHERE t = $R$').replace('$R$', chr(39) + 'R' + chr(39))} SELECT id, n_in + n_out AS n_all, CASE WHEN n_in + n_out = 0 THEN 'warning' ELSE 'info' END AS severity FROM deg WHERE n_in + n_out <= 12",
+    "g_lint": f"WITH {_LINKS}, {_DEG.format(' WHERE t = $R$').replace('$R$', chr(39) + 'R' + chr(39))}, {_FACTS}, l AS (SELECT *, row_number() OVER (PARTITION BY subject_id, predicate ORDER BY valid_from DESC, object DESC) AS rn FROM facts) SELECT 'orphan' AS rule, CASE WHEN n_in + n_out = 0 THEN 'warning' ELSE 'info' END AS severity, CASE WHEN n_in + n_out = 0 THEN 1 ELSE 2 END AS rank, count(*) AS n FROM deg WHERE n_in + n_out <= 12 GROUP BY ALL UNION ALL SELECT 'stale', 'info', 2, count(*) FROM l WHERE rn = 1 AND (epoch_us(TIMESTAMP '2025-06-01') - epoch_us(valid_from)) / 86400000000.0 > 90 HAVING count(*) > 0 UNION ALL SELECT 'contradiction', 'error', 0, count(*) FROM facts a JOIN facts b ON a.subject_id = b.subject_id AND a.predicate = b.predicate AND a.id < b.id AND a.object <> b.object AND a.valid_from <= b.valid_until AND b.valid_from <= a.valid_until HAVING count(*) > 0",
+    "g_spines": f"""{_DOWN}, {_KIDS}, sc AS (SELECT cur.id, coalesce(n, 0)::DOUBLE AS score FROM cur LEFT JOIN kids USING (id)),
+tot AS (SELECT up.id AS leaf, min(CASE WHEN ad = 0 THEN anc END) AS root, sum(sc.score) + max(own.score) AS total FROM up JOIN sc ON sc.id = anc JOIN sc own ON own.id = up.id WHERE up.id NOT IN (SELECT anc FROM up) GROUP BY 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY total DESC, leaf) AS place, max(total) OVER (PARTITION BY root) AS best FROM tot) SELECT root, leaf, total, place FROM r WHERE place <= 5 AND total >= 0.85::DOUBLE * best""",
+    "k_overlaps": "WITH e AS (SELECT event_id AS id, user_id, event_type AS t, epoch_us(ts) AS s, epoch_us(ts) + 21600000000 AS e FROM events) SELECT a.id AS a, b.id AS b, greatest(a.s, b.s) AS start, least(a.e, b.e) AS stop FROM e a JOIN e b ON a.user_id = b.user_id AND a.t = 'purchase' AND b.t <> 'purchase' AND a.s < b.e AND b.s < a.e",
+    "c_rendered": "SELECT s_suppkey, s_name || ' of ' || s_nationkey || ': {{other}}' AS text, 'other' AS missing FROM supplier",
     "k_contradictions": f"WITH {_FACTS} SELECT a.id AS a, b.id AS b FROM facts a JOIN facts b ON a.subject_id = b.subject_id AND a.predicate = b.predicate AND a.id < b.id AND a.object <> b.object AND a.valid_from <= b.valid_until AND b.valid_from <= a.valid_until",
     "k_live": f"WITH {_FACTS} SELECT id, subject_id, predicate FROM (SELECT *, row_number() OVER (PARTITION BY subject_id, predicate ORDER BY valid_from DESC, object DESC) AS rn FROM facts) WHERE rn = 1",
     "k_stale": f"WITH {_FACTS}, l AS (SELECT *, row_number() OVER (PARTITION BY subject_id, predicate ORDER BY valid_from DESC, object DESC) AS rn FROM facts), a AS (SELECT id, (epoch_us(TIMESTAMP '2025-06-01') - epoch_us(valid_from)) / 86400000000.0 AS age FROM l WHERE rn = 1) SELECT id, floor(age)::BIGINT AS age_days FROM a WHERE age > 90",
@@ -260,6 +295,12 @@ SELECT id, score AS own, round(below, 6) AS below, spread, size, round((score +
     "c_containment": f"WITH cells AS ({_CELLS(_CONTAINED)}), v AS (SELECT DISTINCT sheet || '.' || col AS c, value AS v FROM cells WHERE value IS NOT NULL), s AS (SELECT c, count(*) AS n FROM v GROUP BY 1 HAVING count(*) >= 2), p AS (SELECT x.c AS a, y.c AS b, count(*) AS shared FROM v x JOIN v y ON x.v = y.v AND x.c <> y.c GROUP BY ALL) SELECT a, b, shared, round(shared / n, 6) AS containment FROM p JOIN s ON s.c = a WHERE b IN (SELECT c FROM s) AND shared / n >= 0.9",
     "c_prose": "SELECT c_custkey, 'c_custkey: ' || c_custkey || '. c_name: ' || c_name || '. c_mktsegment: ' || c_mktsegment || '.' AS text FROM customer",
     "x_paragraphs": r"WITH p AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\n[ \t]*\n'), lambda p: regexp_replace(p, '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g')), lambda p: p <> '') AS l FROM documents WHERE text IS NOT NULL) SELECT doc_id, (generate_subscripts(l, 1) - 1)::INT AS piece, unnest(l) AS text FROM p",
+    "x_fulltext": r"""WITH items AS (SELECT query_id, regexp_extract_all(query_text, '-?"[^"]*"|\S+') AS l FROM eval_queries),
+i AS (SELECT query_id, unnest(l) AS it, generate_subscripts(l, 1) AS i FROM items), alt AS (SELECT *, sum((it = 'OR')::INT) OVER (PARTITION BY query_id ORDER BY i) AS alt FROM i),
+ph AS (SELECT query_id, alt, it LIKE '-%' AND length(it) > 1 AS neg, array_to_string(list_filter(string_split_regex(lower(it), '[^a-z0-9]+'), lambda x: length(x) >= 2), ' ') AS p FROM alt WHERE it NOT IN ('OR', 'AND')),
+d AS (SELECT doc_id, ' ' || array_to_string(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 2), ' ') || ' ' AS t FROM documents WHERE text IS NOT NULL),
+m AS (SELECT query_id, alt, doc_id, bool_and(contains(t, ' ' || p || ' ') <> neg) AS ok, bool_or(NOT neg) AS has FROM ph, d WHERE p <> '' GROUP BY ALL)
+SELECT DISTINCT query_id AS query, doc_id AS doc FROM m WHERE ok AND has""",
     "x_windows": r"WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \t\n\r\f\v]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT doc_id, w, unnest(range(0, greatest(ceil((len(w) - 50) / 40.0), 0)::INT + 1)) AS piece FROM w WHERE len(w) > 0) SELECT doc_id, piece::INT AS piece, array_to_string(w[piece * 40 + 1 : piece * 40 + 50], ' ') AS text FROM i",
     "s_windows": "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
 }

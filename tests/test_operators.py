@@ -230,3 +230,32 @@ def test_nearest_blocks(spark):
     assert [(a, b, r) for a, b, _, r in whole] == [(a, b, r) for a, b, _, r in blocks] == want
     assert retrieval.vector_search(docs, queries.limit(0), 4).count() == 0
     assert retrieval.vector_search(docs.limit(0), queries, 4).count() == 0
+
+
+def test_fulltext(spark):
+    from tallyroot.operators import fulltext
+
+    assert fulltext.parse('one "two three" -four OR -"five six" seven') == [([["one"], ["two", "three"]], [["four"]]), ([["seven"]], [["five", "six"]])]
+    assert fulltext.parse("-only") == [] and fulltext.parse(None) == [] and fulltext.parse(" OR ") == []
+    docs = spark.createDataFrame([(1, "One two three"), (2, "two one three four"), (3, "seven five six"), (4, "seven six five"), (5, None), (6, "")], "id int, text string")
+    queries = spark.createDataFrame([(0, 'one "two three"'), (1, "one three -four"), (2, 'nothing OR seven -"five six"'), (3, None), (4, "")], "q int, t string")
+    assert sorted(map(tuple, fulltext.fulltext(docs, "id", "text", queries, "q", "t").collect())) == [(0, 1), (1, 1), (2, 4)]
+
+
+def test_overlaps(spark):
+    from tallyroot.operators import intervals
+
+    rnd = random.Random(9)
+    rows = lambda n: [(i, rnd.randrange(2), s := rnd.randrange(-50, 50), s + rnd.randrange(0, 30)) for i in range(n)]
+    a, b = rows(40), rows(40)
+    schema = "id int, g int, start long, stop long"
+    got = {tuple(r) for r in intervals.overlaps(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), "g", 7).collect()}
+    assert got == {(x[0], y[0], max(x[2], y[2]), min(x[3], y[3])) for x in a for y in b if x[1] == y[1] and x[2] < x[3] and y[2] < y[3] and x[2] < y[3] and y[2] < x[3]}
+
+
+def test_templates(spark):
+    from tallyroot.functions import templates
+
+    v = F.create_map(F.lit("a"), F.lit("x{{b}}"), F.lit("n"), F.lit(None).cast("string"))
+    r = spark.range(1).select(templates.render(F.lit("{{ a }}-{{n}}-{{z.y}}"), v).alias("t"), templates.missing(F.lit("{{ a }}{{z.y}}{{ b }}"), v).alias("m")).first()
+    assert r.t == "x{{b}}--{{z.y}}" and r.m == ["z.y", "b"]
