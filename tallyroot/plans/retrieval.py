@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyroot.functions import text as tx
-from tallyroot.operators import evaluation, retrieval, views
+from tallyroot.operators import ann, evaluation, retrieval, views
 from tallyroot.plans.trees import sound_ancestors
 from tallyroot.sources.tables import table
 
@@ -48,6 +48,18 @@ def r_maxsim(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.maxsim(queries, docs).select("query", "doc", F.round("score", 6).alias("score"))
 
 
+def r_ann(spark: SparkSession, folder: str) -> DataFrame:
+    e = table(spark, folder, "embeddings")
+    index = ann.build_vector_index(e.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v")))
+    queries = e.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query"), F.col("embedding").alias("v"))
+    return ann.ann_search(index, queries, TOP, 24)
+
+
+def r_mmr(spark: SparkSession, folder: str) -> DataFrame:
+    e = table(spark, folder, "embeddings").withColumn("relevance", F.element_at("embedding", 1).cast("double"))
+    return ann.mmr(e, "label", "vec_id", "embedding", "relevance", 10)
+
+
 def r_rerank(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "embeddings")
     docs = e.select(F.col("label").cast("long").alias("doc"), F.col("embedding").alias("v"))
@@ -114,7 +126,7 @@ def e_means(spark: SparkSession, folder: str) -> DataFrame:
     return m.select(*[F.round(c, 5).alias(c) for c in ("ndcg", "precision", "recall", "ap", "rr")], "queries")
 
 
-QUERIES = {f.__name__: f for f in (r_terms, r_bm25, r_vector, r_truncated, r_maxsim, r_rerank, r_fused, r_parents, r_boosted, r_routes, r_tiers, r_containers, e_metrics, e_means)}
+QUERIES = {f.__name__: f for f in (r_terms, r_bm25, r_vector, r_truncated, r_ann, r_mmr, r_maxsim, r_rerank, r_fused, r_parents, r_boosted, r_routes, r_tiers, r_containers, e_metrics, e_means)}
 
 _TOK = "list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda x: length(x) >= 2)"
 _CUR = "cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) AS rn FROM nodes WHERE id IS NOT NULL) WHERE rn = 1)"

@@ -259,3 +259,36 @@ def test_templates(spark):
     v = F.create_map(F.lit("a"), F.lit("x{{b}}"), F.lit("n"), F.lit(None).cast("string"))
     r = spark.range(1).select(templates.render(F.lit("{{ a }}-{{n}}-{{z.y}}"), v).alias("t"), templates.missing(F.lit("{{ a }}{{z.y}}{{ b }}"), v).alias("m")).first()
     assert r.t == "x{{b}}--{{z.y}}" and r.m == ["z.y", "b"]
+
+
+def test_ann_recall(spark):
+    from tallyroot.operators import ann
+    from tallyroot.sources.tables import table
+
+    e = table(spark, "/root/testdata/sf0.01", "embeddings")
+    docs = e.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v"))
+    queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("v"))
+    found = ann.ann_search(ann.build_vector_index(docs), queries, 10, 24)
+    assert ann.recall(found, retrieval.vector_search(docs, queries, 10)) >= 0.9
+    assert ann.build_vector_index(docs).rows.count() == docs.count()
+    assert ann.ann_search(ann.build_vector_index(docs.limit(0)), queries, 10).count() == 0
+    odd = docs.limit(3).unionByName(spark.createDataFrame([(900, None), (901, [0.0] * 64), (None, [1.0] * 64)], "doc long, v array<float>"))
+    assert ann.ann_search(ann.build_vector_index(odd), queries.limit(1), 10).count() == 3
+
+
+def test_mmr(spark):
+    from tallyroot.operators import ann
+
+    rows = [(1, 0, [1.0, 0.0], 9.0), (1, 1, [1.0, 0.01], 8.0), (1, 2, [0.0, 1.0], 1.0), (2, 5, [1.0, 1.0], 1.0), (2, 6, None, 3.0)]
+    got = sorted(map(tuple, ann.mmr(spark.createDataFrame(rows, "g int, i int, v array<double>, r double"), "g", "i", "v", "r", 2).collect()))
+    assert got == [(1, 0, 0), (1, 2, 1), (2, 5, 0)]
+
+
+def test_methods():
+    from tallyroot.functions.methods import Method, parse_method, with_preset
+
+    assert parse_method("vector→maxsim@200:t15") == Method("vector", "maxsim", 200, 15) and parse_method("hybrid") == Method("hybrid")
+    for bad in ("", "vector→", "x", "vector→maxsim", "vector→maxsim@0", "bm25→other@5"):
+        with pytest.raises(ValueError):
+            parse_method(bad)
+    assert with_preset({"a": 1, "b": 2}, {"a": None, "b": 3, "c": 0}) == {"a": 1, "b": 3, "c": 0}
