@@ -36,28 +36,17 @@ class TrieEncoder:
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.longest = max(map(len, self.ranks))
+        # Which lengths tokens with the same two last bytes have, longest first.
+        lengths: dict[bytes, set[int]] = {}
+        for token in self.ranks:
+            if len(token) > 1:
+                lengths.setdefault(token[-2:], set()).add(len(token))
+        self.lengths = {tail: tuple(sorted(found, reverse=True)) for tail, found in lengths.items()}
         self.bytes_of = {i: t for t, i in self.ranks.items()}
-        self.halves = self._halves()
         self.fits: dict[tuple[int, int], bool] = {}
         self.known: dict[str, list[int]] = {}
         self.words = regex.compile(PATTERN).findall
 
-    def _halves(self) -> dict[int, tuple[int, int]]:
-        """For each token the two tokens whose merge made it: the split whose later part ranks least."""
-        made = {}
-        ranks = self.ranks
-        for token, rank in ranks.items():
-            best = None
-            for k in range(1, len(token)):
-                a, b = ranks.get(token[:k]), ranks.get(token[k:])
-                if a is not None and b is not None and a < rank and b < rank:
-                    if best is None or max(a, b) < max(best):
-                        best = (a, b)
-            if best:
-                made[rank] = best
-        return made
-
     def _merge(self, word: bytes) -> list[int]:
         """Plain byte-pair merging of a short word: the lowest-ranked pair first."""
         ranks = self.ranks
@@ -84,7 +73,7 @@ class TrieEncoder:
 
     def encode_words(self, words: list[str]) -> dict[str, list[int]]:
         """The tokens of each word, computed along the trie of the words."""
-        ranks, longest, follows = self.ranks, self.longest, self._follows
+        ranks, lengths, follows = self.ranks, self.lengths, self._follows
         out: dict[str, list[int]] = {}
         path = b""
         last: list[int] = []  # last[i]: the last token of path[: i + 1]
@@ -94,13 +83,17 @@ class TrieEncoder:
             depth = len(shared)
             del last[depth:], from_[depth:]
             for end in range(depth + 1, len(raw) + 1):
-                # Longer tokens first; only one can be right.
-                for begin in range(max(0, end - longest), end):
-                    token = ranks.get(raw[begin:end])
-                    if token is not None and (begin == 0 or follows(last[begin - 1], token)):
-                        last.append(token)
-                        from_.append(begin)
-                        break
+                # Longer tokens first; only one can be right, the single byte if no other.
+                for size in lengths.get(raw[end - 2 : end], ()) if end > 1 else ():
+                    begin = end - size
+                    if begin >= 0:
+                        token = ranks.get(raw[begin:end])
+                        if token is not None and (begin == 0 or follows(last[begin - 1], token)):
+                            break
+                else:
+                    begin, token = end - 1, ranks[raw[end - 1 : end]]
+                last.append(token)
+                from_.append(begin)
             path = raw
             tokens, i = [], len(raw)
             while i:

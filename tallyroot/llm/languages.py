@@ -53,6 +53,8 @@ SPECIFIC = 2.5
 HOST_STRENGTH, CORPUS_STRENGTH = 20.0, 10.0
 HOST_SALTS = 16
 
+LONGEST_WORD = 64
+
 SENTENCE = regex.compile(r"""(?<=[\p{L}\p{N})\]"'”’»][.!?…]["'”’»)]*)\s+|[\r\n  \x0b\x0c\x85]+""")
 #: Code between fences is no sentence.
 FENCED = regex.compile(r"^[ \t]*(```|~~~).*?^[ \t]*\1[^\S\n]*$", regex.M | regex.S)
@@ -84,6 +86,9 @@ def words(sentence: str) -> list[str]:
 
 
 def _grams(word: str) -> list[int]:
+    """Buckets of the word's n-grams; none for unbroken runs of letters that are no word of any language."""
+    if len(word) > LONGEST_WORD:
+        return []
     w = f"_{word}_"
     out = [zlib.crc32(w[i : i + n].encode()) % BUCKETS for n in (1, 2, 3, 4) for i in range(len(w) - n + 1)]
     return out + [zlib.crc32(f"#{w}".encode()) % BUCKETS]
