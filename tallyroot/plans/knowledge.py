@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyroot.functions import text as tx
 from tallyroot.functions import templates
-from tallyroot.operators import chunking, facts, fulltext, graph, intervals, sheets, views
+from tallyroot.operators import chunking, facts, fulltext, graph, intervals, sheets, summaries, views
 from tallyroot.plans.trees import sound_ancestors
 from tallyroot.sources.tables import table
 from tallyroot.streaming import incremental
@@ -138,6 +138,16 @@ def g_lint(spark: SparkSession, folder: str) -> DataFrame:
     return graph.lint_all(("orphan", g_orphans(spark, folder)), ("stale", stale), ("contradiction", clash)).groupBy("rule", "severity", "rank").agg(F.count("*").alias("n"))
 
 
+def g_layers(spark: SparkSession, folder: str) -> DataFrame:
+    e = table(spark, folder, "embeddings")
+    return summaries.layers(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")))
+
+
+def k_found(spark: SparkSession, folder: str) -> DataFrame:
+    f = summaries.find_facts(facts.supersede(_facts(spark, folder)), predicate="click", moment="2024-01-15 00:00:00", live=False, kind="dynamic")
+    return f.select("id", "subject_id", "object")
+
+
 def k_overlaps(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events").select(F.col("event_id").alias("id"), "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("start"))
     hours = 3_600_000_000
@@ -284,6 +294,7 @@ SELECT id, score AS own, round(below, 6) AS below, spread, size, round((score +
     "g_spines": f"""{_DOWN}, {_KIDS}, sc AS (SELECT cur.id, coalesce(n, 0)::DOUBLE AS score FROM cur LEFT JOIN kids USING (id)),
 tot AS (SELECT up.id AS leaf, min(CASE WHEN ad = 0 THEN anc END) AS root, sum(sc.score) + max(own.score) AS total FROM up JOIN sc ON sc.id = anc JOIN sc own ON own.id = up.id WHERE up.id NOT IN (SELECT anc FROM up) GROUP BY 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY total DESC, leaf) AS place, max(total) OVER (PARTITION BY root) AS best FROM tot) SELECT root, leaf, total, place FROM r WHERE place <= 5 AND total >= 0.85::DOUBLE * best""",
+    "k_found": f"WITH {_FACTS} SELECT id, subject_id, object FROM facts WHERE predicate = 'click' AND valid_from <= TIMESTAMP '2024-01-15' AND valid_until >= TIMESTAMP '2024-01-15'",
     "k_overlaps": "WITH e AS (SELECT event_id AS id, user_id, event_type AS t, epoch_us(ts) AS s, epoch_us(ts) + 21600000000 AS e FROM events) SELECT a.id AS a, b.id AS b, greatest(a.s, b.s) AS start, least(a.e, b.e) AS stop FROM e a JOIN e b ON a.user_id = b.user_id AND a.t = 'purchase' AND b.t <> 'purchase' AND a.s < b.e AND b.s < a.e",
     "c_rendered": "SELECT s_suppkey, s_name || ' of ' || s_nationkey || ': {{other}}' AS text, 'other' AS missing FROM supplier",
     "k_contradictions": f"WITH {_FACTS} SELECT a.id AS a, b.id AS b FROM facts a JOIN facts b ON a.subject_id = b.subject_id AND a.predicate = b.predicate AND a.id < b.id AND a.object <> b.object AND a.valid_from <= b.valid_until AND b.valid_from <= a.valid_until",

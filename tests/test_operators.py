@@ -268,7 +268,7 @@ def test_ann_recall(spark):
     e = table(spark, "/root/testdata/sf0.01", "embeddings")
     docs = e.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v"))
     queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("v"))
-    found = ann.ann_search(ann.build_vector_index(docs), queries, 10, 24)
+    found = ann.ann_search(ann.build_vector_index(docs), queries, 10, 36)
     assert ann.recall(found, retrieval.vector_search(docs, queries, 10)) >= 0.9
     assert ann.build_vector_index(docs).rows.count() == docs.count()
     assert ann.ann_search(ann.build_vector_index(docs.limit(0)), queries, 10).count() == 0
@@ -292,3 +292,18 @@ def test_methods():
         with pytest.raises(ValueError):
             parse_method(bad)
     assert with_preset({"a": 1, "b": 2}, {"a": None, "b": 3, "c": 0}) == {"a": 1, "b": 3, "c": 0}
+
+
+def test_layers(spark):
+    from tallyroot.operators import summaries
+
+    rnd = np.random.default_rng(5)
+    base = np.eye(6)[[0, 2, 4]]
+    v = [(i, (base[i % 3] + rnd.normal(0, 0.02, 6)).tolist()) for i in range(30)] + [(99, None)]
+    rows = summaries.layers(spark.createDataFrame(v, "id long, v array<double>"), k=4, probes=64).where("layer = 0").collect()
+    groups = defaultdict(set)
+    for r in rows:
+        groups[r.cluster].add(r.id % 3)
+    assert len(rows) == 30 and all(len(g) == 1 for g in groups.values())
+    m = summaries.mean_vectors(spark.createDataFrame([(1, [1.0, 2.0]), (1, [3.0, 4.0])], "g int, v array<double>"), "g").first()
+    assert (m.v, m.n) == ([2.0, 3.0], 2)
