@@ -21,11 +21,11 @@ def r_terms(spark: SparkSession, folder: str) -> DataFrame:
 def _bm25(spark: SparkSession, folder: str) -> DataFrame:
     index = retrieval.build_index(table(spark, folder, "documents"), "doc_id", "text")
     scored = retrieval.bm25(index, retrieval.query_terms(table(spark, folder, "eval_queries"), "query_id", "query_text"))
-    return retrieval.top_k(scored.withColumn("score", F.round("score", 8)), TOP)
+    return retrieval.top_k(scored.withColumn("score", F.round("score", 7)), TOP)
 
 
 def r_bm25(spark: SparkSession, folder: str) -> DataFrame:
-    return _bm25(spark, folder).select("query", "doc", F.round("score", 6).alias("score"), "rank")
+    return _bm25(spark, folder).select("query", "doc", "score", "rank")
 
 
 def r_vector(spark: SparkSession, folder: str) -> DataFrame:
@@ -111,7 +111,7 @@ def r_containers(spark: SparkSession, folder: str) -> DataFrame:
     terms = retrieval.query_terms(table(spark, folder, "eval_queries"), "query_id", "query_text")
     up = sound_ancestors(spark, folder).select("id", "ancestor")
     scored = retrieval.container_bm25(index, terms, nodes, up).withColumn("score", F.round("score", 7))
-    return retrieval.top_k(scored, TOP).select("query", "doc", F.round("score", 5).alias("score"), "rank")
+    return retrieval.top_k(scored, TOP).select("query", "doc", "score", "rank")
 
 
 def e_metrics(spark: SparkSession, folder: str) -> DataFrame:
@@ -150,9 +150,9 @@ ORACLE = {
     "r_terms": f"WITH {_CUR} SELECT term, count(*) AS df FROM (SELECT id, unnest(list_distinct({_TOK.format('content')})) AS term FROM cur) GROUP BY 1",
     "r_bm25": f"""WITH {_QT}, toks AS (SELECT doc_id AS doc, {_TOK.format('text')} AS t FROM documents WHERE text IS NOT NULL),
 docs AS (SELECT doc, len(t) AS dl FROM toks WHERE len(t) > 0), tf AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(t) AS term FROM toks) GROUP BY ALL), {_BM},
-s AS (SELECT query, doc, round(sum(w * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg))), 8) AS score FROM tf JOIN w USING (term) JOIN docs USING (doc), n GROUP BY ALL),
+s AS (SELECT query, doc, round(sum(w * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg))), 7) AS score FROM tf JOIN w USING (term) JOIN docs USING (doc), n GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM s)
-SELECT query, doc, round(score, 6) AS score, rank FROM ranked WHERE rank <= 10""",
+SELECT query, doc, score, rank FROM ranked WHERE rank <= 10""",
     "r_vector": """WITH s AS (SELECT q.vec_id AS query, d.vec_id AS doc, list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings d WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM s) SELECT query, doc, round(score, 6) AS score, rank FROM r WHERE rank <= 10""",
     "r_truncated": "WITH t AS (SELECT vec_id, embedding[1:16]::DOUBLE[] AS e FROM embeddings) SELECT vec_id, list_transform(e, lambda x: round(x / sqrt(list_inner_product(e, e)), 6)) AS v FROM t",
@@ -180,7 +180,7 @@ above AS (SELECT up.id AS doc, anc FROM up JOIN cur ON cur.id = anc WHERE cur.co
 ctf AS (SELECT anc, term, sum(tf) AS tf FROM tf JOIN above USING (doc) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
 cdl AS (SELECT anc, sum(dl) AS dl FROM docs JOIN above USING (doc) GROUP BY 1),
 s AS (SELECT query, anc AS doc, round(sum(w * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg))), 7) AS score FROM ctf JOIN w USING (term) JOIN cdl USING (anc), n GROUP BY ALL),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM s) SELECT query, doc, round(score, 5) AS score, rank FROM ranked WHERE rank <= 10""",
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM s) SELECT query, doc, score, rank FROM ranked WHERE rank <= 10""",
     "e_metrics": f"{_METRICS} SELECT * FROM m",
     "e_means": f"{_METRICS} SELECT round(avg(ndcg), 5) AS ndcg, round(avg(precision), 5) AS precision, round(avg(recall), 5) AS recall, round(avg(ap), 5) AS ap, round(avg(rr), 5) AS rr, count(*) AS queries FROM m",
 }
