@@ -16,21 +16,36 @@ RRF_K = 60
 WEIGHTS = {"vector": 0.86, "bm25": 0.14}
 
 
+#: Distinct query terms up to which they are sent to every task that reads occurrences.
+FEW_TERMS = 200_000
+
+
 @dataclass
 class Index:
-    """postings (doc, term, tf, dl), terms (term, df); n documents of average length avg."""
+    """occurrences (doc, term, dl), a row for each token; lengths (doc, dl); terms (term, df); n documents of average length avg."""
 
-    postings: DataFrame
+    occurrences: DataFrame
+    lengths: DataFrame
     terms: DataFrame
     n: int
     avg: float
 
+    def postings(self, of: DataFrame | None = None) -> DataFrame:
+        """(doc, term, tf, dl), of all terms or of those in `of` (term).
+
+        Occurrences are counted before the shuffle. Few terms are broadcast, so that other
+        occurrences go no further than the scan; many are joined by term.
+        """
+        rows = self.occurrences
+        if of is not None:
+            of = of.select("term").distinct()
+            rows = rows.join(F.broadcast(of) if of.limit(FEW_TERMS + 1).count() <= FEW_TERMS else of, "term", "left_semi")
+        return rows.groupBy("doc", "term", "dl").agg(F.count("*").alias("tf")).select("doc", "term", "tf", "dl")
+
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, term, tf, dl): counted per document with array functions, so no shuffle is needed."""
-    t = docs.select(F.col(key).alias("doc"), tokens(F.col(text)).alias("t")).where(F.size("t") > 0)
-    counted = t.select("doc", F.size("t").alias("dl"), F.explode(F.array_distinct("t")).alias("term"), "t")
-    return counted.select("doc", "term", F.size(F.filter("t", lambda x: x == F.col("term"))).alias("tf"), "dl")
+    """(doc, term, tf, dl) of documents."""
+    return build_index(docs, key, text).postings()
 
 
 def build_index(docs: DataFrame, key: str, text: str) -> Index:
@@ -38,7 +53,8 @@ def build_index(docs: DataFrame, key: str, text: str) -> Index:
     t = docs.select(F.col(key).alias("doc"), tokens(F.col(text)).alias("t")).where(F.size("t") > 0)
     stats = t.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg")).first()
     terms = t.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return Index(postings(docs, key, text), terms, stats.n, stats.avg or 0.0)
+    occurrences = t.select("doc", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    return Index(occurrences, t.select("doc", F.size("t").alias("dl")), terms, stats.n, stats.avg or 0.0)
 
 
 def query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
@@ -58,7 +74,7 @@ def bm25(index: Index, terms: DataFrame, k1: float = K1, b: float = B) -> DataFr
     """
     weighted = terms.join(index.terms, "term").select("query", "term", (F.col("times") * _idf(index.n)).alias("w"))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(index.avg))
-    return index.postings.join(weighted, "term").groupBy("query", "doc").agg(F.sum(F.col("w") * F.col("tf") * (k1 + 1) / norm).alias("score"))
+    return index.postings(terms).join(weighted, "term").groupBy("query", "doc").agg(F.sum(F.col("w") * F.col("tf") * (k1 + 1) / norm).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, group: str = "query", doc: str = "doc", score: str = "score") -> DataFrame:
@@ -224,8 +240,8 @@ def container_bm25(index: Index, terms: DataFrame, nodes: DataFrame, up: DataFra
     containers = nodes.where("content is null").select(F.col("id").alias("ancestor"))
     above = up.join(containers, "ancestor").select(F.col("id").alias("doc"), "ancestor")
     weighted = terms.join(index.terms, "term").select("query", "term", (F.col("times") * _idf(index.n)).alias("w"))
-    tf = index.postings.join(terms.select("term").distinct(), "term", "left_semi").join(above, "doc").groupBy("ancestor", "term").agg(F.sum("tf").alias("tf"))
-    lengths = index.postings.select("doc", "dl").distinct().join(above, "doc").groupBy("ancestor").agg(F.sum("dl").alias("dl"))
+    tf = index.postings(terms).join(above, "doc").groupBy("ancestor", "term").agg(F.sum("tf").alias("tf"))
+    lengths = index.lengths.join(above, "doc").groupBy("ancestor").agg(F.sum("dl").alias("dl"))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(index.avg))
     scored = tf.join(weighted, "term").join(lengths, "ancestor")
     return scored.groupBy("query", F.col("ancestor").alias("doc")).agg(F.sum(F.col("w") * F.col("tf") * (k1 + 1) / norm).alias("score"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyroot.functions.text import canonical_cell, cell_kind
+from tallyroot.work import Workspace
 
 VALUES_CAP = 1000
 
@@ -40,7 +41,9 @@ def containment(cell_rows: DataFrame, threshold: float = 0.9, least: int = 2) ->
     Exact: distinct values are grouped by value with the list of columns that hold them. The
     number of columns bounds those lists, not the number of rows.
     """
-    v = cell_rows.select(F.concat_ws(".", "sheet", "col").alias("c"), canonical_cell(F.col("value")).alias("v")).where("v is not null").distinct()
+    work = Workspace(cell_rows.sparkSession, "containment")
+    v = cell_rows.select(F.concat_ws(".", "sheet", "col").alias("c"), canonical_cell(F.col("value")).alias("v")).where("v is not null")
+    v = work.keep(v.distinct())
     sizes = v.groupBy("c").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     v = v.join(sizes.select("c"), "c", "left_semi")
     groups = v.groupBy("v").agg(F.array_sort(F.collect_list("c")).alias("cs")).groupBy("cs").agg(F.count("*").alias("m")).where(F.size("cs") > 1)

@@ -38,8 +38,8 @@ def test_container_is_concatenation(spark):
     index = retrieval.build_index(nodes, "id", "content")
     terms = retrieval.query_terms(spark.createDataFrame([(0, "Beta gamma, beta")], "q int, t string"), "q", "t")
     got = retrieval.container_bm25(index, terms, nodes, up).collect()
-    whole = retrieval.postings(spark.createDataFrame([(1, "alpha beta gamma beta delta")], "id long, content string"), "id", "content")
-    want = retrieval.bm25(retrieval.Index(whole, index.terms, index.n, index.avg), terms).collect()
+    whole = retrieval.build_index(spark.createDataFrame([(1, "alpha beta gamma beta delta")], "id long, content string"), "id", "content")
+    want = retrieval.bm25(retrieval.Index(whole.occurrences, whole.lengths, index.terms, index.n, index.avg), terms).collect()
     assert len(got) == 1 and got[0].doc == 1 and abs(got[0].score - want[0].score) < 1e-12
 
 
