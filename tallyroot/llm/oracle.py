@@ -36,7 +36,7 @@ _P6_SCORES = (
     _P6
     + """ranked AS (SELECT *, rank() OVER (PARTITION BY document_id ORDER BY round(raw, 9) DESC) + count(*) OVER (PARTITION BY document_id, round(raw, 9)) - 1 AS place, count(*) OVER (PARTITION BY document_id) AS m FROM raws),
 adj AS (SELECT *, max(raw - ln(m / place)) OVER (PARTITION BY document_id ORDER BY place DESC) AS s FROM ranked)
-SELECT document_id, term, k AS freq, df, round(raw, 5) AS raw, round(greatest(least(s, raw), 0.0), 5) AS score FROM adj"""
+SELECT document_id, term, k AS freq, df, round(raw, 3) AS raw, round(greatest(least(s, raw), 0.0), 3) AS score FROM adj"""
 )
 
 _P3 = r"""WITH cur AS (

@@ -57,7 +57,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_scores(spark: SparkSession, folder: str) -> DataFrame:
     scores = enrichment.enrichment(_counts(spark, folder))
-    return scores.select(F.col("r").alias("document_id"), F.col("t").alias("term"), F.col("k").alias("freq"), "df", F.round("raw", 5).alias("raw"), F.round("score", 5).alias("score"))
+    return scores.select(F.col("r").alias("document_id"), F.col("t").alias("term"), F.col("k").alias("freq"), "df", F.round("raw", 3).alias("raw"), F.round("score", 3).alias("score"))
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
