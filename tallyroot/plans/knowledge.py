@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyroot.functions import text as tx
 from tallyroot.functions import templates
-from tallyroot.operators import chunking, facts, fulltext, graph, intervals, sheets, summaries, views
+from tallyroot.operators import chunking, derive, facts, fulltext, graph, intervals, sheets, summaries, views
 from tallyroot.plans.trees import sound_ancestors
 from tallyroot.sources.tables import table
 from tallyroot.streaming import incremental
@@ -143,6 +143,28 @@ def g_layers(spark: SparkSession, folder: str) -> DataFrame:
     return summaries.layers(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")))
 
 
+def k_derived(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers lie in nations, nations in regions: a rule places customers within regions."""
+    far = 1_000_000_000
+    c = table(spark, folder, "customer").select(F.col("c_custkey").alias("subject_id"), (F.col("c_nationkey") + far).cast("string").alias("object"))
+    n = table(spark, folder, "nation").select((F.col("n_nationkey") + far).cast("long").alias("subject_id"), (F.col("n_regionkey") + 2 * far).cast("string").alias("object"))
+    none = F.lit(None).cast("string")
+    held = c.unionByName(n).withColumns({"predicate": F.lit("in"), "datatype": none, "derived_by": none, "invalidated_at": F.lit(None).cast("timestamp"), "recorded_at": F.to_timestamp(F.lit(NOW))})
+    out = derive.apply_rule(held, "places", "in", "in", "within", NOW)
+    return out.where("derived_by = 'places'").select("subject_id", "predicate", "object")
+
+
+def k_backrefs(spark: SparkSession, folder: str) -> DataFrame:
+    refs = derive.back_references(_links(spark, folder), _facts(spark, folder))
+    return refs.groupBy("id", "kind", "name").agg(F.count("*").alias("n"), F.min("source").alias("first"))
+
+
+def x_named(spark: SparkSession, folder: str) -> DataFrame:
+    n = _nodes(spark, folder).where("content is null and title is not null")
+    done = _nodes(spark, folder).where("settled = 'settled'")
+    return derive.outstanding(n, done, "id").select("id", tx.predicate_name(F.col("title")).alias("name"), tx.local_name(F.concat(F.lit("urn:x#"), F.col("title"))).alias("local"))
+
+
 def k_found(spark: SparkSession, folder: str) -> DataFrame:
     f = summaries.find_facts(facts.supersede(_facts(spark, folder)), predicate="click", moment="2024-01-15 00:00:00", live=False, kind="dynamic")
     return f.select("id", "subject_id", "object")
@@ -294,6 +316,9 @@ SELECT id, score AS own, round(below, 6) AS below, spread, size, round((score +
     "g_spines": f"""{_DOWN}, {_KIDS}, sc AS (SELECT cur.id, coalesce(n, 0)::DOUBLE AS score FROM cur LEFT JOIN kids USING (id)),
 tot AS (SELECT up.id AS leaf, min(CASE WHEN ad = 0 THEN anc END) AS root, sum(sc.score) + max(own.score) AS total FROM up JOIN sc ON sc.id = anc JOIN sc own ON own.id = up.id WHERE up.id NOT IN (SELECT anc FROM up) GROUP BY 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY total DESC, leaf) AS place, max(total) OVER (PARTITION BY root) AS best FROM tot) SELECT root, leaf, total, place FROM r WHERE place <= 5 AND total >= 0.85::DOUBLE * best""",
+    "k_derived": "SELECT c_custkey AS subject_id, 'within' AS predicate, (n_regionkey + 2000000000::BIGINT)::VARCHAR AS object FROM customer JOIN nation ON n_nationkey = c_nationkey",
+    "k_backrefs": "SELECT l_partkey * 2 + 1 AS id, 'link' AS kind, l_returnflag AS name, count(*) AS n, min(l_suppkey * 2) AS first FROM lineitem GROUP BY ALL",
+    "x_named": rf"WITH {_CUR} SELECT id, regexp_replace(lower(trim(title)), '\s+', '_', 'g') AS name, regexp_extract('urn:x#' || title, '([^#/]*)$', 1) AS local FROM cur WHERE content IS NULL AND title IS NOT NULL AND settled <> 'settled'",
     "k_found": f"WITH {_FACTS} SELECT id, subject_id, object FROM facts WHERE predicate = 'click' AND valid_from <= TIMESTAMP '2024-01-15' AND valid_until >= TIMESTAMP '2024-01-15'",
     "k_overlaps": "WITH e AS (SELECT event_id AS id, user_id, event_type AS t, epoch_us(ts) AS s, epoch_us(ts) + 21600000000 AS e FROM events) SELECT a.id AS a, b.id AS b, greatest(a.s, b.s) AS start, least(a.e, b.e) AS stop FROM e a JOIN e b ON a.user_id = b.user_id AND a.t = 'purchase' AND b.t <> 'purchase' AND a.s < b.e AND b.s < a.e",
     "c_rendered": "SELECT s_suppkey, s_name || ' of ' || s_nationkey || ': {{other}}' AS text, 'other' AS missing FROM supplier",

@@ -307,3 +307,64 @@ def test_layers(spark):
     assert len(rows) == 30 and all(len(g) == 1 for g in groups.values())
     m = summaries.mean_vectors(spark.createDataFrame([(1, [1.0, 2.0]), (1, [3.0, 4.0])], "g int, v array<double>"), "g").first()
     assert (m.v, m.n) == ([2.0, 3.0], 2)
+
+
+def test_rules_and_references(spark):
+    from tallyroot.operators import derive
+
+    schema = "subject_id long, predicate string, object string, datatype string, invalidated_at int, recorded_at int, derived_by string"
+    rows = [(1, "in", "2", None, None, 1, None), (2, "in", "3", None, None, 1, None), (2, "in", "4", None, 5, 1, None), (1, "in", "9", "string", None, 1, None), (9, "in", "8", None, None, 1, None), (7, "within", "7", None, None, 1, "r")]
+    got = {tuple(r)[:3] for r in derive.apply_rule(spark.createDataFrame(rows, schema), "r", "in", "in", "within", 6).where("derived_by = 'r'").collect()}
+    assert got == {(1, "within", "3")}
+    again = derive.apply_rule(derive.apply_rule(spark.createDataFrame(rows, schema), "r", "in", "in", "within", 6), "r", "in", "in", "within", 7)
+    assert again.count() == 6
+    copied = derive.apply_rule(spark.createDataFrame(rows, schema), "c", "within", None, "in", 6)
+    assert {tuple(r)[:3] for r in copied.where("derived_by = 'c'").collect()} == {(7, "in", "7")}
+    links = spark.createDataFrame([(5, 2, "cites")], "source_id long, target_id long, link_type string")
+    refs = {tuple(r) for r in derive.back_references(links, spark.createDataFrame(rows, schema)).where("id = 2 or id = 9").collect()}
+    assert refs == {(2, 5, "link", "cites"), (2, 1, "fact", "in")}
+    a, b = derive.orphans(spark.createDataFrame([(1,), (2,)], "blob int"), spark.createDataFrame([(2, 1), (3, 1), (None, 1)], "blob int, doc int"), "blob")
+    assert [r.blob for r in a.collect()] == [1] and [r.blob for r in b.collect()] == [3]
+
+
+def test_paths_between(spark):
+    from tallyroot.operators import derive
+
+    rnd = random.Random(11)
+    pairs = {(rnd.randrange(9), rnd.randrange(9)) for _ in range(14)}
+    adj = defaultdict(set)
+    for a, b in pairs:
+        if a != b:
+            adj[a].add(b)
+            adj[b].add(a)
+    found, stack = [], [[0]]
+    while stack:
+        p = stack.pop()
+        if p[-1] == 5:
+            found.append(p)
+        elif len(p) <= 4:
+            stack += [[*p, x] for x in adj[p[-1]] if x not in p]
+    want = sorted(found, key=lambda p: (len(p), p))[:5]
+    assert [r.path for r in derive.paths_between(edges_of(spark, pairs), 0, 5, 4, 5).orderBy("place").collect()] == want
+
+
+def test_alignment(spark):
+    from tallyroot.operators import alignment as al
+
+    text = "Preface\n1. Ｆirst steps\nbody\n2. SECOND\nmore first steps"
+    assert al.place_titles(text, ["First Steps", "missing", "Second", "First steps"]) == [11, None, 31, 43]
+    assert al.align_blocks(["Alpha beta", "gone", "A long shared beginning, then this"], ["x", "ALPHA-beta", "a long shared beginning and that", "Alpha beta"]) == [1, None, 2]
+    assert al.similarity("Order No", "order no") == 1.0 and al.similarity("", "x") == 0.0
+    docs = spark.createDataFrame([(1, text, ["First steps", "Second"]), (2, None, ["a"]), (3, "plain", None)], "id int, t string, o array<string>")
+    got = [(r.id, r.section, r.title, r.body) for r in al.split_outline(docs, "id", "t", "o").orderBy("id", "section").collect()]
+    assert got[1] == (1, 1, "First steps", "Ｆirst steps\nbody\n2. ") and got[3] == (3, 0, None, "plain") and len(got) == 4
+    pairs = al.name_similarity(spark.createDataFrame([("abcd", "abce"), (None, "x")], "a string, b string"), "a", "b")
+    assert [r.similarity for r in pairs.collect()] == [0.75, 0.0]
+
+
+def test_context_blocks(spark):
+    from tallyroot.operators import derive
+
+    rows = [(0, 2, 7, None, 0.5, "late"), (0, 1, 8, "T", 1234.5678, None)]
+    got = derive.context_blocks(spark.createDataFrame(rows, "query int, rank int, id long, title string, score double, content string")).collect()
+    assert [r.text for r in got] == ["[Source 1: T (8, 1,234.568)]\n\n\n[Source 2: untitled (7, 0.500)]\nlate"]
