@@ -245,3 +245,11 @@ def container_bm25(index: Index, terms: DataFrame, nodes: DataFrame, up: DataFra
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(index.avg))
     scored = tf.join(weighted, "term").join(lengths, "ancestor")
     return scored.groupBy("query", F.col("ancestor").alias("doc")).agg(F.sum(F.col("w") * F.col("tf") * (k1 + 1) / norm).alias("score"))
+
+
+def container_candidates(index: Index, terms: DataFrame, nodes: DataFrame, up: DataFrame, k: int) -> DataFrame:
+    """(query, doc, hits, rank): containers ranked by the most distinct query terms that one of their leaves holds."""
+    hits = index.postings(terms).join(terms.select("query", "term"), "term").groupBy("query", "doc").agg(F.count("*").alias("hits"))
+    containers = nodes.where("content is null").select(F.col("id").alias("ancestor"))
+    best = hits.join(up.join(containers, "ancestor", "left_semi").select(F.col("id").alias("doc"), "ancestor"), "doc").groupBy("query", "ancestor").agg(F.max("hits").alias("hits"))
+    return top_k(best.withColumnRenamed("ancestor", "doc"), k, score="hits")

@@ -65,3 +65,13 @@ def find_header(rows: DataFrame, first: int = 8) -> DataFrame:
     full = (F.size("cells") > 0) & F.forall("cells", lambda c: canonical_cell(c).isNotNull()) & (F.size(F.array_distinct("cells")) == F.size("cells"))
     text = full & F.forall("cells", lambda c: cell_kind(c) == "text")
     return near.groupBy("sheet").agg(F.coalesce(F.min(F.when(text, F.col("row"))), F.min(F.when(full, F.col("row")))).alias("header"))
+
+
+def markdown_rows(table: DataFrame, columns: list[str]) -> DataFrame:
+    """table with `line`: each row as a line of a Markdown table; bars are escaped, line breaks become spaces."""
+    cell = lambda c: F.regexp_replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), r"\s*[\r\n]+\s*", " ")
+    return table.withColumn("line", F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, columns)), F.lit(" |")))
+
+
+def markdown_head(columns: list[str]) -> str:
+    return "| " + " | ".join(columns) + " |\n" + "|-" * len(columns) + "|"

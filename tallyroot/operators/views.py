@@ -95,3 +95,52 @@ def access_keys(nodes: DataFrame, up: DataFrame, grants: DataFrame) -> DataFrame
     best = chain.join(grants.withColumnRenamed("root", "ancestor"), "ancestor").groupBy("id", "principal").agg(level)
     text = F.array_join(F.array_sort(F.collect_list(F.concat("principal", F.lit(":"), F.when(F.col("l") == 2, "write").otherwise("read")))), ",")
     return nodes.select("id").join(best.groupBy("id").agg(text.alias("access")), "id", "left")
+
+
+def find(nodes: DataFrame, parent: int | None = None, usetype: str | None = None, title: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """Newest nodes first, with the given parent, usetype and beginning of the title in any letter case."""
+    if parent is not None:
+        nodes = nodes.where(F.col("parent_id") == parent)
+    if usetype is not None:
+        nodes = nodes.where(F.col("usetype") == usetype)
+    if title is not None:
+        nodes = nodes.where(F.lower(F.substring("title", 1, len(title))) == title.lower())
+    return nodes.orderBy(F.desc("created_at"), "id").offset(offset).limit(limit)
+
+
+def access_audit(nodes: DataFrame, up: DataFrame, grants: DataFrame) -> DataFrame:
+    """(root, documents, ungoverned): trees with nodes that no grant covers, the most first."""
+    tops = up.where("ancestor_depth = 0").select("id", F.col("ancestor").alias("root"))
+    roots = nodes.where("parent_id is null").select("id", F.col("id").alias("root"))
+    chain = up.select("id", "ancestor").unionByName(nodes.select("id", F.col("id").alias("ancestor")))
+    governed = chain.join(grants.select(F.col("root").alias("ancestor")).distinct(), "ancestor", "left_semi").select("id", F.lit(1).alias("g")).distinct()
+    n = tops.unionByName(roots).join(governed, "id", "left").groupBy("root").agg(F.count("*").alias("documents"), F.count_if(F.col("g").isNull()).alias("ungoverned"))
+    return n.where("ungoverned > 0")
+
+
+def newest_by_content(nodes: DataFrame) -> DataFrame:
+    """(parent_id, hash, id, copies): of nodes of one parent with equal content the newest; `file` nodes are left out, null usetypes are not."""
+    from tallyroot.functions.text import content_hash
+
+    rows = nodes.where(~F.col("usetype").eqNullSafe(F.lit("file"))).withColumn("hash", content_hash(F.col("content"))).where("hash is not null")
+    return rows.groupBy("parent_id", "hash").agg(F.max_by("id", F.struct("created_at", "id")).alias("id"), F.count("*").alias("copies"))
+
+
+def next_positions(nodes: DataFrame) -> DataFrame:
+    """(id, next_position): the place a new child of each node would get, 0 without children."""
+    last = nodes.where("parent_id is not null").groupBy("parent_id").agg((F.max("position") + 1).alias("n"))
+    return nodes.select("id").join(last.withColumnRenamed("parent_id", "id"), "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("next_position"))
+
+
+def bundle(nodes: DataFrame, up: DataFrame) -> DataFrame:
+    """(id, title, usetype, depth, n_children, n_below): what a view of each node shows."""
+    depth = up.groupBy("id").agg(F.count("*").alias("depth"))
+    below = up.groupBy(F.col("ancestor").alias("id")).agg(F.count("*").alias("n_below"))
+    z = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return nodes.select("id", "title", "usetype").join(children_counts(nodes), "id").join(depth, "id", "left").join(below, "id", "left").select("id", "title", "usetype", z("depth"), "n_children", z("n_below"))
+
+
+def without_summary(nodes: DataFrame, scores: DataFrame, k: int) -> DataFrame:
+    """(id, score): of the k nodes with the highest scores (id, score) those without a child of usetype `summary`."""
+    best = scores.orderBy(F.desc("score"), "id").limit(k)
+    return best.join(nodes.where("usetype = 'summary' and parent_id is not null").select(F.col("parent_id").alias("id")), "id", "left_anti")

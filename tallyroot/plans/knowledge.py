@@ -69,6 +69,35 @@ def t_readable(spark: SparkSession, folder: str) -> DataFrame:
     return views.readable(_nodes(spark, folder), sound_ancestors(spark, folder), _grants(spark, folder), "p1").select("id")
 
 
+def t_find(spark: SparkSession, folder: str) -> DataFrame:
+    return views.find(_nodes(spark, folder), usetype="section", title="the ", limit=20, offset=5).select("id", "title")
+
+
+def t_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return views.access_audit(_nodes(spark, folder), sound_ancestors(spark, folder), _grants(spark, folder))
+
+
+def t_copies(spark: SparkSession, folder: str) -> DataFrame:
+    return views.newest_by_content(_nodes(spark, folder))
+
+
+def t_next(spark: SparkSession, folder: str) -> DataFrame:
+    return views.next_positions(_nodes(spark, folder))
+
+
+def t_bundle(spark: SparkSession, folder: str) -> DataFrame:
+    return views.bundle(_nodes(spark, folder), sound_ancestors(spark, folder))
+
+
+def t_uncovered(spark: SparkSession, folder: str) -> DataFrame:
+    n = _nodes(spark, folder)
+    return views.without_summary(n, views.children_counts(n).select("id", F.col("n_children").alias("score")), 25)
+
+
+def c_markdown(spark: SparkSession, folder: str) -> DataFrame:
+    return sheets.markdown_rows(table(spark, folder, "nation"), ["n_nationkey", "n_name"]).select("n_nationkey", "line")
+
+
 def t_summarised(spark: SparkSession, folder: str) -> DataFrame:
     up = sound_ancestors(spark, folder)
     n = _nodes(spark, folder).select("id", F.char_length("content").alias("c"))
@@ -301,6 +330,13 @@ txt AS (SELECT f.id, string_agg(c.content, chr(10) || chr(10) ORDER BY key) AS t
 SELECT id, sha256(text) AS hash, length(text)::INT AS size FROM txt""",
     "t_access": f"{_DOWN}, {_GRANTS}, {_CHAIN}, best AS (SELECT id, principal, max(CASE level WHEN 'write' THEN 2 ELSE 1 END) AS l FROM chain JOIN grants ON root = anc GROUP BY ALL), a AS (SELECT id, string_agg(principal || ':' || CASE l WHEN 2 THEN 'write' ELSE 'read' END, ',' ORDER BY principal) AS access FROM best GROUP BY 1) SELECT cur.id, access FROM cur LEFT JOIN a USING (id)",
     "t_readable": f"{_DOWN}, {_GRANTS}, {_CHAIN} SELECT id FROM cur WHERE id NOT IN (SELECT id FROM chain JOIN grants ON root = anc) OR id IN (SELECT id FROM chain JOIN grants ON root = anc WHERE principal = 'p1')",
+    "t_find": f"WITH {_CUR} SELECT id, title FROM cur WHERE usetype = 'section' AND lower(title[1:4]) = 'the ' ORDER BY created_at DESC, id LIMIT 20 OFFSET 5",
+    "t_audit": f"{_DOWN}, {_GRANTS}, {_CHAIN}, top AS (SELECT id, coalesce(path[1], id) AS root FROM down), gov AS (SELECT DISTINCT id FROM chain JOIN grants ON root = anc) SELECT root, count(*) AS documents, count(*) FILTER (id NOT IN (SELECT id FROM gov)) AS ungoverned FROM top GROUP BY 1 HAVING count(*) FILTER (id NOT IN (SELECT id FROM gov)) > 0",
+    "t_copies": f"WITH {_CUR}, h AS (SELECT *, row_number() OVER (PARTITION BY parent_id, content ORDER BY created_at DESC, id DESC) AS k, count(*) OVER (PARTITION BY parent_id, content) AS copies FROM cur WHERE usetype IS DISTINCT FROM 'file' AND content <> '') SELECT parent_id, sha256(content) AS hash, id, copies FROM h WHERE k = 1",
+    "t_next": f"WITH {_CUR}, l AS (SELECT parent_id AS id, max(position) + 1 AS n FROM cur WHERE parent_id IS NOT NULL GROUP BY 1) SELECT cur.id, coalesce(n, 0)::INT AS next_position FROM cur LEFT JOIN l USING (id)",
+    "t_bundle": f"{_DOWN}, {_KIDS}, d AS (SELECT id, len(path) AS depth FROM down), b AS (SELECT anc AS id, count(*) AS n_below FROM up GROUP BY 1) SELECT cur.id, title, usetype, coalesce(depth, 0) AS depth, coalesce(n, 0) AS n_children, coalesce(n_below, 0) AS n_below FROM cur LEFT JOIN kids USING (id) LEFT JOIN d USING (id) LEFT JOIN b USING (id)",
+    "t_uncovered": f"WITH {_CUR}, {_KIDS}, best AS (SELECT cur.id, coalesce(n, 0) AS score FROM cur LEFT JOIN kids USING (id) ORDER BY 2 DESC, 1 LIMIT 25) SELECT * FROM best WHERE id NOT IN (SELECT parent_id FROM cur WHERE usetype = 'summary' AND parent_id IS NOT NULL)",
+    "c_markdown": "SELECT n_nationkey, '| ' || n_nationkey || ' | ' || n_name || ' |' AS line FROM nation",
     "t_summarised": f"{_DOWN} SELECT anc AS id, count(*) AS below, sum(length(content))::BIGINT AS chars, max(depth - ad) AS height FROM up JOIN cur USING (id) GROUP BY 1",
     "g_degrees": f"WITH {_LINKS}, {_DEG.format('')} SELECT *, n_in + n_out AS n_all FROM deg",
     "g_combined": f"WITH {_LINKS}, e AS (SELECT src, dst, w FROM links UNION ALL SELECT src, dst, w FROM links WHERE t = 'R') SELECT src, dst, round(sum(CASE WHEN w = 0 THEN 1 ELSE w END), 6) AS weight FROM e GROUP BY ALL",

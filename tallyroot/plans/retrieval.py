@@ -114,6 +114,14 @@ def r_containers(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.top_k(scored, TOP).select("query", "doc", "score", "rank")
 
 
+def r_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    raw = table(spark, folder, "nodes")
+    nodes = views.current_nodes(raw, ["content", "settled"])
+    index = retrieval.build_index(views.settled(nodes).where("content is not null"), "id", "content")
+    terms = retrieval.query_terms(table(spark, folder, "eval_queries"), "query_id", "query_text")
+    return retrieval.container_candidates(index, terms, nodes, sound_ancestors(spark, folder).select("id", "ancestor"), 2 * TOP)
+
+
 def e_metrics(spark: SparkSession, folder: str) -> DataFrame:
     lists = _lists(spark, folder)
     run = lists.where("method = 'bm25'").select("query", "doc", "rank")
@@ -127,7 +135,7 @@ def e_means(spark: SparkSession, folder: str) -> DataFrame:
     return m.select(*[F.round(c, 5).alias(c) for c in ("ndcg", "precision", "recall", "ap", "rr")], "queries")
 
 
-QUERIES = {f.__name__: f for f in (r_terms, r_bm25, r_vector, r_truncated, r_ann, r_mmr, r_maxsim, r_rerank, r_fused, r_parents, r_boosted, r_routes, r_tiers, r_containers, e_metrics, e_means)}
+QUERIES = {f.__name__: f for f in (r_terms, r_bm25, r_vector, r_truncated, r_ann, r_mmr, r_maxsim, r_rerank, r_fused, r_parents, r_boosted, r_routes, r_tiers, r_containers, r_candidates, e_metrics, e_means)}
 
 _TOK = "list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda x: length(x) >= 2)"
 _CUR = "cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) AS rn FROM nodes WHERE id IS NOT NULL) WHERE rn = 1)"
@@ -181,6 +189,11 @@ ctf AS (SELECT anc, term, sum(tf) AS tf FROM tf JOIN above USING (doc) WHERE ter
 cdl AS (SELECT anc, sum(dl) AS dl FROM docs JOIN above USING (doc) GROUP BY 1),
 s AS (SELECT query, anc AS doc, round(sum(w * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg))), 7) AS score FROM ctf JOIN w USING (term) JOIN cdl USING (anc), n GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM s) SELECT query, doc, score, rank FROM ranked WHERE rank <= 10""",
+    "r_candidates": f"""WITH RECURSIVE {_CUR}, down(id, path) AS (SELECT id, []::BIGINT[] FROM cur WHERE parent_id IS NULL UNION ALL SELECT cur.id, list_append(d.path, cur.parent_id) FROM cur JOIN down d ON cur.parent_id = d.id), up AS (SELECT id, unnest(path) AS anc FROM down), {_QT},
+tt AS (SELECT id AS doc, unnest(list_distinct({_TOK.format('content')})) AS term FROM cur WHERE content IS NOT NULL AND settled = 'settled'),
+h AS (SELECT query, doc, count(*) AS hits FROM tt JOIN qt USING (term) GROUP BY ALL),
+b AS (SELECT query, anc AS doc, max(hits) AS hits FROM h JOIN up ON up.id = h.doc JOIN cur ON cur.id = anc WHERE cur.content IS NULL GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY hits DESC, doc) AS rank FROM b) SELECT query, doc, hits, rank FROM r WHERE rank <= 20""",
     "e_metrics": f"{_METRICS} SELECT * FROM m",
     "e_means": f"{_METRICS} SELECT round(avg(ndcg), 5) AS ndcg, round(avg(precision), 5) AS precision, round(avg(recall), 5) AS recall, round(avg(ap), 5) AS ap, round(avg(rr), 5) AS rr, count(*) AS queries FROM m",
 }

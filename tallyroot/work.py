@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -23,7 +25,9 @@ def shared_folder(spark: SparkSession) -> str:
     master = conf.get("spark.master", "")
     if not master.startswith("local[") and master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="tallyroot-")
+    own = tempfile.mkdtemp(prefix="tallyroot-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    folder = "file://" + own
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
