@@ -50,11 +50,13 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def build_index(docs: DataFrame, key: str, text: str) -> Index:
     """An inverted index of documents with at least one token; null and empty texts are skipped."""
-    t = docs.select(F.col(key).alias("doc"), tokens(F.col(text)).alias("t")).where(F.size("t") > 0)
-    stats = t.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg")).first()
+    # No filter on the tokens before they are used: it would take every text apart twice.
+    t = docs.select(F.col(key).alias("doc"), tokens(F.col(text)).alias("t"))
+    sized = t.select("doc", F.size("t").alias("dl"))
+    stats = sized.agg(F.count_if(F.col("dl") > 0).alias("n"), F.sum("dl").alias("all")).first()
     terms = t.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     occurrences = t.select("doc", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    return Index(occurrences, t.select("doc", F.size("t").alias("dl")), terms, stats.n, stats.avg or 0.0)
+    return Index(occurrences, sized.where("dl > 0"), terms, stats.n, (stats.all or 0) / max(stats.n, 1))
 
 
 def query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
