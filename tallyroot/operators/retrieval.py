@@ -203,6 +203,21 @@ def rrf(lists: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     return lists.groupBy("query", "doc").agg(F.sum(w / (RRF_K + F.col("rank"))).alias("score"))
 
 
+def hybrid(legs: dict[str, DataFrame], limit: int, allowed: DataFrame | None = None, weights: dict[str, float] | None = None) -> DataFrame:
+    """(query, doc, score, rank): legs (query, doc, score) fused by reciprocal ranks.
+
+    Each leg gives its best 3 * limit candidates among the allowed documents (doc); the filter
+    comes before the cut, so it never leaves a page short, and holds for every leg.
+    """
+    lists = None
+    for name, leg in legs.items():
+        if allowed is not None:
+            leg = leg.join(allowed.select("doc"), "doc", "left_semi")
+        part = top_k(leg.select("query", "doc", "score"), 3 * limit).select("query", F.lit(name).alias("method"), "doc", "rank")
+        lists = part if lists is None else lists.unionByName(part)
+    return top_k(rrf(lists, weights).withColumn("score", F.round("score", 12)), limit)
+
+
 def recency(score: Column, clock: Column, now: Column, weight: float, half_life_days: float = 7.0) -> Column:
     """Boosted by 1 + weight * 2^(-age / half life); the future counts as age 0; no clock, no boost."""
     age = F.greatest((F.unix_micros(now.cast("timestamp")) - F.unix_micros(clock.cast("timestamp"))) / F.lit(86_400_000_000.0), F.lit(0.0))

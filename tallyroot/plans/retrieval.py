@@ -80,6 +80,13 @@ def r_fused(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.rrf(_lists(spark, folder)).select("query", "doc", F.round("score", 8).alias("score"))
 
 
+def r_hybrid(spark: SparkSession, folder: str) -> DataFrame:
+    nodes = views.settled(views.current_nodes(table(spark, folder, "nodes"), ["settled"])).select(F.col("id").alias("doc"))
+    lists = _lists(spark, folder)
+    legs = {m: lists.where(F.col("method") == m) for m in ("vector", "bm25", "maxsim")}
+    return retrieval.hybrid(legs, 5, nodes).select("query", "doc", F.round("score", 10).alias("score"), "rank")
+
+
 def r_parents(spark: SparkSession, folder: str) -> DataFrame:
     nodes = views.current_nodes(table(spark, folder, "nodes"), ["parent_id"])
     hits = _lists(spark, folder).where("method = 'bm25'").select("query", "doc", "score")
@@ -135,7 +142,7 @@ def e_means(spark: SparkSession, folder: str) -> DataFrame:
     return m.select(*[F.round(c, 5).alias(c) for c in ("ndcg", "precision", "recall", "ap", "rr")], "queries")
 
 
-QUERIES = {f.__name__: f for f in (r_terms, r_bm25, r_vector, r_truncated, r_ann, r_mmr, r_maxsim, r_rerank, r_fused, r_parents, r_boosted, r_routes, r_tiers, r_containers, r_candidates, e_metrics, e_means)}
+QUERIES = {f.__name__: f for f in (r_terms, r_bm25, r_vector, r_truncated, r_ann, r_mmr, r_maxsim, r_rerank, r_fused, r_hybrid, r_parents, r_boosted, r_routes, r_tiers, r_containers, r_candidates, e_metrics, e_means)}
 
 _TOK = "list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda x: length(x) >= 2)"
 _CUR = "cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) AS rn FROM nodes WHERE id IS NOT NULL) WHERE rn = 1)"
@@ -171,6 +178,9 @@ b AS (SELECT qi, doc, max(s) AS s FROM r WHERE r <= 100 GROUP BY ALL) SELECT 1 A
 s AS (SELECT query, qi, label::BIGINT AS doc, max(list_cosine_similarity(v, embedding::DOUBLE[])) AS s FROM q, embeddings GROUP BY ALL)
 SELECT query, doc, round(sum(s), 6) AS score FROM s GROUP BY ALL UNION ALL SELECT DISTINCT query, (SELECT max(label) + 1 FROM embeddings)::BIGINT, 0.0 FROM q""",
     "r_fused": f"WITH {_LISTS} SELECT query, doc, round(sum(CASE method WHEN 'vector' THEN 0.86 WHEN 'bm25' THEN 0.14 ELSE 1.0 END / (60 + rank)), 8) AS score FROM lists GROUP BY ALL",
+    "r_hybrid": f"""WITH {_CUR}, {_LISTS}, ok AS (SELECT query, method, doc, row_number() OVER (PARTITION BY query, method ORDER BY score DESC, doc) AS rank FROM lists WHERE method IN ('vector', 'bm25', 'maxsim') AND doc IN (SELECT id FROM cur WHERE settled = 'settled')),
+s AS (SELECT query, doc, round(sum(CASE method WHEN 'vector' THEN 0.86 WHEN 'bm25' THEN 0.14 ELSE 1.0 END::DOUBLE / (60 + rank)), 12) AS score FROM ok WHERE rank <= 15 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM s)
+SELECT query, doc, round(score, 10) AS score, rank FROM r WHERE rank <= 5""",
     "r_parents": f"WITH {_CUR}, {_LISTS} SELECT query, parent_id AS parent, round(sum(score), 6) AS score, max(score) AS best, count(*) AS hits FROM lists JOIN cur ON cur.id = doc WHERE method = 'bm25' AND parent_id IS NOT NULL GROUP BY ALL",
     "r_boosted": f"WITH {_CUR}, {_LISTS} SELECT query, doc, round(score * (1 + 0.5 * coalesce(exp(-ln(2) * greatest(epoch_us(TIMESTAMP '2025-02-01') - epoch_us(coalesce(event_time, created_at)), 0) / 86400000000.0 / 7), 0)), 6) AS score FROM lists JOIN cur ON cur.id = doc WHERE method = 'vector' AND settled = 'settled'",
     "r_routes": """WITH q AS (SELECT query_id, trim(coalesce(query_text, '')) AS t, list_filter(string_split_regex(lower(trim(coalesce(query_text, ''))), '[^\\p{L}\\p{N}]+'), lambda x: length(x) > 0) AS w FROM eval_queries),
