@@ -253,7 +253,7 @@ def languages(docs: DataFrame, codes: DataFrame, key: str = "doc_id", text: str
     n = labelled.select("doc_id").count()
     part = min(1.0, 1.2 * sample_docs / max(n, 1))
     pick = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(part * 1_000_003) + 1
-    sample = [(r[0], r[1]) for r in labelled.where(pick).select("label", "text").limit(sample_docs).toLocalIterator()]
+    sample = [(r[0], r[1]) for r in labelled.where(pick).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).select("label", "text").collect()]
     shared = spark.sparkContext.broadcast(fit(sample, langs))  # 2^17 floats a language, whatever the corpus
     segs = work.keep(base.where("text is not null").mapInPandas(_segments(shared), SEGMENTS))
 
