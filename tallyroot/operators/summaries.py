@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyroot.operators.ann import ann_search, build_vector_index
 from tallyroot.operators.graph import label_communities
+from tallyroot.operators.retrieval import nearest, top_k
 from tallyroot.work import Workspace
 
 
@@ -16,13 +17,28 @@ def mean_vectors(rows: DataFrame, group: str) -> DataFrame:
     return parts.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("i", "x")))["x"].alias("v"), F.max("n").alias("n"))
 
 
-def layers(vectors: DataFrame, k: int = 8, most: int = 5, probes: int = 16) -> DataFrame:
+def near_links(vectors: DataFrame, k: int, probes: int | None = None) -> DataFrame:
+    """(src, dst, weight): each vector (id long, v) and its k nearest others by cosine, if that is above 0.
+
+    Exact, in blocks of vectors that meet all others, so the work grows with the square of the
+    rows; with `probes` through the inverted-file index instead, which misses some.
+    """
+    if probes is None:
+        found = nearest(vectors.select(F.col("id").alias("doc"), "v"), vectors.select(F.col("id").alias("q"), "v"), k + 1).withColumnRenamed("q", "query")
+    else:
+        index = build_vector_index(vectors.withColumnRenamed("id", "doc"), cells=max(1, min(64, vectors.count() // 8)))
+        found = ann_search(index, vectors.withColumnRenamed("id", "query"), k + 1, probes)
+    near = top_k(found.select("query", "doc", "score").where("query <> doc"), k).where("score > 0")
+    return near.select(F.col("query").alias("src"), F.col("doc").alias("dst"), F.col("score").alias("weight"))
+
+
+def layers(vectors: DataFrame, k: int = 8, most: int = 5, probes: int | None = None) -> DataFrame:
     """(layer, id, cluster): clusters of vectors (id long, v), then of the clusters' means, and so on.
 
-    In each layer every vector is linked to its k nearest (through the inverted-file index), and
-    clusters are the communities of those links. A cluster is named by its smallest member and
-    stands for its mean in the next layer. It stops at a single cluster, when nothing merges any
-    more, or after `most` layers.
+    In each layer every vector is linked to its k nearest (near_links), and clusters are the
+    communities of those links. A cluster is named by its smallest member and stands for its
+    mean in the next layer. It stops at a single cluster, when nothing merges any more, or after
+    `most` layers.
     """
     work = Workspace(vectors.sparkSession, "layers")
     level = work.keep(vectors.where("v is not null").select("id", F.transform("v", lambda x: x.cast("double")).alias("v")))
@@ -30,10 +46,7 @@ def layers(vectors: DataFrame, k: int = 8, most: int = 5, probes: int = 16) -> D
     for layer in range(most):
         if size < 2:
             break
-        index = build_vector_index(level.withColumnRenamed("id", "doc"), cells=max(1, min(64, size // 8)))
-        near = ann_search(index, level.withColumnRenamed("id", "query"), k + 1, probes).where("query <> doc and score > 0")
-        edges = near.select(F.col("query").alias("src"), F.col("doc").alias("dst"), F.col("score").alias("weight"))
-        labels = work.keep(label_communities(level, edges))
+        labels = work.keep(label_communities(level, near_links(level, k, probes)))
         rows = labels.select(F.lit(layer).alias("layer"), "id", F.col("community").alias("cluster"))
         out = rows if out is None else out.unionByName(rows)
         merged = mean_vectors(level.join(labels, "id"), "community").select(F.col("community").alias("id"), "v")

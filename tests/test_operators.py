@@ -309,6 +309,24 @@ def test_layers(spark):
     assert (m.v, m.n) == ([2.0, 3.0], 2)
 
 
+def test_layers_of_exact_links(spark):
+    """As g_layers runs it: the links are the true nearest, and layer 0 is their communities."""
+    from tallyroot.operators import summaries
+    from tallyroot.sources.tables import table
+
+    rows = table(spark, "/root/testdata/sf0.1", "embeddings").where("vec_id % 3 = 0 and embedding is not null").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")).collect()
+    level = spark.createDataFrame([(r.id, [float(x) for x in r.v]) for r in rows], "id long, v array<double>")
+    x, ids = np.array([r.v for r in rows], dtype="float64"), [r.id for r in rows]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    true = {(ids[i], ids[j]): float(s[i, j]) for i in range(len(ids)) for j in np.argsort(-s[i])[:8] if s[i, j] > 0}
+    got = {(r.cluster, r.id) for r in summaries.layers(level, most=1).collect()}
+    e = spark.createDataFrame([(a, b, w) for (a, b), w in true.items()], "src long, dst long, weight double")
+    assert got == {(r.community, r.id) for r in graph.label_communities(level, e).collect()}
+    assert {(r.src, r.dst) for r in summaries.near_links(level, 8).collect()} == set(true)
+
+
 def test_rules_and_references(spark):
     from tallyroot.operators import derive
 
