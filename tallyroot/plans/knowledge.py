@@ -9,7 +9,7 @@ from tallyroot.functions import text as tx
 from tallyroot.functions import templates
 from tallyroot.operators import chunking, derive, facts, fulltext, graph, intervals, sheets, summaries, views
 from tallyroot.plans.trees import sound_ancestors
-from tallyroot.sources.tables import table
+from tallyroot.sources.tables import names, table
 from tallyroot.streaming import incremental
 
 NOW = "2025-06-01 00:00:00"
@@ -261,6 +261,23 @@ def c_containment(spark: SparkSession, folder: str) -> DataFrame:
     return sheets.containment(rows).select("a", "b", "shared", F.round("containment", 6).alias("containment"))
 
 
+def _all_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """The cells of every column of every table in the folder."""
+    out = None
+    for name in names(spark, folder):
+        c = sheets.cells(table(spark, folder, name), name)
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
+def c_measures_all(spark: SparkSession, folder: str) -> DataFrame:
+    return sheets.measure_columns(_all_cells(spark, folder))
+
+
+def c_containment_all(spark: SparkSession, folder: str) -> DataFrame:
+    return sheets.containment(_all_cells(spark, folder)).select("a", "b", "shared", F.round("containment", 6).alias("containment"))
+
+
 def c_prose(spark: SparkSession, folder: str) -> DataFrame:
     return sheets.prose(table(spark, folder, "customer"), ["c_custkey", "c_name", "c_mktsegment"]).select("c_custkey", "text")
 

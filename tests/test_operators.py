@@ -187,6 +187,28 @@ def test_sheets(spark):
     assert {tuple(r) for r in sheets.find_header(spark.createDataFrame(rows, "sheet string, row int, cells array<string>")).collect()} == {("s", 2), ("t", 0)}
 
 
+def test_all_columns_of_all_tables(spark, tmp_path):
+    from tallyroot.plans import knowledge
+
+    held = {
+        "part": [(i, f"n{i}") for i in range(20)],
+        "lineitem": [(i % 7, f"n{i % 3}") for i in range(50)],
+        "events": [(100 + i, "x" if i % 2 else None) for i in range(9)],
+        "other": [(i + 1, f"m{i}") for i in range(19)],
+    }
+    for t, rows in held.items():
+        spark.createDataFrame(rows, "key long, name string").write.parquet(f"{tmp_path}/{t}.parquet")
+    cols = {f"{t}.{c}": [str(r[i]) for r in rows if r[i] is not None] for t, rows in held.items() for i, c in enumerate(("key", "name"))}
+    sets = {c: set(v) for c, v in cols.items() if len(set(v)) >= 2}
+    want = {(a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a != b and len(sets[a] & sets[b]) >= 0.9 * len(sets[a])}
+    assert ("lineitem.key", "part.key", 7) in want
+    assert {(r.a, r.b, r.shared) for r in knowledge.c_containment_all(spark, str(tmp_path)).collect()} == want
+    got = {f"{r.sheet}.{r.col}": (r.n_rows, r.n_filled, r.n_distinct) for r in knowledge.c_measures_all(spark, str(tmp_path)).collect()}
+    assert got == {c: (len(held[c.split(".")[0]]), len(v), len(set(v))) for c, v in cols.items()}
+    found = {(r.a, r.b) for r in knowledge.c_containment_all(spark, "/root/testdata/sf0.001").collect()}
+    assert {("lineitem.l_partkey", "part.p_partkey"), ("supplier.s_nationkey", "nation.n_nationkey")} <= found
+
+
 def test_facts(spark):
     schema = "subject_id long, predicate string, object string, datatype string, valid_from int, valid_until int, recorded_at int, invalidated_at int"
     held = spark.createDataFrame([(1, "likes", "a", None, None, None, 1, None), (1, "likes", "b", None, None, None, 1, 2)], schema)
