@@ -48,11 +48,13 @@ def degrees(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return vertices.select("id").distinct().join(n, "id", "left").select("id", z("n_in").alias("n_in"), z("n_out").alias("n_out"), (z("n_in") + z("n_out")).alias("n_all"))
 
 
-def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = 30, reset: DataFrame | None = None, tolerance: float = 1e-10) -> DataFrame:
+def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int | None = 30, reset: DataFrame | None = None, tolerance: float = 1e-10) -> DataFrame:
     """(id, score): weighted PageRank summing to 1; the mass of vertices without out-edges goes where the reset goes.
 
     reset: (id, weight), weights above 0; null: uniform. Stops after `rounds`, or when no score
-    moves by more than `tolerance`.
+    moves by more than `tolerance`. Rounds null: converged, as the sum over walks of every length
+    from the reset, which needs no rounds for the lost mass; what longer walks could add is then
+    below `tolerance`, and each round leaves at most `damping` of it.
     """
     work = Workspace(vertices.sparkSession, "pagerank")
     v = vertices.select("id").distinct()
@@ -70,6 +72,8 @@ def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = DAMPING, ro
     summed = edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight")).where("weight > 0")
     out = summed.groupBy("src").agg(F.sum("weight").alias("all"))
     steps = work.keep(summed.join(out, "src").join(v.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", (F.col("weight") / F.col("all")).alias("p")))
+    if rounds is None:
+        return _walk_sum(work, base, steps, damping, tolerance)
     sinks = work.keep(v.join(out.withColumnRenamed("src", "id"), "id", "left_anti"))
     rank = work.keep(base.select("id", F.col("r").alias("score")))
     for _ in range(rounds):
@@ -85,6 +89,18 @@ def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = DAMPING, ro
     return rank
 
 
+def _walk_sum(work: Workspace, base: DataFrame, steps: DataFrame, damping: float, tolerance: float) -> DataFrame:
+    state = work.keep(base.select("id", F.col("r").alias("term"), F.col("r").alias("sum")))
+    while True:
+        moved = steps.join(state.where("term > 0"), steps.src == state.id).groupBy("dst").agg((damping * F.sum(F.col("term") * F.col("p"))).alias("m"))
+        new = work.keep(state.join(moved, state.id == moved.dst, "left").select("id", F.coalesce("m", F.lit(0.0)).alias("term"), (F.col("sum") + F.coalesce("m", F.lit(0.0))).alias("sum")))
+        work.drop(state)
+        state = new
+        left, whole = state.agg(F.sum("term"), F.sum("sum")).first()
+        if left is None or left * damping / (1 - damping) < tolerance:
+            return state.select("id", (F.col("sum") / F.lit(whole)).alias("score"))
+
+
 def neighbours(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "both", blocked: DataFrame | None = None) -> DataFrame:
     """(id, hops, via): what is reached from the seeds (id) within `depth` steps, with the smallest predecessor.
 
@@ -107,8 +123,8 @@ def neighbours(edges: DataFrame, seeds: DataFrame, depth: int, direction: str =
     return reached
 
 
-def seeded_rank(vertices: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int = 2, damping: float = DAMPING, rounds: int = 30) -> DataFrame:
-    """(id, score, hops, n_all): PageRank on the seeds' neighbourhood, resetting to the seeds (id, weight)."""
+def seeded_rank(vertices: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int = 2, damping: float = DAMPING, rounds: int | None = None) -> DataFrame:
+    """(id, score, hops, n_all): PageRank on the seeds' neighbourhood, resetting to the seeds (id, weight); converged unless `rounds` are given."""
     near = neighbours(edges, seeds, hops)
     part = vertices.select("id").join(near.select("id"), "id", "left_semi")
     inner = edges.join(near.select(F.col("id").alias("src")), "src", "left_semi").join(near.select(F.col("id").alias("dst")), "dst", "left_semi")

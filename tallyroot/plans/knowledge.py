@@ -127,8 +127,8 @@ def g_pagerank(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def g_seeded(spark: SparkSession, folder: str) -> DataFrame:
-    seeds = table(spark, folder, "supplier").orderBy(F.desc("s_acctbal"), "s_suppkey").limit(1).select((F.col("s_suppkey") * 2).alias("id"), F.lit(1.0).alias("weight"))
-    return graph.seeded_rank(_vertices(spark, folder), graph.link_graph(_links(spark, folder)), seeds, hops=1, rounds=20)
+    seeds = table(spark, folder, "supplier").where("s_acctbal > 0").orderBy(F.desc("s_acctbal"), "s_suppkey").limit(5).select((F.col("s_suppkey") * 2).alias("id"), F.col("s_acctbal").cast("double").alias("weight"))
+    return graph.seeded_rank(_vertices(spark, folder), graph.link_graph(_links(spark, folder)), seeds)
 
 
 def g_neighbours(spark: SparkSession, folder: str) -> DataFrame:
