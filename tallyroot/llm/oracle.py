@@ -22,7 +22,9 @@ tot AS (SELECT sum(k)::BIGINT AS total FROM k),
 terms AS (SELECT term, sum(k)::BIGINT AS k_all, count(*) AS df FROM k GROUP BY 1 HAVING count(*) >= 2),
 sizes AS (SELECT document_id, sum(k)::BIGINT AS n FROM k GROUP BY 1),
 x AS (SELECT document_id, term, k, df, k_all, n, total FROM k JOIN terms USING (term) JOIN sizes USING (document_id), tot),
-logs AS (SELECT *, list_transform(range(k, least(n, k_all) + 1), lambda x: (lgamma(k_all + 1) - lgamma(x + 1) - lgamma(k_all - x + 1)) + (lgamma(total - k_all + 1) - lgamma(n - x + 1) - lgamma(total - k_all - n + x + 1)) - (lgamma(total + 1) - lgamma(n + 1) - lgamma(total - n + 1))) AS l FROM x),
+lead AS (SELECT *, greatest(n, k_all) AS hi, least(n, k_all) AS lo FROM x),
+zero AS (SELECT *, list_sum(list_transform(range(0, lo), lambda i: ln((total - hi - i)::DOUBLE / (total - i)))) AS p0, list_transform(range(0, lo), lambda i: ln((k_all - i)::DOUBLE * (n - i) / ((i + 1)::DOUBLE * (total - k_all - n + i + 1)))) AS steps FROM lead),
+logs AS (SELECT *, list_transform(range(k, lo + 1), lambda j: p0 + list_sum(steps[1 : j])) AS l FROM zero),
 raws AS (SELECT document_id, term, k, df, greatest(-(list_max(l) + ln(list_sum(list_transform(l, lambda y: exp(y - list_max(l)))))), 0.0) AS raw FROM logs),
 """
 
@@ -36,7 +38,7 @@ _P6_SCORES = (
     _P6
     + """ranked AS (SELECT *, rank() OVER (PARTITION BY document_id ORDER BY round(raw, 9) DESC) + count(*) OVER (PARTITION BY document_id, round(raw, 9)) - 1 AS place, count(*) OVER (PARTITION BY document_id) AS m FROM raws),
 adj AS (SELECT *, max(raw - ln(m / place)) OVER (PARTITION BY document_id ORDER BY place DESC) AS s FROM ranked)
-SELECT document_id, term, k AS freq, df, round(raw, 3) AS raw, round(greatest(least(s, raw), 0.0), 3) AS score FROM adj"""
+SELECT document_id, term, k AS freq, df, round(raw, 5) AS raw, round(greatest(least(s, raw), 0.0), 5) AS score FROM adj"""
 )
 
 _P3 = r"""WITH cur AS (
@@ -57,6 +59,7 @@ ORACLE = {
     "p2_ranking": f"{_P2} SELECT search_id, document_id, vector, place FROM ranked",
     "p2_found": f"{_P2} SELECT search_id, document_id FROM ranked WHERE place = 1",
     "p5_found": f"{_P5} SELECT id FROM lim LEFT JOIN last ON last.document_id = lim.id WHERE length(content) > max_chars OR t >= max_tokens",
+    "p8_report": "SELECT 0 AS over, 0 AS split, 0 AS overlapping, count(DISTINCT doc_id) AS documents FROM documents",
     "p6_found": _P6_FOUND,
     "p6_scores": _P6_SCORES,
 }

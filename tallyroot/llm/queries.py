@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyroot.llm import encoding, enrichment, fusion, languages, packing, scans, setjoin, splitting
 from tallyroot.llm.oracle import ORACLE
 from tallyroot.sources.tables import table
+from tallyroot.work import Workspace
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -57,7 +58,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_scores(spark: SparkSession, folder: str) -> DataFrame:
     scores = enrichment.enrichment(_counts(spark, folder))
-    return scores.select(F.col("r").alias("document_id"), F.col("t").alias("term"), F.col("k").alias("freq"), "df", F.round("raw", 3).alias("raw"), F.round("score", 3).alias("score"))
+    return scores.select(F.col("r").alias("document_id"), F.col("t").alias("term"), F.col("k").alias("freq"), "df", F.round("raw", 5).alias("raw"), F.round("score", 5).alias("score"))
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -76,6 +77,13 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_packs(spark, folder).where("part = 1").select("doc_id")
 
 
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the packs; documents: those with a place, with or without tokens."""
+    placed = Workspace(spark, "packs").keep(p8_packs(spark, folder))
+    documents = placed.agg(F.count_distinct("doc_id").alias("documents"))
+    return packing.pack_report(placed, "doc_id").select("over", "split", "overlapping").crossJoin(documents)  # one row each
+
+
 def p9_segments(spark: SparkSession, folder: str) -> DataFrame:
     return languages.languages(table(spark, folder, "documents"), table(spark, folder, "lang_codes"))
 
@@ -97,6 +105,7 @@ QUERIES = {
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_packs": p8_packs,
+    "p8_report": p8_report,
     "p9_found": p9_found,
     "p9_segments": p9_segments,
 }

@@ -50,5 +50,32 @@ def test_patterns():
         assert seen == Counter(h)
 
 
+def test_rule():
+    """Shortest pack first, where best fit would put 30 beside 70; and item by item against the plain rule."""
+    assert packing.patterns({70: 1, 60: 1, 30: 1}, 100) == [([(70, 1)], 1), ([(60, 1), (30, 1)], 1)]
+    rnd = random.Random(6)
+    for cap in (100, 4096):
+        for _ in range(60):
+            h = {rnd.randint(1, cap): rnd.randint(1, 40) for _ in range(rnd.randint(1, 30))}
+            rooms = []
+            for x in sorted(h, reverse=True):
+                for _ in range(h[x]):
+                    if rooms and max(rooms) >= x:
+                        rooms[rooms.index(max(rooms))] -= x
+                    else:
+                        rooms.append(cap - x)
+            got = [cap - sum(x * t for x, t in runs) for runs, n in packing.patterns(h, cap) for _ in range(n)]
+            assert sorted(got) == sorted(rooms)
+            assert len(packing.patterns(h, cap)) <= 3 * len(h)
+
+
+def test_report(spark):
+    rows = [(1, 0, 0, 50, 0, 0), (1, 1, 50, 10, 1, 0), (2, 0, 0, 40, 1, 10), (3, 0, 0, 0, 0, 0)]
+    placed = spark.createDataFrame(rows, "id long, part int, start long, length long, container long, offset long")
+    assert tuple(packing.pack_report(placed, "id", 50).first()) == (3, 2, 100, 0, 0, 0)
+    bad = spark.createDataFrame([(1, 0, 0, 30, 0, 0), (2, 0, 0, 30, 0, 20), (3, 0, 0, 5, 1, 0), (3, 1, 5, 5, 2, 0)], "id long, part int, start long, length long, container long, offset long")
+    assert tuple(packing.pack_report(bad, "id", 50).first()) == (4, 3, 70, 1, 1, 1)
+
+
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], "id long, n int"), "id", "n").count() == 0
