@@ -1,14 +1,18 @@
 """Missing or wrong language labels: Bayesian fusion of text, declared label, address suffix and host.
 
-The text's evidence is a naive Bayes likelihood over character n-grams, fitted on a bounded
-sample of labelled rows. Sentences are chained with a penalty for changing language, which
-gives the segments. What a document declares, the suffix of its address and the languages of
-its host enter as further evidence; a host's prior is smoothed by that of the whole corpus, which
-is smoothed by the uniform one, both from grouped counts over all documents.
+Each sentence has a likelihood under every language: a naive Bayes over character n-grams of
+its words, fitted on a bounded sample of labelled rows, its temperature on sentences held out
+of it. A document is a chain of sentences that seldom changes its language. The chain begins
+in a language by the prior of the document's host, by the label it declares and by the suffix
+of its address, and goes on in another by the host's prior; the most likely chain gives the
+segments. A host's prior is smoothed by that of the whole corpus, which is smoothed by the
+uniform one; how far labels and suffixes can be trusted is counted too. All of these counts are
+grouped aggregations over all documents.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from collections import Counter
@@ -37,23 +41,26 @@ NAMES = {
 # Address suffixes that speak for a language.
 SUFFIXES = {"uk": "en", "us": "en", "au": "en", "ie": "en", "de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "pt": "pt", "br": "pt", "it": "it", "nl": "nl", "se": "sv", "pl": "pl", "ru": "ru"}
 
-#: Labelled documents that the likelihoods are fitted on, at most.
-SAMPLE_DOCS = 6_000
+#: Labelled documents that the likelihoods are fitted on, at most, and characters of each, at a place given by its hash.
+SAMPLE_DOCS, SAMPLE_CHARS = 6_000, 16_000
 BUCKETS = 1 << 17
 WORD_BITS = 1 << 20
 MEMORY = 400_000
-#: Cost, in tempered log likelihood, of a change of language from one sentence to the next.
-SWITCH = 6.0
-#: n-grams of one word are not independent; their log likelihoods count by this factor.
-TEMPER = 0.4
-#: Log evidence of a declared label and of an address suffix that name a language.
-LABEL_WEIGHT, SUFFIX_WEIGHT = 1.5, 1.0
-#: A word is known if one language uses it at least so many times as often as the mean of all.
+#: Cost of a change of language from one sentence to the next, besides the new language's prior.
+SWITCH = 4.0
+#: n-grams of one word are not independent: their log likelihoods count by a factor that is
+#: fitted, on beginnings of so many words, of held-out sentences.
+TEMPERS, SHORT = (0.05, 0.1, 0.2, 0.3, 0.4, 0.6), 3
+#: A word's evidence is its mean per letter, times its letters up to so many.
+WORD_LETTERS = 16
+#: A word is known if one language uses it at least so many times as often as the mean of all (0.8 times their number, if that is less).
 SPECIFIC = 2.5
-HOST_STRENGTH, CORPUS_STRENGTH = 20.0, 10.0
+#: Documents that a host's, the corpus's and a label's counts are smoothed by.
+HOST_STRENGTH, CORPUS_STRENGTH, LABEL_STRENGTH = 20.0, 10.0, 20.0
+#: Before counting: labels and address suffixes that name a document's own language.
+LABEL_RIGHT, SUFFIX_RIGHT = 0.8, 0.5
 HOST_SALTS = 16
-
-LONGEST_WORD = 64
+MOST_LANGUAGES = 200
 
 SENTENCE = regex.compile(r"""(?<=[\p{L}\p{N})\]"'”’»][.!?…]["'”’»)]*)\s+|[\r\n  \x0b\x0c\x85]+""")
 #: Code between fences is no sentence.
@@ -81,14 +88,22 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out if text[a:b].strip()]
 
 
+_ascii_words = re.compile(r"[a-z]+(?:'[a-z]+)*")
+_digit = re.compile(r"\d")
+
+
 def words(sentence: str) -> list[str]:
-    return WORD.findall(unicodedata.normalize("NFC", CODE.sub(" ", sentence)).lower())
+    if not sentence.isascii() and not unicodedata.is_normalized("NFC", sentence):
+        sentence = unicodedata.normalize("NFC", sentence)
+    # Marks that code, tags, references and addresses cannot be without.
+    if "<" in sentence or "[" in sentence or "@" in sentence or "://" in sentence or _digit.search(sentence):
+        sentence = CODE.sub(" ", sentence)
+    low = sentence.lower()
+    return (_ascii_words if low.isascii() else WORD).findall(low)
 
 
 def _grams(word: str) -> list[int]:
-    """Buckets of the word's n-grams; none for unbroken runs of letters that are no word of any language."""
-    if len(word) > LONGEST_WORD:
-        return []
+    """Buckets of the word's n-grams."""
     w = f"_{word}_"
     out = [zlib.crc32(w[i : i + n].encode()) % BUCKETS for n in (1, 2, 3, 4) for i in range(len(w) - n + 1)]
     return out + [zlib.crc32(f"#{w}".encode()) % BUCKETS]
@@ -101,15 +116,17 @@ class Model:
         self.langs = langs
         self.table = np.zeros((BUCKETS, len(langs)), dtype="float32")
         self.seen = np.zeros(WORD_BITS, dtype=bool)
+        self.temper = 0.4
         self._forget()
 
     def _forget(self) -> None:
         self.at: dict[str, int] = {}
+        self.letters = 0
         self.vectors = np.zeros((1024, len(self.langs)), dtype="float32")
         self.known = np.zeros(1024, dtype=bool)
 
     def __getstate__(self):
-        return {"langs": self.langs, "table": self.table, "seen": self.seen}
+        return {"langs": self.langs, "table": self.table, "seen": self.seen, "temper": self.temper}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -129,19 +146,23 @@ class Model:
         for word, n in total.items():
             # Words that are as usual in all languages are names, units or code, and speak for none.
             rate = n / sizes
-            if n.sum() > 2 and rate.max() >= SPECIFIC * rate.mean():
+            if n.sum() > 2 and rate.max() >= min(SPECIFIC, 0.8 * len(self.langs)) * rate.mean():
                 self.seen[zlib.crc32(word.encode()) % WORD_BITS] = True
         self._forget()
 
+    def _evidence(self, word: str) -> np.ndarray:
+        v = self.table[_grams(word)].sum(axis=0)
+        return (v - v.max()) * (self.temper * min(1.0, WORD_LETTERS / len(word)))
+
     def _row(self, word: str) -> int:
         row = self.at.get(word)
         if row is None:
             row = self.at[word] = len(self.at)
+            self.letters += len(word)
             if row == len(self.vectors):
                 self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)])
                 self.known = np.concatenate([self.known, np.zeros_like(self.known)])
-            v = self.table[_grams(word)].sum(axis=0)
-            self.vectors[row] = (v - v.max()) * TEMPER
+            self.vectors[row] = self._evidence(word)
             self.known[row] = len(word) > 1 and self.seen[zlib.crc32(word.encode()) % WORD_BITS]
         return row
 
@@ -151,7 +172,7 @@ class Model:
         A sentence is in a language if at least three of its words, and two in five, are known
         words of more than one letter.
         """
-        if len(self.at) > MEMORY:
+        if len(self.at) > MEMORY or self.letters > 32 * MEMORY:
             self._forget()
         sizes = np.array([len(p) for p in parts], dtype="int64")
         out = np.zeros((len(parts), len(self.langs)), dtype="float32")
@@ -171,31 +192,60 @@ def fit(sample: list[tuple[str, str]], langs: list[str]) -> Model:
     rows = [(at[label], words(text[a:b])) for label, text in sample if label in at and text for a, b in sentences(text)]
     model = Model(langs)
     keep = np.ones(len(rows), dtype=bool)
-    for _ in range(2):
+    held = np.arange(len(rows)) % 5 == 0
+    for turn in range(3):
+        # The temperature comes from a model that has not seen the held-out sentences.
         counted: dict[int, Counter] = {i: Counter() for i in at.values()}
-        for (lang, ws), good in zip(rows, keep):
-            if good:
+        for i, (lang, ws) in enumerate(rows):
+            if keep[i] and not (turn == 1 and held[i]):
                 counted[lang].update(ws)
+        temper = model.temper
         model = Model(langs)
+        model.temper = temper
         model.fit(counted)
-        if rows:
+        if rows and turn == 0:
             scores, real = model.score([ws for _, ws in rows])
             keep = real & (scores.argmax(axis=1) == np.array([lang for lang, _ in rows]))
+        if rows and turn == 1 and held.any():
+            model.temper = best_temper(model, [row for row, out in zip(rows, held) if out])
     return model
 
 
-def chain(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
-    """The most likely language of each sentence when changes cost `switch` (Viterbi)."""
-    best = scores.argmax(axis=1)
-    if (best == best[0]).all():
-        return best
+def best_temper(model: Model, rows: list[tuple[int, list[str]]]) -> float:
+    """The factor under which the labels of the rows' beginnings are the most likely, if some labels are wrong."""
+    short = [(lang, ws[:SHORT]) for lang, ws in rows if ws]
+    if not short:
+        return model.temper
+    scores = model.score([ws for _, ws in short])[0].astype("float64") / model.temper
+    right = np.array([lang for lang, _ in short])
+    best = []
+    for t in TEMPERS:
+        p = np.exp(scores * t)
+        p = (p / p.sum(axis=1, keepdims=True))[np.arange(len(right)), right]
+        best.append((max(float(np.log((1 - e) * p + e / len(model.langs)).sum()) for e in (0.02, 0.05, 0.1, 0.2)), t))
+    model._forget()
+    return max(best)[1]
+
+
+def chain(scores: np.ndarray, first: np.ndarray | None = None, enter: np.ndarray | None = None, switch: float = SWITCH) -> np.ndarray:
+    """The most likely language of each sentence (Viterbi).
+
+    first: log evidence for the language of the first sentence; enter: the same for a language
+    that a later one changes to, at the cost of `switch`.
+    """
     n, k = scores.shape
-    total, back = scores[0].astype("float64"), np.zeros((n, k), dtype="int64")
+    total = scores[0] + (0 if first is None else first)
+    enter = np.zeros(k) if enter is None else enter
+    best = scores.argmax(axis=1)
+    if (best == total.argmax()).all():
+        return best  # every sentence, and what is known besides, agrees
+    back = np.zeros((n, k), dtype="int64")
     for i in range(1, n):
         top = int(total.argmax())
-        stay = total >= total[top] - switch
+        come = total[top] - switch + enter
+        stay = total >= come
         back[i] = np.where(stay, np.arange(k), top)
-        total = np.where(stay, total, total[top] - switch) + scores[i]
+        total = np.where(stay, total, come) + scores[i]
     out = np.zeros(n, dtype="int64")
     out[-1] = int(total.argmax())
     for i in range(n - 1, 0, -1):
@@ -203,85 +253,133 @@ def chain(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     return out
 
 
-SEGMENTS = "doc_id long, host string, label string, stated boolean, suffix string, seg int, start int, stop int, ll array<float>"
+SCORED = "doc_id long, host string, label string, stated boolean, suffix string, main int, starts array<int>, stops array<int>, full array<boolean>, ll array<float>"
+SEGMENTS = "doc_id long, label string, stated boolean, seg int, start int, stop int, sentences int, lang string, confidence double"
+
 
+def _score(shared):
+    """Each document's sentences with words and their likelihoods; main: its language by its text alone, -1 without a full sentence."""
 
-def _segments(shared):
     def run(batches):
         model: Model = shared.value
         for frame in batches:
             docs = [t if isinstance(t, str) else "" for t in frame["text"]]
             spans = [sentences(t) for t in docs]
-            scores, real = model.score([words(t[a:b]) for t, s in zip(docs, spans) for a, b in s])
-            rows, at = [], 0
-            for key, host, label, stated, suffix, span in zip(frame["doc_id"], frame["host"], frame["label"], frame["stated"], frame["suffix"], spans):
-                own, ok = scores[at : at + len(span)], np.flatnonzero(real[at : at + len(span)])
-                at += len(span)
-                if not len(ok):
-                    continue
-                path = chain(own[ok])
-                cuts = np.flatnonzero(np.diff(path)) + 1
-                for i, group in enumerate(np.split(np.arange(len(ok)), cuts)):
-                    rows.append((key, host, label, stated, suffix, i, span[ok[group[0]]][0], span[ok[group[-1]]][1], own[ok[group]].sum(axis=0)))
-            yield pd.DataFrame(rows, columns=["doc_id", "host", "label", "stated", "suffix", "seg", "start", "stop", "ll"])
+            parts = [words(t[a:b]) for t, s in zip(docs, spans) for a, b in s]
+            scores, real = model.score(parts)
+            some = np.array([bool(p) for p in parts], dtype=bool)
+            out, at = {c: [] for c in ("main", "starts", "stops", "full", "ll")}, 0
+            for span in spans:
+                to = at + len(span)
+                ok = np.flatnonzero(some[at:to])
+                own, full = scores[at:to][ok], real[at:to][ok]
+                out["main"].append(int(own[full].sum(axis=0).argmax()) if full.any() else -1)
+                out["starts"].append([span[i][0] for i in ok])
+                out["stops"].append([span[i][1] for i in ok])
+                out["full"].append(full.tolist())
+                out["ll"].append(own.ravel())
+                at = to
+            yield pd.concat([frame.drop(columns="text"), pd.DataFrame(out)], axis=1)
+
+    return run
+
+
+def _fuse(langs: list[str], labels: dict, suffixes: dict):
+    k = len(langs)
+
+    def run(batches):
+        for frame in batches:
+            rows = []
+            for key, label, stated, suffix, prior, starts, stops, full, ll in zip(frame["doc_id"], frame["label"], frame["stated"], frame["suffix"], frame["prior"], frame["starts"], frame["stops"], frame["full"], frame["ll"]):
+                enter = np.asarray(prior, dtype="float64")
+                first = enter + labels[(label or "", bool(stated))] + suffixes[suffix or ""]
+                scores, full = np.asarray(ll, dtype="float64").reshape(-1, k), np.asarray(full, dtype=bool)
+                path = chain(scores, first, enter) if len(scores) else np.array([first.argmax()])
+                for i, group in enumerate(np.split(np.arange(len(path)), np.flatnonzero(np.diff(path)) + 1)):
+                    post = (scores[group].sum(axis=0) if len(scores) else 0) + (enter if i else first)
+                    sure = 1 / np.exp(post - post[path[group[0]]]).sum()
+                    place = (int(starts[group[0]]), int(stops[group[-1]]), int(full[group].sum())) if len(scores) else (0, 0, 0)
+                    rows.append((key, label, stated, i, *place, langs[path[group[0]]], round(float(sure), 6)))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SEGMENTS.split(", ")])
 
     return run
 
 
+def _trust(counts: dict, said: list, named, langs: list[str], right: float) -> dict:
+    """For each value that is said, the log probability of it under each language, from counts by (value, language)."""
+    k, out = len(langs), {}
+    per = [sum(counts.get((v, i), 0) for v in said) for i in range(k)]
+    total = max(sum(counts.values()), 1)
+    for v in said:
+        share = sum(counts.get((v, i), 0) for i in range(k)) / total
+        rest = share if named(v) is None else (1 - right) / k
+        before = [right if named(v) == langs[i] else rest for i in range(k)]
+        out[v] = np.log([(counts.get((v, i), 0) + LABEL_STRENGTH * max(before[i], 1e-3)) / (per[i] + LABEL_STRENGTH) for i in range(k)])
+    return out
+
+
 def languages(docs: DataFrame, codes: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", host: str = "source", address: str | None = None, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """(doc_id, label, stated, seg, start, stop, lang, confidence): the language of every segment.
+    """(doc_id, label, stated, seg, start, stop, sentences, lang, confidence): the language of every document and segment.
 
-    A segment is a run of sentences in one language, as characters start to stop of the text.
-    label: the declared label as a code, null if it names none of the languages; stated: whether a label
-    names any. confidence: posterior probability of the segment's language, from the text's
-    likelihood, the host's prior, the declared label and the address suffix. Null, blank and
-    other texts without a sentence in any of the languages have no segment and no row.
-    `codes`: the languages to tell apart, ten or so (more than 1,000 are refused).
+    A segment is a run of sentences in one language, as characters start to stop of the text;
+    sentences: how many of them are full ones, with three known words or more. label: the declared label
+    as a code, null if it names none of the languages; stated: whether it names any. confidence:
+    posterior probability of the segment's language, from the text's likelihood, the host's
+    prior and, in a document's first segment, the declared label and the address suffix. A
+    document without words (null, blank, code) is one segment without place and sentences, whose
+    language is that of its label, host and suffix. `codes`: the languages to tell apart, more
+    than MOST_LANGUAGES are refused.
 
     The likelihoods are fitted on at most `sample_docs` labelled rows, chosen by a hash of the
-    key; host and corpus counts are taken over all documents. Repeated rows are each a
-    document. Extra columns are not read. An empty table gives an empty result.
+    key, and SAMPLE_CHARS characters of each; counts of hosts, labels and suffixes are taken over
+    all documents. Repeated rows are each a document. Extra columns are not read. An empty table gives an empty
+    result.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "languages")
-    langs = sorted({r[0] for r in codes.select("code").where("code is not null").limit(1001).collect()})
-    if len(langs) > 1000:
+    langs = sorted({r[0] for r in codes.select("code").where("code is not null").limit(MOST_LANGUAGES + 1).collect()})
+    if len(langs) > MOST_LANGUAGES:
         raise ValueError("too many languages")
-    suffix = F.regexp_extract(F.col(address), r"^(?:\w+://)?[^/:?#]*\.([a-z]{2,})(?:[/:?#]|$)", 1) if address else F.lit(None).cast("string")
-    base = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(host).alias("host"), F.when(declared(F.col(label)).isin(langs), declared(F.col(label))).alias("label"), declared(F.col(label)).isNotNull().alias("stated"), suffix.alias("suffix"))
+    suffix = F.lit(None).cast("string")
+    if address:
+        ending = F.regexp_extract(F.lower(F.col(address)), r"^(?:\w+://)?[^/:?#]*\.([a-z]{2,})(?:[/:?#]|$)", 1)
+        suffix = F.create_map(*[F.lit(x) for pair in SUFFIXES.items() for x in pair])[ending]
+    base = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.when(declared(F.col(label)).isin(langs), declared(F.col(label))).alias("label"), declared(F.col(label)).isNotNull().alias("stated"), F.when(suffix.isin(langs), suffix).alias("suffix"))
     labelled = base.where("label is not null and text is not null and doc_id is not null")
     n = labelled.select("doc_id").count()
     part = min(1.0, 1.2 * sample_docs / max(n, 1))
     pick = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(part * 1_000_003) + 1
-    sample = [(r[0], r[1]) for r in labelled.where(pick).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).select("label", "text").collect()]
+    at = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.char_length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
+    chosen = labelled.where(pick).select("label", F.substring("text", at, F.lit(SAMPLE_CHARS)).alias("t"), F.xxhash64("doc_id").alias("h"), "doc_id")
+    sample = [(r.label, r.t) for r in chosen.orderBy("h", "doc_id").limit(sample_docs).select("label", "t").collect()]
     shared = spark.sparkContext.broadcast(fit(sample, langs))  # 2^17 floats a language, whatever the corpus
-    segs = work.keep(base.where("text is not null").mapInPandas(_segments(shared), SEGMENTS))
+    scored = work.keep(base.mapInPandas(_score(shared), SCORED))
 
-    at = lambda i: F.element_at("ll", i + 1)
-    best = F.array_position("ll", F.array_max("ll")) - 1
-    first = segs.select(F.coalesce("host", F.lit("")).alias("host"), best.cast("int").alias("l"))
-    counted = first.groupBy("host", "l").agg(F.count("*").alias("n"))
     k = len(langs)
-    overall = dict(counted.groupBy("l").agg(F.sum("n")).collect())  # one row a language
+    counted = work.keep(scored.where("main >= 0").groupBy("host", "label", "stated", "suffix", "main").agg(F.count("*").alias("n")))
+    overall = dict(counted.groupBy("main").agg(F.sum("n")).collect())  # one row a language
+    by_label = {((r[0] or "", r[1]), r[2]): r[3] for r in counted.groupBy("label", "stated", "main").agg(F.sum("n")).collect()}  # k * (k + 2) rows at most
+    by_suffix = {(r[0] or "", r[1]): r[2] for r in counted.groupBy("suffix", "main").agg(F.sum("n")).collect()}
+    labels = _trust(by_label, [("", False), ("", True), *[(x, True) for x in langs]], lambda v: v[0] or None, langs, LABEL_RIGHT)
+    suffixes = _trust(by_suffix, ["", *langs], lambda v: v or None, langs, SUFFIX_RIGHT)
     total = sum(overall.values())
     corpus = [(overall.get(i, 0) + CORPUS_STRENGTH / k) / (total + CORPUS_STRENGTH) for i in range(k)]
-    sums = [F.sum(F.when(F.col("l") == i, F.col("n")).otherwise(0)) for i in range(k)]
+    sums = [F.sum(F.when(F.col("main") == i, F.col("n")).otherwise(0)) for i in range(k)]
     prior = counted.groupBy("host").agg(F.sum("n").alias("n"), F.array(*sums).alias("c"))
-    prior = prior.select("host", F.transform("c", lambda c, i: F.log((c + F.lit(HOST_STRENGTH) * F.element_at(F.array(*map(F.lit, corpus)), i + 1)) / (F.col("n") + F.lit(HOST_STRENGTH)))).alias("prior"))
-    # A host may hold a large part of the rows: its segments are spread, its one prior row is repeated.
+    smooth = F.array(*map(F.lit, corpus))
+    prior = prior.select("host", F.transform("c", lambda c, i: F.log((c + F.lit(HOST_STRENGTH) * F.element_at(smooth, i + 1)) / (F.col("n") + F.lit(HOST_STRENGTH)))).alias("prior"))
+    # A host may hold a large part of the rows: its documents are spread, its one prior row is repeated.
     prior = prior.withColumn("salt", F.explode(F.array(*map(F.lit, range(HOST_SALTS)))))
-    names = F.array(*map(F.lit, langs))
-    bonus = lambda i: F.when(F.col("label") == F.element_at(names, i + 1), LABEL_WEIGHT).otherwise(0.0) + F.when(F.create_map(*[F.lit(x) for p in SUFFIXES.items() for x in p])[F.col("suffix")] == F.element_at(names, i + 1), SUFFIX_WEIGHT).otherwise(0.0)
-    joined = segs.withColumn("salt", F.pmod(F.xxhash64("doc_id", "seg"), F.lit(HOST_SALTS)).cast("int")).withColumn("host", F.coalesce("host", F.lit(""))).join(prior, ["host", "salt"])
-    post = F.transform("ll", lambda x, i: x.cast("double") + F.element_at("prior", i + 1) + bonus(i))
-    fused = joined.withColumn("post", post).withColumn("top", F.array_max("post"))
-    weight = F.aggregate("post", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top")))
-    lang = F.element_at(names, F.array_position("post", F.col("top")).cast("int"))
-    return fused.select("doc_id", "label", "stated", "seg", "start", "stop", lang.alias("lang"), F.round(1 / weight, 6).alias("confidence"))
+    joined = scored.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.size("ll")), F.lit(HOST_SALTS)).cast("int")).join(prior, ["host", "salt"], "left")
+    known = joined.select("doc_id", "label", "stated", "suffix", F.coalesce("prior", F.array(*[F.lit(float(np.log(p))) for p in corpus])).alias("prior"), "starts", "stops", "full", "ll")
+    return known.mapInPandas(_fuse(langs, labels, suffixes), SEGMENTS)
 
 
 def mislabelled(segments: DataFrame) -> DataFrame:
-    """(doc_id, lang): the languages of documents whose label is missing or wrong, or whose text is mixed."""
-    docs = segments.groupBy("doc_id").agg(F.array_sort(F.collect_set("lang")).alias("langs"), F.max("label").alias("label"))
+    """(doc_id, lang): the languages of documents whose label is missing or wrong, or whose text is mixed.
+
+    A language is one of the text's if a segment in it has a full sentence.
+    """
+    docs = segments.where("sentences > 0").groupBy("doc_id").agg(F.array_sort(F.collect_set("lang")).alias("langs"), F.max("label").alias("label"))
     case = (F.size("langs") > 1) | F.col("label").isNull() | ~F.array_contains("langs", F.col("label"))
     return docs.where(F.coalesce(case, F.lit(True))).select("doc_id", F.explode("langs").alias("lang"))

@@ -55,7 +55,10 @@ def test_found(spark, corpus):
         got.setdefault(r.doc_id, set()).add(r.lang)
     assert got.pop(None) == {"en"}
     assert got == truth
-    assert segments.where("confidence < 0.5 or confidence > 1 or start >= stop").count() == 0
+    # Documents without words get the language of their label and host, without a sentence.
+    bare = {r.doc_id: r for r in segments.where("sentences = 0").collect()}
+    assert set(bare) >= {900, 901, 902} and bare[901].lang == "en" and all(0 < r.confidence < 1 for r in bare.values())
+    assert segments.where("sentences > 0 and (confidence < 0.5 or confidence > 1 or start >= stop)").count() == 0
 
 
 def test_labels(spark):
@@ -64,9 +67,52 @@ def test_labels(spark):
     assert {r.v: r.x for r in df.collect()} == cases
 
 
+def test_evidence(spark):
+    """Texts that say nothing are decided by label, address suffix and host; and the confidence is the share of right ones."""
+    rnd = random.Random(3)
+    shared, rows, truth = ["radio hotel", "taxi hotel", "hotel taxi radio", "radio taxi"], [], {}
+    for i in range(3000):
+        host = rnd.choice(["hot", "hot", "half", "spanish"])
+        code = "es" if rnd.random() < {"hot": 0.25, "half": 0.5, "spanish": 0.9}[host] else "de"
+        words = [rnd.choice(shared) + " " + sentence(rnd, code)] * rnd.randrange(1, 3)
+        plain = i % 3 == 0
+        label = code if rnd.random() < 0.9 else "de" if code == "es" else "es"
+        url = f"https://www.x{i}.{'es' if code == 'es' else 'de'}/a" if rnd.random() < 0.5 else "https://x.com/b.es" if i % 2 else None
+        if plain:
+            label, url = (label, None) if i % 2 else (None, url if i % 4 else None)
+        rows.append((i, rnd.choice(shared) if plain else " ".join(words), label, host, url))
+        if plain:
+            truth[i] = code
+    codes = spark.createDataFrame([(c,) for c in PARTS], "code string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, url string")
+    got = {r.doc_id: r for r in lang.languages(docs, codes, address="url").collect() if r.doc_id in truth}
+    assert set(got) == set(truth) and all(r.sentences == 0 for r in got.values())
+    given = {r[0]: r for r in rows}
+    right = lambda keys: sum(got[i].lang == truth[i] for i in keys) / len(keys)
+    assert right([i for i in truth if given[i][2]]) > 0.85  # the label decides
+    assert right([i for i in truth if given[i][4] and not given[i][4].startswith("https://x.com")]) > 0.95  # the suffix
+    alone = [i for i in truth if given[i][2] is None and given[i][3] == "spanish" and (given[i][4] is None or given[i][4].startswith("https://x.com"))]
+    assert {got[i].lang for i in alone} == {"es"}  # the host
+    for low, high in ((0.45, 0.65), (0.65, 0.85), (0.85, 0.95), (0.95, 1.01)):
+        group = [i for i in truth if low <= got[i].confidence < high]
+        if len(group) >= 40:
+            mean = sum(got[i].confidence for i in group) / len(group)
+            assert abs(right(group) - mean) < 0.12, (low, len(group), mean, right(group))
+    assert len({round(got[i].confidence, 2) for i in truth}) > 5
+
+
+def test_long_words():
+    model = lang.fit([("en", sentence(random.Random(i), "en")) for i in range(200)] + [("ru", sentence(random.Random(i), "ru")) for i in range(200)], ["en", "ru"])
+    scores, real = model.score([["очередь" * 40], ["the" * 100]])
+    assert scores.argmax(axis=1).tolist() == [1, 0] and not real.any() and abs(scores).max() < 200
+    parts = [lang.words(t) for t in ("a <b>tag</b> [x] 12ab c@d.e https://f.g end", "cafe\u0301 noir")]
+    assert parts == [["a", "tag", "end"], ["café", "noir"]]
+
+
 def test_empty(spark):
     codes = spark.createDataFrame([("en",)], "code string")
     df = spark.createDataFrame([], SCHEMA)
     assert lang.mislabelled(lang.languages(df, codes)).count() == 0
     one = spark.createDataFrame([(1, "No label anywhere here.", None, None, 1)], SCHEMA)
-    assert lang.languages(one, codes).count() == 0
+    got = lang.languages(one, codes).collect()
+    assert [(r.lang, r.confidence, r.sentences) for r in got] == [("en", 1.0, 0)]
