@@ -1,14 +1,16 @@
 """Noise in text from scanned pages: running lines, page numbers, cut words, misread characters.
 
-Lines at page edges that repeat within a file, up to misread characters and numbers, are headers
-and footers; lines that hold only a number which counts on from page to page are page numbers.
+Lines at page edges that repeat within a file, up to numbers, misread characters and a few lost
+or added ones, are headers and footers; lines that hold only a number which counts on from page
+to page are page numbers.
 What is left is joined by a vocabulary counted over the whole corpus: a word cut at a line end
 is one whose halves together are a word there, and not a compound written with a hyphen; a
 misread word is a rare one that a frequent word looks like, letter for letter.
 
 Two words look alike if their skeletons are equal: the skeleton writes every character as the
-strokes it can be mistaken for. Comparing skeletons makes fuzzy repetition an equality, so
-nothing is compared pair by pair.
+strokes it can be mistaken for, so words are compared by equality. Lines at page edges are
+compared by edit distance between skeletons: those of a file that share a piece are measured
+against the commonest of them, never pair by pair.
 """
 
 from __future__ import annotations
@@ -30,7 +32,17 @@ STROKES = {
 _TABLE = str.maketrans(STROKES)
 #: Marks of a cut word at a line's end: hyphens, soft hyphen, not sign.
 MARKS = "-‐‑¬­"
+#: Lines with text that count as a page's edge, at the top and at the bottom.
 EDGE = 3
+#: Edge lines are alike within this edit distance, as a share of the longer skeleton, from so many characters on.
+APART, LEAST_FORM = 0.15, 8
+#: Edge lines are compared if they share one of their so many pieces of so many characters with the least hashes.
+PIECES, PIECE = 6, 4
+#: A running line is on this share of the pages from its first to its last, at least; one that ends like a sentence on this many.
+DENSE, DENSE_ENDED = 0.25, 0.6
+#: What one file repeats is running in others that have it once, if it is repeated in this share of all that have it.
+COMMON = 0.25
+SALTS = 16
 #: A word is misread if a look-alike is so many times as frequent.
 RATIO = 4
 #: Pages of a file are put in order within stretches of so many positions.
@@ -98,19 +110,16 @@ def number_beside(line: str) -> int | None:
 
 
 def running_form(line: str) -> str | None:
-    """What stays the same in a running line from page to page: its skeleton without page number and digits.
-
-    Numbered headings, and lines that end as sentences or their parts do, are none.
-    """
+    """What stays the same in a running line from page to page: its skeleton without page number and digits; numbered headings are none."""
     line = line.strip()
-    if _heading.match(line) or _ended.search(line):
+    if _heading.match(line):
         return None
     text = regex.sub(r"(?<!\p{L})\p{N}+(?!\p{L})", "#", _page.sub(" ", line, count=1))
     form = regex.sub(r"\s+", " ", skeleton(text)).strip()
     return form if sum(c.isalpha() for c in form) >= 4 else None
 
 
-EDGES = "file long, id long, position long, line_no int, form string, value long, shape string"
+EDGES = "file long, id long, position long, line_no int, form string, ended boolean, outer boolean, value long, shape string"
 LINES = "file long, id long, position long, seq int, line_no int, text string, gap boolean, last boolean"
 
 
@@ -120,13 +129,15 @@ def _edges(batches):
         for file, key, pos, content in zip(frame["file"], frame["id"], frame["position"], frame["content"]):
             lines = content.split("\n")
             full = [i for i, x in enumerate(lines) if x.strip()]
-            for i in dict.fromkeys(full[:EDGE] + full[-EDGE:]):
-                number = page_number(lines[i])
+            near = {i: page_number(lines[i]) for i in dict.fromkeys(full[:EDGE] + full[-EDGE:])}
+            # The outermost lines of the page that are more than a number.
+            words = [i for i in near if not near[i]]
+            for i, number in near.items():
                 form = running_form(lines[i])
                 if not number and form:
                     number = (number_beside(lines[i]), "beside")
-                rows.append((file, key, pos, i + 1, form, *(number or (None, None))))
-        out = pd.DataFrame(rows, columns=["file", "id", "position", "line_no", "form", "value", "shape"])
+                rows.append((file, key, pos, i + 1, form, bool(_ended.search(lines[i].strip())), bool(words) and i in (words[0], words[-1]), *(number or (None, None))))
+        out = pd.DataFrame(rows, columns=["file", "id", "position", "line_no", "form", "ended", "outer", "value", "shape"])
         yield out.astype({"value": "Int64"})
 
 
@@ -186,16 +197,41 @@ def scanned_pages(nodes: DataFrame, usetype: str = "scan:page") -> DataFrame:
     return cur.where(page & F.col("content").isNotNull()).select(F.col("parent_id").cast("long").alias("file"), F.col("id").cast("long").alias("id"), F.coalesce(F.col("position").cast("long"), F.lit(1 << 40)).alias("position"), "content")
 
 
+def alike_forms(edges: DataFrame, work: Workspace) -> DataFrame:
+    """(f0, form, root): forms of outermost lines of a file (f0) that are another, commoner one with a few characters misread, lost or added."""
+    forms = work.keep(edges.where("form is not null and outer").groupBy("f0", "form").agg(F.count_distinct("id").alias("n")))
+    long = forms.where(F.length("form") >= LEAST_FORM)
+    pieces = F.transform(F.sequence(F.lit(1), F.length("form") - PIECE + 1), lambda i: F.xxhash64(F.substring("form", i, F.lit(PIECE))))
+    keyed = long.select("f0", "form", "n", F.explode(F.slice(F.array_sort(F.array_distinct(pieces)), 1, PIECES)).alias("piece"))
+    # A piece's commonest form is what the others are measured against. It is one row for each of
+    # the salts, so that no file's members, however many, are one task's work.
+    centre = keyed.groupBy("f0", "piece").agg(F.count("*").alias("m"), F.max(F.struct("n", "form")).alias("c")).where("m > 1")
+    centre = centre.select("f0", "piece", F.col("c.n").alias("cn"), F.col("c.form").alias("cform"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    members = keyed.withColumn("salt", F.pmod(F.xxhash64("form"), F.lit(SALTS)).cast("int"))
+    pairs = members.join(centre, ["f0", "piece", "salt"]).where("form <> cform").select("f0", "form", "cn", "cform").distinct()
+    most = F.floor(F.greatest(F.length("form"), F.length("cform")) * F.lit(APART)).cast("int")
+    near = pairs.where((F.abs(F.length("form") - F.length("cform")) <= most) & (F.levenshtein("form", "cform") <= most))
+    return near.groupBy("f0", "form").agg(F.max_by("cform", F.struct("cn", "cform")).alias("root"))
+
+
 def edge_kinds(pages: DataFrame, work: Workspace) -> DataFrame:
     """(id, line_no, kind): running lines and page numbers."""
-    edges = work.keep(pages.mapInPandas(_edges, EDGES))
+    edges = work.keep(pages.mapInPandas(_edges, EDGES).withColumn("f0", F.coalesce(F.col("file"), F.lit(-1))))
     sizes = pages.groupBy("file").agg(F.count("*").alias("pages"))
-    # A file's form is running if at least two of its pages carry it, and then at the page edges of every other file.
-    forms = edges.where("form is not null").groupBy("file", "form").agg(F.count_distinct("id").alias("n"))
-    own = forms.where("n >= 2")
-    common = own.select("form", F.lit(1).alias("common")).distinct()
-    known = forms.join(own.select("file", "form", F.lit(1).alias("own")), ["file", "form"], "left").join(common, "form", "left").where("own = 1 or common = 1")
-    repeated = edges.join(known.select("file", "form"), [edges.file.eqNullSafe(known.file), edges.form == known.form], "left_semi").select("id", "line_no", F.lit("running").alias("kind"))
+    # A file's form is running if enough of the pages from its first to its last carry it: two or
+    # more if it stands there twice alike, three or more if each has characters of its own.
+    rooted = edges.where("form is not null").join(alike_forms(edges, work), ["f0", "form"], "left")
+    rooted = work.keep(rooted.select("f0", "id", "position", "line_no", "ended", "outer", F.coalesce("root", "form").alias("form"), (F.col("root").isNull()).alias("same")))
+    span = F.max("position") - F.min("position") + 1
+    groups = rooted.groupBy("f0", "form").agg(F.count_distinct("id").alias("n"), F.count_distinct(F.when(F.col("same"), F.col("id"))).alias("seed"), span.alias("span"), F.max("ended").alias("ended"))
+    plain = ((F.col("seed") >= 2) | (F.col("n") >= 3)) & (F.col("n") >= DENSE * F.col("span"))
+    own = F.when(F.col("ended"), (F.col("n") >= 3) & (F.col("n") >= DENSE_ENDED * F.col("span"))).otherwise(plain)
+    groups = work.keep(groups.withColumn("own", own))
+    # It is then running as the outermost line of other files' pages too, if enough of the files that have it repeat it.
+    common = groups.where("not ended").groupBy("form").agg(F.count_if("own").alias("k"), F.count("*").alias("all")).where(F.col("k") >= COMMON * F.col("all")).where("k > 0").select("form")
+    alone = rooted.where("outer and not ended").join(common, "form", "left_semi").select("id", "line_no")
+    known = groups.where("own").select("f0", "form")
+    repeated = rooted.join(known, ["f0", "form"], "left_semi").select("id", "line_no").unionByName(alone).withColumn("kind", F.lit("running"))
     # Numbers that count on with the pages, alone on their line or beside a running line.
     numbers = edges.where("value is not null").withColumn("step", F.col("value") - F.col("position"))
     alike = numbers.groupBy("file", "step", "shape").agg(F.count_distinct("id").alias("m"))
@@ -238,7 +274,9 @@ def vocabulary(nodes: DataFrame, items: DataFrame, usetype: str, work: Workspace
     Texts are only cut at blanks; words are taken out of the distinct chunks, after counting.
     Chunks at line ends may hold halves of cut words: they are known, but count nothing.
     """
-    clean = nodes.where((F.col("usetype") != usetype) | F.col("usetype").isNull()).where("content is not null")
+    other = F.when(F.col("usetype").eqNullSafe(F.lit(usetype)), None).otherwise(F.col("content"))
+    slim = nodes.select("id", "updated_at", "usetype", other.alias("content"))
+    clean = in_force(slim, "id", "updated_at", ["usetype", "content"]).where("content is not null")
     counted = clean.select(F.explode(chunks(F.col("content"))).alias("chunk")).groupBy("chunk").agg(F.count("*").alias("f"))
     inner = items.groupBy("chunk").agg(F.count_if(F.col("role") == 0).alias("f"))
     found = lambda d: d.select("*", F.explode(F.regexp_extract_all(F.lower("chunk"), F.lit(f"({WORD})"), F.lit(1))).alias("w")).where("length(w) > 1")
