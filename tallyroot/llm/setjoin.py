@@ -1,11 +1,15 @@
 """All similar pairs between set-valued records, by T-occurrence list merging.
 
 Two sets of similarity theta or more share at least T of their values, T following from their
-sizes. The inverted lists are partitioned: a set goes to the partitions of its rarest values,
-enough of them that two similar sets must meet in one. Inside a partition each record probes
-the lists of its values: the longest lists are set aside, the others are merged with a heap
-that skips over records which cannot reach T, and what passes is looked up in the long lists
-by binary search. A pair is reported only in the partition of the rarest value it shares.
+sizes. Large sets are first split by a hash of the values into small universes, as many as
+leave some dozens of values in each: sets that are similar as a whole are similar in at least one
+universe, so only there a pair has to be found, and what is sent grows with the sizes of the sets and
+not with their squares. In a universe the inverted lists are partitioned: a set goes to the partitions of
+its rarest values, enough of them that two similar sets must meet in one. Inside a partition
+each record probes the lists of its values: the longest lists are set aside, the others are
+merged with a heap that skips over records which cannot reach T, and what passes is looked up
+in the long lists by binary search. A pair is reported only in the partition of the rarest
+value it shares; pairs of sets that were split are counted again over the whole sets.
 
 Before that, records with equal sets become one class, values of one record only are counted
 but not carried, and a set that shares too few values with anything is dropped, so the
@@ -29,6 +33,10 @@ from tallyroot.work import Workspace
 THRESHOLD = 0.7
 #: Records of one partition and value above which they are joined in blocks.
 BLOCK = 20_000
+#: Values that a universe is to hold of a set.
+UNIVERSE = 48
+#: Members of a class that one task pairs with all others of it.
+MEMBERS = 2_000
 
 
 def normal_value(v: Column) -> Column:
@@ -112,34 +120,38 @@ def similar_in(records: list[tuple[int, int, list[int], list[int]]], theta: floa
 
 
 def _groups(batches):
-    """Runs of rows with one (part, side), one after the other; rows come sorted by them."""
+    """Runs of rows with one (part, side, u), one after the other; rows come sorted by them."""
     key, records = None, []
     for frame in batches:
-        for part, side, c, n, h, keys in zip(frame["part"], frame["side"], frame["c"], frame["n"], frame["h"], frame["keys"]):
-            if (part, side) != key:
+        for part, side, u, band, c, n, h, keys in zip(frame["part"], frame["side"], frame["u"], frame["band"], frame["c"], frame["n"], frame["h"], frame["keys"]):
+            if (part, side, u) != key:
                 if len(records) > 1:
-                    yield key[0], records
-                key, records = (part, side), []
-            records.append((c, n, h.tolist(), keys.tolist()))
+                    yield key, records
+                key, records = (part, side, u), []
+            records.append((c, n, h.tolist(), keys.tolist(), band))
     if len(records) > 1:
-        yield key[0], records
+        yield key, records
 
 
 def _probe(theta: float, parts: int):
+    columns = ["side", "u", "a", "b", "shared", "together"]
+
     def run(batches):
         rows = []
-        for part, records in _groups(batches):
-            for i, j, overlap in similar_in(records, theta):
+        for (part, side, u), records in _groups(batches):
+            for i, j, overlap in similar_in([r[:4] for r in records], theta):
                 a, b = records[i], records[j]
+                if a[4] == b[4] != side:
+                    continue  # two sets of one band belong to their own side
                 shared = set(b[3])
                 first = next((v for v in a[3] if v in shared), None)
                 # The pair belongs to the partition of the rarest value that both list among their keys.
                 if first is not None and first % parts == part:
-                    rows.append((min(a[0], b[0]), max(a[0], b[0]), overlap, a[1] + b[1] - overlap))
+                    rows.append((side, u, min(a[0], b[0]), max(a[0], b[0]), overlap, a[1] + b[1] - overlap))
             if len(rows) > 50_000:
-                yield pd.DataFrame(rows, columns=["a", "b", "shared", "together"])
+                yield pd.DataFrame(rows, columns=columns)
                 rows = []
-        yield pd.DataFrame(rows, columns=["a", "b", "shared", "together"])
+        yield pd.DataFrame(rows, columns=columns)
 
     return run
 
@@ -159,42 +171,53 @@ def similar_sets(sets: DataFrame, theta: float = THRESHOLD, least: int = 1, part
     members = work.keep(rows.select("k", "n", "x", "y").distinct().join(ids, ["x", "y"]).select("k", F.col("c").alias("class"), "n"))
     reps = rows.join(members.where("k = class").select("k").distinct(), "k", "left_semi").dropDuplicates(["k"]).select(F.col("k").alias("c"), "n", "h")
     reps = work.keep(reps)
-    # Values of one class only cannot be shared: they count in n and are not carried.
-    values = reps.select("c", "n", F.explode("h").alias("v"))
-    df = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    kept = values.join(df, "v").groupBy("c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("s"))
-    lowest = F.ceil(F.col("n") * F.lit(theta) - 1e-9).cast("int")
-    kept = work.keep(kept.where(F.size("s") >= lowest).select("c", "n", F.col("s.v").alias("h"), lowest.alias("low")))
-    keyed = kept.withColumn("keys", F.slice("h", 1, F.size("h") - F.col("low") + 1)).drop("low")
-    keyed = keyed.withColumn("part", F.explode(F.array_distinct(F.transform("keys", lambda v: F.pmod(v, F.lit(parts))))))
-    # A pair's sizes are within theta of each other: a band of sizes meets itself and the next.
+    # Values of one class only cannot be shared: they count in n and are not carried. A pair's
+    # sizes are within theta of each other: a band of sizes meets itself and the next. Each band
+    # is probed with the next one; a pair inside a band is found in its own side only.
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / theta) + 1e-9).cast("int")
-    keyed = keyed.withColumn("band", band)
-    return _pairs(keyed, theta, parts, work), members
-
-
-def _pairs(keyed: DataFrame, theta: float, parts: int, work: Workspace) -> DataFrame:
-    schema = "a long, b long, shared int, together int"
-    # Each band is probed with the next one; a pair inside a band is found in its own side only.
-    sided = keyed.withColumn("side", F.explode(F.array(F.col("band"), F.col("band") - 1)))
-    counts = sided.groupBy("part", "side").count().where(F.col("count") > BLOCK)
-    hot = work.keep(counts)
-    n_hot = hot.count()
+    values = reps.select("c", "n", band.alias("band"), F.explode("h").alias("v"))
+    df = values.groupBy("v").agg(F.count("*").alias("df"))
+    sides = values.join(df, "v").select("c", "n", "band", "v", "df", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("side"))
+    # The most values that a set of the side can have decide on its number of universes.
+    universes = F.ceil(F.pow(F.lit(1 / theta), F.col("side") + 2) / F.lit(UNIVERSE)).cast("int")
+    placed = sides.withColumn("u", F.pmod(F.xxhash64("v", F.lit(3)), F.greatest(universes, F.lit(1))).cast("int"))
+    kept = placed.groupBy("c", "side", "u").agg(F.count("*").cast("int").alias("m"), F.first("band").alias("band"), F.sort_array(F.collect_list(F.when(F.col("df") > 1, F.struct("df", "v")))).alias("s"))
+    lowest = F.ceil(F.col("m") * F.lit(theta) - 1e-9).cast("int")
+    keyed = kept.where(F.size("s") >= lowest).select("c", "side", "u", "band", F.col("m").alias("n"), F.col("s.v").alias("h"), lowest.alias("low"))
+    keyed = keyed.withColumn("keys", F.slice("h", 1, F.size("h") - F.col("low") + 1)).drop("low")
+    keyed = work.keep(keyed.withColumn("part", F.explode(F.array_distinct(F.transform("keys", lambda v: F.pmod(v, F.lit(parts)))))))
+    found = work.keep(_pairs(keyed, theta, parts, work))
+    sizes = reps.select("c", "n", "h")
+    split = found.where("u > 0 or universes > 1").select("a", "b").distinct()
+    a, b = sizes.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("h").alias("ha")), sizes.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("h").alias("hb"))
+    again = split.join(a, "a").join(b, "b").withColumn("shared", F.size(F.array_intersect("ha", "hb")))
+    again = again.withColumn("together", F.col("na") + F.col("nb") - F.col("shared")).where(F.col("shared") >= F.lit(theta) * F.col("together") - 1e-9)
+    whole = found.where("universes = 1").select("a", "b", "shared", "together").distinct()
+    return whole.unionByName(again.select("a", "b", "shared", "together")), members
+
+
+def _pairs(sided: DataFrame, theta: float, parts: int, work: Workspace) -> DataFrame:
+    """(side, u, universes, a, b, shared, together): similar pairs of each universe, each once or a few times."""
+    universes = F.greatest(F.ceil(F.pow(F.lit(1 / theta), F.col("side") + 2) / F.lit(UNIVERSE)).cast("int"), F.lit(1))
+    schema = "side int, u int, a long, b long, shared int, together int"
+    group = ["part", "side", "u"]
+    hot = work.keep(sided.groupBy(*group).count().where(F.col("count") > BLOCK))
     usual = sided
     blocks = None
-    if n_hot:
+    if not hot.isEmpty():
         # Large groups are joined block by block: every pair of blocks is a group of its own.
         b = F.greatest(F.ceil(F.col("count") / F.lit(BLOCK // 2)), F.lit(2)).cast("int")
-        sized = sided.join(hot.withColumn("blocks", b).drop("count"), ["part", "side"])
+        sized = sided.join(hot.withColumn("blocks", b).drop("count"), group)
         own = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
         both = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, own).alias("i"), F.greatest(i, own).alias("j")))
-        blocks = sized.withColumn("pair", F.explode(both)).select("part", "side", "c", "n", "h", "keys", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"))
-        usual = sided.join(hot.select("part", "side"), ["part", "side"], "left_anti")
-    found = usual.select("part", "side", "c", "n", "h", "keys").repartition("part", "side").sortWithinPartitions("part", "side").mapInPandas(_probe(theta, parts), schema)
+        blocks = sized.withColumn("pair", F.explode(both)).select(*group, "band", "c", "n", "h", "keys", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"))
+        usual = sided.join(hot.select(*group), group, "left_anti")
+    columns = [*group, "band", "c", "n", "h", "keys"]
+    found = usual.select(*columns).repartition(*group).sortWithinPartitions(*group).mapInPandas(_probe(theta, parts), schema)
     if blocks is not None:
-        per = blocks.groupBy("part", "side", "i", "j").applyInPandas(lambda f: pd.concat(_probe(theta, parts)(iter([f]))), schema)
+        per = blocks.groupBy(*group, "i", "j").applyInPandas(lambda f: pd.concat(_probe(theta, parts)(iter([f]))), schema)
         found = found.unionByName(per)
-    return found.distinct()
+    return found.withColumn("universes", universes)
 
 
 def sketch_sets(rows: DataFrame, key: str, sketch: str, recipe: list[str], size: str) -> DataFrame:
@@ -208,11 +231,19 @@ def sketch_sets(rows: DataFrame, key: str, sketch: str, recipe: list[str], size:
 
 
 def expand(pairs: DataFrame, members: DataFrame, least: int) -> DataFrame:
-    """(column_id_a, column_id_b): every pair of records, smaller key first, from class pairs and classes."""
-    a = members.select(F.col("class").alias("a"), F.col("k").alias("ka"))
-    b = members.select(F.col("class").alias("b"), F.col("k").alias("kb"))
-    across = pairs.select("a", "b").join(a, "a").join(b, "b")
-    within = a.join(b, F.col("a") == F.col("b")).where("ka < kb")
+    """(column_id_a, column_id_b): every pair of records, smaller key first, from class pairs and classes.
+
+    Classes of more than MEMBERS records are cut into blocks, each of which meets the whole
+    other class in a task of its own.
+    """
+    sizes = members.groupBy("class").agg(F.ceil(F.count("*") / F.lit(MEMBERS)).cast("int").alias("blocks"))
+    sized = members.select("class", "k").join(sizes, "class")
+    one = sized.where("blocks > 0").select(F.col("class").alias("a"), F.col("k").alias("ka"), F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int").alias("block"))
+    every = sized.select(F.col("class").alias("b"), F.col("k").alias("kb"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    within = one.join(every, [one.a == every.b, one.block == every.block]).where("ka < kb")
+    left = pairs.select("a", "b").join(one.drop("block"), "a").join(sizes.withColumnRenamed("class", "b"), "b")
+    left = left.select("b", "ka", F.pmod(F.xxhash64("ka"), F.col("blocks")).cast("int").alias("block"))
+    across = left.join(every, ["b", "block"])
     both = across.select("ka", "kb").unionByName(within.select("ka", "kb"))
     return both.select(F.least("ka", "kb").alias("column_id_a"), F.greatest("ka", "kb").alias("column_id_b"))
 

@@ -27,9 +27,11 @@ def data(seed, n=150):
     return sets
 
 
-@pytest.mark.parametrize("seed,theta,block", [(1, 0.7, 20_000), (2, 0.5, 20_000), (3, 0.7, 6)])
-def test_pairs(spark, monkeypatch, seed, theta, block):
+@pytest.mark.parametrize("seed,theta,block,universe,members", [(1, 0.7, 20_000, 48, 2000), (2, 0.5, 20_000, 5, 1), (3, 0.7, 6, 3, 2)])
+def test_pairs(spark, monkeypatch, seed, theta, block, universe, members):
     monkeypatch.setattr(setjoin, "BLOCK", block)
+    monkeypatch.setattr(setjoin, "UNIVERSE", universe)
+    monkeypatch.setattr(setjoin, "MEMBERS", members)
     sets = data(seed)
     df = spark.createDataFrame([(k, sorted(s), len(s)) for k, s in sets.items()], "k long, h array<long>, n int")
     pairs, members = setjoin.similar_sets(df, theta, 3, parts=16)
