@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,15 +116,25 @@ class TrieEncoder:
 
 
 _loaded: dict[str, TrieEncoder] = {}
+_sent: set[tuple[str, str]] = set()
 
 
 def encoder(path: str) -> TrieEncoder:
-    """The encoder of a vocabulary file, one per process."""
+    """The encoder of a vocabulary file, one per process; on an executor the file is the copy it was sent."""
     if path not in _loaded:
-        _loaded[path] = TrieEncoder(path)
+        sent = SparkFiles.get(os.path.basename(path))
+        _loaded[path] = TrieEncoder(sent if os.path.exists(sent) else path)
     return _loaded[path]
 
 
+def send(docs: DataFrame, path: str) -> None:
+    """Sends the vocabulary file from the driver to the executors, once per application."""
+    context = docs.sparkSession.sparkContext
+    if (context.applicationId, path) not in _sent:
+        context.addFile(path)
+        _sent.add((context.applicationId, path))
+
+
 def vocabulary(name: str = "byte_bpe_50k", folder: str | None = None) -> str:
     return f"{folder or TOKENIZERS}/{name}.tiktoken"
 
@@ -135,6 +146,7 @@ def encode_column(docs: DataFrame, text: str, out: str, path: str, only_counts:
     columns are passed through; a column named `out` is replaced.
     """
     ship(docs.sparkSession)
+    send(docs, path)
     docs = docs.drop(*([out] if out in docs.columns and out != text else []))
     kind = "bigint" if only_counts else "array<int>"
     rest = [c for c in docs.columns if c != text]
