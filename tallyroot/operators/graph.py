@@ -6,9 +6,12 @@ folder; ranks and frontiers are joined by key, never collected.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyroot.operators.hierarchy import Hierarchy, ancestors
 from tallyroot.work import Workspace
 
 DAMPING = 0.85
@@ -181,26 +184,60 @@ def cohesion(labels: DataFrame, edges: DataFrame, least: int = 2) -> DataFrame:
     return out.withColumn("cohesion", F.col("n_edges") / (F.col("size") * (F.col("size") - 1) / 2))
 
 
-def subtree_authority(scores: DataFrame, up: DataFrame, decay: float = 0.7, quantile: float = 0.75, least: int = 3) -> DataFrame:
+def quantile_score(scores: DataFrame, quantile: float) -> float | None:
+    """The score at place int(q * (n - 1)) of the ascending scores above 0; null without any.
+
+    Scores are cut into ranges by approximate quantiles; only the range that holds the place is
+    put in order.
+    """
+    some = scores.where("score > 0").select("score")
+    cuts, n = some.agg(F.percentile_approx("score", [k / 256 for k in range(1, 256)], 2000), F.count("*")).first()
+    if not n:
+        return None
+    place = int(quantile * (n - 1))
+    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < F.col("score")))
+    counted = some.groupBy(bucket.alias("b"), "score").agg(F.count("*").alias("c"))
+    below = 0
+    for b, c in sorted(counted.groupBy("b").agg(F.sum("c")).collect()):  # 256 rows at most
+        if below + c > place:
+            w = Window.partitionBy("b").orderBy("score")
+            inner = counted.where(F.col("b") == b).withColumn("to", F.sum("c").over(w))
+            return inner.where(F.col("to") > place - below).agg(F.min("score")).first()[0]
+        below += c
+    return None
+
+
+def subtree_authority(scores: DataFrame, tree: Hierarchy, decay: float = 0.7, quantile: float = 0.75, least: int = 3) -> DataFrame:
     """(id, own, below, spread, size, authority): a node's score and its descendants', decayed by distance.
 
-    scores: (id, score); up: (id, ancestor, distance). spread: descendants whose score reaches
-    the quantile of all non-zero scores, the one at place int(q * (n - 1)). Nodes with fewer
-    than `least` nodes in their subtree are left out.
+    scores: (id, score). spread: descendants whose score reaches the quantile of all non-zero
+    scores, the one at place int(q * (n - 1)). Nodes with fewer than `least` nodes in their
+    subtree are left out. Spread is counted along the Euler tour; decayed scores come from as
+    near descendants as can change twelve digits (78 steps for a decay of 0.7).
+    """
+    reach = quantile_score(scores, quantile)
+    far = max(1, math.ceil(math.log(1e-12) / math.log(decay))) if 0 < decay < 1 else None
+    high = scores.where(F.col("score") >= F.lit(reach)) if reach is not None else scores.limit(0)
+    spread = ancestors(tree, high, sound=True).groupBy(F.col("ancestor").alias("id")).agg(F.count("*").alias("spread"))
+    near = ancestors(tree, scores.where("score <> 0"), up_to=far, sound=True).join(scores, "id")
+    below = near.groupBy(F.col("ancestor").alias("id")).agg(F.sum(F.col("score") * F.pow(F.lit(decay), F.col("distance"))).alias("below"))
+    sizes = tree.nodes.where("kind = 'tree'").select("id", (F.col("n_descendants") + 1).alias("size")).where(F.col("size") >= max(least, 2))
+    z = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    out = scores.join(sizes, "id").join(below, "id", "left").join(spread, "id", "left").select("id", F.col("score").alias("own"), F.coalesce("below", F.lit(0.0)).alias("below"), z("spread"), "size")
+    return out.withColumn("authority", (F.col("own") + F.col("below")) * (1 + F.log1p("spread")))
+
+
+def contributors(scores: DataFrame, tree: Hierarchy, of: DataFrame, k: int = 5, decay: float = 0.7) -> DataFrame:
+    """(id, member, share, place): the k descendants of each asked node (id) with the greatest decayed scores; ties by id.
+
+    The k best of each of 64 shares of a subtree are taken first, so that no subtree is one task's work.
     """
-    w = Window.orderBy("score")
-    counted = scores.where("score > 0").groupBy("score").agg(F.count("*").alias("c"))
-    n = counted.agg(F.sum("c")).first()[0] or 0
-    place = int(quantile * (n - 1)) if n else 0
-    # Distinct scores only, of which there are far fewer than nodes, stand in the one ordered pass.
-    reach = counted.withColumn("to", F.sum("c").over(w)).where(F.col("to") > place).agg(F.min("score")).first()[0]
-    below = up.join(scores, "id").groupBy(F.col("ancestor").alias("id")).agg(
-        F.sum(F.col("score") * F.pow(F.lit(decay), F.col("distance"))).alias("below"),
-        F.count_if(F.col("score") >= F.lit(reach)).alias("spread"),
-        (F.count("*") + 1).alias("size"),
-    )
-    out = scores.join(below, "id").where(F.col("size") >= least)
-    return out.select("id", F.col("score").alias("own"), "below", "spread", "size", ((F.col("score") + F.col("below")) * (1 + F.log1p("spread"))).alias("authority"))
+    pairs = ancestors(tree, scores.where("score > 0"), among=of, sound=True).join(scores, "id")
+    rows = pairs.select(F.col("ancestor").alias("top"), F.col("id").alias("member"), (F.col("score") * F.pow(F.lit(decay), F.col("distance"))).alias("share"))
+    part = Window.partitionBy("top", F.pmod(F.xxhash64("member"), F.lit(64))).orderBy(F.desc("share"), "member")
+    near = rows.withColumn("r", F.row_number().over(part)).where(F.col("r") <= k)
+    ranked = near.withColumn("place", F.row_number().over(Window.partitionBy("top").orderBy(F.desc("share"), "member"))).where(F.col("place") <= k)
+    return ranked.select(F.col("top").alias("id"), "member", "share", "place")
 
 
 def lint_orphans(vertices: DataFrame, edges: DataFrame, threshold: int = 0) -> DataFrame:

@@ -32,6 +32,8 @@ HOT_FANOUT = 500_000
 HOT_BUCKETS = 256
 #: Width of the stretches of the tour in which ancestors are looked up.
 STRETCH = 1 << 18
+#: Nodes are looked up depth by depth among at most so many different depths.
+MOST_DEPTHS = 256
 
 SOUND, ON_LOOP, MISSING = 0, 1, 2
 
@@ -122,8 +124,8 @@ def loop_nodes(state: DataFrame, work: Workspace, finish_rows: int = FINISH_ROWS
     while True:
         state = work.keep(_peel(state))
         spent.append(state)
-        left = state.where("p is null or p <> v").count()
-        if left == 0 or state.count() <= finish_rows:
+        left, size = state.agg(F.count_if(F.expr("p is null or p <> v")), F.count("*")).first()
+        if left == 0 or size <= finish_rows:
             break
         salt += 1
         spliced.append(state.where(F.coalesce(_spliceable(salt), F.lit(False))).select("v", F.col("x").alias("c")))
@@ -318,27 +320,38 @@ def hierarchy(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id
     return Hierarchy(out, work)
 
 
-def ancestors(tree: Hierarchy, of: DataFrame | None = None, stretch: int = STRETCH) -> DataFrame:
-    """(id, ancestor, ancestor_depth): every node paired with each node above it, up to its anchor.
+def ancestors(tree: Hierarchy, of: DataFrame | None = None, among: DataFrame | None = None, up_to: int | None = None, sound: bool = False, stretch: int = STRETCH) -> DataFrame:
+    """(id, ancestor, ancestor_depth, distance): every node paired with each node above it, up to its anchor.
 
     From the tour intervals alone: the ancestor of a node at depth d is the last node of that
     depth that was entered before it. The tours are cut into stretches, so a huge tree is
     searched in many tasks; what was entered last before a stretch is carried over from the
-    stretches before. `of`: only for these ids.
+    stretches before. of: only for these ids. among: only these ids as ancestors; then a node
+    is looked up once for each depth at which one of them stands, and not for each node above
+    it. up_to: only ancestors so near. sound: only in sound trees.
     """
-    nodes = tree.nodes.select("id", "anchor", F.col("anchor_depth").alias("depth"), F.col("tour_in").alias("r"))
+    nodes = tree.nodes.where("kind = 'tree'") if sound else tree.nodes
+    nodes = nodes.select("id", "anchor", F.col("anchor_depth").alias("depth"), F.col("tour_in").alias("r"), F.col("tour_out").alias("out"))
     asked = nodes if of is None else nodes.join(of.select("id").distinct(), "id", "left_semi")
-    entered = nodes.select("anchor", F.col("depth").alias("d"), "r", F.col("id").alias("up"), F.lit(None).cast(dict(nodes.dtypes)["id"]).alias("id"))
-    above = asked.where("depth > 0").select("anchor", F.explode(F.sequence(F.lit(0).cast("long"), F.col("depth") - 1)).alias("d"), "r", F.lit(None).cast(dict(nodes.dtypes)["id"]).alias("up"), "id")
+    tops, steps = nodes, F.sequence(F.greatest(F.col("depth") - up_to, F.lit(0)) if up_to else F.lit(0).cast("long"), F.col("depth") - 1)
+    if among is not None:
+        tops = nodes.join(among.select("id").distinct(), "id", "left_semi")
+        few = [r[0] for r in tops.select("depth").distinct().limit(MOST_DEPTHS + 1).collect()]
+        if len(few) <= MOST_DEPTHS:
+            near = (lambda d: (d < F.col("depth")) & (d >= F.col("depth") - up_to)) if up_to else (lambda d: d < F.col("depth"))
+            steps = F.filter(F.array(*map(F.lit, few)).cast("array<bigint>"), near)
+    kind = dict(nodes.dtypes)["id"]
+    entered = tops.select("anchor", F.col("depth").alias("d"), "r", F.struct("id", "out").alias("up"), F.lit(None).cast(kind).alias("id"), F.lit(None).cast("long").alias("depth"))
+    above = asked.where("depth > 0").select("anchor", F.explode(steps).alias("d"), "r", F.lit(None).cast(f"struct<id:{kind},out:bigint>").alias("up"), "id", "depth")
     both = entered.unionByName(above).withColumn("c", F.floor(-F.col("r") / F.lit(stretch)))
     inside = Window.partitionBy("anchor", "d", "c").orderBy(F.desc("r")).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.select("anchor", "d", "c", "id", F.last("up", ignorenulls=True).over(inside).alias("up"))
+    found = both.select("anchor", "d", "c", "r", "id", "depth", F.last("up", ignorenulls=True).over(inside).alias("up"))
     before = Window.partitionBy("anchor", "d").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
     ends = both.groupBy("anchor", "d", "c").agg(F.min_by("up", F.when(F.col("up").isNotNull(), F.col("r"))).alias("end"))
     carried = ends.select("anchor", "d", "c", F.last("end", ignorenulls=True).over(before).alias("carry"))
-    done = found.where("id is not null").join(carried, ["anchor", "d", "c"])
+    done = found.where("id is not null").join(carried, ["anchor", "d", "c"]).withColumn("a", F.coalesce("up", "carry"))
     # The anchor of a dangling tree is a parent that is no node: it has no row and is left out.
-    return done.select("id", F.coalesce("up", "carry").alias("ancestor"), F.col("d").alias("ancestor_depth")).where("ancestor is not null")
+    return done.where("a is not null and r > a.out").select("id", F.col("a.id").alias("ancestor"), F.col("d").alias("ancestor_depth"), (F.col("depth") - F.col("d")).alias("distance"))
 
 
 def paths(tree: Hierarchy) -> DataFrame:
@@ -351,11 +364,8 @@ def paths(tree: Hierarchy) -> DataFrame:
 
 def descendants(tree: Hierarchy, of: DataFrame | None = None) -> DataFrame:
     """(id, descendant, distance) for nodes of sound trees; `of`: only below these ids."""
-    nodes = tree.nodes.where("kind = 'tree'").select(F.col("id").alias("descendant"), F.col("depth").alias("_d"))
-    pairs = ancestors(tree).select(F.col("ancestor").alias("id"), F.col("id").alias("descendant"), "ancestor_depth")
-    if of is not None:
-        pairs = pairs.join(of.select("id").distinct(), "id", "left_semi")
-    return pairs.join(nodes, "descendant").select("id", "descendant", (F.col("_d") - F.col("ancestor_depth")).alias("distance"))
+    pairs = ancestors(tree, among=of, sound=True)
+    return pairs.select(F.col("ancestor").alias("id"), F.col("id").alias("descendant"), "distance")
 
 
 def rootless(tree: Hierarchy) -> DataFrame:

@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyroot.operators.current import in_force
+from tallyroot.operators.hierarchy import Hierarchy, ancestors
 
 NODE_COLUMNS = ["parent_id", "title", "content", "position", "usetype", "produced_by", "created_at", "event_time", "settled"]
+#: How far down a container's text is looked for, and how many characters are put into one row at most.
+MAX_DEPTH, MOST_CHARS = 40, 64_000_000
 
 
 def current_nodes(nodes: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -55,44 +58,107 @@ def children_counts(nodes: DataFrame) -> DataFrame:
     return nodes.select("id").join(n.withColumnRenamed("parent_id", "id"), "id", "left").select("id", F.coalesce("n_children", F.lit(0)).alias("n_children"))
 
 
-def frontier(nodes: DataFrame, up: DataFrame) -> DataFrame:
-    """(id, member): for each container the first nodes with content on each branch below it.
+def siblings(nodes: DataFrame, of: DataFrame) -> DataFrame:
+    """(id, sibling, place): the other children of each asked node's (id) parent, in sibling order; roots have none."""
+    places = sibling_places(nodes)
+    asked = places.join(of.select("id"), "id", "left_semi").select(F.col("id").alias("me"), "parent_id")
+    return asked.join(places.withColumnRenamed("id", "sibling"), "parent_id").where("me <> sibling").select(F.col("me").alias("id"), "sibling", "place")
 
-    A member has content and no node with content between it and the container. up: (id, ancestor, ancestor_depth).
+
+def roots(nodes: DataFrame) -> DataFrame:
+    return nodes.where("parent_id is null")
+
+
+def subtree_to_depth(tree: Hierarchy, of: DataFrame, depth: int) -> DataFrame:
+    """(id, descendant, distance): what lies below the asked nodes (id), at most `depth` steps down."""
+    pairs = ancestors(tree, among=of, up_to=depth, sound=True)
+    return pairs.select(F.col("ancestor").alias("id"), F.col("id").alias("descendant"), "distance")
+
+
+def subtree_states(nodes: DataFrame, tree: Hierarchy, of: DataFrame) -> DataFrame:
+    """(id, settled, n): below each asked node (id), itself included, the number of nodes in each state."""
+    below = ancestors(tree, among=of, sound=True).select(F.col("ancestor").alias("top"), "id").unionByName(of.select(F.col("id").alias("top"), "id"))
+    return below.join(nodes.select("id", "settled"), "id").groupBy(F.col("top").alias("id"), "settled").agg(F.count("*").alias("n"))
+
+
+def frontier(nodes: DataFrame, tree: Hierarchy, summaries: DataFrame | None = None, depth: int = MAX_DEPTH) -> DataFrame:
+    """(id, member, summary): for each container the first nodes with a text on each branch below it.
+
+    A member has content, or is a container with a stored summary (id, text), and no such node
+    lies between it and the container; it is at most `depth` steps below. summary: whether the
+    member stands with its summary.
     """
-    full = nodes.where("content is not null and trim(content) <> ''").select("id")
-    over = up.join(full, "id", "left_semi")
-    # The deepest ancestor with content hides a node from all containers above that ancestor.
-    hiding = over.join(full.withColumnRenamed("id", "ancestor"), "ancestor", "left_semi").groupBy("id").agg(F.max("ancestor_depth").alias("hid"))
-    seen = over.join(hiding, "id", "left").where("hid is null or ancestor_depth > hid")
-    return seen.join(nodes.where("content is null").select(F.col("id").alias("ancestor")), "ancestor", "left_semi").select(F.col("ancestor").alias("id"), F.col("id").alias("member"))
+    full = nodes.where("content is not null and trim(content) <> ''").select("id", F.lit(False).alias("summary"))
+    if summaries is not None:
+        held = nodes.where("content is null").select("id").join(summaries.where("trim(text) <> ''").select("id").distinct(), "id", "left_semi")
+        full = full.unionByName(held.withColumn("summary", F.lit(True)))
+    containers = nodes.where("content is null").select("id")
+    # The nearest node with a text above hides a node from all containers above that one.
+    hiding = ancestors(tree, full, among=full, sound=True).groupBy("id").agg(F.max("ancestor_depth").alias("hid"))
+    seen = ancestors(tree, full, among=containers, up_to=depth, sound=True).join(hiding, "id", "left").where("hid is null or ancestor_depth >= hid")
+    return seen.join(full, "id").select(F.col("ancestor").alias("id"), F.col("id").alias("member"), "summary")
 
 
-def effective_content(nodes: DataFrame, up: DataFrame) -> DataFrame:
-    """(id, text): a container's text, its frontier's contents in tree order, joined by blank lines."""
-    order = nodes.select("id", F.struct(F.col("position").isNull(), "position", "created_at", "id").alias("o"))
-    chain = up.join(order.withColumnRenamed("id", "ancestor"), "ancestor").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("ancestor_depth", "o"))).alias("c"))
-    keys = chain.join(order, "id").select(F.col("id").alias("member"), F.concat(F.col("c.o"), F.array("o")).alias("key"))
-    parts = frontier(nodes, up).join(keys, "member").join(nodes.select(F.col("id").alias("member"), "content"), "member")
-    return parts.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("key", "content"))).alias("x")).select("id", F.array_join(F.col("x.content"), "\n\n").alias("text"))
+def content_parts(nodes: DataFrame, tree: Hierarchy, summaries: DataFrame | None = None, depth: int = MAX_DEPTH) -> DataFrame:
+    """(id, member, key, summary): a container's parts; keys, compared as arrays, are the order of the tree.
+
+    A key holds the places of the member and of those above it among their siblings.
+    """
+    places = sibling_places(nodes).select("id", "place")
+    members = frontier(nodes, tree, summaries, depth)
+    chain = ancestors(tree, members.select(F.col("member").alias("id")), sound=True).where("ancestor_depth > 0")
+    above = chain.join(places.withColumnRenamed("id", "ancestor"), "ancestor").select("id", F.struct("ancestor_depth", "place").alias("o"))
+    own = members.select(F.col("member").alias("id")).distinct().join(places, "id").select("id", F.struct(F.lit(1 << 40).cast("long").alias("ancestor_depth"), "place").alias("o"))
+    keys = above.unionByName(own).groupBy("id").agg(F.sort_array(F.collect_list("o"))["place"].alias("key"))
+    return members.join(keys.withColumnRenamed("id", "member"), "member").select("id", "member", "key", "summary")
 
 
-def readable(nodes: DataFrame, up: DataFrame, grants: DataFrame, principal: str) -> DataFrame:
+def effective_content(nodes: DataFrame, tree: Hierarchy, summaries: DataFrame | None = None, depth: int = MAX_DEPTH, most: int = MOST_CHARS) -> DataFrame:
+    """(id, text, size, members): a container's text, its frontier's texts in tree order, joined by blank lines.
+
+    Texts above `most` characters are not put together (text null): their parts are those of
+    content_parts, in order; size is their length all the same.
+    """
+    parts = content_parts(nodes, tree, summaries, depth)
+    texts = nodes.where("content is not null").select(F.col("id").alias("member"), F.col("content").alias("t"))
+    if summaries is not None:
+        stored = summaries.groupBy(F.col("id").alias("member")).agg(F.max("text").alias("t"))
+        texts = texts.unionByName(stored.join(nodes.where("content is null").select(F.col("id").alias("member")), "member", "left_semi"))
+    sized = parts.join(texts.select("member", F.char_length("t").cast("long").alias("n")), "member")
+    sizes = sized.groupBy("id").agg((F.sum("n") + 2 * (F.count("*") - 1)).alias("size"), F.count("*").alias("members"))
+    small = parts.join(sizes.where(F.col("size") <= most).select("id"), "id", "left_semi").join(texts, "member")
+    joined = small.groupBy("id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("key", "t")))["t"], "\n\n").alias("text"))
+    return sizes.join(joined, "id", "left").select("id", "text", "size", "members")
+
+
+def _governing(nodes: DataFrame, tree: Hierarchy, tops: DataFrame) -> DataFrame:
+    """(id, root): every node with those of the roots (root) that it is or lies below."""
+    few = tops.select(F.col("root").alias("id")).distinct()
+    own = nodes.select("id").join(few, "id", "left_semi").select("id", F.col("id").alias("root"))
+    return ancestors(tree, among=few, sound=True).select("id", F.col("ancestor").alias("root")).unionByName(own)
+
+
+def readable(nodes: DataFrame, tree: Hierarchy, grants: DataFrame, principal: str) -> DataFrame:
     """Nodes that a principal may read: below or at a root granted to it, or under no governed root.
 
     grants: (root, principal, level); write implies read.
     """
-    chain = up.select("id", "ancestor").unionByName(nodes.select("id", F.col("id").alias("ancestor")))
-    governed = chain.join(grants.select(F.col("root").alias("ancestor")).distinct(), "ancestor", "left_semi").select("id").distinct()
-    granted = chain.join(grants.where(F.col("principal") == principal).select(F.col("root").alias("ancestor")).distinct(), "ancestor", "left_semi").select("id").distinct()
-    return nodes.join(governed.join(granted, "id", "left_anti"), "id", "left_anti")
+    mine = grants.groupBy("root").agg(F.max(F.when(F.col("principal") == principal, 1).otherwise(0)).alias("mine"))
+    hidden = _governing(nodes, tree, grants).join(mine, "root").groupBy("id").agg(F.max("mine").alias("mine")).where("mine = 0")
+    return nodes.join(hidden, "id", "left_anti")
 
 
-def access_keys(nodes: DataFrame, up: DataFrame, grants: DataFrame) -> DataFrame:
+def writable(nodes: DataFrame, tree: Hierarchy, grants: DataFrame, principal: str) -> DataFrame:
+    """Nodes that a principal may write: below or at a root it has a write grant for, or under no governed root."""
+    mine = grants.groupBy("root").agg(F.max(F.when((F.col("principal") == principal) & (F.col("level") == "write"), 1).otherwise(0)).alias("mine"))
+    hidden = _governing(nodes, tree, grants).join(mine, "root").groupBy("id").agg(F.max("mine").alias("mine")).where("mine = 0")
+    return nodes.join(hidden, "id", "left_anti")
+
+
+def access_keys(nodes: DataFrame, tree: Hierarchy, grants: DataFrame) -> DataFrame:
     """(id, access): every principal's greatest level over the node and those above it, as `p:read,q:write`; null if ungoverned."""
-    chain = up.select("id", "ancestor").unionByName(nodes.select("id", F.col("id").alias("ancestor")))
     level = F.max(F.when(F.col("level") == "write", 2).otherwise(1)).alias("l")
-    best = chain.join(grants.withColumnRenamed("root", "ancestor"), "ancestor").groupBy("id", "principal").agg(level)
+    best = _governing(nodes, tree, grants).join(grants, "root").groupBy("id", "principal").agg(level)
     text = F.array_join(F.array_sort(F.collect_list(F.concat("principal", F.lit(":"), F.when(F.col("l") == 2, "write").otherwise("read")))), ",")
     return nodes.select("id").join(best.groupBy("id").agg(text.alias("access")), "id", "left")
 
@@ -108,13 +174,11 @@ def find(nodes: DataFrame, parent: int | None = None, usetype: str | None = None
     return nodes.orderBy(F.desc("created_at"), "id").offset(offset).limit(limit)
 
 
-def access_audit(nodes: DataFrame, up: DataFrame, grants: DataFrame) -> DataFrame:
+def access_audit(nodes: DataFrame, tree: Hierarchy, grants: DataFrame) -> DataFrame:
     """(root, documents, ungoverned): trees with nodes that no grant covers, the most first."""
-    tops = up.where("ancestor_depth = 0").select("id", F.col("ancestor").alias("root"))
-    roots = nodes.where("parent_id is null").select("id", F.col("id").alias("root"))
-    chain = up.select("id", "ancestor").unionByName(nodes.select("id", F.col("id").alias("ancestor")))
-    governed = chain.join(grants.select(F.col("root").alias("ancestor")).distinct(), "ancestor", "left_semi").select("id", F.lit(1).alias("g")).distinct()
-    n = tops.unionByName(roots).join(governed, "id", "left").groupBy("root").agg(F.count("*").alias("documents"), F.count_if(F.col("g").isNull()).alias("ungoverned"))
+    governed = _governing(nodes, tree, grants).select("id", F.lit(1).alias("g")).distinct()
+    n = tree.nodes.where("kind = 'tree'").select("id", "root").join(governed, "id", "left")
+    n = n.groupBy("root").agg(F.count("*").alias("documents"), F.count_if(F.col("g").isNull()).alias("ungoverned"))
     return n.where("ungoverned > 0")
 
 
@@ -132,12 +196,18 @@ def next_positions(nodes: DataFrame) -> DataFrame:
     return nodes.select("id").join(last.withColumnRenamed("parent_id", "id"), "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("next_position"))
 
 
-def bundle(nodes: DataFrame, up: DataFrame) -> DataFrame:
+def bundle(nodes: DataFrame, tree: Hierarchy) -> DataFrame:
     """(id, title, usetype, depth, n_children, n_below): what a view of each node shows."""
-    depth = up.groupBy("id").agg(F.count("*").alias("depth"))
-    below = up.groupBy(F.col("ancestor").alias("id")).agg(F.count("*").alias("n_below"))
     z = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return nodes.select("id", "title", "usetype").join(children_counts(nodes), "id").join(depth, "id", "left").join(below, "id", "left").select("id", "title", "usetype", z("depth"), "n_children", z("n_below"))
+    places = tree.nodes.where("kind = 'tree'").select("id", "depth", F.col("n_descendants").alias("n_below"))
+    return nodes.select("id", "title", "usetype").join(children_counts(nodes), "id").join(places, "id", "left").select("id", "title", "usetype", z("depth"), "n_children", z("n_below"))
+
+
+def children_page(nodes: DataFrame, of: DataFrame, size: int = 50, page: int = 0) -> DataFrame:
+    """(id, child, place, n_children): one page of each asked node's (id) children in sibling order, with their own numbers of children."""
+    kids = sibling_places(nodes).where(F.col("place").between(page * size, (page + 1) * size - 1))
+    kids = kids.join(of.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select(F.col("parent_id").alias("asked"), "id", "place")
+    return kids.join(children_counts(nodes), "id").select(F.col("asked").alias("id"), F.col("id").alias("child"), "place", "n_children")
 
 
 def without_summary(nodes: DataFrame, scores: DataFrame, k: int) -> DataFrame:

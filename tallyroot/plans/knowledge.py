@@ -8,89 +8,94 @@ from pyspark.sql import functions as F
 from tallyroot.functions import text as tx
 from tallyroot.functions import templates
 from tallyroot.operators import chunking, derive, facts, fulltext, graph, intervals, sheets, summaries, views
-from tallyroot.plans.trees import sound_ancestors
+from tallyroot.plans.trees import sound_ancestors, tree
 from tallyroot.sources.tables import names, table
 from tallyroot.streaming import incremental
+from tallyroot.work import Workspace
 
 NOW = "2025-06-01 00:00:00"
 
 
-def _nodes(spark: SparkSession, folder: str) -> DataFrame:
-    return views.current_nodes(table(spark, folder, "nodes"))
+def _nodes(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """The rows in force, with these columns only: others, texts above all, are not read."""
+    return views.current_nodes(table(spark, folder, "nodes"), list(columns))
 
 
 def _grants(spark: SparkSession, folder: str) -> DataFrame:
     """Grants at every folder: principals p0 to p4, read or write by the id."""
-    f = _nodes(spark, folder).where("usetype = 'folder'")
+    f = _nodes(spark, folder, "usetype").where("usetype = 'folder'")
     return f.select(F.col("id").alias("root"), F.concat(F.lit("p"), (F.col("id") % 5).cast("string")).alias("principal"), F.when(F.col("id") % 2 == 0, "write").otherwise("read").alias("level"))
 
 
 def t_children(spark: SparkSession, folder: str) -> DataFrame:
-    return views.children_counts(_nodes(spark, folder))
+    return views.children_counts(_nodes(spark, folder, "parent_id"))
 
 
 def t_places(spark: SparkSession, folder: str) -> DataFrame:
-    return views.sibling_places(_nodes(spark, folder))
+    return views.sibling_places(_nodes(spark, folder, "parent_id", "position", "created_at"))
 
 
 def t_states(spark: SparkSession, folder: str) -> DataFrame:
-    n = _nodes(spark, folder)
+    # Of a text only whether there is one goes through the shuffle.
+    slim = table(spark, folder, "nodes").withColumn("content", F.when(F.col("content").isNotNull(), F.lit("")))
+    n = views.current_nodes(slim, ["usetype", "settled", "content"])
     return n.groupBy("usetype").agg(F.count("*").alias("n"), F.count_if(F.col("settled") == "settled").alias("settled"), F.count_if(F.col("settled") == "failed").alias("failed"), F.count_if(F.col("content").isNotNull()).alias("with_content"))
 
 
 def t_growth(spark: SparkSession, folder: str) -> DataFrame:
-    n = _nodes(spark, folder)
+    n = _nodes(spark, folder, "created_at", "event_time")
     return n.groupBy(F.to_date("created_at").alias("day")).agg(F.count("*").alias("n"), F.count_if(F.col("event_time").isNotNull()).alias("dated"))
 
 
 def t_as_of(spark: SparkSession, folder: str) -> DataFrame:
-    n = views.settled(_nodes(spark, folder)).where(tx.usetype_gate(F.col("usetype"), excluded=["sc*", "sheet"]))
+    n = views.settled(_nodes(spark, folder, "usetype", "settled", "created_at", "event_time")).where(tx.usetype_gate(F.col("usetype"), excluded=["sc*", "sheet"]))
     return views.as_of(n, "2025-01-03 00:00:00").select("id", "usetype")
 
 
 def t_globs(spark: SparkSession, folder: str) -> DataFrame:
-    return _nodes(spark, folder).where(tx.usetype_gate(F.col("usetype"), "scan:*, c?unk")).select("id", "usetype")
+    return _nodes(spark, folder, "usetype").where(tx.usetype_gate(F.col("usetype"), "scan:*, c?unk")).select("id", "usetype")
 
 
 def t_snippets(spark: SparkSession, folder: str) -> DataFrame:
-    return _nodes(spark, folder).where("content is not null").select("id", tx.content_hash(F.col("content")).alias("hash"), tx.snippet(F.col("content")).alias("snippet"))
+    return _nodes(spark, folder, "content").where("content is not null").select("id", tx.content_hash(F.col("content")).alias("hash"), tx.snippet(F.col("content")).alias("snippet"))
 
 
 def t_effective(spark: SparkSession, folder: str) -> DataFrame:
-    out = views.effective_content(_nodes(spark, folder), sound_ancestors(spark, folder))
-    return out.select("id", tx.content_hash(F.col("text")).alias("hash"), F.char_length("text").alias("size"))
+    nodes = Workspace(spark, "texts").keep(_nodes(spark, folder, "parent_id", "position", "created_at", "content"))
+    out = views.effective_content(nodes, tree(spark, folder))
+    return out.select("id", tx.content_hash(F.col("text")).alias("hash"), F.col("size").cast("int").alias("size"))
 
 
 def t_access(spark: SparkSession, folder: str) -> DataFrame:
-    return views.access_keys(_nodes(spark, folder), sound_ancestors(spark, folder), _grants(spark, folder))
+    return views.access_keys(_nodes(spark, folder, "usetype"), tree(spark, folder), _grants(spark, folder))
 
 
 def t_readable(spark: SparkSession, folder: str) -> DataFrame:
-    return views.readable(_nodes(spark, folder), sound_ancestors(spark, folder), _grants(spark, folder), "p1").select("id")
+    return views.readable(_nodes(spark, folder, "usetype"), tree(spark, folder), _grants(spark, folder), "p1").select("id")
 
 
 def t_find(spark: SparkSession, folder: str) -> DataFrame:
-    return views.find(_nodes(spark, folder), usetype="section", title="the ", limit=20, offset=5).select("id", "title")
+    return views.find(_nodes(spark, folder, "title", "usetype", "created_at"), usetype="section", title="the ", limit=20, offset=5).select("id", "title")
 
 
 def t_audit(spark: SparkSession, folder: str) -> DataFrame:
-    return views.access_audit(_nodes(spark, folder), sound_ancestors(spark, folder), _grants(spark, folder))
+    return views.access_audit(_nodes(spark, folder, "usetype"), tree(spark, folder), _grants(spark, folder))
 
 
 def t_copies(spark: SparkSession, folder: str) -> DataFrame:
-    return views.newest_by_content(_nodes(spark, folder))
+    return views.newest_by_content(_nodes(spark, folder, "parent_id", "usetype", "content", "created_at"))
 
 
 def t_next(spark: SparkSession, folder: str) -> DataFrame:
-    return views.next_positions(_nodes(spark, folder))
+    return views.next_positions(_nodes(spark, folder, "parent_id", "position"))
 
 
 def t_bundle(spark: SparkSession, folder: str) -> DataFrame:
-    return views.bundle(_nodes(spark, folder), sound_ancestors(spark, folder))
+    return views.bundle(_nodes(spark, folder, "parent_id", "title", "usetype"), tree(spark, folder))
 
 
 def t_uncovered(spark: SparkSession, folder: str) -> DataFrame:
-    n = _nodes(spark, folder)
+    n = _nodes(spark, folder, "parent_id", "usetype")
     return views.without_summary(n, views.children_counts(n).select("id", F.col("n_children").alias("score")), 25)
 
 
@@ -100,7 +105,8 @@ def c_markdown(spark: SparkSession, folder: str) -> DataFrame:
 
 def t_summarised(spark: SparkSession, folder: str) -> DataFrame:
     up = sound_ancestors(spark, folder)
-    n = _nodes(spark, folder).select("id", F.char_length("content").alias("c"))
+    slim = table(spark, folder, "nodes").withColumn("content", F.char_length("content").cast("long"))
+    n = views.current_nodes(slim, ["content"]).select("id", F.col("content").alias("c"))
     return up.join(n, "id").groupBy(F.col("ancestor").alias("id")).agg(F.count("*").alias("below"), F.sum("c").alias("chars"), F.max("distance").alias("height"))
 
 
@@ -137,7 +143,7 @@ def g_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def g_components(spark: SparkSession, folder: str) -> DataFrame:
-    n = _nodes(spark, folder).select("id", "parent_id")
+    n = _nodes(spark, folder, "parent_id")
     return graph.components(n.where("parent_id is not null").select(F.col("id").alias("src"), F.col("parent_id").alias("dst")), n)
 
 
@@ -147,8 +153,8 @@ def g_communities(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def g_authority(spark: SparkSession, folder: str) -> DataFrame:
-    scores = views.children_counts(_nodes(spark, folder)).select("id", F.col("n_children").cast("double").alias("score"))
-    out = graph.subtree_authority(scores, sound_ancestors(spark, folder))
+    scores = views.children_counts(_nodes(spark, folder, "parent_id")).select("id", F.col("n_children").cast("double").alias("score"))
+    out = graph.subtree_authority(scores, tree(spark, folder))
     return out.select("id", "own", F.round("below", 6).alias("below"), "spread", "size", F.round("authority", 5).alias("authority"))
 
 
@@ -157,7 +163,7 @@ def g_orphans(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def g_spines(spark: SparkSession, folder: str) -> DataFrame:
-    scores = views.children_counts(_nodes(spark, folder)).select("id", F.col("n_children").cast("double").alias("score"))
+    scores = views.children_counts(_nodes(spark, folder, "parent_id")).select("id", F.col("n_children").cast("double").alias("score"))
     return graph.spines(scores, sound_ancestors(spark, folder))
 
 
@@ -189,8 +195,9 @@ def k_backrefs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def x_named(spark: SparkSession, folder: str) -> DataFrame:
-    n = _nodes(spark, folder).where("content is null and title is not null")
-    done = _nodes(spark, folder).where("settled = 'settled'")
+    slim = table(spark, folder, "nodes").withColumn("content", F.when(F.col("content").isNotNull(), F.lit("")))
+    n = views.current_nodes(slim, ["content", "title"]).where("content is null and title is not null")
+    done = _nodes(spark, folder, "settled").where("settled = 'settled'")
     return derive.outstanding(n, done, "id").select("id", tx.predicate_name(F.col("title")).alias("name"), tx.local_name(F.concat(F.lit("urn:x#"), F.col("title"))).alias("local"))
 
 

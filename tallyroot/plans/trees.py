@@ -9,27 +9,35 @@ from tallyroot.operators import hierarchy as h
 from tallyroot.sources.tables import table
 
 
+def tree(spark: SparkSession, folder: str) -> h.Hierarchy:
+    return h.hierarchy(table(spark, folder, "nodes"))
+
+
 def sound_ancestors(spark: SparkSession, folder: str) -> DataFrame:
     """(id, ancestor, ancestor_depth, distance): nodes of sound trees with those above them."""
-    tree = h.hierarchy(table(spark, folder, "nodes"))
-    depths = tree.nodes.where("kind = 'tree'").select("id", F.col("depth").alias("_d"))
-    return h.ancestors(tree).join(depths, "id").withColumn("distance", F.col("_d") - F.col("ancestor_depth")).drop("_d")
+    return h.ancestors(tree(spark, folder), sound=True)
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return h.rootless(h.hierarchy(table(spark, folder, "nodes")))
+    return h.rootless(tree(spark, folder))
 
 
 def p1_hierarchy(spark: SparkSession, folder: str) -> DataFrame:
-    tree = h.hierarchy(table(spark, folder, "nodes"))
-    return tree.nodes.join(h.paths(tree), "id", "left").select("id", "kind", "root", "depth", "path", "n_descendants")
+    found = tree(spark, folder)
+    return found.nodes.join(h.paths(found), "id", "left").select("id", "kind", "root", "depth", "path", "n_descendants")
 
 
 def p1_descendants(spark: SparkSession, folder: str) -> DataFrame:
-    return h.descendants(h.hierarchy(table(spark, folder, "nodes")))
+    return h.descendants(tree(spark, folder))
+
+
+def p1_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    """The hierarchy with every contraction round run, down to a hundred rows."""
+    found = h.hierarchy(table(spark, folder, "nodes"), finish_rows=100)
+    return found.nodes.select("id", "kind", "root", "depth", "n_descendants")
 
 
-QUERIES = {"p1_found": p1_found, "p1_hierarchy": p1_hierarchy, "p1_descendants": p1_descendants}
+QUERIES = {"p1_found": p1_found, "p1_hierarchy": p1_hierarchy, "p1_descendants": p1_descendants, "p1_rounds": p1_rounds}
 
 _CUR = """cur AS (
   SELECT id, parent_id FROM (SELECT id, parent_id, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, parent_id DESC NULLS LAST) AS rn FROM nodes WHERE id IS NOT NULL) WHERE rn = 1
@@ -53,5 +61,7 @@ ORACLE = {
     "p1_found": f"{_UP} SELECT id, kind FROM kinds WHERE kind <> 'tree'",
     "p1_hierarchy": f"""{_DOWN}, below AS (SELECT anc, count(*) AS n FROM up GROUP BY anc)
 SELECT k.id, k.kind, d.root, d.depth, d.path, CASE WHEN k.kind <> 'loop' THEN coalesce(b.n, 0) END AS n_descendants FROM kinds k LEFT JOIN down d ON d.id = k.id LEFT JOIN below b ON b.anc = k.id""",
+    "p1_rounds": f"""{_DOWN}, below AS (SELECT anc, count(*) AS n FROM up GROUP BY anc)
+SELECT k.id, k.kind, d.root, d.depth, CASE WHEN k.kind <> 'loop' THEN coalesce(b.n, 0) END AS n_descendants FROM kinds k LEFT JOIN down d ON d.id = k.id LEFT JOIN below b ON b.anc = k.id""",
     "p1_descendants": f"""{_DOWN} SELECT up.anc AS id, up.id AS descendant, d.depth - a.depth AS distance FROM up JOIN down d ON d.id = up.id JOIN down a ON a.id = up.anc""",
 }

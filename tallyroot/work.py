@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import time
 import uuid
 import zipfile
 
@@ -32,16 +33,53 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Folders of applications that ended without deleting them go after so many days.
+KEPT_DAYS = 7
+_folders: dict[str, str] = {}
 _shipped: set[str] = set()
 
 
+def _delete(context, path: str) -> None:
+    jvm = context._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+
+
+def application_folder(spark: SparkSession) -> str:
+    """This application's folder below the shared one, deleted when Python ends; old ones of others are swept once."""
+    context = spark.sparkContext
+    name = context.applicationId
+    if name not in _folders:
+        shared = shared_folder(spark)
+        _folders[name] = f"{shared}/tallyroot-{name}"
+        jvm = context._jvm
+        at = jvm.org.apache.hadoop.fs.Path(shared)
+        files = at.getFileSystem(context._jsc.hadoopConfiguration())
+        if files.exists(at):
+            old = (time.time() - KEPT_DAYS * 86400) * 1000
+            for f in files.listStatus(at):
+                if f.getPath().getName().startswith("tallyroot-") and f.isDirectory() and f.getModificationTime() < old:
+                    files.delete(f.getPath(), True)
+
+        def clean():
+            try:
+                _delete(context, _folders[name])
+            except Exception:  # the JVM is gone: a later application sweeps the folder
+                pass
+
+        atexit.register(clean)
+    return _folders[name]
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once per application, so that their Python can import it."""
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
     here = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="tallyroot-"), "tallyroot.zip")
+    local = tempfile.mkdtemp(prefix="tallyroot-")
+    atexit.register(shutil.rmtree, local, ignore_errors=True)
+    path = os.path.join(local, "tallyroot.zip")
     with zipfile.ZipFile(path, "w") as out:
         for folder, _, names in os.walk(here):
             for name in sorted(names):
@@ -56,13 +94,14 @@ class Workspace:
     """Tables of one operator run, below the shared folder.
 
     `keep` writes a table as parquet and reads it back, so that later steps start from
-    files instead of a long plan; `drop` removes tables that are no longer needed.
+    files instead of a long plan; `drop` removes tables that are no longer needed. What results
+    still read is removed when the application ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
         self.spark = spark
-        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = f"{application_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
         self._kept: list[tuple[DataFrame, str]] = []
 

@@ -61,6 +61,21 @@ def test_stretches(spark):
     assert whole == cut and len(whole) == sum(range(40)) + sum(v % 40 + 1 for v in range(80))
 
 
+def test_chosen_ancestors(spark, monkeypatch):
+    rows = [(v, v - 1 if v % 9 else None, 1, None, None) for v in range(40)] + [(100 + v, v % 40, 1, None, None) for v in range(80)] + [(500, 501, 1, None, None), (502, 500, 1, None, None)]
+    tree = h.hierarchy(spark.createDataFrame(rows, SCHEMA))
+    whole = {tuple(r) for r in h.ancestors(tree).collect()}
+    some = {1, 4, 5, 21, 33, 104, 500}
+    few = spark.createDataFrame([(v,) for v in some], "id long")
+    for most in (256, 1):
+        monkeypatch.setattr(h, "MOST_DEPTHS", most)
+        for kw in ({}, {"stretch": 7}):
+            assert {tuple(r) for r in h.ancestors(tree, among=few, **kw).collect()} == {r for r in whole if r[1] in some}
+        assert {tuple(r) for r in h.ancestors(tree, among=few, up_to=2).collect()} == {r for r in whole if r[1] in some and r[3] <= 2}
+    assert {tuple(r) for r in h.ancestors(tree, up_to=2).collect()} == {r for r in whole if r[3] <= 2}
+    assert {(a, d, n) for a, d, n in map(tuple, h.descendants(tree, few).collect())} == {(r[1], r[0], r[3]) for r in whole if r[1] in some - {500}}
+
+
 def test_empty_and_ties(spark):
     assert h.hierarchy(spark.createDataFrame([], SCHEMA)).nodes.count() == 0
     rows = [(1, None, None, None, None), (2, None, 3, None, None), (2, 1, 3, None, None), (3, 3, None, None, None)]

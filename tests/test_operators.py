@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyroot.functions import text as tx
-from tallyroot.operators import chunking, evaluation, facts, graph, retrieval, sheets, views
+from tallyroot.operators import chunking, evaluation, facts, graph, hierarchy, retrieval, sheets, views
 from tallyroot.sources import readers
 from tallyroot.streaming import incremental
 
@@ -264,12 +264,58 @@ def test_facts(spark):
 
 
 def test_access(spark):
-    nodes = spark.createDataFrame([(1,), (2,), (3,), (4,)], "id long")
-    up = spark.createDataFrame([(2, 1), (3, 2), (3, 1)], "id long, ancestor long")
+    nodes = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, None)], "id long, parent_id long")
+    tree = hierarchy.hierarchy(nodes, order_col=None)
     grants = spark.createDataFrame([(1, "a", "read"), (2, "a", "write"), (2, "b", "read")], "root long, principal string, level string")
-    assert sorted(r.id for r in views.readable(nodes, up, grants, "b").collect()) == [2, 3, 4]
-    assert sorted(r.id for r in views.readable(nodes, up, grants, "c").collect()) == [4]
-    assert {r.id: r.access for r in views.access_keys(nodes, up, grants).collect()} == {1: "a:read", 2: "a:write,b:read", 3: "a:write,b:read", 4: None}
+    ids = lambda df: sorted(r.id for r in df.collect())
+    assert ids(views.readable(nodes, tree, grants, "b")) == [2, 3, 4] and ids(views.readable(nodes, tree, grants, "c")) == [4]
+    assert ids(views.writable(nodes, tree, grants, "a")) == [2, 3, 4] and ids(views.writable(nodes, tree, grants, "b")) == [4]
+    assert {r.id: r.access for r in views.access_keys(nodes, tree, grants).collect()} == {1: "a:read", 2: "a:write,b:read", 3: "a:write,b:read", 4: None}
+    assert [tuple(r) for r in views.access_audit(nodes, tree, grants).collect()] == [(4, 1, 1)]
+
+
+def test_texts_of_containers(spark):
+    from datetime import datetime as dt
+
+    rows = [(1, None, None, None), (2, 1, 1, None), (3, 1, 0, "a"), (4, 2, None, "d"), (5, 2, 3, "c"), (6, 5, 0, "hidden"), (7, 1, 2, " "), (8, 7, 0, "under blank"), (9, 1, 9, None), (10, 9, 0, "summed up")]
+    nodes = spark.createDataFrame([(i, p, o, t, dt(2024, 1, 1)) for i, p, o, t in rows], "id long, parent_id long, position int, content string, created_at timestamp")
+    tree = hierarchy.hierarchy(nodes, order_col=None)
+    got = {r.id: (r.text, r.size, r.members) for r in views.effective_content(nodes, tree).collect()}
+    assert got == {1: ("a\n\nc\n\nd\n\nunder blank\n\nsummed up", 32, 5), 2: ("c\n\nd", 4, 2), 9: ("summed up", 9, 1)}
+    stored = spark.createDataFrame([(9, "short"), (3, "no container")], "id long, text string")
+    got = {r.id: r.text for r in views.effective_content(nodes, tree, stored, most=25).collect()}
+    assert got == {1: None, 2: "c\n\nd", 9: "summed up"}
+    assert {(r.id, r.member) for r in views.frontier(nodes, tree, stored).where("summary").collect()} == {(1, 9)}
+    assert {(r.id, r.member) for r in views.frontier(nodes, tree, depth=1).collect()} == {(1, 3), (2, 4), (2, 5), (9, 10)}
+    few = nodes.where("id in (1, 3)")
+    assert sorted(map(tuple, views.siblings(nodes, few).select("id", "sibling").collect())) == [(3, 2), (3, 7), (3, 9)]
+    assert {tuple(r) for r in views.subtree_to_depth(tree, few, 1).collect()} == {(1, i, 1) for i in (2, 3, 7, 9)}
+    assert {tuple(r) for r in views.children_page(nodes, few, 2, 1).collect()} == {(1, 7, 2, 1), (1, 9, 3, 1)}
+
+
+def test_authority(spark):
+    rnd = np.random.default_rng(2)
+    parent = {i: int(rnd.integers(0, i)) if i % 37 else None for i in range(300)}
+    score = {i: float(rnd.integers(0, 6)) for i in parent}
+    nodes = spark.createDataFrame(list(parent.items()), "id long, parent_id long")
+    scores = spark.createDataFrame(list(score.items()), "id long, score double")
+    tree = hierarchy.hierarchy(nodes, order_col=None)
+    some = sorted(s for s in score.values() if s > 0)
+    reach = some[int(0.75 * (len(some) - 1))]
+    assert graph.quantile_score(scores, 0.75) == reach and graph.quantile_score(scores.limit(0), 0.75) is None
+    below, top = {i: [0.0, 0, 1] for i in parent}, {i: [] for i in parent}
+    for i in parent:
+        up, d = parent[i], 1
+        while up is not None:
+            b = below[up]
+            b[0], b[1], b[2] = b[0] + score[i] * 0.7**d, b[1] + (score[i] >= reach), b[2] + 1
+            top[up].append((-score[i] * 0.7**d, i))
+            up, d = parent[up], d + 1
+    got = {r.id: (round(r.below, 8), r.spread, r["size"]) for r in graph.subtree_authority(scores, tree).collect()}
+    assert got == {i: (round(b[0], 8), b[1], b[2]) for i, b in below.items() if b[2] >= 3}
+    few = graph.contributors(scores, tree, nodes.where("id in (0, 37, 5)"), 3).collect()
+    for i in (0, 37, 5):
+        assert [r.member for r in sorted((r for r in few if r.id == i), key=lambda r: r.place)] == [j for s, j in sorted((round(s, 12), j) for s, j in top[i] if s < 0)[:3]]
 
 
 def test_stream_index(spark, tmp_path):
