@@ -189,12 +189,15 @@ def line_cuts(lines: DataFrame, work: Workspace) -> DataFrame:
     return cuts.where(F.concat("a", F.substring("b", 1, 1)).rlike(r"\p{L}") & ~F.col("a").rlike(r"^\p{N}+$"))
 
 
-def scanned_pages(nodes: DataFrame, usetype: str = "scan:page") -> DataFrame:
-    """(file, id, position, content): the scanned pages in force; null contents and parents included as given."""
-    page = F.col("usetype") == usetype
-    slim = nodes.select("id", "updated_at", "parent_id", "position", "usetype", F.when(page, F.col("content")).alias("content"))
-    cur = in_force(slim, "id", "updated_at", ["parent_id", "position", "usetype", "content"])
-    return cur.where(page & F.col("content").isNotNull()).select(F.col("parent_id").cast("long").alias("file"), F.col("id").cast("long").alias("id"), F.coalesce(F.col("position").cast("long"), F.lit(1 << 40)).alias("position"), "content")
+def nodes_in_force(nodes: DataFrame, work: Workspace) -> DataFrame:
+    """The rows in force, kept: the texts go through one shuffle, and pages and vocabulary are both read from here."""
+    return work.keep(in_force(nodes.select("id", "updated_at", "parent_id", "position", "usetype", "content"), "id", "updated_at", ["parent_id", "position", "usetype", "content"]))
+
+
+def scanned_pages(cur: DataFrame, usetype: str = "scan:page") -> DataFrame:
+    """(file, id, position, content): the scanned pages among rows in force; null contents and parents included as given."""
+    page = (F.col("usetype") == usetype) & F.col("content").isNotNull()
+    return cur.where(page).select(F.col("parent_id").cast("long").alias("file"), F.col("id").cast("long").alias("id"), F.coalesce(F.col("position").cast("long"), F.lit(1 << 40)).alias("position"), "content")
 
 
 def alike_forms(edges: DataFrame, work: Workspace) -> DataFrame:
@@ -268,15 +271,13 @@ def body_lines(pages: DataFrame, edges: DataFrame, work: Workspace) -> DataFrame
     return full.select("file", "id", "position", "seq", "line_no", "text", "gap", "last", pick("nid").alias("next_id"), pick("nno").alias("next_line"), pick("ntext").alias("next_text"), F.coalesce("ngap", F.lit(False)).alias("next_gap"))
 
 
-def vocabulary(nodes: DataFrame, items: DataFrame, usetype: str, work: Workspace) -> tuple[DataFrame, DataFrame]:
+def vocabulary(cur: DataFrame, items: DataFrame, usetype: str, work: Workspace) -> tuple[DataFrame, DataFrame]:
     """(w, f, sk, sk2): words of the corpus with their numbers; (chunk, w): the words of each chunk of a scanned line.
 
     Texts are only cut at blanks; words are taken out of the distinct chunks, after counting.
     Chunks at line ends may hold halves of cut words: they are known, but count nothing.
     """
-    other = F.when(F.col("usetype").eqNullSafe(F.lit(usetype)), None).otherwise(F.col("content"))
-    slim = nodes.select("id", "updated_at", "usetype", other.alias("content"))
-    clean = in_force(slim, "id", "updated_at", ["usetype", "content"]).where("content is not null")
+    clean = cur.where(~F.col("usetype").eqNullSafe(F.lit(usetype)) & F.col("content").isNotNull())
     counted = clean.select(F.explode(chunks(F.col("content"))).alias("chunk")).groupBy("chunk").agg(F.count("*").alias("f"))
     inner = items.groupBy("chunk").agg(F.count_if(F.col("role") == 0).alias("f"))
     found = lambda d: d.select("*", F.explode(F.regexp_extract_all(F.lower("chunk"), F.lit(f"({WORD})"), F.lit(1))).alias("w")).where("length(w) > 1")
@@ -298,11 +299,14 @@ def scan_noise(nodes: DataFrame, usetype: str = "scan:page") -> tuple[DataFrame,
     Extra columns are not read. An empty table gives an empty result.
     """
     work = Workspace(nodes.sparkSession, "scans")
-    pages = work.keep(scanned_pages(nodes, usetype))
+    cur = nodes_in_force(nodes, work)
+    pages = work.keep(scanned_pages(cur, usetype))
     edges = edge_kinds(pages, work)
     lines = work.keep(body_lines(pages, edges, work))
-    items = work.keep(line_chunks(lines))
-    vocab, in_chunks = vocabulary(nodes, items, usetype, work)
+    # Not kept: to cut the lines once more costs less than to write and read a row for each word.
+    items = line_chunks(lines)
+    vocab, in_chunks = vocabulary(cur, items, usetype, work)
+    work.drop(cur)
     plain = F.col("w").rlike(r"\p{L}")
     looks = vocab.where(plain & (F.col("f") > 0)).groupBy("sk").agg(F.max(F.struct("f", "w")).alias("best")).select("sk", F.col("best.f").alias("best_f"), F.col("best.w").alias("best_w"))
     looks = work.keep(looks)
