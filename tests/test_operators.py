@@ -281,7 +281,7 @@ def test_texts_of_containers(spark):
     nodes = spark.createDataFrame([(i, p, o, t, dt(2024, 1, 1)) for i, p, o, t in rows], "id long, parent_id long, position int, content string, created_at timestamp")
     tree = hierarchy.hierarchy(nodes, order_col=None)
     got = {r.id: (r.text, r.size, r.members) for r in views.effective_content(nodes, tree).collect()}
-    assert got == {1: ("a\n\nc\n\nd\n\nunder blank\n\nsummed up", 32, 5), 2: ("c\n\nd", 4, 2), 9: ("summed up", 9, 1)}
+    assert got == {1: ("a\n\nc\n\nd\n\nunder blank\n\nsummed up", 31, 5), 2: ("c\n\nd", 4, 2), 9: ("summed up", 9, 1)}
     stored = spark.createDataFrame([(9, "short"), (3, "no container")], "id long, text string")
     got = {r.id: r.text for r in views.effective_content(nodes, tree, stored, most=25).collect()}
     assert got == {1: None, 2: "c\n\nd", 9: "summed up"}
