@@ -202,16 +202,15 @@ def scanned_pages(cur: DataFrame, usetype: str = "scan:page") -> DataFrame:
 
 def alike_forms(edges: DataFrame, work: Workspace) -> DataFrame:
     """(f0, form, root): forms of outermost lines of a file (f0) that are another, commoner one with a few characters misread, lost or added."""
-    forms = work.keep(edges.where("form is not null and outer").groupBy("f0", "form").agg(F.count_distinct("id").alias("n")))
-    long = forms.where(F.length("form") >= LEAST_FORM)
+    long = edges.where("form is not null and outer").where(F.length("form") >= LEAST_FORM).groupBy("f0", "form").agg(F.count("*").alias("n"))
     pieces = F.transform(F.sequence(F.lit(1), F.length("form") - PIECE + 1), lambda i: F.xxhash64(F.substring("form", i, F.lit(PIECE))))
-    keyed = long.select("f0", "form", "n", F.explode(F.slice(F.array_sort(F.array_distinct(pieces)), 1, PIECES)).alias("piece"))
+    keyed = work.keep(long).select("f0", "form", "n", F.explode(F.slice(F.array_sort(F.array_distinct(pieces)), 1, PIECES)).alias("piece"))
     # A piece's commonest form is what the others are measured against. It is one row for each of
     # the salts, so that no file's members, however many, are one task's work.
     centre = keyed.groupBy("f0", "piece").agg(F.count("*").alias("m"), F.max(F.struct("n", "form")).alias("c")).where("m > 1")
     centre = centre.select("f0", "piece", F.col("c.n").alias("cn"), F.col("c.form").alias("cform"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
     members = keyed.withColumn("salt", F.pmod(F.xxhash64("form"), F.lit(SALTS)).cast("int"))
-    pairs = members.join(centre, ["f0", "piece", "salt"]).where("form <> cform").select("f0", "form", "cn", "cform").distinct()
+    pairs = members.join(centre, ["f0", "piece", "salt"]).where("form <> cform").select("f0", "form", "cn", "cform")
     most = F.floor(F.greatest(F.length("form"), F.length("cform")) * F.lit(APART)).cast("int")
     near = pairs.where((F.abs(F.length("form") - F.length("cform")) <= most) & (F.levenshtein("form", "cform") <= most))
     return near.groupBy("f0", "form").agg(F.max_by("cform", F.struct("cn", "cform")).alias("root"))
@@ -226,7 +225,8 @@ def edge_kinds(pages: DataFrame, work: Workspace) -> DataFrame:
     rooted = edges.where("form is not null").join(alike_forms(edges, work), ["f0", "form"], "left")
     rooted = work.keep(rooted.select("f0", "id", "position", "line_no", "ended", "outer", F.coalesce("root", "form").alias("form"), (F.col("root").isNull()).alias("same")))
     span = F.max("position") - F.min("position") + 1
-    groups = rooted.groupBy("f0", "form").agg(F.count_distinct("id").alias("n"), F.count_distinct(F.when(F.col("same"), F.col("id"))).alias("seed"), span.alias("span"), F.max("ended").alias("ended"))
+    paged = rooted.groupBy("f0", "form", "id").agg(F.max("same").alias("same"), F.max("ended").alias("ended"), F.min("position").alias("position"))
+    groups = paged.groupBy("f0", "form").agg(F.count("*").alias("n"), F.count_if("same").alias("seed"), span.alias("span"), F.max("ended").alias("ended"))
     plain = ((F.col("seed") >= 2) | (F.col("n") >= 3)) & (F.col("n") >= DENSE * F.col("span"))
     own = F.when(F.col("ended"), (F.col("n") >= 3) & (F.col("n") >= DENSE_ENDED * F.col("span"))).otherwise(plain)
     groups = work.keep(groups.withColumn("own", own))
@@ -321,10 +321,12 @@ def scan_noise(nodes: DataFrame, usetype: str = "scan:page") -> tuple[DataFrame,
 
     cuts = line_cuts(lines, work)
     sk = F.pandas_udf(lambda s: s.map(skeleton), "string")
+    # The four words that a cut is judged by are looked up at once.
+    words = F.array(F.concat("a", "b"), F.concat("a", F.lit("-"), "b"), F.col("a"), F.col("b"))
+    asked = cuts.select("id", "line_no", F.posexplode(words).alias("i", "word")).withColumn("sk", sk("word"))
+    got = asked.join(looks, "sk").groupBy("id", "line_no").agg(*[F.max(F.when(F.col("i") == i, F.col("best_f"))).alias(f) for i, f in enumerate(("f_ab", "f_c", "f_a", "f_b"))], *[F.max(F.when(F.col("i") == i, F.col("best_w"))).alias(w) for i, w in enumerate(("whole", "compound"))])
     # Unmarked line ends are cuts only if the halves together are a word, so few of them go on from here.
-    joined = cuts.withColumn("sk", sk(F.concat("a", "b"))).join(looks.select("sk", F.col("best_f").alias("f_ab"), F.col("best_w").alias("whole")), "sk", "left").drop("sk").where("marked or f_ab is not null")
-    for c, word in (("f_c", F.concat("a", F.lit("-"), "b")), ("f_a", F.col("a")), ("f_b", F.col("b"))):
-        joined = joined.withColumn("sk", sk(word)).join(looks.select("sk", F.col("best_f").alias(c), *([F.col("best_w").alias("compound")] if c == "f_c" else [])), "sk", "left").drop("sk")
+    joined = cuts.join(got, ["id", "line_no"], "left").where("marked or f_ab is not null")
     ab, c, fa, fb = (F.coalesce(x, F.lit(0)) for x in ("f_ab", "f_c", "f_a", "f_b"))
     is_cut = F.when(F.col("marked"), (ab >= c) & ((ab > 0) | (F.least(fa, fb) < 2))).otherwise((ab > 1) & (F.least(fa, fb) * RATIO < ab))
     judged = work.keep(joined.withColumn("cut", is_cut))
@@ -333,7 +335,8 @@ def scan_noise(nodes: DataFrame, usetype: str = "scan:page") -> tuple[DataFrame,
     # Whole words: inside a line, and at its ends where no word is cut.
     lead = judged.where("cut or (marked and f_c is not null)").select("id", "line_no", F.lit(2).alias("role"))
     trail = judged.where("cut or (marked and f_c is not null)").select(F.col("next_id").alias("id"), F.col("next_line").alias("line_no"), F.lit(1).alias("role"))
-    whole = items.join(in_chunks.join(wrong, "w"), "chunk").select("id", "line_no", "role", "w", "to")
+    bad_chunks = work.keep(in_chunks.join(wrong, "w"))
+    whole = items.join(bad_chunks, "chunk").select("id", "line_no", "role", "w", "to")
     misread = whole.join(lead.unionByName(trail), ["id", "line_no", "role"], "left_anti").select("id", "line_no", "w", "to")
     # A misread character in a cut word is in the half that the right word does not begin or end with.
     true = F.when(F.col("cut"), F.col("whole")).otherwise(F.regexp_replace("compound", "-", ""))
