@@ -499,3 +499,14 @@ def test_context_blocks(spark):
     rows = [(0, 2, 7, None, 0.5, "late"), (0, 1, 8, "T", 1234.5678, None)]
     got = derive.context_blocks(spark.createDataFrame(rows, "query int, rank int, id long, title string, score double, content string")).collect()
     assert [r.text for r in got] == ["[Source 1: T (8, 1,234.568)]\n\n\n[Source 2: untitled (7, 0.500)]\nlate"]
+
+
+def test_in_force_wide(spark):
+    from tallyroot.operators.current import in_force, in_force_wide
+
+    rnd = random.Random(5)
+    rows = [(rnd.choice([None, *range(40)]), rnd.choice([None, 1, 2, 3]), rnd.choice([None, "a", "b"]), rnd.choice([None, 1])) for _ in range(90)]
+    df = spark.createDataFrame(rows, "id int, updated_at int, content string, position int")
+    both = [sorted(map(str, f(df, "id", "updated_at", ["content", "position"]).collect())) for f in (in_force, in_force_wide)]
+    assert both[0] == both[1]
+    assert in_force_wide(df.limit(0), "id", "updated_at", ["content"]).count() == 0
