@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyroot.operators.current import in_force
+from tallyroot.operators.current import in_force_wide
 from tallyroot.work import Workspace
 
 # Characters that scanning mistakes for each other, by the strokes they are made of.
@@ -190,8 +190,8 @@ def line_cuts(lines: DataFrame, work: Workspace) -> DataFrame:
 
 
 def nodes_in_force(nodes: DataFrame, work: Workspace) -> DataFrame:
-    """The rows in force, kept: the texts go through one shuffle, and pages and vocabulary are both read from here."""
-    return work.keep(in_force(nodes.select("id", "updated_at", "parent_id", "position", "usetype", "content"), "id", "updated_at", ["parent_id", "position", "usetype", "content"]))
+    """The rows in force, kept: pages and vocabulary are both read from here."""
+    return work.keep(in_force_wide(nodes.select("id", "updated_at", "parent_id", "position", "usetype", "content"), "id", "updated_at", ["parent_id", "position", "usetype", "content"]))
 
 
 def scanned_pages(cur: DataFrame, usetype: str = "scan:page") -> DataFrame:
@@ -321,12 +321,15 @@ def scan_noise(nodes: DataFrame, usetype: str = "scan:page") -> tuple[DataFrame,
 
     cuts = line_cuts(lines, work)
     sk = F.pandas_udf(lambda s: s.map(skeleton), "string")
-    # The four words that a cut is judged by are looked up at once.
-    words = F.array(F.concat("a", "b"), F.concat("a", F.lit("-"), "b"), F.col("a"), F.col("b"))
-    asked = cuts.select("id", "line_no", F.posexplode(words).alias("i", "word")).withColumn("sk", sk("word"))
-    got = asked.join(looks, "sk").groupBy("id", "line_no").agg(*[F.max(F.when(F.col("i") == i, F.col("best_f"))).alias(f) for i, f in enumerate(("f_ab", "f_c", "f_a", "f_b"))], *[F.max(F.when(F.col("i") == i, F.col("best_w"))).alias(w) for i, w in enumerate(("whole", "compound"))])
     # Unmarked line ends are cuts only if the halves together are a word, so few of them go on from here.
-    joined = cuts.join(got, ["id", "line_no"], "left").where("marked or f_ab is not null")
+    whole_words = looks.select("sk", F.col("best_f").alias("f_ab"), F.col("best_w").alias("whole"))
+    joined = work.keep(cuts.withColumn("sk", sk(F.concat("a", "b"))).join(whole_words, "sk", "left").drop("sk").where("marked or f_ab is not null"))
+    # The other three words that a cut is judged by are looked up at once.
+    words = F.array(F.concat("a", F.lit("-"), "b"), F.col("a"), F.col("b"))
+    asked = joined.select("id", "line_no", F.posexplode(words).alias("i", "word")).withColumn("sk", sk("word"))
+    best = lambda c, i: F.max(F.when(F.col("i") == i, F.col(c)))
+    got = asked.join(looks, "sk").groupBy("id", "line_no").agg(best("best_f", 0).alias("f_c"), best("best_w", 0).alias("compound"), best("best_f", 1).alias("f_a"), best("best_f", 2).alias("f_b"))
+    joined = joined.join(got, ["id", "line_no"], "left")
     ab, c, fa, fb = (F.coalesce(x, F.lit(0)) for x in ("f_ab", "f_c", "f_a", "f_b"))
     is_cut = F.when(F.col("marked"), (ab >= c) & ((ab > 0) | (F.least(fa, fb) < 2))).otherwise((ab > 1) & (F.least(fa, fb) * RATIO < ab))
     judged = work.keep(joined.withColumn("cut", is_cut))
