@@ -503,10 +503,12 @@ def test_context_blocks(spark):
 
 def test_in_force_wide(spark):
     from tallyroot.operators.current import in_force, in_force_wide
+    from tallyroot.work import Workspace
 
     rnd = random.Random(5)
     rows = [(rnd.choice([None, *range(40)]), rnd.choice([None, 1, 2, 3]), rnd.choice([None, "a", "b"]), rnd.choice([None, 1])) for _ in range(90)]
     df = spark.createDataFrame(rows, "id int, updated_at int, content string, position int")
-    both = [sorted(map(str, f(df, "id", "updated_at", ["content", "position"]).collect())) for f in (in_force, in_force_wide)]
-    assert both[0] == both[1]
-    assert in_force_wide(df.limit(0), "id", "updated_at", ["content"]).count() == 0
+    work, keep = Workspace(spark, "wide"), ["content", "position"]
+    plain = in_force(df, "id", "updated_at", keep).collect()
+    assert sorted(map(str, plain)) == sorted(map(str, in_force_wide(df, "id", "updated_at", keep, work).collect()))
+    assert in_force_wide(df.limit(0), "id", "updated_at", ["content"], work).count() == 0
