@@ -191,7 +191,7 @@ def line_cuts(lines: DataFrame, work: Workspace) -> DataFrame:
 
 def nodes_in_force(nodes: DataFrame, work: Workspace) -> DataFrame:
     """The rows in force, kept: pages and vocabulary are both read from here."""
-    return work.keep(in_force_wide(nodes.select("id", "updated_at", "parent_id", "position", "usetype", "content"), "id", "updated_at", ["parent_id", "position", "usetype", "content"]))
+    return work.keep(in_force_wide(nodes.select("id", "updated_at", "parent_id", "position", "usetype", "content"), "id", "updated_at", ["parent_id", "position", "usetype", "content"], work))
 
 
 def scanned_pages(cur: DataFrame, usetype: str = "scan:page") -> DataFrame:

@@ -169,7 +169,7 @@ def split_nodes(nodes: DataFrame, tokens: DataFrame, limits: DataFrame) -> DataF
     last = tokens.where("document_id is not null").groupBy("document_id").agg((F.max("token_idx") + 1).cast("long").alias("n_tokens"))
     least = min([other[2]] + [r[2] for r in rows.values()])
     last = last.where(F.col("n_tokens") > least)  # others cannot be above any limit
-    cur = in_force_wide(nodes, "id", "updated_at", ["usetype", "content"])
+    cur = in_force_wide(nodes, "id", "updated_at", ["usetype", "content"], work)
     cur = cur.join(last, cur.id == last.document_id, "left").drop("document_id").join(table, F.col("usetype") == F.col("_u"), "left")
     limited = cur.select(
         F.col("id").cast("long").alias("id"),
