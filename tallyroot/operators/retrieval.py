@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,28 +102,51 @@ def truncate_vector(v: Column, dims: int) -> Column:
 
 #: Query vectors sent to the executors at once: with 768 dimensions about 25 MB.
 QUERY_BLOCK = 4096
+#: Document rows, without their vectors, that a task remembers before it lets go of those no query wants.
+MOST_KEPT = 200_000
 
 
 def _nearest(block, k: int, least: float | None):
-    """Per batch of documents the k best of each query of the block, by one matrix product."""
+    """The k best documents of each query of the block in a task, by one matrix product a batch.
+
+    A task keeps what may still be among the best and hands it on once, at its end. All that tie
+    with the k-th stay, so that ties are decided over the whole table.
+    """
 
     def run(batches):
         keys, q = block.value
+        floor = least if least is not None else -np.inf
+        kept: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, dtype="int64"))] * len(keys)
+        frames, at = [], 0
         for frame in batches:
             if not len(frame):
                 continue
             v = np.asarray(frame["v"].tolist(), dtype="float64")
             size = np.sqrt((v * v).sum(axis=1))
-            docs, v = frame[frame.columns[:-1]], v / np.where(size > 0, size, np.nan)[:, None]
-            s = q @ v.T
+            frames.append(frame[frame.columns[:-1]])
+            s = q @ (v / np.where(size > 0, size, np.nan)[:, None]).T
             s[np.isnan(s)] = -np.inf
+            cut = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(keys), -np.inf)
             for i in range(len(keys)):
-                # All that tie with the k-th stay, so that ties are decided over the whole table.
-                cut = np.partition(s[i], -k)[-k] if s.shape[1] > k else -np.inf
-                at = np.flatnonzero((s[i] >= cut) & np.isfinite(s[i]) & (s[i] >= (least if least is not None else -np.inf)))
-                out = docs.iloc[at].copy()
-                out.insert(0, "q", keys[i])
-                out["score"] = s[i, at]
+                old, rows = kept[i]
+                new = np.flatnonzero((s[i] >= cut[i]) & np.isfinite(s[i]) & (s[i] >= floor))
+                old, rows = np.concatenate([old, s[i, new]]), np.concatenate([rows, new + at])
+                if len(old) > k:
+                    stay = old >= np.partition(old, -k)[-k]
+                    old, rows = old[stay], rows[stay]
+                kept[i] = (old, rows)
+            at += len(frame)
+            if at > MOST_KEPT:  # rows that no query wants any more are let go
+                used = np.unique(np.concatenate([rows for _, rows in kept]))
+                frames = [pd.concat(frames, ignore_index=True).iloc[used]]
+                kept, at = [(x, np.searchsorted(used, rows)) for x, rows in kept], len(used)
+        if frames:
+            docs = pd.concat(frames, ignore_index=True)
+            for i in range(0, len(keys), 64):
+                part = kept[i : i + 64]
+                out = docs.iloc[np.concatenate([rows for _, rows in part])].copy()
+                out.insert(0, "q", np.repeat(np.array(keys[i : i + 64]), [len(x) for x, _ in part]))
+                out["score"] = np.concatenate([x for x, _ in part])
                 yield out
 
     return run
@@ -248,14 +272,14 @@ def token_tiers(rows: DataFrame, keep: float = 0.35) -> DataFrame:
     return ranked.select("document_id", "token_idx", tier.cast("int").alias("tier"))
 
 
-def container_bm25(index: Index, terms: DataFrame, nodes: DataFrame, up: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(query, doc, score) of containers, nodes without content: as if their indexed leaves were one text.
+def container_bm25(index: Index, terms: DataFrame, members: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """(query, doc, score) of containers: as if the members of their frontier were one text.
 
-    Term frequencies and lengths of the leaves below a container are added; idf stays that of
-    the leaves. `up`: (id, ancestor).
+    Term frequencies and lengths of a container's members are added; idf stays that of the
+    leaves. `members`: (id, member) as views.frontier gives them; leave out containers that have
+    a summary of their own.
     """
-    containers = nodes.where("content is null").select(F.col("id").alias("ancestor"))
-    above = up.join(containers, "ancestor").select(F.col("id").alias("doc"), "ancestor")
+    above = members.select(F.col("member").alias("doc"), F.col("id").alias("ancestor"))
     weighted = terms.join(index.terms, "term").select("query", "term", (F.col("times") * _idf(index.n)).alias("w"))
     tf = index.postings(terms).join(above, "doc").groupBy("ancestor", "term").agg(F.sum("tf").alias("tf"))
     lengths = index.lengths.join(above, "doc").groupBy("ancestor").agg(F.sum("dl").alias("dl"))

@@ -17,28 +17,41 @@ def mean_vectors(rows: DataFrame, group: str) -> DataFrame:
     return parts.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("i", "x")))["x"].alias("v"), F.max("n").alias("n"))
 
 
-def near_links(vectors: DataFrame, k: int, probes: int | None = None) -> DataFrame:
+def near_links(vectors: DataFrame, k: int, exact: bool = False) -> DataFrame:
     """(src, dst, weight): each vector (id long, v) and its k nearest others by cosine, if that is above 0.
 
-    Exact, in blocks of vectors that meet all others, so the work grows with the square of the
-    rows; with `probes` through the inverted-file index instead, which misses some.
+    Through the inverted-file index, which probes as many cells as find RECALL of the true
+    links; `exact`: in blocks of vectors that meet all others, so the work grows with the square
+    of the rows.
     """
-    if probes is None:
+    if exact:
         found = nearest(vectors.select(F.col("id").alias("doc"), "v"), vectors.select(F.col("id").alias("q"), "v"), k + 1).withColumnRenamed("q", "query")
     else:
-        index = build_vector_index(vectors.withColumnRenamed("id", "doc"), cells=max(1, min(64, vectors.count() // 8)))
-        found = ann_search(index, vectors.withColumnRenamed("id", "query"), k + 1, probes)
+        index = build_vector_index(vectors.withColumnRenamed("id", "doc"), k=k)
+        found = ann_search(index, vectors.withColumnRenamed("id", "query"), k + 1)
     near = top_k(found.select("query", "doc", "score").where("query <> doc"), k).where("score > 0")
     return near.select(F.col("query").alias("src"), F.col("doc").alias("dst"), F.col("score").alias("weight"))
 
 
-def layers(vectors: DataFrame, k: int = 8, most: int = 5, probes: int | None = None) -> DataFrame:
+def reassigned(level: DataFrame, labels: DataFrame, least: int = 2) -> DataFrame:
+    """labels (id, community) in which members of clusters below `least` go to the cluster with the nearest mean; clusters stay if all are so small."""
+    sizes = labels.groupBy("community").agg(F.count("*").alias("n"))
+    small = labels.join(sizes.where(F.col("n") < least), "community", "left_semi").select("id")
+    large = labels.join(sizes.where(F.col("n") >= least), "community", "left_semi")
+    lost = level.join(small, "id", "left_semi")
+    means = mean_vectors(level.join(large, "id"), "community").select(F.col("community").alias("doc"), "v")
+    near = top_k(nearest(means, lost.select(F.col("id").alias("q"), "v"), 1).withColumnRenamed("q", "query"), 1)
+    moved = near.select(F.col("query").alias("id"), F.col("doc").alias("new"))
+    return labels.join(moved, "id", "left").select("id", F.coalesce("new", "community").alias("community"))
+
+
+def layers(vectors: DataFrame, k: int = 8, k_step: int = 0, most: int = 5, exact: bool = False) -> DataFrame:
     """(layer, id, cluster): clusters of vectors (id long, v), then of the clusters' means, and so on.
 
-    In each layer every vector is linked to its k nearest (near_links), and clusters are the
-    communities of those links. A cluster is named by its smallest member and stands for its
-    mean in the next layer. It stops at a single cluster, when nothing merges any more, or after
-    `most` layers.
+    In each layer every vector is linked to its k + layer * k_step nearest (near_links), and clusters
+    are the communities of those links; single vectors join the cluster with the nearest mean. A
+    cluster is named by its smallest member and stands for its mean in the next layer. It stops
+    at a single cluster, when nothing merges any more, or after `most` layers.
     """
     work = Workspace(vectors.sparkSession, "layers")
     level = work.keep(vectors.where("v is not null").select("id", F.transform("v", lambda x: x.cast("double")).alias("v")))
@@ -46,7 +59,10 @@ def layers(vectors: DataFrame, k: int = 8, most: int = 5, probes: int | None = N
     for layer in range(most):
         if size < 2:
             break
-        labels = work.keep(label_communities(level, near_links(level, k, probes)))
+        found = work.keep(label_communities(level, near_links(level, k + layer * k_step, exact)))
+        labels = reassigned(level, found)
+        named = labels.groupBy("community").agg(F.min("id").alias("name"))
+        labels = work.keep(labels.join(named, "community").select("id", F.col("name").alias("community")))
         rows = labels.select(F.lit(layer).alias("layer"), "id", F.col("community").alias("cluster"))
         out = rows if out is None else out.unionByName(rows)
         merged = mean_vectors(level.join(labels, "id"), "community").select(F.col("community").alias("id"), "v")

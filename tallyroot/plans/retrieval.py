@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyroot.functions import text as tx
-from tallyroot.operators import ann, evaluation, retrieval, views
-from tallyroot.plans.trees import sound_ancestors
+from tallyroot.operators import ann, embedding, evaluation, indexing, retrieval, views
+from tallyroot.operators.hierarchy import ancestors
+from tallyroot.plans.trees import tree
 from tallyroot.sources.tables import table
+from tallyroot.work import Workspace
 
 TOP = 10
 
@@ -52,8 +54,17 @@ def r_ann(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "embeddings")
     index = ann.build_vector_index(e.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v")))
     queries = e.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query"), F.col("embedding").alias("v"))
-    # The given vectors lie almost evenly in all directions, so more than half of the 64 cells are probed.
-    return ann.ann_search(index, queries, TOP, 36)
+    return ann.ann_search(index, queries, TOP)
+
+
+def r_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the index finds nine tenths of what the exact search finds, for the stated queries."""
+    e = table(spark, folder, "embeddings")
+    docs = e.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v"))
+    queries = e.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query"), F.col("embedding").alias("v"))
+    truth = retrieval.vector_search(docs, queries, TOP).select("query", "doc")
+    hit = truth.join(r_ann(spark, folder).select("query", "doc", F.lit(1).alias("hit")), ["query", "doc"], "left")
+    return hit.agg(F.count("*").alias("pairs"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
 
 
 def r_mmr(spark: SparkSession, folder: str) -> DataFrame:
@@ -110,23 +121,78 @@ def r_tiers(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.token_tiers(table(spark, folder, "token_embeddings"))
 
 
+def _leaves(spark: SparkSession, folder: str) -> tuple[DataFrame, retrieval.Index, DataFrame]:
+    """Nodes in force, the index of the settled ones with a text, and the terms of the queries."""
+    nodes = Workspace(spark, "leaves").keep(views.current_nodes(table(spark, folder, "nodes"), ["content", "settled", "parent_id", "usetype"]))
+    index = retrieval.build_index(views.settled(nodes).where("content is not null"), "id", "content")
+    return nodes, index, retrieval.query_terms(table(spark, folder, "eval_queries"), "query_id", "query_text")
+
+
+def _containers(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Scores of containers, and of leaves."""
+    nodes, index, terms = _leaves(spark, folder)
+    full = views.settled(nodes).unionByName(nodes.where("content is null and settled <> 'settled'"))
+    members = views.frontier(full, tree(spark, folder))
+    return retrieval.container_bm25(index, terms, members), retrieval.bm25(index, terms)
+
+
 def r_containers(spark: SparkSession, folder: str) -> DataFrame:
-    raw = table(spark, folder, "nodes")
-    nodes = views.current_nodes(raw, ["content", "settled"])
-    leaves = views.settled(nodes).where("content is not null")
-    index = retrieval.build_index(leaves, "id", "content")
-    terms = retrieval.query_terms(table(spark, folder, "eval_queries"), "query_id", "query_text")
-    up = sound_ancestors(spark, folder).select("id", "ancestor")
-    scored = retrieval.container_bm25(index, terms, nodes, up).withColumn("score", F.round("score", 7))
+    scored = _containers(spark, folder)[0].withColumn("score", F.round("score", 7))
     return retrieval.top_k(scored, TOP).select("query", "doc", "score", "rank")
 
 
+def r_merged(spark: SparkSession, folder: str) -> DataFrame:
+    above, leaves = _containers(spark, folder)
+    out = indexing.merged(TOP, container=above.withColumn("score", F.round("score", 7)), leaf=leaves.withColumn("score", F.round("score", 7)))
+    return out.select("query", "doc", "score", "kind", "rank")
+
+
+def _members(spark: SparkSession, folder: str) -> DataFrame:
+    """Three indexes over the folders, by the folder's id, and one over the collections."""
+    n = views.current_nodes(table(spark, folder, "nodes"), ["usetype"]).where("usetype in ('folder', 'collection')")
+    return n.select(F.when(F.col("usetype") == "folder", F.col("id") % 3).otherwise(10).alias("index"), F.col("id").alias("root"))
+
+
+def r_index(spark: SparkSession, folder: str) -> DataFrame:
+    nodes = views.current_nodes(table(spark, folder, "nodes"), ["content", "settled", "usetype"])
+    docs = indexing.indexed(nodes, tree(spark, folder), _members(spark, folder), [*indexing.INDEX_EXCLUDED, "scan:*"])
+    return indexing.index_sizes(docs).select("index", "n", "n_tokens", F.round("avg", 6).alias("avg"))
+
+
+def r_covering(spark: SparkSession, folder: str) -> DataFrame:
+    nodes = views.current_nodes(table(spark, folder, "nodes"), ["usetype"])
+    return indexing.covering(nodes, tree(spark, folder), _members(spark, folder), nodes.where("usetype in ('section', 'folder', 'file')"))
+
+
+def _projected(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    nodes = views.current_nodes(table(spark, folder, "nodes"), ["parent_id", "usetype"])
+    grants = nodes.where("usetype = 'folder'").select(F.col("id").alias("root"), F.concat(F.lit("p"), (F.col("id") % 5).cast("string")).alias("principal"), F.lit("read").alias("level"))
+    return indexing.projected(_lists(spark, folder).select("query", "doc", "score"), nodes, views.readable(nodes, tree(spark, folder), grants, "p1"))
+
+
+def r_projected(spark: SparkSession, folder: str) -> DataFrame:
+    out = _projected(spark, folder)[0]
+    return out.select("query", "parent", "score", "hits", "rank")
+
+
+def r_withheld(spark: SparkSession, folder: str) -> DataFrame:
+    return _projected(spark, folder)[1]
+
+
+def r_rescored(spark: SparkSession, folder: str) -> DataFrame:
+    """The best 30 by BM25, scored anew by a pluggable scorer over the pairs of texts."""
+    index = retrieval.build_index(table(spark, folder, "documents"), "doc_id", "text")
+    asked = table(spark, folder, "eval_queries").select(F.col("query_id").alias("query"), F.col("query_text").alias("text"))
+    scored = retrieval.bm25(index, retrieval.query_terms(asked, "query", "text"))
+    hits = retrieval.top_k(scored.withColumn("score", F.round("score", 7)), 3 * TOP)
+    texts = table(spark, folder, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return embedding.rescore(hits, texts, asked, embedding.shared_terms, TOP).select("query", "doc", F.round("score", 9).alias("score"), "rank")
+
+
 def r_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    raw = table(spark, folder, "nodes")
-    nodes = views.current_nodes(raw, ["content", "settled"])
-    index = retrieval.build_index(views.settled(nodes).where("content is not null"), "id", "content")
-    terms = retrieval.query_terms(table(spark, folder, "eval_queries"), "query_id", "query_text")
-    return retrieval.container_candidates(index, terms, nodes, sound_ancestors(spark, folder).select("id", "ancestor"), 2 * TOP)
+    nodes, index, terms = _leaves(spark, folder)
+    up = ancestors(tree(spark, folder), index.lengths.select(F.col("doc").alias("id")), nodes.where("content is null"), sound=True)
+    return retrieval.container_candidates(index, terms, nodes, up.select("id", "ancestor"), 2 * TOP)
 
 
 def e_metrics(spark: SparkSession, folder: str) -> DataFrame:
@@ -142,7 +208,7 @@ def e_means(spark: SparkSession, folder: str) -> DataFrame:
     return m.select(*[F.round(c, 5).alias(c) for c in ("ndcg", "precision", "recall", "ap", "rr")], "queries")
 
 
-QUERIES = {f.__name__: f for f in (r_terms, r_bm25, r_vector, r_truncated, r_ann, r_mmr, r_maxsim, r_rerank, r_fused, r_hybrid, r_parents, r_boosted, r_routes, r_tiers, r_containers, r_candidates, e_metrics, e_means)}
+QUERIES = {f.__name__: f for f in (r_terms, r_bm25, r_vector, r_truncated, r_ann, r_mmr, r_maxsim, r_rerank, r_fused, r_hybrid, r_parents, r_boosted, r_routes, r_tiers, r_containers, r_merged, r_index, r_covering, r_projected, r_withheld, r_rescored, r_recall, r_candidates, e_metrics, e_means)}
 
 _TOK = "list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda x: length(x) >= 2)"
 _CUR = "cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) AS rn FROM nodes WHERE id IS NOT NULL) WHERE rn = 1)"
@@ -161,6 +227,18 @@ seen AS (SELECT *, sum(hit) OVER (PARTITION BY query ORDER BY rank) AS seen FROM
 per AS (SELECT query, sum(grade / log2(rank + 1)) AS dcg, sum(hit) AS hits, sum(CASE WHEN hit = 1 THEN seen / rank ELSE 0 END) AS aps, min(CASE WHEN hit = 1 THEN rank END) AS f FROM seen GROUP BY 1),
 m AS (SELECT query, round(coalesce(dcg / idcg, 0), 7) AS ndcg, round(coalesce(hits / 10.0, 0), 7) AS precision, round(coalesce(hits::DOUBLE / relevant, 0), 7) AS recall, round(coalesce(aps / least(relevant, 10), 0), 7) AS ap, round(coalesce(1.0 / f, 0), 7) AS rr FROM ideal LEFT JOIN per USING (query))"""
 
+_DOWN = "down(id, path) AS (SELECT id, []::BIGINT[] FROM cur WHERE parent_id IS NULL UNION ALL SELECT cur.id, list_append(d.path, cur.parent_id) FROM cur JOIN down d ON cur.parent_id = d.id)"
+_CHAINED = f"WITH RECURSIVE {_CUR}, {_DOWN}, chain AS (SELECT id, unnest(list_append(path, id)) AS anc, generate_subscripts(list_append(path, id), 1) AS up FROM down)"
+_READABLE = "gov AS (SELECT chain.id, bool_or(anc % 5 = 1) AS mine FROM chain JOIN cur ON cur.id = anc WHERE usetype = 'folder' GROUP BY 1), ok AS (SELECT id FROM cur WHERE id NOT IN (SELECT id FROM gov WHERE NOT mine))"
+_CONTAINERS = f"""WITH RECURSIVE {_CUR}, {_DOWN}, up AS (SELECT id, unnest(path) AS anc, generate_subscripts(path, 1) AS ad FROM down), {_QT},
+toks AS (SELECT id AS doc, {_TOK.format('content')} AS t FROM cur WHERE content IS NOT NULL AND settled = 'settled'),
+docs AS (SELECT doc, len(t) AS dl FROM toks WHERE len(t) > 0), tf AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(t) AS term FROM toks) GROUP BY ALL), {_BM},
+full_ AS (SELECT id FROM cur WHERE settled = 'settled' AND trim(content) <> ''), hid AS (SELECT up.id, max(ad) AS hid FROM up JOIN full_ ON full_.id = anc WHERE up.id IN (SELECT id FROM full_) GROUP BY 1),
+above AS (SELECT up.id AS doc, anc FROM up JOIN full_ ON full_.id = up.id LEFT JOIN hid ON hid.id = up.id JOIN cur c ON c.id = anc WHERE c.content IS NULL AND (hid IS NULL OR ad > hid)),
+ctf AS (SELECT anc, term, sum(tf) AS tf FROM tf JOIN above USING (doc) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
+cdl AS (SELECT anc, sum(dl) AS dl FROM docs JOIN above USING (doc) GROUP BY 1),
+s AS (SELECT query, anc AS doc, round(sum(w * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg))), 7) AS score FROM ctf JOIN w USING (term) JOIN cdl USING (anc), n GROUP BY ALL)"""
+
 ORACLE = {
     "r_terms": f"WITH {_CUR} SELECT term, count(*) AS df FROM (SELECT id, unnest(list_distinct({_TOK.format('content')})) AS term FROM cur) GROUP BY 1",
     "r_bm25": f"""WITH {_QT}, toks AS (SELECT doc_id AS doc, {_TOK.format('text')} AS t FROM documents WHERE text IS NOT NULL),
@@ -191,14 +269,24 @@ SELECT query_id, CASE WHEN n = 0 THEN 'hybrid' WHEN regexp_matches(t, '"[^"]+"')
     "r_tiers": """WITH t AS (SELECT document_id, token_idx, max(importance_score) AS s FROM token_embeddings WHERE importance_score IS NOT NULL AND NOT isnan(importance_score) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY s DESC, token_idx) - 1 AS i, greatest(floor(count(*) OVER (PARTITION BY document_id) * 0.35::DOUBLE), 1) AS n FROM t)
 SELECT document_id, token_idx, ((least(floor(i / greatest(1, floor(n / 10))), 9) + 1) * 5)::INT AS tier FROM r WHERE i < n""",
-    "r_containers": f"""WITH RECURSIVE {_CUR}, down(id, path) AS (SELECT id, []::BIGINT[] FROM cur WHERE parent_id IS NULL UNION ALL SELECT cur.id, list_append(d.path, cur.parent_id) FROM cur JOIN down d ON cur.parent_id = d.id), up AS (SELECT id, unnest(path) AS anc FROM down), {_QT},
-toks AS (SELECT id AS doc, {_TOK.format('content')} AS t FROM cur WHERE content IS NOT NULL AND settled = 'settled'),
+    "r_containers": f"""{_CONTAINERS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM s) SELECT query, doc, score, rank FROM ranked WHERE rank <= 10""",
+    "r_merged": f"""{_CONTAINERS}, leaf AS (SELECT query, doc, round(sum(w * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg))), 7) AS score FROM tf JOIN w USING (term) JOIN docs USING (doc), n GROUP BY ALL),
+both_ AS (SELECT *, 'container' AS kind FROM s UNION ALL SELECT *, 'leaf' FROM leaf), ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM both_) SELECT query, doc, score, kind, rank FROM ranked WHERE rank <= 10""",
+    "r_index": f"""{_CHAINED}, mem AS (SELECT CASE usetype WHEN 'folder' THEN id % 3 ELSE 10 END AS index, id AS root FROM cur WHERE usetype IN ('folder', 'collection')),
+held AS (SELECT DISTINCT index, chain.id FROM chain JOIN mem ON root = anc), d AS (SELECT index, len({_TOK.format('content')}) AS dl FROM held JOIN cur USING (id) WHERE settled = 'settled' AND content IS NOT NULL AND (usetype IS NULL OR NOT (usetype IN ('entity', 'entities', 'summary', 'derived', 'cell') OR usetype LIKE 'scan:%')))
+SELECT index, count(*) AS n, sum(dl)::BIGINT AS n_tokens, round(avg(dl), 6) AS avg FROM d WHERE dl > 0 GROUP BY 1""",
+    "r_covering": f"""{_CHAINED}, mem AS (SELECT CASE usetype WHEN 'folder' THEN id % 3 ELSE 10 END AS index, id AS root FROM cur WHERE usetype IN ('folder', 'collection'))
+SELECT id, index, root FROM (SELECT chain.id, index, root, row_number() OVER (PARTITION BY chain.id ORDER BY up DESC, index) AS k FROM chain JOIN mem ON root = anc JOIN cur ON cur.id = chain.id WHERE usetype IN ('section', 'folder', 'file')) WHERE k = 1""",
+    "r_projected": f"""{_CHAINED}, {_LISTS}, {_READABLE}, p AS (SELECT query, parent_id AS parent, max(score) AS score, count(*) AS hits FROM lists JOIN cur ON cur.id = doc WHERE parent_id IN (SELECT id FROM ok) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, parent) AS rank FROM p) SELECT * FROM r WHERE rank <= 10""",
+    "r_withheld": f"{_CHAINED}, {_LISTS}, {_READABLE} SELECT query, count(*) FILTER (parent_id IN (SELECT id FROM ok)) AS matched, count(*) FILTER (parent_id IS NULL) AS no_parent, count(*) FILTER (parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM ok)) AS withheld FROM lists JOIN cur ON cur.id = doc GROUP BY 1",
+    "r_rescored": f"""WITH {_QT}, toks AS (SELECT doc_id AS doc, {_TOK.format('text')} AS t FROM documents WHERE text IS NOT NULL),
 docs AS (SELECT doc, len(t) AS dl FROM toks WHERE len(t) > 0), tf AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(t) AS term FROM toks) GROUP BY ALL), {_BM},
-above AS (SELECT up.id AS doc, anc FROM up JOIN cur ON cur.id = anc WHERE cur.content IS NULL),
-ctf AS (SELECT anc, term, sum(tf) AS tf FROM tf JOIN above USING (doc) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
-cdl AS (SELECT anc, sum(dl) AS dl FROM docs JOIN above USING (doc) GROUP BY 1),
-s AS (SELECT query, anc AS doc, round(sum(w * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg))), 7) AS score FROM ctf JOIN w USING (term) JOIN cdl USING (anc), n GROUP BY ALL),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM s) SELECT query, doc, score, rank FROM ranked WHERE rank <= 10""",
+s AS (SELECT query, doc, round(sum(w * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg))), 7) AS score FROM tf JOIN w USING (term) JOIN docs USING (doc), n GROUP BY ALL),
+best AS (SELECT query, doc FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM s) WHERE rank <= 30),
+qs AS (SELECT query_id AS query, list_distinct({_TOK.format('query_text')}) AS q FROM eval_queries), n2 AS (SELECT query, doc, len(list_intersect(q, t)) / len(q) AS score FROM best JOIN qs USING (query) JOIN toks USING (doc)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM n2) SELECT query, doc, round(score, 9) AS score, rank FROM r WHERE rank <= 10""",
+    "r_recall": "SELECT 10 * count(*) AS pairs, true AS enough FROM embeddings WHERE vec_id % 100 = 0",
     "r_candidates": f"""WITH RECURSIVE {_CUR}, down(id, path) AS (SELECT id, []::BIGINT[] FROM cur WHERE parent_id IS NULL UNION ALL SELECT cur.id, list_append(d.path, cur.parent_id) FROM cur JOIN down d ON cur.parent_id = d.id), up AS (SELECT id, unnest(path) AS anc FROM down), {_QT},
 tt AS (SELECT id AS doc, unnest(list_distinct({_TOK.format('content')})) AS term FROM cur WHERE content IS NOT NULL AND settled = 'settled'),
 h AS (SELECT query, doc, count(*) AS hits FROM tt JOIN qt USING (term) GROUP BY ALL),
