@@ -42,48 +42,55 @@ LEXICAL = {
     "integer": r"^[+-]?[0-9]+$",
     "long": r"^[+-]?[0-9]+$",
     "int": r"^[+-]?[0-9]+$",
+    "short": r"^[+-]?[0-9]+$",
     "nonNegativeInteger": r"^(\+?[0-9]+|-0+)$",
     "positiveInteger": r"^\+?0*[1-9][0-9]*$",
     "decimal": r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)$",
     "double": r"^([+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?|[+-]?INF|NaN)$",
     "float": r"^([+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?|[+-]?INF|NaN)$",
     "date": r"^-?[0-9]{4,}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])(Z|[+-][0-9]{2}:[0-9]{2})?$",
-    "dateTime": r"^-?[0-9]{4,}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])T([01][0-9]|2[0-4]):[0-5][0-9]:[0-5][0-9](\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})?$",
-    "anyURI": r"^\S*$",
+    "dateTime": r"^-?[0-9]{4,}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])T(([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](\.[0-9]+)?|24:00:00(\.0+)?)(Z|[+-][0-9]{2}:[0-9]{2})?$",
+    "anyURI": r"^\S+$",
 }
 
 
+_SIZED = {"long": "bigint", "int": "int", "short": "smallint"}
+
+
 def valid_literal(value: Column, datatype: Column) -> Column:
     """Whether a literal has the lexical form of its datatype; unlisted datatypes pass; null datatype is a string."""
     out = F.lit(True)
     for name, form in LEXICAL.items():
         ok = value.rlike(form)
-        if name in ("long", "int"):
-            ok = ok & value.try_cast("bigint" if name == "long" else "int").isNotNull()
+        if name in _SIZED:
+            ok = ok & value.try_cast(_SIZED[name]).isNotNull()
         if name in ("date", "dateTime"):
             ok = ok & F.substring(F.regexp_replace(value, "^-", ""), 1, 10).try_cast("date").isNotNull()
         out = F.when(datatype == name, ok).otherwise(out)
     return F.when(value.isNull(), F.lit(False)).otherwise(F.coalesce(out, F.lit(False)))
 
 
-# Words that do not count as content of a query.
-STOPWORDS = "a an and are as at be by for from has have how in is it its of on or that the this to was what when where which who why will with".split()
-QUESTIONS = "how what when where which who why is are can does do did should could would".split()
+# Words that do not count as content of a query, and those that begin a question.
+STOPWORDS = (
+    "a an the is are was were be been being have has had do does did will would could should may might shall can need dare ought used "
+    "to of in for on with at by from as into through during before after above below between out off over under again further then once "
+    "and but or nor not so yet both each few more most other some such no only own same than too very just because if when where how "
+    "what which who whom this that these those i me my we our you your he him his she her it its they them their all any every"
+).split()
+QUESTIONS = "how what why when where who which explain describe".split()
 
 
 def route(query: Column) -> Column:
     """The search method for a query: `fulltext`, `bm25`, `vector` or `hybrid`."""
     text = F.trim(F.coalesce(query, F.lit("")))
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 0)
+    words = tokens(text)
     n = F.size(words)
-    stop = F.size(F.filter(words, lambda w: w.isin(STOPWORDS)))
-    content = n - stop
-    question = F.element_at(words, 1).isin(QUESTIONS) | text.endswith("?")
+    content = F.size(F.filter(words, lambda w: ~w.isin(STOPWORDS)))
+    question = F.coalesce(F.try_element_at(words, F.lit(1)).isin(QUESTIONS), F.lit(False)) | text.endswith("?")
     return (
-        F.when(n == 0, "hybrid")
-        .when(text.rlike('"[^"]+"'), "fulltext")
-        .when(text.rlike(r"\b(AND|OR|NOT)\b"), "fulltext")
-        .when((content <= 2) & (stop / n < 0.4), "bm25")
+        F.when(text == "", "hybrid")
+        .when(text.rlike('"[^"]+"') | text.rlike(r"\b(AND|OR|NOT)\b"), "fulltext")
+        .when((content <= 2) & ((n == 0) | (1 - content / n < 0.4)), "bm25")
         .when((n >= 8) | (question & (n >= 4)), "vector")
         .otherwise("hybrid")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyroot.operators.facts import KEY
+from tallyroot.operators.facts import not_held
 from tallyroot.operators.graph import neighbours
 from tallyroot.work import Workspace
 
@@ -25,11 +25,21 @@ def apply_rule(facts: DataFrame, name: str, first: str, second: str | None, resu
     else:
         b = live.where((F.col("predicate") == second)).select(F.col("subject_id").cast("string").alias("_mid"), F.col("object").alias("_o"), F.col("datatype").alias("_d"))
         new = a.where("datatype is null").join(b, F.col("object") == F.col("_mid")).select("subject_id", F.col("_o").alias("object"), F.col("_d").alias("datatype"))
-    new = new.distinct().withColumn("predicate", F.lit(result)).join(live.select(*KEY), KEY, "left_anti")
+    new = not_held(new.distinct().withColumn("predicate", F.lit(result)), live)
     new = new.withColumns({"derived_by": F.lit(name), "recorded_at": F.lit(now)})
     return given.unionByName(new, allowMissingColumns=True)
 
 
+def rederived_links(links: DataFrame, fresh: DataFrame, producer: str) -> DataFrame:
+    """links with the producer's own replaced by the fresh ones (source_id, target_id, link_type, score); refused where another's link is in the way."""
+    key = ["source_id", "target_id", "link_type"]
+    others = links.where(~F.col("produced_by").eqNullSafe(F.lit(producer)))
+    clash = fresh.join(others.select(*key), key, "left_semi").limit(1).collect()
+    if clash:
+        raise ValueError(f"held by another producer: {tuple(clash[0][c] for c in key)}")
+    return others.unionByName(fresh.dropDuplicates(key).withColumn("produced_by", F.lit(producer)), allowMissingColumns=True)
+
+
 def outstanding(docs: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Documents that have no row in `done` yet."""
     return docs.join(done.select(key), key, "left_anti")

@@ -210,6 +210,61 @@ def children_page(nodes: DataFrame, of: DataFrame, size: int = 50, page: int = 0
     return kids.join(children_counts(nodes), "id").select(F.col("asked").alias("id"), F.col("id").alias("child"), "place", "n_children")
 
 
+def child_stubs(nodes: DataFrame, of: DataFrame, preview: int = 200, how: str = "collapsed") -> DataFrame:
+    """(id, child, place, title, usetype, preview, n_children): how a view of each asked node (id) shows its children.
+
+    how: `collapsed`: the beginning of the child's text; `inline-headings`: its first heading
+    line before that; `first-paragraph`: its first paragraph; `hidden`: no children.
+    """
+    if how not in ("collapsed", "inline-headings", "first-paragraph", "hidden"):
+        raise ValueError(f"no such way: {how!r}")
+    if how == "hidden":
+        nodes = nodes.limit(0)
+    text = F.regexp_replace(F.coalesce("content", F.lit("")), r"^\s+|\s+$", "")
+    begun = F.when(F.char_length(text) <= preview, text).otherwise(F.concat(F.regexp_replace(F.substring(text, 1, preview), r"\s+$", ""), F.lit("…")))
+    head = F.regexp_extract(text, r"(?m)^(#{1,6}[ \t]+\S[^\r\n]*)", 1)
+    shown = {"inline-headings": F.trim(F.concat(head, F.when(head != "", "\n\n").otherwise(""), begun)), "first-paragraph": F.trim(F.regexp_extract(text, r"(?s)^(.*?)(?:\n\n|$)", 1))}.get(how, begun)
+    places = sibling_places(nodes).join(of.select(F.col("id").alias("parent_id")).distinct(), "parent_id", "left_semi")
+    rows = places.join(nodes.select("id", "title", "usetype", F.when(shown != "", shown).alias("preview")), "id").join(children_counts(nodes), "id")
+    return rows.select(F.col("parent_id").alias("id"), F.col("id").alias("child"), "place", "title", "usetype", "preview", "n_children")
+
+
+def with_references(nodes: DataFrame, links: DataFrame, facts: DataFrame, handling: str = "footnotes") -> DataFrame:
+    """(id, text): contents with `[[N]]` and `[[doc:N]]` as links to the nodes' titles, and what the node points at below.
+
+    links: (source_id, target_id, link_type); facts: live (subject_id, predicate, object,
+    datatype). handling: `footnotes` are numbered, `inline-citations` a list under References,
+    `sidebar` footnotes behind a mark, `hidden` leaves them out. Links come before facts, each
+    in order of type and target; an untitled node is named by its id.
+    """
+    if handling not in ("footnotes", "inline-citations", "sidebar", "hidden"):
+        raise ValueError(f"no such handling: {handling!r}")
+    titles = nodes.select(F.col("id").alias("n"), F.when(F.length("title") > 0, F.col("title")).alias("t"))
+    asked = nodes.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(r"\[\[(?:doc:)?(\d{1,18})\]\]"), F.lit(1)))).alias("k")).withColumn("n", F.col("k").cast("long"))
+    named = asked.join(titles, "n", "left").groupBy("id").agg(F.collect_set(F.struct("k", F.coalesce("t", F.concat(F.lit("doc "), "k")).alias("t"))).alias("names"))
+    body = nodes.select("id", F.coalesce("content", F.lit("")).alias("c")).join(named, "id", "left")
+
+    def link(text, x):
+        to = F.concat(F.lit("["), x["t"], F.lit("](/view/"), x["k"], F.lit(")"))
+        return F.replace(F.replace(text, F.concat(F.lit("[["), x["k"], F.lit("]]")), to), F.concat(F.lit("[[doc:"), x["k"], F.lit("]]")), to)
+
+    body = body.select("id", F.when(F.col("names").isNull(), F.col("c")).otherwise(F.aggregate("names", F.col("c"), link)).alias("c"))
+    if handling == "hidden":
+        return body.select("id", F.col("c").alias("text"))
+    out = links.select(F.col("source_id").alias("id"), F.lit(0).alias("o"), F.coalesce("link_type", F.lit("links_to")).alias("p"), F.col("target_id").cast("long").alias("n"), F.lit(None).cast("string").alias("v"))
+    node = F.when(F.col("datatype").isNull(), F.col("object").try_cast("long"))
+    out = out.unionByName(facts.select(F.col("subject_id").alias("id"), F.lit(1).alias("o"), F.col("predicate").alias("p"), node.alias("n"), F.col("object").alias("v")))
+    title = F.concat(F.lit("["), F.coalesce("t", F.concat(F.lit("#"), F.col("n").cast("string"))), F.lit("](/view/"), F.col("n").cast("string"), F.lit(")"))
+    arrow = F.when(F.col("o") == 0, " ").otherwise(" → ")
+    line = F.concat(F.lit("**"), "p", F.lit("**"), arrow, F.when(F.col("n").isNull(), F.col("v")).otherwise(title))
+    held = out.join(titles, "n", "left").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("o", "p", "n", "v", line.alias("l"))))["l"].alias("ls"))
+    mark = (lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), x)) if handling == "footnotes" else (lambda x, i: F.concat(F.lit("- "), x))
+    head = "## References" if handling == "inline-citations" else "## Footnotes"
+    below = F.concat(F.lit(("<!-- sidebar -->\n" if handling == "sidebar" else "") + head + "\n\n"), F.array_join(F.transform("ls", mark), "\n"), F.lit("\n"))
+    gap = F.when((F.col("c") != "") & ~F.col("c").endswith("\n"), "\n\n\n").otherwise("\n\n")
+    return body.join(held, "id", "left").select("id", F.when(F.col("ls").isNull(), F.col("c")).otherwise(F.concat("c", gap, below)).alias("text"))
+
+
 def without_summary(nodes: DataFrame, scores: DataFrame, k: int) -> DataFrame:
     """(id, score): of the k nodes with the highest scores (id, score) those without a child of usetype `summary`."""
     best = scores.orderBy(F.desc("score"), "id").limit(k)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyroot.functions import text as tx
 from tallyroot.functions import templates
-from tallyroot.operators import chunking, derive, facts, fulltext, graph, intervals, sheets, summaries, views
+from tallyroot.operators import chunking, derive, entities, facts, fulltext, graph, intervals, sheets, summaries, views
 from tallyroot.plans.trees import sound_ancestors, tree
 from tallyroot.sources.tables import names, table
 from tallyroot.streaming import incremental
@@ -129,7 +129,7 @@ def g_combined(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def g_pagerank(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.pagerank(_vertices(spark, folder), graph.combined(graph.link_graph(_links(spark, folder))), rounds=3).select("id", F.round("score", 9).alias("score"))
+    return graph.pagerank(_vertices(spark, folder), graph.combined(graph.link_graph(_links(spark, folder)))).select("id", F.round("score", 9).alias("score"))
 
 
 def g_seeded(spark: SparkSession, folder: str) -> DataFrame:
@@ -178,19 +178,26 @@ def g_layers(spark: SparkSession, folder: str) -> DataFrame:
     return summaries.layers(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")))
 
 
-def k_derived(spark: SparkSession, folder: str) -> DataFrame:
-    """Customers lie in nations, nations in regions: a rule places customers within regions."""
+def _placed(spark: SparkSession, folder: str) -> DataFrame:
+    """Facts: customers lie in nations, nations in regions."""
     far = 1_000_000_000
     c = table(spark, folder, "customer").select(F.col("c_custkey").alias("subject_id"), (F.col("c_nationkey") + far).cast("string").alias("object"))
     n = table(spark, folder, "nation").select((F.col("n_nationkey") + far).cast("long").alias("subject_id"), (F.col("n_regionkey") + 2 * far).cast("string").alias("object"))
     none = F.lit(None).cast("string")
-    held = c.unionByName(n).withColumns({"predicate": F.lit("in"), "datatype": none, "derived_by": none, "invalidated_at": F.lit(None).cast("timestamp"), "recorded_at": F.to_timestamp(F.lit(NOW))})
+    return c.unionByName(n).withColumns({"predicate": F.lit("in"), "datatype": none, "derived_by": none, "invalidated_at": F.lit(None).cast("timestamp"), "recorded_at": F.to_timestamp(F.lit(NOW))})
+
+
+def k_derived(spark: SparkSession, folder: str) -> DataFrame:
+    """A rule places customers within regions."""
+    held = _placed(spark, folder)
     out = derive.apply_rule(held, "places", "in", "in", "within", NOW)
     return out.where("derived_by = 'places'").select("subject_id", "predicate", "object")
 
 
 def k_backrefs(spark: SparkSession, folder: str) -> DataFrame:
-    refs = derive.back_references(_links(spark, folder), _facts(spark, folder))
+    # Facts with literals point at nothing; those that place customers and nations do.
+    facts_ = _facts(spark, folder).select("subject_id", "predicate", "object", "datatype", "invalidated_at").unionByName(_placed(spark, folder).select("subject_id", "predicate", "object", "datatype", "invalidated_at"))
+    refs = derive.back_references(_links(spark, folder), facts_)
     return refs.groupBy("id", "kind", "name").agg(F.count("*").alias("n"), F.min("source").alias("first"))
 
 
@@ -233,6 +240,83 @@ def k_contradictions(spark: SparkSession, folder: str) -> DataFrame:
     return graph.lint_contradictions(_facts(spark, folder))
 
 
+def _typed(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers and nations as facts: their classes, segments, balances and nations."""
+    none = F.lit(None).cast("string")
+    row = lambda p, o, d: F.struct(F.lit(p).alias("predicate"), o.cast("string").alias("object"), d.alias("datatype"))
+    c = table(spark, folder, "customer")
+    far = 1_000_000_000
+    facts_ = F.array(row("type", F.lit("Customer"), none), row("segment", F.col("c_mktsegment"), F.lit("string")), row("balance", F.col("c_acctbal").cast("decimal(18,2)"), F.when(F.col("c_custkey") % 10 == 0, "integer").otherwise("decimal")), row("nation", F.col("c_nationkey") + far, F.when(F.col("c_custkey") % 7 == 0, F.lit("string"))))
+    a = c.where("c_custkey % 11 <> 0").select(F.col("c_custkey").alias("subject_id"), F.explode(facts_).alias("f"))
+    n = table(spark, folder, "nation").where("n_nationkey % 4 <> 0").select((F.col("n_nationkey") + far).cast("long").alias("subject_id"), row("type", F.lit("Nation"), none).alias("f"))
+    return a.unionByName(n).select("subject_id", "f.*", F.lit(None).cast("timestamp").alias("invalidated_at"))
+
+
+SHAPES = [
+    '{"shape": "s1", "target_class": "Customer", "path": "segment", "least": 1, "most": 1, "allowed": ["BUILDING", "MACHINERY", "AUTOMOBILE"]}',
+    '{"shape": "s1", "target_class": "Customer", "path": "balance", "least": 1, "datatype": "decimal"}',
+    '{"shape": "s2", "target_class": "Customer", "path": "nation", "class": "Nation"}',
+    '{"shape": "s3", "target_class": "Nation", "path": "name", "least": 1}',
+]
+
+
+def k_shapes(spark: SparkSession, folder: str) -> DataFrame:
+    shapes = facts.shapes_from_json(spark.createDataFrame([(s,) for s in SHAPES], "value string"))
+    return facts.shape_report(_typed(spark, folder), shapes)
+
+
+def k_scope(spark: SparkSession, folder: str) -> DataFrame:
+    """How much of the placed facts is in the scope of some customers and nations, and what its boundary cuts."""
+    f = _placed(spark, folder).withColumn("id", F.xxhash64("subject_id", "object"))
+    far = 1_000_000_000
+    scope = table(spark, folder, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id")).unionByName(table(spark, folder, "nation").where("n_nationkey % 3 = 0").select((F.col("n_nationkey") + far).cast("long").alias("id")))
+    readable = table(spark, folder, "nation").where("n_nationkey % 5 <> 0").select((F.col("n_nationkey") + far).cast("long").alias("id"))
+    inner, cut = facts.scoped_graph(f, scope, readable)
+    return inner.select(F.lit("inner").alias("part"), F.col("subject_id").alias("inside"), F.col("object").try_cast("long").alias("outside")).unionByName(cut.select(F.lit("cut").alias("part"), "inside", "outside"))
+
+
+def k_resolved(spark: SparkSession, folder: str) -> DataFrame:
+    """Titles of sections resolved to folders and collections."""
+    n = _nodes(spark, folder, "title", "usetype", "parent_id").where("title is not null")
+    known = n.where("usetype in ('folder', 'collection')").select("id", F.coalesce("parent_id", F.lit(0)).alias("root"), "title")
+    return entities.resolve(n.where("usetype = 'conversation' or usetype = 'file'").select(F.col("title").alias("name")), known).select("name", "id", F.round("score", 6).alias("score"))
+
+
+def t_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Corpus counts: nodes with and without text, token rows and the nodes that have any, postings, hits, facts by type and links by type."""
+    slim = table(spark, folder, "nodes").withColumn("content", F.when(F.col("content").isNotNull(), F.lit("")))
+    n = views.current_nodes(slim, ["content"]).agg(F.count("*").alias("nodes"), F.count("content").alias("texts"))
+    t = table(spark, folder, "token_embeddings").agg(F.count("*").alias("token_rows"), F.count_distinct("document_id").alias("token_nodes"))
+    kinds = _links(spark, folder).groupBy("link_type").count().agg(F.count("*").alias("link_types"), F.sum("count").alias("links"))
+    dead = facts.supersede(_facts(spark, folder)).agg(F.count("*").alias("facts"), F.count("invalidated_at").alias("superseded"))
+    return n.crossJoin(t).crossJoin(kinds).crossJoin(dead)  # one row each
+
+
+def t_window(spark: SparkSession, folder: str) -> DataFrame:
+    """What came within a window, ends included: nodes, facts, and facts that were superseded."""
+    low, high = F.lit("2024-01-05 00:00:00").cast("timestamp"), F.lit("2024-01-20 00:00:00").cast("timestamp")
+    made = _nodes(spark, folder, "created_at").agg(F.count_if(F.col("created_at").cast("timestamp").between(F.lit("2025-01-02 00:00:00").cast("timestamp"), F.lit("2025-01-05 00:00:00").cast("timestamp"))).alias("nodes"))
+    f = facts.supersede(_facts(spark, folder)).agg(F.count_if(F.col("recorded_at").between(low, high)).alias("facts"), F.count_if(F.col("invalidated_at").between(low, high)).alias("superseded"))
+    return made.crossJoin(f)  # one row each
+
+
+def t_stubs(spark: SparkSession, folder: str) -> DataFrame:
+    n = _nodes(spark, folder, "parent_id", "title", "usetype", "content", "position", "created_at")
+    return views.child_stubs(n, n.where("usetype in ('section', 'conversation')"), 80).select("id", "child", "place", "preview", "n_children")
+
+
+def t_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """Below each collection, to three steps down: nodes by distance; and each folder's place among its siblings."""
+    n = _nodes(spark, folder, "usetype")
+    below = views.subtree_to_depth(tree(spark, folder), n.where("usetype in ('collection', 'folder')"), 3)
+    return below.groupBy("id", "distance").agg(F.count("*").alias("n"))
+
+
+def t_lifecycle(spark: SparkSession, folder: str) -> DataFrame:
+    n = _nodes(spark, folder, "usetype", "settled")
+    return views.subtree_states(n, tree(spark, folder), n.where("usetype in ('collection', 'folder')"))
+
+
 def k_live(spark: SparkSession, folder: str) -> DataFrame:
     live = facts.supersede(_facts(spark, folder)).where("invalidated_at is null")
     return live.select("id", "subject_id", "predicate")
@@ -251,21 +335,65 @@ def k_lines(spark: SparkSession, folder: str) -> DataFrame:
     return facts.ntriples(_facts(spark, folder), "urn:x:")
 
 
-def c_measures(spark: SparkSession, folder: str) -> DataFrame:
-    all_cells = None
-    for name in ("customer", "supplier", "part", "nation", "region"):
+STAR = ("customer", "supplier", "part", "nation", "region", "orders", "lineitem", "events")
+
+
+def _star_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Every cell of every column of the star tables and events."""
+    out = None
+    for name in STAR:
         c = sheets.cells(table(spark, folder, name), name)
-        all_cells = c if all_cells is None else all_cells.unionByName(c)
-    return sheets.measure_columns(all_cells)
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
+def c_measures(spark: SparkSession, folder: str) -> DataFrame:
+    return sheets.measure_columns(_star_cells(spark, folder))
 
 
 def c_containment(spark: SparkSession, folder: str) -> DataFrame:
-    cols = {"customer": ["c_custkey", "c_nationkey"], "orders": ["o_custkey", "o_orderkey"], "nation": ["n_nationkey", "n_regionkey"], "region": ["r_regionkey"], "lineitem": ["l_orderkey", "l_suppkey"], "supplier": ["s_suppkey"]}
-    parts = [sheets.cells(table(spark, folder, name).select(*c), name) for name, c in cols.items()]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return sheets.containment(rows).select("a", "b", "shared", F.round("containment", 6).alias("containment"))
+    return sheets.containment(_star_cells(spark, folder)).select("a", "b", "shared", F.round("containment", 6).alias("containment"))
+
+
+def c_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Containments with mutual ones as one, and what each may mean."""
+    cells = Workspace(spark, "links").keep(_star_cells(spark, folder))
+    unique = sheets.measure_columns(cells).select(F.concat_ws(".", "sheet", "col").alias("c"), "is_unique")
+    return sheets.collapsed(sheets.containment(cells), unique)
+
+
+def c_distinct(spark: SparkSession, folder: str) -> DataFrame:
+    return sheets.capped_distinct(_star_cells(spark, folder), 5000)
+
+
+def c_values(spark: SparkSession, folder: str) -> DataFrame:
+    v = sheets.value_lists(_star_cells(spark, folder), 50)
+    return v.select("sheet", "col", "has_values", F.array_join("values", "|").alias("list"))
+
+
+def c_profile(spark: SparkSession, folder: str) -> DataFrame:
+    cells = Workspace(spark, "profile").keep(_star_cells(spark, folder))
+    out = sheets.profile_text(sheets.measure_columns(cells), sheets.value_lists(cells), 700)
+    return out.select("sheet", "shown", (F.char_length("text") <= 700).alias("fits"), F.size(F.split("text", "\n")).alias("columns"))
+
+
+def c_split(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of nations and customers as prose of at most 60 characters, longer ones cell by cell."""
+    return sheets.split_rows(table(spark, folder, "customer"), "c_custkey", ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"], 60)
+
+
+def c_letters(spark: SparkSession, folder: str) -> DataFrame:
+    """Columns whose letters do not say their position, counted from 0, and the reference of each column's first ten cells."""
+    c = table(spark, folder, "sheet_columns").select("column_id", "position", "letter").distinct()
+    box = sheets.cell_range(F.concat(F.lit("Sheet1!$"), "letter", F.lit("$10:"), "letter", F.lit("1")))
+    return c.select("column_id", (sheets.column_number(F.col("letter")) - 1).alias("number"), box["top"].alias("top"), box["left"].alias("left"), box["bottom"].alias("bottom"))
+
+
+def c_sketched(spark: SparkSession, folder: str) -> DataFrame:
+    """Estimated containments between the columns of which only sketches are kept."""
+    c = table(spark, folder, "sheet_columns").where("column_id is not null").groupBy("column_id").agg(F.max_by(F.struct("sketch", "sketch_count", "sketch_num_perm", "sketch_seed", F.col("column_values").isNull().alias("bare")), "profiled_at").alias("x"))
+    c = c.where("x.bare and x.sketch is not null").select(F.col("column_id").alias("c"), "x.sketch", F.col("x.sketch_count").alias("n"), F.concat_ws("/", "x.sketch_num_perm", "x.sketch_seed").alias("recipe"))
+    return sheets.sketched_containment(c, 0.7).select("a", "b", F.round("estimate", 6).alias("estimate"))
 
 
 def _all_cells(spark: SparkSession, folder: str) -> DataFrame:
@@ -329,13 +457,22 @@ _LINKS = "links AS (SELECT l_suppkey * 2 AS src, l_partkey * 2 + 1 AS dst, l_ret
 _DEG = "deg AS (SELECT vert.id, coalesce(sum(i), 0)::BIGINT AS n_in, coalesce(sum(o), 0)::BIGINT AS n_out FROM vert LEFT JOIN (SELECT src AS id, 0 AS i, 1 AS o FROM links{0} UNION ALL SELECT dst, 1, 0 FROM links{0}) e USING (id) GROUP BY 1)"
 _FACTS = "facts AS (SELECT event_id AS id, user_id AS subject_id, event_type AS predicate, value::DECIMAL(18,2)::VARCHAR AS object, ts AS valid_from, ts + INTERVAL 2 HOUR AS valid_until FROM events)"
 _PR = "".join(
-    f", r{i} AS (SELECT b.id, (0.15 + 0.85 * (SELECT coalesce(sum(score), 0) FROM r{i - 1} WHERE id NOT IN (SELECT src FROM steps))) * b.r + 0.85 * coalesce(m, 0) AS score FROM base b LEFT JOIN (SELECT dst, sum(score * p) AS m FROM steps JOIN r{i - 1} ON r{i - 1}.id = steps.src GROUP BY 1) x ON x.dst = b.id)"
-    for i in range(1, 4)
+    f", r{i} AS MATERIALIZED (SELECT b.id, (0.15 + 0.85 * (SELECT coalesce(sum(score), 0) FROM r{i - 1} WHERE id NOT IN (SELECT src FROM steps))) * b.r + 0.85 * coalesce(m, 0) AS score FROM base b LEFT JOIN (SELECT dst, sum(score * p) AS m FROM steps JOIN r{i - 1} ON r{i - 1}.id = steps.src GROUP BY 1) x ON x.dst = b.id)"
+    for i in range(1, 13)
 )
 _CELLS = lambda names: " UNION ALL ".join(f"SELECT '{t}' AS sheet, '{c}' AS col, {c}::VARCHAR AS value FROM {t}" for t, cs in names.items() for c in cs)
-_MEASURED = {"customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment".split(), "supplier": "s_suppkey s_name s_nationkey s_acctbal".split(), "part": "p_partkey p_name p_brand p_type p_size p_retailprice".split(), "nation": "n_nationkey n_name n_regionkey".split(), "region": "r_regionkey r_name".split()}
-_CONTAINED = {"customer": ["c_custkey", "c_nationkey"], "orders": ["o_custkey", "o_orderkey"], "nation": ["n_nationkey", "n_regionkey"], "region": ["r_regionkey"], "lineitem": ["l_orderkey", "l_suppkey"], "supplier": ["s_suppkey"]}
-_CANON = r"""nullif(CASE WHEN regexp_full_match(trim(value), '[+-]?\d+\.0+') THEN regexp_replace(trim(value), '\.0+$', '') WHEN lower(trim(value)) IN ('true', 'false') THEN upper(trim(value)) ELSE trim(value) END, '')"""
+_MEASURED = {
+    "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment".split(), "supplier": "s_suppkey s_name s_nationkey s_acctbal".split(), "part": "p_partkey p_name p_brand p_type p_size p_retailprice".split(),
+    "nation": "n_nationkey n_name n_regionkey".split(), "region": "r_regionkey r_name".split(), "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority".split(),
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split(), "events": "event_id ts user_id event_type value props".split(),
+}
+_CANON = r"""nullif(CASE WHEN regexp_full_match(trim(value), '[+-]?\d+\.0+') THEN regexp_replace(trim(value), '\.0+$', '') WHEN regexp_full_match(trim(value), '\d{4}-\d{2}-\d{2}[ T]00:00:00(\.0+)?') THEN substring(trim(value), 1, 10) WHEN lower(trim(value)) IN ('true', 'false') THEN upper(trim(value)) ELSE trim(value) END, '')"""
+_CELL = f"cells AS ({_CELLS(_MEASURED)}), v AS (SELECT sheet, col, {_CANON} AS v FROM cells)"
+_FOUND = f"{_CELL}, d AS (SELECT DISTINCT sheet || '.' || col AS c, v FROM v WHERE v IS NOT NULL), sz AS (SELECT c, count(*) AS n FROM d GROUP BY 1 HAVING count(*) >= 2), p AS (SELECT x.c AS a, y.c AS b, count(*) AS shared FROM d x JOIN d y ON x.v = y.v AND x.c <> y.c GROUP BY ALL), found AS (SELECT a, b, shared, shared / n AS containment FROM p JOIN sz ON sz.c = a WHERE b IN (SELECT c FROM sz) AND shared / n >= 0.9)"
+_TYPED = """typed AS (SELECT c_custkey AS id, 'type' AS p, 'Customer' AS o, NULL AS d FROM customer WHERE c_custkey % 11 <> 0 UNION ALL SELECT c_custkey, 'segment', c_mktsegment, 'string' FROM customer WHERE c_custkey % 11 <> 0
+ UNION ALL SELECT c_custkey, 'balance', c_acctbal::DECIMAL(18,2)::VARCHAR, CASE WHEN c_custkey % 10 = 0 THEN 'integer' ELSE 'decimal' END FROM customer WHERE c_custkey % 11 <> 0 UNION ALL SELECT c_custkey, 'nation', (c_nationkey + 1000000000)::VARCHAR, CASE WHEN c_custkey % 7 = 0 THEN 'string' END FROM customer WHERE c_custkey % 11 <> 0
+ UNION ALL SELECT n_nationkey + 1000000000, 'type', 'Nation', NULL FROM nation WHERE n_nationkey % 4 <> 0)"""
+_PLACED = "placed AS (SELECT c_custkey AS s, (c_nationkey + 1000000000)::BIGINT AS o FROM customer UNION ALL SELECT n_nationkey + 1000000000, n_regionkey + 2000000000 FROM nation)"
 
 ORACLE = {
     "t_children": f"WITH {_CUR}, {_KIDS} SELECT cur.id, coalesce(n, 0) AS n_children FROM cur LEFT JOIN kids USING (id)",
@@ -364,7 +501,7 @@ SELECT id, sha256(text) AS hash, length(text)::INT AS size FROM txt""",
     "t_summarised": f"{_DOWN} SELECT anc AS id, count(*) AS below, sum(length(content))::BIGINT AS chars, max(depth - ad) AS height FROM up JOIN cur USING (id) GROUP BY 1",
     "g_degrees": f"WITH {_LINKS}, {_DEG.format('')} SELECT *, n_in + n_out AS n_all FROM deg",
     "g_combined": f"WITH {_LINKS}, e AS (SELECT src, dst, w FROM links UNION ALL SELECT src, dst, w FROM links WHERE t = 'R') SELECT src, dst, round(sum(CASE WHEN w = 0 THEN 1 ELSE w END), 6) AS weight FROM e GROUP BY ALL",
-    "g_pagerank": f"WITH {_LINKS}, e AS (SELECT src, dst, sum(CASE WHEN w = 0 THEN 1 ELSE w END) AS w FROM links GROUP BY ALL), steps AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM e WHERE w > 0), base AS (SELECT id, 1.0 / (SELECT count(*) FROM vert) AS r FROM vert), r0 AS (SELECT id, r AS score FROM base){_PR} SELECT id, round(score, 9) AS score FROM r3",
+    "g_pagerank": f"WITH {_LINKS}, e AS (SELECT src, dst, sum(CASE WHEN w = 0 THEN 1 ELSE w END) AS w FROM links GROUP BY ALL), steps AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM e WHERE w > 0), base AS (SELECT id, 1.0 / (SELECT count(*) FROM vert) AS r FROM vert), r0 AS (SELECT id, r AS score FROM base){_PR} SELECT id, round(score, 9) AS score FROM r12",
     "g_neighbours": f"WITH {_LINKS}, e AS (SELECT src, dst FROM links WHERE t = 'R' UNION ALL SELECT dst, src FROM links WHERE t = 'R'), h0 AS (SELECT min(s_suppkey) * 2 AS id FROM supplier), h1 AS (SELECT dst AS id, min(src) AS via FROM e WHERE src IN (SELECT id FROM h0) AND dst NOT IN (SELECT id FROM h0) GROUP BY 1), h2 AS (SELECT dst AS id, min(src) AS via FROM e WHERE src IN (SELECT id FROM h1) AND dst NOT IN (SELECT id FROM h0 UNION ALL SELECT id FROM h1) GROUP BY 1) SELECT id, 0 AS hops, NULL::BIGINT AS via FROM h0 UNION ALL SELECT id, 1, via FROM h1 UNION ALL SELECT id, 2, via FROM h2",
     "g_components": f"WITH RECURSIVE {_CUR}, e AS (SELECT id AS a, parent_id AS b FROM cur WHERE parent_id IS NOT NULL UNION SELECT parent_id, id FROM cur WHERE parent_id IS NOT NULL), up(id, anc) AS (SELECT id, id FROM cur UNION SELECT up.id, cur.parent_id FROM up JOIN cur ON cur.id = up.anc WHERE cur.parent_id IS NOT NULL), top AS (SELECT id, anc FROM up WHERE anc NOT IN (SELECT id FROM cur WHERE parent_id IS NOT NULL) UNION SELECT id, min(anc) FROM up WHERE anc IN (SELECT x.id FROM cur x JOIN up y ON y.id = x.parent_id AND y.anc = x.id) AND id NOT IN (SELECT id FROM up WHERE anc NOT IN (SELECT id FROM cur WHERE parent_id IS NOT NULL)) GROUP BY id), low AS (SELECT anc AS t, least(min(id), anc) AS c FROM top GROUP BY anc) SELECT top.id, c AS component FROM top JOIN low ON low.t = top.anc",
     "g_authority": f"""{_DOWN}, {_KIDS}, sc AS (SELECT cur.id, coalesce(n, 0)::DOUBLE AS score FROM cur LEFT JOIN kids USING (id)),
@@ -377,7 +514,7 @@ SELECT id, score AS own, round(below, 6) AS below, spread, size, round((score +
 tot AS (SELECT up.id AS leaf, min(CASE WHEN ad = 0 THEN anc END) AS root, sum(sc.score) + max(own.score) AS total FROM up JOIN sc ON sc.id = anc JOIN sc own ON own.id = up.id WHERE up.id NOT IN (SELECT anc FROM up) GROUP BY 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY total DESC, leaf) AS place, max(total) OVER (PARTITION BY root) AS best FROM tot) SELECT root, leaf, total, place FROM r WHERE place <= 5 AND total >= 0.85::DOUBLE * best""",
     "k_derived": "SELECT c_custkey AS subject_id, 'within' AS predicate, (n_regionkey + 2000000000::BIGINT)::VARCHAR AS object FROM customer JOIN nation ON n_nationkey = c_nationkey",
-    "k_backrefs": "SELECT l_partkey * 2 + 1 AS id, 'link' AS kind, l_returnflag AS name, count(*) AS n, min(l_suppkey * 2) AS first FROM lineitem GROUP BY ALL",
+    "k_backrefs": f"WITH {_PLACED} SELECT l_partkey * 2 + 1 AS id, 'link' AS kind, l_returnflag AS name, count(*) AS n, min(l_suppkey * 2) AS first FROM lineitem GROUP BY ALL UNION ALL SELECT o, 'fact', 'in', count(*), min(s) FROM placed GROUP BY ALL",
     "x_named": rf"WITH {_CUR} SELECT id, regexp_replace(lower(trim(title)), '\s+', '_', 'g') AS name, regexp_extract('urn:x#' || title, '([^#/]*)$', 1) AS local FROM cur WHERE content IS NULL AND title IS NOT NULL AND settled <> 'settled'",
     "k_found": f"WITH {_FACTS} SELECT id, subject_id, object FROM facts WHERE predicate = 'click' AND valid_from <= TIMESTAMP '2024-01-15' AND valid_until >= TIMESTAMP '2024-01-15'",
     "k_overlaps": "WITH e AS (SELECT event_id AS id, user_id, event_type AS t, epoch_us(ts) AS s, epoch_us(ts) + 21600000000 AS e FROM events) SELECT a.id AS a, b.id AS b, greatest(a.s, b.s) AS start, least(a.e, b.e) AS stop FROM e a JOIN e b ON a.user_id = b.user_id AND a.t = 'purchase' AND b.t <> 'purchase' AND a.s < b.e AND b.s < a.e",
@@ -387,8 +524,25 @@ r AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY total DESC, leaf)
     "k_stale": f"WITH {_FACTS}, l AS (SELECT *, row_number() OVER (PARTITION BY subject_id, predicate ORDER BY valid_from DESC, object DESC) AS rn FROM facts), a AS (SELECT id, (epoch_us(TIMESTAMP '2025-06-01') - epoch_us(valid_from)) / 86400000000.0 AS age FROM l WHERE rn = 1) SELECT id, floor(age)::BIGINT AS age_days FROM a WHERE age > 90",
     "k_cardinality": f"WITH {_FACTS}, n AS (SELECT u.user_id AS id, count(f.id) AS n FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN facts f ON f.subject_id = u.user_id AND f.predicate = 'purchase' GROUP BY 1) SELECT id, n, 0::BIGINT AS bad FROM n WHERE n < 1 OR n > 20",
     "k_lines": f"""WITH {_FACTS} SELECT '<urn:x:' || subject_id || '> <urn:x:' || predicate || '> "' || object || '"^^<http://www.w3.org/2001/XMLSchema#decimal> .' AS line FROM facts""",
-    "c_measures": rf"WITH cells AS ({_CELLS(_MEASURED)}), v AS (SELECT sheet, col, {_CANON} AS v FROM cells), k AS (SELECT *, CASE WHEN v IS NULL THEN 'empty' WHEN regexp_full_match(v, '[+-]?(\d+(\.\d+)?|\.\d+)([eE][+-]?\d+)?') THEN 'number' ELSE 'text' END AS k FROM v), m AS (SELECT sheet, col, k, count(*) AS n FROM k WHERE k <> 'empty' GROUP BY ALL), best AS (SELECT sheet, col, k AS kind FROM (SELECT *, row_number() OVER (PARTITION BY sheet, col ORDER BY n DESC, k) AS rn FROM m) WHERE rn = 1), t AS (SELECT sheet, col, count(*) AS n_rows, count(v) AS n_filled, count(DISTINCT v) AS n_distinct FROM v GROUP BY ALL) SELECT t.*, n_filled = n_distinct AND n_filled > 0 AS is_unique, coalesce(kind, 'empty') AS kind FROM t LEFT JOIN best USING (sheet, col)",
-    "c_containment": f"WITH cells AS ({_CELLS(_CONTAINED)}), v AS (SELECT DISTINCT sheet || '.' || col AS c, value AS v FROM cells WHERE value IS NOT NULL), s AS (SELECT c, count(*) AS n FROM v GROUP BY 1 HAVING count(*) >= 2), p AS (SELECT x.c AS a, y.c AS b, count(*) AS shared FROM v x JOIN v y ON x.v = y.v AND x.c <> y.c GROUP BY ALL) SELECT a, b, shared, round(shared / n, 6) AS containment FROM p JOIN s ON s.c = a WHERE b IN (SELECT c FROM s) AND shared / n >= 0.9",
+    "c_measures": rf"WITH {_CELL}, k AS (SELECT *, CASE WHEN v IS NULL THEN 'empty' WHEN v IN ('TRUE', 'FALSE') THEN 'bool' WHEN regexp_full_match(v, '[+-]?(\d+(\.\d+)?|\.\d+)([eE][+-]?\d+)?') THEN 'number' WHEN regexp_full_match(v, '\d{{4}}-\d{{2}}-\d{{2}}([ T]\d{{2}}:\d{{2}}(:\d{{2}}(\.\d+)?)?)?') THEN 'date' ELSE 'text' END AS k FROM v), m AS (SELECT sheet, col, k, count(*) AS n FROM k WHERE k <> 'empty' GROUP BY ALL), best AS (SELECT sheet, col, k AS kind FROM (SELECT *, row_number() OVER (PARTITION BY sheet, col ORDER BY n DESC, k) AS rn FROM m) WHERE rn = 1), t AS (SELECT sheet, col, count(*) AS n_rows, count(v) AS n_filled, count(DISTINCT v) AS n_distinct FROM v GROUP BY ALL) SELECT t.*, n_filled = n_distinct AND n_filled > 0 AS is_unique, coalesce(kind, 'empty') AS kind FROM t LEFT JOIN best USING (sheet, col)",
+    "c_containment": f"WITH {_FOUND} SELECT a, b, shared, round(containment, 6) AS containment FROM found",
+    "c_links": f"WITH {_FOUND}, u AS (SELECT sheet || '.' || col AS c, count(v) = count(DISTINCT v) AND count(v) > 0 AS u FROM v GROUP BY 1), f AS (SELECT x.a, x.b, y.a IS NOT NULL AS mutual, ua.u AS ua, ub.u AS ub FROM found x LEFT JOIN found y ON y.a = x.b AND y.b = x.a JOIN u ua ON ua.c = x.a JOIN u ub ON ub.c = x.b) SELECT a, b, mutual, CASE WHEN ub THEN 'key' ELSE 'shared' END AS reading FROM f WHERE NOT mutual OR (CASE WHEN ua <> ub THEN ub ELSE b < a END)",
+    "c_distinct": f"WITH {_CELL} SELECT sheet, col, least(count(DISTINCT v), 5000) AS n_distinct, count(DISTINCT v) > 5000 AS at_least FROM v GROUP BY ALL",
+    "c_values": f"WITH {_CELL} SELECT sheet, col, count(DISTINCT v) <= 50 AS has_values, CASE WHEN count(DISTINCT v) <= 50 THEN array_to_string(list_sort(list(DISTINCT v) FILTER (v IS NOT NULL)), '|') END AS list FROM v GROUP BY ALL HAVING count(v) > 0",
+    "c_letters": "WITH c AS (SELECT DISTINCT column_id, position, letter FROM sheet_columns) SELECT column_id, n - 1 AS number, 1 AS top, n AS left, 10 AS bottom FROM (SELECT *, CASE length(letter) WHEN 1 THEN ascii(letter) - 64 WHEN 2 THEN (ascii(letter) - 64) * 26 + ascii(letter[2]) - 64 END AS n FROM c)",
+    "c_split": "WITH r AS (SELECT c_custkey, 'c_custkey: ' || c_custkey || '.' AS a, 'c_name: ' || c_name || '.' AS b, 'c_nationkey: ' || c_nationkey || '.' AS c, 'c_mktsegment: ' || c_mktsegment || '.' AS d FROM customer), w AS (SELECT *, concat_ws(' ', a, b, c, d) AS t FROM r) SELECT c_custkey, NULL AS col, 0 AS piece, t AS text FROM w WHERE length(t) <= 60 UNION ALL SELECT c_custkey, unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_mktsegment']), 0, unnest([a, b, c, d]) FROM w WHERE length(t) > 60",
+    "c_sketched": """WITH cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY column_id ORDER BY profiled_at DESC) AS rn FROM sheet_columns) WHERE rn = 1 AND column_values IS NULL AND sketch IS NOT NULL),
+s AS (SELECT column_id AS c, sketch_count AS n, sketch_num_perm AS np, sketch_seed AS seed, len(sketch) AS k, unnest(sketch) AS x, generate_subscripts(sketch, 1) AS i FROM cur), e AS (SELECT a.c AS a, b.c AS b, a.n AS na, b.n AS nb, count(*) / a.k AS j FROM s a JOIN s b ON a.np = b.np AND a.seed = b.seed AND a.i = b.i AND a.x = b.x AND a.c <> b.c GROUP BY a.c, b.c, a.n, b.n, a.k)
+SELECT a, b, round(least(j * (na + nb) / (1 + j) / na, 1.0), 6) AS estimate FROM e WHERE least(j * (na + nb) / (1 + j) / na, 1.0) >= 0.7""",
+    "k_shapes": f"""WITH {_TYPED}, c AS (SELECT id FROM typed WHERE p = 'type' AND o = 'Customer'), n AS (SELECT id FROM typed WHERE p = 'type' AND o = 'Nation')
+SELECT 's1' AS shape, id, 'segment' AS path, 'in' AS rule, 1 AS n FROM typed WHERE p = 'segment' AND o NOT IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE') UNION ALL SELECT 's1', id, 'balance', 'datatype', 1 FROM typed WHERE p = 'balance' AND d <> 'decimal'
+UNION ALL SELECT 's2', id, 'nation', 'class', 1 FROM typed WHERE p = 'nation' AND (d IS NOT NULL OR o::BIGINT NOT IN (SELECT id FROM n)) UNION ALL SELECT 's3', id, 'name', 'least', 0 FROM n""",
+    "k_scope": f"WITH {_PLACED}, sc AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT n_nationkey + 1000000000 FROM nation WHERE n_nationkey % 3 = 0), rd AS (SELECT n_nationkey + 1000000000 AS id FROM nation WHERE n_nationkey % 5 <> 0) SELECT 'inner' AS part, s AS inside, o AS outside FROM placed WHERE s IN (SELECT id FROM sc) AND o IN (SELECT id FROM sc) UNION ALL SELECT 'cut', s, o FROM placed WHERE s IN (SELECT id FROM sc) AND o NOT IN (SELECT id FROM sc) AND o IN (SELECT id FROM rd) UNION ALL SELECT 'cut', o, s FROM placed WHERE o IN (SELECT id FROM sc) AND s NOT IN (SELECT id FROM sc) AND s IN (SELECT id FROM rd)",
+    "t_totals": f"WITH {_CUR}, {_LINKS}, {_FACTS}, l AS (SELECT count(*) AS facts, count(*) FILTER (rn > 1) AS superseded FROM (SELECT row_number() OVER (PARTITION BY subject_id, predicate ORDER BY valid_from DESC, object DESC) AS rn FROM facts)) SELECT (SELECT count(*) FROM cur) AS nodes, (SELECT count(content) FROM cur) AS texts, (SELECT count(*) FROM token_embeddings) AS token_rows, (SELECT count(DISTINCT document_id) FROM token_embeddings) AS token_nodes, (SELECT count(DISTINCT t) FROM links) AS link_types, (SELECT count(*) FROM links) AS links, facts, superseded FROM l",
+    "t_window": f"WITH {_CUR}, {_FACTS}, l AS (SELECT valid_from AS r, lead(valid_from) OVER (PARTITION BY subject_id, predicate ORDER BY valid_from, object) AS nxt FROM facts) SELECT (SELECT count(*) FROM cur WHERE created_at BETWEEN TIMESTAMP '2025-01-02' AND TIMESTAMP '2025-01-05') AS nodes, count(*) FILTER (r BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20') AS facts, count(*) FILTER (nxt BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20') AS superseded FROM l",
+    "t_stubs": rf"WITH {_CUR}, {_KIDS}, o AS (SELECT parent_id AS id, id AS child, row_number() OVER (PARTITION BY parent_id ORDER BY position ASC NULLS LAST, created_at, id) - 1 AS place, regexp_replace(coalesce(content, ''), '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g') AS t FROM cur WHERE parent_id IS NOT NULL) SELECT o.id, child, place, nullif(CASE WHEN length(t) <= 80 THEN t ELSE regexp_replace(substring(t, 1, 80), '[ \t\n\r\f\v]+$', '') || '…' END, '') AS preview, coalesce(n, 0) AS n_children FROM o JOIN cur p ON p.id = o.id LEFT JOIN kids ON kids.id = child WHERE p.usetype IN ('section', 'conversation')",
+    "t_levels": f"{_DOWN} SELECT anc AS id, depth - ad AS distance, count(*) AS n FROM up JOIN cur ON cur.id = anc WHERE usetype IN ('collection', 'folder') AND depth - ad <= 3 GROUP BY ALL",
+    "t_lifecycle": f"{_DOWN}, {_CHAIN} SELECT anc AS id, cur.settled, count(*) AS n FROM chain JOIN cur p ON p.id = anc JOIN cur ON cur.id = chain.id WHERE p.usetype IN ('collection', 'folder') GROUP BY ALL",
     "c_prose": "SELECT c_custkey, 'c_custkey: ' || c_custkey || '. c_name: ' || c_name || '. c_mktsegment: ' || c_mktsegment || '.' AS text FROM customer",
     "x_paragraphs": r"WITH p AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\n[ \t]*\n'), lambda p: regexp_replace(p, '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g')), lambda p: p <> '') AS l FROM documents WHERE text IS NOT NULL) SELECT doc_id, (generate_subscripts(l, 1) - 1)::INT AS piece, unnest(l) AS text FROM p",
     "x_fulltext": r"""WITH items AS (SELECT query_id, regexp_extract_all(query_text, '-?"[^"]*"|\S+') AS l FROM eval_queries),

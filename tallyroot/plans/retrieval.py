@@ -261,11 +261,10 @@ s AS (SELECT query, doc, round(sum(CASE method WHEN 'vector' THEN 0.86 WHEN 'bm2
 SELECT query, doc, round(score, 10) AS score, rank FROM r WHERE rank <= 5""",
     "r_parents": f"WITH {_CUR}, {_LISTS} SELECT query, parent_id AS parent, round(sum(score), 6) AS score, max(score) AS best, count(*) AS hits FROM lists JOIN cur ON cur.id = doc WHERE method = 'bm25' AND parent_id IS NOT NULL GROUP BY ALL",
     "r_boosted": f"WITH {_CUR}, {_LISTS} SELECT query, doc, round(score * (1 + 0.5 * coalesce(exp(-ln(2) * greatest(epoch_us(TIMESTAMP '2025-02-01') - epoch_us(coalesce(event_time, created_at)), 0) / 86400000000.0 / 7), 0)), 6) AS score FROM lists JOIN cur ON cur.id = doc WHERE method = 'vector' AND settled = 'settled'",
-    "r_routes": """WITH q AS (SELECT query_id, trim(coalesce(query_text, '')) AS t, list_filter(string_split_regex(lower(trim(coalesce(query_text, ''))), '[^\\p{L}\\p{N}]+'), lambda x: length(x) > 0) AS w FROM eval_queries),
-c AS (SELECT *, len(w) AS n, len(list_filter(w, lambda x: list_contains(string_split('%s', ' '), x))) AS stop FROM q)
-SELECT query_id, CASE WHEN n = 0 THEN 'hybrid' WHEN regexp_matches(t, '"[^"]+"') THEN 'fulltext' WHEN regexp_matches(t, '\\b(AND|OR|NOT)\\b') THEN 'fulltext'
- WHEN n - stop <= 2 AND stop / n < 0.4 THEN 'bm25' WHEN n >= 8 OR ((list_contains(string_split('%s', ' '), w[1]) OR t LIKE '%%?') AND n >= 4) THEN 'vector' ELSE 'hybrid' END AS method FROM c"""
-    % (" ".join(tx.STOPWORDS), " ".join(tx.QUESTIONS)),
+    "r_routes": rf"""WITH q AS (SELECT query_id, trim(coalesce(query_text, '')) AS t, {_TOK.format("coalesce(query_text, '')")} AS w FROM eval_queries),
+c AS (SELECT *, len(w) AS n, len(list_filter(w, lambda x: NOT list_contains(string_split('{" ".join(tx.STOPWORDS)}', ' '), x))) AS content FROM q)
+SELECT query_id, CASE WHEN t = '' THEN 'hybrid' WHEN regexp_matches(t, '"[^"]+"') OR regexp_matches(t, '\b(AND|OR|NOT)\b') THEN 'fulltext'
+ WHEN content <= 2 AND (n = 0 OR 1 - content / n < 0.4) THEN 'bm25' WHEN n >= 8 OR ((coalesce(list_contains(string_split('{" ".join(tx.QUESTIONS)}', ' '), w[1]), false) OR t LIKE '%?') AND n >= 4) THEN 'vector' ELSE 'hybrid' END AS method FROM c""",
     "r_tiers": """WITH t AS (SELECT document_id, token_idx, max(importance_score) AS s FROM token_embeddings WHERE importance_score IS NOT NULL AND NOT isnan(importance_score) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY s DESC, token_idx) - 1 AS i, greatest(floor(count(*) OVER (PARTITION BY document_id) * 0.35::DOUBLE), 1) AS n FROM t)
 SELECT document_id, token_idx, ((least(floor(i / greatest(1, floor(n / 10))), 9) + 1) * 5)::INT AS tier FROM r WHERE i < n""",
