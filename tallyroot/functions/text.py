@@ -132,14 +132,20 @@ def usetype_gate(usetype: Column, wanted: str | list[str] | None = None, exclude
 def canonical_cell(value: Column) -> Column:
     """A cell's text as compared: whole floats as integers, midnight timestamps as dates, booleans in capitals, blank as null."""
     v = F.trim(value)
-    v = F.when(F.lower(v).isin("true", "false"), F.upper(v)).otherwise(v)
-    v = F.when(v.rlike(r"^[+-]?\d+\.0+$"), F.regexp_replace(v, r"\.0+$", "")).otherwise(v)
-    v = F.when(v.rlike(r"^\d{4}-\d{2}-\d{2}[ T]00:00:00(\.0+)?$"), F.substring(v, 1, 10)).otherwise(v)
-    return F.when(v != "", v)
+    return (
+        F.when(F.lower(v).isin("true", "false"), F.upper(v))
+        .when(v.rlike(r"^[+-]?\d+\.0+$"), F.regexp_replace(v, r"\.0+$", ""))
+        .when(v.rlike(r"^\d{4}-\d{2}-\d{2}[ T]00:00:00(\.0+)?$"), F.substring(v, 1, 10))
+        .when(v != "", v)
+    )
 
 
 def cell_kind(value: Column) -> Column:
-    v = canonical_cell(value)
+    return canonical_kind(canonical_cell(value))
+
+
+def canonical_kind(v: Column) -> Column:
+    """The kind of a cell as canonical_cell gives it."""
     return (
         F.when(v.isNull(), "empty")
         .when(v.isin("TRUE", "FALSE"), "bool")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyroot.functions.text import canonical_cell, cell_kind
+from tallyroot.functions.text import canonical_cell, canonical_kind, cell_kind
 from tallyroot.work import Workspace
 
 #: Distinct values up to which a column's values are listed, and up to which they are counted exactly in a report.
@@ -24,8 +24,9 @@ def measure_columns(cell_rows: DataFrame) -> DataFrame:
 
     Values are counted once per distinct value first, so a frequent value is one row after the first aggregation.
     """
-    v = cell_rows.select("sheet", "col", canonical_cell(F.col("value")).alias("v"), cell_kind(F.col("value")).alias("k"))
-    per = v.groupBy("sheet", "col", "v", "k").agg(F.count("*").alias("n"))
+    v = cell_rows.select("sheet", "col", canonical_cell(F.col("value")).alias("v"))
+    # The kind is told from distinct values only.
+    per = v.groupBy("sheet", "col", "v").agg(F.count("*").alias("n")).withColumn("k", canonical_kind(F.col("v")))
     kinds = per.groupBy("sheet", "col", "k").agg(F.sum("n").alias("n"), F.count("v").alias("d"))
     filled = F.col("k") != "empty"
     out = kinds.groupBy("sheet", "col").agg(
