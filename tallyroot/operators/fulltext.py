@@ -43,7 +43,8 @@ def _holds(text, phrase):
 def fulltext(docs: DataFrame, key: str, text: str, queries: DataFrame, query: str, query_text: str) -> DataFrame:
     """(query, doc) that match. A query without a word that must occur matches nothing.
 
-    Candidates are found by one word of each alternative through the postings, then checked.
+    Candidates are found by one word of each alternative through the postings, then checked; a
+    document is matched with as many alternatives as hold its words, so the queries are a stated set.
     """
     ship(docs.sparkSession)
     parsed = F.pandas_udf(lambda s: pd.Series([[{"must": m, "no": n} for m, n in parse(q)] for q in s]), CLAUSES)
@@ -51,8 +52,8 @@ def fulltext(docs: DataFrame, key: str, text: str, queries: DataFrame, query: st
     longest = F.array_max(F.transform(F.flatten("c.must"), lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
     alts = alts.select("query", F.col("c.must").alias("must"), F.col("c.no").alias("no"), longest.alias("term"))
     d = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("doc"), tokens(F.col(text)).alias("t"))
-    wanted = alts.select("term").distinct()
-    near = d.select("doc", "t", F.explode(F.array_distinct("t")).alias("term")).join(wanted, "term", "left_semi")
-    pairs = near.join(alts, "term")
-    ok = F.forall("must", lambda p: _holds(F.col("t"), p)) & ~F.exists("no", lambda p: _holds(F.col("t"), p))
-    return pairs.where(ok).select("query", "doc").distinct()
+    # Only ids go through the joins by term; a document's tokens travel once, to all the alternatives it may match.
+    near = d.select("doc", F.explode(F.array_distinct("t")).alias("term")).join(alts.select("term").distinct(), "term", "left_semi")
+    pairs = near.join(alts, "term").groupBy("doc").agg(F.collect_list(F.struct("query", "must", "no")).alias("asked"))
+    ok = lambda a: F.forall(a["must"], lambda p: _holds(F.col("t"), p)) & ~F.exists(a["no"], lambda p: _holds(F.col("t"), p))
+    return pairs.join(d, "doc").select("doc", F.explode(F.array_distinct(F.transform(F.filter("asked", ok), lambda a: a["query"]))).alias("query")).select("query", "doc")

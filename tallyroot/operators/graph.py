@@ -15,6 +15,8 @@ from tallyroot.operators.hierarchy import Hierarchy, ancestors
 from tallyroot.work import Workspace
 
 DAMPING = 0.85
+#: The level of validity windows without an end or a beginning, above that of any other.
+OPEN = 1000
 
 
 def link_graph(links: DataFrame, types: list[str] | None = None) -> DataFrame:
@@ -74,7 +76,8 @@ def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = DAMPING, ro
     base = work.keep(base)
     summed = edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight")).where("weight > 0")
     out = summed.groupBy("src").agg(F.sum("weight").alias("all"))
-    steps = work.keep(summed.join(out, "src").join(v.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", (F.col("weight") / F.col("all")).alias("p")))
+    # In buckets by their source, the edges stay where they are from round to round; only ranks and sums move.
+    steps = work.keep_bucketed(summed.join(out, "src").join(v.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", (F.col("weight") / F.col("all")).alias("p")), "src")
     if rounds is None:
         return _walk_sum(work, base, steps, damping, tolerance)
     sinks = work.keep(v.join(out.withColumnRenamed("src", "id"), "id", "left_anti"))
@@ -126,6 +129,61 @@ def neighbours(edges: DataFrame, seeds: DataFrame, depth: int, direction: str =
     return reached
 
 
+def bounded_neighbours(edges: DataFrame, seeds: DataFrame, depth: int, limit: int, direction: str = "both", blocked: DataFrame | None = None) -> tuple[DataFrame, bool, bool]:
+    """(id, hops, via) of the nearest `limit` vertices around the seeds, ties by id; whether the limit cut some; whether the depth did.
+
+    The limit is what a caller wants to see at most; seeds are not among it.
+    """
+    work = Workspace(edges.sparkSession, "bounded")
+    wide = work.keep(neighbours(edges, seeds, depth + 1, direction, blocked))
+    inside = wide.where((F.col("hops") > 0) & (F.col("hops") <= depth))
+    n, beyond = wide.agg(F.count_if((F.col("hops") > 0) & (F.col("hops") <= depth)), F.count_if(F.col("hops") > depth)).first()
+    return inside.orderBy("hops", "id").limit(limit), n > limit, beyond > 0 and n <= limit
+
+
+def betweenness(vertices: DataFrame, edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """(id, score): how many shortest paths between others lead through a vertex, each pair's paths counting one together.
+
+    Undirected; weights of parallel edges are added and are lengths; those of 0 and loops are
+    left out. sources: only paths from these vertices (id), a stated set, else from all, which is
+    vertices times edges of work. All sources go at once: distances settle in rounds, then paths
+    are counted forwards and shares passed back along the edges of shortest paths, by number of
+    steps, so there are as many rounds as a shortest path has steps.
+    """
+    work = Workspace(vertices.sparkSession, "betweenness")
+    both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).where("src <> dst")
+    pairs = work.keep_bucketed(both.groupBy("src", "dst").agg(F.sum("weight").alias("w")).where("w > 0"), "src")
+    start = (vertices if sources is None else sources).select("id").distinct()
+    far = work.keep(start.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0.0).alias("d")))
+    front = far
+    while not front.isEmpty():
+        step = front.join(pairs, front.v == pairs.src).select("s", F.col("dst").alias("v"), (F.col("d") + F.col("w")).alias("d"))
+        better = step.groupBy("s", "v").agg(F.min("d").alias("d")).join(far.withColumnRenamed("d", "old"), ["s", "v"], "left").where("old is null or d < old - 1e-12")
+        front = work.keep(better.select("s", "v", "d"))
+        far = work.keep(far.unionByName(front).groupBy("s", "v").agg(F.min("d").alias("d")))
+    ends = far.select("s", F.col("v").alias("dst"), F.col("d").alias("e"))
+    dag = far.join(pairs, far.v == pairs.src).select("s", F.col("v").alias("u"), "dst", (F.col("d") + F.col("w")).alias("d")).join(ends, ["s", "dst"])
+    dag = work.keep(dag.where(F.abs(F.col("d") - F.col("e")) < 1e-9).select("s", "u", F.col("dst").alias("v")))
+
+    def total(rows: DataFrame, come: str, go: str) -> DataFrame:
+        """(s, v, x): rows and all that is passed on from them, step by step, along the edges of shortest paths."""
+        out = now = work.keep(rows)
+        while True:
+            now = work.keep(now.withColumnRenamed("v", come).join(dag, ["s", come]).groupBy("s", F.col(go).alias("v")).agg(F.sum("x").alias("x")))
+            if now.isEmpty():
+                return work.keep(out.groupBy("s", "v").agg(F.sum("x").alias("x")))
+            out = out.unionByName(now)
+
+    # `dag` names its ends u and v; a step forwards comes from u, one back from v.
+    ways = total(start.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("x")), "u", "v")
+    shares = ways.where("s <> v").select("s", "v", (1 / F.col("x")).alias("x"))
+    passed = total(shares, "v", "u")
+    own = ways.withColumnRenamed("x", "n").join(passed, ["s", "v"]).where("s <> v")
+    # What was passed on includes the vertex's own share, which is a path that ends there.
+    score = own.groupBy(F.col("v").alias("id")).agg((F.sum(F.col("n") * F.col("x") - 1) / 2).alias("score"))
+    return vertices.select("id").distinct().join(score, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
 def seeded_rank(vertices: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int = 2, damping: float = DAMPING, rounds: int | None = None) -> DataFrame:
     """(id, score, hops, n_all): PageRank on the seeds' neighbourhood, resetting to the seeds (id, weight); converged unless `rounds` are given."""
     near = neighbours(edges, seeds, hops)
@@ -161,7 +219,7 @@ def label_communities(vertices: DataFrame, edges: DataFrame, rounds: int = 8) ->
     """(id, community): weighted label propagation, ties to the smallest label; odd and even vertices take turns."""
     work = Workspace(edges.sparkSession, "labels")
     both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).where("src <> dst")
-    pairs = work.keep(both.groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
+    pairs = work.keep_bucketed(both.groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "dst")
     labels = work.keep(vertices.select("id").distinct().withColumn("community", F.col("id")))
     for i in range(rounds):
         votes = pairs.join(labels, pairs.dst == labels.id).groupBy("src", "community").agg(F.sum("weight").alias("w"))
@@ -249,12 +307,32 @@ def lint_orphans(vertices: DataFrame, edges: DataFrame, threshold: int = 0) -> D
 def lint_contradictions(facts: DataFrame) -> DataFrame:
     """(a, b): facts of one subject and predicate with different objects whose validity windows overlap, ends included.
 
-    facts: (id, subject_id, predicate, object, valid_from, valid_until), null ends open.
+    facts: (id, subject_id, predicate, object, valid_from, valid_until), null ends open. A window
+    is at home in the one or two buckets, of a width that is a power of two and not below its
+    own, that it touches; open ones in a bucket of all times. Each also visits the buckets of
+    the wider homes that occur, so windows meet in the wider one's home and a subject with very
+    many facts is spread over time. A pair is reported where its common stretch begins.
     """
-    a, b = facts.alias("a"), facts.alias("b")
-    after = lambda x, y: F.col(f"{x}.valid_from").isNull() | F.col(f"{y}.valid_until").isNull() | (F.col(f"{x}.valid_from") <= F.col(f"{y}.valid_until"))
-    same = (F.col("a.subject_id") == F.col("b.subject_id")) & (F.col("a.predicate") == F.col("b.predicate")) & (F.col("a.id") < F.col("b.id"))
-    return a.join(b, same & (F.col("a.object") != F.col("b.object")) & after("a", "b") & after("b", "a")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    number = lambda c: F.col(c).cast("double")
+    low, high = number("valid_from"), number("valid_until")
+    bounded = low.isNotNull() & high.isNotNull()
+    level = F.when(bounded, F.greatest(F.ceil(F.log2(F.greatest(high - low, F.lit(1.0)))), F.lit(0))).otherwise(OPEN).cast("int")
+    rows = facts.where("subject_id is not null and predicate is not null and object is not null").where(~bounded | (low <= high))
+    rows = rows.select("id", "subject_id", "predicate", "object", low.alias("low"), high.alias("high"), level.alias("level"))
+    levels = sorted(r[0] for r in rows.select("level").distinct().collect())  # some sixty at most
+    homes = F.array(*map(F.lit, levels)).cast("array<int>")
+    width = F.pow(F.lit(2.0), F.col("at"))
+    cells = F.when(F.col("at") == OPEN, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.floor(F.col("low") / width), F.floor(F.col("high") / width)))
+    placed = rows.withColumn("at", F.explode(F.filter(homes, lambda x: x >= F.col("level")))).withColumn("cell", F.explode(cells))
+    key = ["subject_id", "predicate", "at", "cell"]
+    names = lambda d, s: d.select(*key, *[F.col(c).alias(f"{c}_{s}") for c in ("id", "object", "low", "high", "level")])
+    both = names(placed.where("level = at"), "x").join(names(placed, "y"), key)
+    # Of two at home on one level the smaller id stands for the pair.
+    both = both.where("object_x <> object_y").where((F.col("level_y") < F.col("level_x")) | (F.col("id_x") < F.col("id_y")))
+    after = lambda p, q: F.col(f"low_{p}").isNull() | F.col(f"high_{q}").isNull() | (F.col(f"low_{p}") <= F.col(f"high_{q}"))
+    begins = (F.col("at") == OPEN) | (F.floor(F.greatest("low_x", "low_y") / width) == F.col("cell"))
+    found = both.where(after("x", "y") & after("y", "x") & begins)
+    return found.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
 
 
 def lint_stale(facts: DataFrame, now, days: int = 90) -> DataFrame:

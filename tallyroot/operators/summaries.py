@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tallyroot.operators.ann import ann_search, build_vector_index
 from tallyroot.operators.graph import label_communities
+from tallyroot.operators.hierarchy import Hierarchy
 from tallyroot.operators.retrieval import nearest, top_k
+from tallyroot.operators.views import effective_content
 from tallyroot.work import Workspace
 
 
@@ -75,6 +77,19 @@ def layers(vectors: DataFrame, k: int = 8, k_step: int = 0, most: int = 5, exact
     return out
 
 
+def rollup(nodes: DataFrame, tree: Hierarchy, window: int, summariser=None) -> DataFrame:
+    """(id, text, how, size): a text for every container: its parts in tree order if they fit the window (characters), else a summary of them.
+
+    summariser: a function from a text column to a text column, such as a pandas UDF around a
+    model; without one, containers beyond the window are `deferred` and have no text.
+    """
+    whole = effective_content(nodes, tree)
+    fits = F.col("size") <= window
+    long = F.lit(None).cast("string") if summariser is None else summariser(F.col("text"))
+    how = F.when(fits, "concatenated").otherwise("deferred" if summariser is None else "summarised")
+    return whole.select("id", F.when(fits, F.col("text")).otherwise(long).alias("text"), how.alias("how"), "size")
+
+
 def bridges(labels: DataFrame, near: DataFrame, least: float = 0.7) -> DataFrame:
     """(a, b, score): similar pairs (query, doc, score) that lie in different clusters (id, community)."""
     pairs = near.where(F.col("score") >= least).select(F.least("query", "doc").alias("a"), F.greatest("query", "doc").alias("b"), "score").where("a <> b")

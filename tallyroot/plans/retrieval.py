@@ -76,7 +76,11 @@ def r_rerank(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "embeddings")
     docs = e.select(F.col("label").cast("long").alias("doc"), F.col("embedding").alias("v"))
     queries = e.where(F.col("vec_id") % 100 == 0).select((F.col("vec_id") % 300).alias("query"), F.col("vec_id").alias("q_idx"), F.lit(1.0).alias("importance"), F.col("embedding").alias("v"))
-    cand = queries.select("query").distinct().join(docs.select("doc").distinct().union(docs.select(F.max("doc") + 1)), how="cross")
+    near = retrieval.nearest(e.select(F.col("label").cast("long").alias("doc"), F.col("vec_id").alias("t"), F.col("embedding").alias("v")), queries.select(F.col("q_idx").alias("q"), "v"), 20)
+    found = retrieval.top_k(near.withColumnRenamed("q", "q_idx"), 20, group="q_idx", doc="t").join(queries.select("q_idx", "query"), "q_idx")
+    # A candidate without tokens, for each query, keeps a score of 0.
+    none = queries.select("query").distinct().withColumn("doc", F.lit(1_000_000).cast("long"))
+    cand = found.select("query", "doc").unionByName(none)
     return retrieval.maxsim_rerank(cand, queries, docs).select("query", "doc", F.round("score", 6).alias("score"))
 
 
@@ -253,8 +257,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc)
 r AS (SELECT *, row_number() OVER (PARTITION BY qi ORDER BY s DESC, doc, ti) AS r FROM s),
 b AS (SELECT qi, doc, max(s) AS s FROM r WHERE r <= 100 GROUP BY ALL) SELECT 1 AS query, doc, round(sum(s), 6) AS score FROM b GROUP BY doc""",
     "r_rerank": """WITH q AS (SELECT vec_id % 300 AS query, vec_id AS qi, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0),
+n AS (SELECT query, qi, label::BIGINT AS doc, row_number() OVER (PARTITION BY qi ORDER BY list_cosine_similarity(v, embedding::DOUBLE[]) DESC, vec_id) AS k FROM q, embeddings), c AS (SELECT DISTINCT query, doc FROM n WHERE k <= 20),
 s AS (SELECT query, qi, label::BIGINT AS doc, max(list_cosine_similarity(v, embedding::DOUBLE[])) AS s FROM q, embeddings GROUP BY ALL)
-SELECT query, doc, round(sum(s), 6) AS score FROM s GROUP BY ALL UNION ALL SELECT DISTINCT query, (SELECT max(label) + 1 FROM embeddings)::BIGINT, 0.0 FROM q""",
+SELECT query, doc, round(sum(s), 6) AS score FROM s JOIN c USING (query, doc) GROUP BY ALL UNION ALL SELECT DISTINCT query, 1000000::BIGINT, 0.0 FROM q""",
     "r_fused": f"WITH {_LISTS} SELECT query, doc, round(sum(CASE method WHEN 'vector' THEN 0.86 WHEN 'bm25' THEN 0.14 ELSE 1.0 END / (60 + rank)), 8) AS score FROM lists GROUP BY ALL",
     "r_hybrid": f"""WITH {_CUR}, {_LISTS}, ok AS (SELECT query, method, doc, row_number() OVER (PARTITION BY query, method ORDER BY score DESC, doc) AS rank FROM lists WHERE method IN ('vector', 'bm25', 'maxsim') AND doc IN (SELECT id FROM cur WHERE settled = 'settled')),
 s AS (SELECT query, doc, round(sum(CASE method WHEN 'vector' THEN 0.86 WHEN 'bm25' THEN 0.14 ELSE 1.0 END::DOUBLE / (60 + rank)), 12) AS score FROM ok WHERE rank <= 15 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM s)

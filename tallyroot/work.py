@@ -104,6 +104,7 @@ class Workspace:
         self.root = f"{application_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
         self._kept: list[tuple[DataFrame, str]] = []
+        self._names: dict[str, str] = {}
 
     def keep(self, df: DataFrame) -> DataFrame:
         self._n += 1
@@ -113,9 +114,22 @@ class Workspace:
         self._kept.append((back, path))
         return back
 
+    def keep_bucketed(self, df: DataFrame, key: str) -> DataFrame:
+        """The same in buckets by `key`, as many as the session has shuffle partitions: joins on the key do not move it any more."""
+        self._n += 1
+        path, name = f"{self.root}/{self._n}", f"tallyroot_{uuid.uuid4().hex}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(name)
+        back = self.spark.table(name)
+        self._kept.append((back, path))
+        self._names[path] = name
+        return back
+
     def drop(self, *tables: DataFrame) -> None:
         jvm = self.spark.sparkContext._jvm
         for frame, path in [x for x in self._kept if any(x[0] is t for t in tables)]:
+            if path in self._names:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self._names.pop(path)}")
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
             self._kept = [x for x in self._kept if x[0] is not frame]
