@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyroot.operators.current import in_force
 from tallyroot.operators.hierarchy import Hierarchy, ancestors
+from tallyroot.work import Workspace
 
 NODE_COLUMNS = ["parent_id", "title", "content", "position", "usetype", "produced_by", "created_at", "event_time", "settled"]
 #: How far down a container's text is looked for, and how many characters are put into one row at most.
@@ -119,7 +120,8 @@ def effective_content(nodes: DataFrame, tree: Hierarchy, summaries: DataFrame |
     Texts above `most` characters are not put together (text null): their parts are those of
     content_parts, in order; size is their length all the same.
     """
-    parts = content_parts(nodes, tree, summaries, depth)
+    # Kept: sizes and texts both come from the parts.
+    parts = Workspace(nodes.sparkSession, "parts").keep(content_parts(nodes, tree, summaries, depth))
     texts = nodes.where("content is not null").select(F.col("id").alias("member"), F.col("content").alias("t"))
     if summaries is not None:
         stored = summaries.groupBy(F.col("id").alias("member")).agg(F.max("text").alias("t"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tallyroot.functions import text as tx
 from tallyroot.functions import templates
 from tallyroot.operators import chunking, derive, entities, facts, fulltext, graph, intervals, sheets, summaries, views
-from tallyroot.plans.trees import sound_ancestors, tree
+from tallyroot.plans.trees import kept_tree as tree
+from tallyroot.plans.trees import sound_ancestors
 from tallyroot.sources.tables import names, table
 from tallyroot.streaming import incremental
 from tallyroot.work import Workspace
@@ -138,11 +139,10 @@ def g_seeded(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def g_betweenness(spark: SparkSession, folder: str) -> DataFrame:
-    """Shortest paths along parent links from every node whose id is divisible by 100."""
-    found = tree(spark, folder).nodes.where("kind = 'tree'").select("id")
-    n = _nodes(spark, folder, "parent_id").join(found, "id", "left_semi")
-    edges = n.where("parent_id is not null").select(F.col("id").alias("src"), F.col("parent_id").alias("dst"), F.lit(1.0).alias("weight"))
-    return graph.betweenness(n, edges, n.where("id % 100 = 0")).select("id", F.round("score", 6).alias("score"))
+    """Shortest paths between customers, nations and regions, from every customer whose id is divisible by 100."""
+    edges = _placed(spark, folder).select(F.col("subject_id").alias("src"), F.col("object").cast("long").alias("dst"), F.lit(1.0).alias("weight"))
+    v = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    return graph.betweenness(v, edges, v.where("id < 1000000000 and id % 100 = 0")).select("id", F.round("score", 6).alias("score"))
 
 
 def t_rollup(spark: SparkSession, folder: str) -> DataFrame:
@@ -523,7 +523,7 @@ SELECT id, sha256(text) AS hash, length(text)::INT AS size FROM txt""",
     "g_degrees": f"WITH {_LINKS}, {_DEG.format('')} SELECT *, n_in + n_out AS n_all FROM deg",
     "g_combined": f"WITH {_LINKS}, e AS (SELECT src, dst, w FROM links UNION ALL SELECT src, dst, w FROM links WHERE t = 'R') SELECT src, dst, round(sum(CASE WHEN w = 0 THEN 1 ELSE w END), 6) AS weight FROM e GROUP BY ALL",
     "g_pagerank": f"WITH {_LINKS}, e AS (SELECT src, dst, sum(CASE WHEN w = 0 THEN 1 ELSE w END) AS w FROM links GROUP BY ALL), steps AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM e WHERE w > 0), base AS (SELECT id, 1.0 / (SELECT count(*) FROM vert) AS r FROM vert), r0 AS (SELECT id, r AS score FROM base){_PR} SELECT id, round(score, 9) AS score FROM r12",
-    "g_betweenness": f"{_DOWN}, d AS (SELECT id, len(path) AS depth, coalesce(path[1], id) AS root FROM down), sz AS (SELECT d.id, d.root, d.depth, 1 + (SELECT count(*) FROM up WHERE up.anc = d.id) AS n FROM d), tot AS (SELECT root, n AS total FROM sz WHERE depth = 0), src AS (SELECT id AS s, root FROM d WHERE id % 100 = 0), b AS (SELECT v.id, CASE WHEN u.id IS NULL THEN v.n - 1 ELSE total - c.n - 1 END AS x FROM sz v JOIN src ON src.root = v.root AND src.s <> v.id JOIN tot ON tot.root = v.root LEFT JOIN up u ON u.id = src.s AND u.anc = v.id LEFT JOIN (SELECT id, anc, ad FROM up UNION ALL SELECT id, id, depth FROM d) nx ON nx.id = src.s AND nx.ad = u.ad + 1 LEFT JOIN sz c ON c.id = nx.anc) SELECT d.id, round(coalesce(sum(x), 0) / 2.0, 6) AS score FROM d LEFT JOIN b USING (id) GROUP BY 1",
+    "g_betweenness": "WITH n AS (SELECT n_nationkey AS n, any_value(n_regionkey) AS r, count(c_custkey) AS c FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1), t AS (SELECT r, 1 + sum(c + 1) AS total FROM n GROUP BY 1), s AS (SELECT n, r, c, total, (SELECT count(*) FROM customer WHERE c_nationkey = n AND c_custkey % 100 = 0) AS k FROM n JOIN t USING (r)) SELECT n + 1000000000 AS id, round((k * (total - 2) + (sum(k) OVER (PARTITION BY r) - k) * c) / 2.0, 6)::DOUBLE AS score FROM s UNION ALL SELECT r + 2000000000, round(sum(k * (total - (c + 1) - 1)) / 2.0, 6)::DOUBLE FROM s GROUP BY r UNION ALL SELECT c_custkey, 0.0 FROM customer",
     "c_sheets": "WITH c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY column_id ORDER BY profiled_at DESC) AS rn FROM sheet_columns) WHERE rn = 1) SELECT sheet_id, max(sheet_name) AS name, count(*) AS columns, count(*) FILTER (is_unique) AS n_unique, string_agg(coalesce(column_name, letter), ', ' ORDER BY position) AS names FROM c GROUP BY 1",
     "g_neighbours": f"WITH {_LINKS}, e AS (SELECT src, dst FROM links WHERE t = 'R' UNION ALL SELECT dst, src FROM links WHERE t = 'R'), h0 AS (SELECT min(s_suppkey) * 2 AS id FROM supplier), h1 AS (SELECT dst AS id, min(src) AS via FROM e WHERE src IN (SELECT id FROM h0) AND dst NOT IN (SELECT id FROM h0) GROUP BY 1), h2 AS (SELECT dst AS id, min(src) AS via FROM e WHERE src IN (SELECT id FROM h1) AND dst NOT IN (SELECT id FROM h0 UNION ALL SELECT id FROM h1) GROUP BY 1) SELECT id, 0 AS hops, NULL::BIGINT AS via FROM h0 UNION ALL SELECT id, 1, via FROM h1 UNION ALL SELECT id, 2, via FROM h2",
     "g_components": f"WITH RECURSIVE {_CUR}, e AS (SELECT id AS a, parent_id AS b FROM cur WHERE parent_id IS NOT NULL UNION SELECT parent_id, id FROM cur WHERE parent_id IS NOT NULL), up(id, anc) AS (SELECT id, id FROM cur UNION SELECT up.id, cur.parent_id FROM up JOIN cur ON cur.id = up.anc WHERE cur.parent_id IS NOT NULL), top AS (SELECT id, anc FROM up WHERE anc NOT IN (SELECT id FROM cur WHERE parent_id IS NOT NULL) UNION SELECT id, min(anc) FROM up WHERE anc IN (SELECT x.id FROM cur x JOIN up y ON y.id = x.parent_id AND y.anc = x.id) AND id NOT IN (SELECT id FROM up WHERE anc NOT IN (SELECT id FROM cur WHERE parent_id IS NOT NULL)) GROUP BY id), low AS (SELECT anc AS t, least(min(id), anc) AS c FROM top GROUP BY anc) SELECT top.id, c AS component FROM top JOIN low ON low.t = top.anc",

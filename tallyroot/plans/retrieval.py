@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyroot.functions import text as tx
 from tallyroot.operators import ann, embedding, evaluation, indexing, retrieval, views
 from tallyroot.operators.hierarchy import ancestors
-from tallyroot.plans.trees import tree
+from tallyroot.plans.trees import kept_tree as tree
 from tallyroot.sources.tables import table
 from tallyroot.work import Workspace
 

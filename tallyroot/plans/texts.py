@@ -74,7 +74,7 @@ def t_importance(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def t_settle(spark: SparkSession, folder: str) -> DataFrame:
-    from tallyroot.plans.trees import tree
+    from tallyroot.plans.trees import kept_tree as tree
 
     return tasks.settle(current_nodes(table(spark, folder, "nodes"), ["parent_id", "settled"]), tree(spark, folder))
 

@@ -13,6 +13,12 @@ def tree(spark: SparkSession, folder: str) -> h.Hierarchy:
     return h.hierarchy(table(spark, folder, "nodes"))
 
 
+def kept_tree(spark: SparkSession, folder: str) -> h.Hierarchy:
+    """The same with its nodes written, for queries that look into it several times."""
+    found = tree(spark, folder)
+    return h.Hierarchy(found.work.keep(found.nodes), found.work)
+
+
 def sound_ancestors(spark: SparkSession, folder: str) -> DataFrame:
     """(id, ancestor, ancestor_depth, distance): nodes of sound trees with those above them."""
     return h.ancestors(tree(spark, folder), sound=True)
