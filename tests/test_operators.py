@@ -34,10 +34,10 @@ def test_rrf_ties(spark):
 def test_container_is_concatenation(spark):
     """A container scores as its leaves' concatenation would under the leaves' statistics."""
     nodes = spark.createDataFrame([(1, None), (2, "alpha beta gamma"), (3, "beta delta"), (4, "epsilon zeta beta")], "id long, content string")
-    up = spark.createDataFrame([(2, 1), (3, 1)], "id long, ancestor long")
+    members = spark.createDataFrame([(1, 2), (1, 3)], "id long, member long")
     index = retrieval.build_index(nodes, "id", "content")
     terms = retrieval.query_terms(spark.createDataFrame([(0, "Beta gamma, beta")], "q int, t string"), "q", "t")
-    got = retrieval.container_bm25(index, terms, nodes, up).collect()
+    got = retrieval.container_bm25(index, terms, members).collect()
     whole = retrieval.build_index(spark.createDataFrame([(1, "alpha beta gamma beta delta")], "id long, content string"), "id", "content")
     want = retrieval.bm25(retrieval.Index(whole.occurrences, whole.lengths, index.terms, index.n, index.avg), terms).collect()
     assert len(got) == 1 and got[0].doc == 1 and abs(got[0].score - want[0].score) < 1e-12
