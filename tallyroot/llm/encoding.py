@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import regex
-from pyspark import SparkFiles
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -122,7 +122,7 @@ _sent: set[tuple[str, str]] = set()
 def encoder(path: str) -> TrieEncoder:
     """The encoder of a vocabulary file, one per process; on an executor the file is the copy it was sent."""
     if path not in _loaded:
-        sent = SparkFiles.get(os.path.basename(path))
+        sent = SparkFiles.get(os.path.basename(path)) if TaskContext.get() else path
         _loaded[path] = TrieEncoder(sent if os.path.exists(sent) else path)
     return _loaded[path]
 
