@@ -31,6 +31,11 @@ def local_name(iri: Column) -> Column:
     return F.regexp_extract(iri, r"([^#/]*)$", 1)
 
 
+def minted_iri(base: str, kind: str, key: Column) -> Column:
+    """base/kind/key, the key with every character that is not safe in a name percent-encoded."""
+    return F.concat(F.lit(f"{base.rstrip('/')}/{kind}/"), F.replace(F.url_encode(key.cast("string")), F.lit("+"), F.lit("%20")))
+
+
 def valid_iri(iri: Column) -> Column:
     return iri.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:[^\s<>\"{}|\\^`]+$")
 

@@ -44,3 +44,12 @@ def means(per_query: DataFrame) -> DataFrame:
         raise ValueError("no query was judged")
     names = [c for c in per_query.columns if c != "query"]
     return per_query.agg(*[F.avg(c).alias(c) for c in names], F.count("*").alias("queries"))
+
+
+def report(run: DataFrame, judgments: DataFrame, depth: int, k: int = 10, deep: int = 100) -> DataFrame:
+    """One row: means of the metrics at k, and of the recall at `deep`, which is withheld (null) for runs of fewer than `deep` ranks."""
+    near = means(metrics(run, judgments, k))
+    if depth < deep:
+        return near.withColumn(f"recall_{deep}", F.lit(None).cast("double"))
+    far = means(metrics(run, judgments, deep)).select(F.col("recall").alias(f"recall_{deep}"))
+    return near.crossJoin(far)  # one row each

@@ -361,6 +361,22 @@ def spines(scores: DataFrame, up: DataFrame, k: int = 5, cut: float = 0.85) -> D
     return ranked.withColumn("best", F.max("total").over(Window.partitionBy("root"))).where(F.col("total") >= cut * F.col("best")).select("root", "leaf", "total", "place")
 
 
+def branch_points(nodes: DataFrame, scores: DataFrame, tree: Hierarchy, chosen: DataFrame, near: float = 0.85) -> DataFrame:
+    """(root, leaf, parent, child, sibling): where a chosen path (root, leaf) could nearly as well have gone to a sibling.
+
+    That is where a sibling's whole subtree has `near` of the score of the one the path goes
+    into, or more. nodes: (id, parent_id).
+    """
+    up = ancestors(tree, scores.where("score <> 0"), sound=True).join(scores, "id")
+    sums = up.groupBy(F.col("ancestor").alias("id")).agg(F.sum("score").alias("b")).join(scores, "id", "right").select("id", (F.coalesce("b", F.lit(0.0)) + F.col("score")).alias("whole"))
+    leaves = chosen.select("root", "leaf").distinct()
+    on = ancestors(tree, leaves.select(F.col("leaf").alias("id")), sound=True).select(F.col("id").alias("leaf"), F.col("ancestor").alias("child")).unionByName(leaves.select("leaf", F.col("leaf").alias("child")))
+    own = nodes.select(F.col("id").alias("child"), F.col("parent_id").alias("parent")).where("parent is not null").join(sums.select(F.col("id").alias("child"), F.col("whole").alias("mine")), "child")
+    step = leaves.join(on, "leaf").join(own, "child")
+    others = nodes.select(F.col("id").alias("sibling"), F.col("parent_id").alias("parent")).join(sums.select(F.col("id").alias("sibling"), F.col("whole").alias("theirs")), "sibling")
+    return step.join(others, "parent").where((F.col("child") != F.col("sibling")) & (F.col("theirs") > 0) & (F.col("theirs") >= near * F.col("mine"))).select("root", "leaf", "parent", "child", "sibling")
+
+
 def lint_all(*reports: tuple[str, DataFrame]) -> DataFrame:
     """(rule, severity, id, rank): several reports (id, severity) in one, errors before warnings before infos."""
     out = None

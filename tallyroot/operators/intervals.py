@@ -22,3 +22,15 @@ def overlaps(a: DataFrame, b: DataFrame, group: str, width: int) -> DataFrame:
     both = cut(a, "a").join(cut(b, "b"), [group, "bucket"]).where("`as` < be and bs < ae")
     start = F.greatest("as", "bs")
     return both.where(F.floor(start / width) == F.col("bucket")).select("a", "b", start.alias("start"), F.least("ae", "be").alias("stop"))
+
+
+def places_on_pages(spans: DataFrame, blocks: DataFrame, group: str, width: int) -> DataFrame:
+    """(a, page, left, top, right, bottom, blocks): for each span the first page it touches and the box around its blocks there.
+
+    spans: (id, group, start, stop); blocks: the same and (page, left, top, right, bottom).
+    """
+    met = overlaps(spans, blocks, group, width).select("a", "b")
+    held = met.join(blocks.select(F.col("id").alias("b"), "page", "left", "top", "right", "bottom"), "b")
+    first = held.groupBy("a").agg(F.min("page").alias("page"))
+    box = [F.min("left").alias("left"), F.min("top").alias("top"), F.max("right").alias("right"), F.max("bottom").alias("bottom"), F.count("*").alias("blocks")]
+    return held.join(first, ["a", "page"]).groupBy("a", "page").agg(*box)

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from tallyroot.functions import text as tx
 from tallyroot.functions import templates
-from tallyroot.operators import chunking, derive, entities, facts, fulltext, graph, intervals, sheets, summaries, views
+from tallyroot.operators import chunking, derive, entities, facts, fulltext, graph, intervals, retrieval, sheets, summaries, views
+from tallyroot.operators.hierarchy import ancestors
 from tallyroot.plans.trees import kept_tree as tree
 from tallyroot.plans.trees import sound_ancestors
+from tallyroot.sources import readers
 from tallyroot.sources.tables import names, table
 from tallyroot.streaming import incremental
 from tallyroot.work import Workspace
@@ -467,6 +469,70 @@ def s_windows(spark: SparkSession, folder: str) -> DataFrame:
     return incremental.windowed_counts(e).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+def k_iris(spark: SparkSession, folder: str) -> DataFrame:
+    iri = tx.minted_iri("urn:x", "part", F.col("p_name"))
+    return table(spark, folder, "part").select("p_partkey", iri.alias("iri"), tx.valid_iri(iri).alias("valid"))
+
+
+def k_boxes(spark: SparkSession, folder: str) -> DataFrame:
+    """Sections of texts on pages of three columns, each of one block of 500 characters."""
+    docs = table(spark, folder, "documents")
+    spans = chunking.section_spans(docs, "doc_id", "text").where("start < stop").select(F.concat_ws("/", "doc_id", "section").alias("id"), "doc_id", "start", "stop")
+    n = docs.where("length(text) > 0").select("doc_id", F.explode(F.sequence(F.lit(0), F.floor((F.char_length("text") - 1) / 500).cast("int"))).alias("i"))
+    c = (F.col("i") % 3) * 100
+    blocks = n.select(F.concat_ws("/", "doc_id", "i").alias("id"), "doc_id", (F.col("i") * 500).cast("long").alias("start"), ((F.col("i") + 1) * 500).cast("long").alias("stop"), F.floor(F.col("i") / 3).alias("page"), c.alias("left"), F.lit(0).alias("top"), (c + 90).alias("right"), F.lit(700).alias("bottom"))
+    return intervals.places_on_pages(spans, blocks, "doc_id", 500)
+
+
+def k_upserted(spark: SparkSession, folder: str) -> DataFrame:
+    """Facts after others came, half of which are held already and some of which come twice."""
+    cols = ["subject_id", "predicate", "object", "datatype", "recorded_at", "invalidated_at"]
+    held = _placed(spark, folder).select(*cols)
+    late = F.to_timestamp(F.lit("2025-07-01 00:00:00"))
+    new = held.withColumns({"predicate": F.when(F.col("subject_id") % 2 == 0, F.lit(" In ")).otherwise(F.lit("Lives In")), "recorded_at": late})
+    out = facts.upsert(held, new.unionByName(new.where("subject_id % 3 = 0")))
+    return out.groupBy("predicate").agg(F.count("*").alias("n"), F.count_if(F.col("recorded_at") == late).alias("late"))
+
+
+def k_orphans(spark: SparkSession, folder: str) -> DataFrame:
+    """Token rows of nodes that are gone, and leaves without token rows."""
+    rows = table(spark, folder, "token_embeddings").where("document_id is not null").select(F.col("document_id").alias("id")).distinct()
+    leaves = _nodes(spark, folder, "usetype").where("usetype = 'chunk'").select("id")
+    every = _nodes(spark, folder, "usetype").select("id")
+    return derive.orphans(rows, every, "id")[0].select("id", F.lit("rows").alias("kind")).unionByName(derive.orphans(rows, leaves, "id")[1].select("id", F.lit("node").alias("kind")))
+
+
+def g_triples(spark: SparkSession, folder: str) -> DataFrame:
+    """Degrees in the graph of the placed facts."""
+    f = _placed(spark, folder).withColumn("object_id", F.when(F.col("datatype").isNull(), F.col("object").cast("long")))
+    v = f.select(F.col("subject_id").alias("id")).union(f.select("object_id"))
+    return graph.degrees(v, graph.triple_graph(f))
+
+
+def g_branches(spark: SparkSession, folder: str) -> DataFrame:
+    nodes = Workspace(spark, "branches").keep(_nodes(spark, folder, "parent_id"))
+    scores = views.children_counts(nodes).select("id", F.col("n_children").cast("double").alias("score"))
+    found = tree(spark, folder)
+    return graph.branch_points(nodes, scores, found, graph.spines(scores, ancestors(found, sound=True)))
+
+
+def g_bridges(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors near the stated ones that bear another label."""
+    e = table(spark, folder, "embeddings")
+    docs = e.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v"))
+    near = retrieval.vector_search(docs, e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("v")), 20)
+    labels = e.select(F.col("vec_id").alias("id"), F.col("label").alias("community"))
+    return summaries.bridges(labels, near, 0.3).select("a", "b", F.round("score", 6).alias("score"))
+
+
+def x_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations as text: messages in order, by turns of user and assistant."""
+    n = _nodes(spark, folder, "parent_id", "usetype", "content", "position", "created_at")
+    said = n.where("usetype = 'message' and content is not null")
+    turns = views.sibling_places(n).join(said.select("id", "content"), "id").select("parent_id", F.col("place").alias("turn"), F.when(F.col("place") % 2 == 0, "user").otherwise("assistant").alias("role"), F.col("content").alias("text"))
+    return readers.conversation_text(turns, "parent_id").select("parent_id", tx.content_hash(F.col("text")).alias("hash"), F.char_length("text").alias("size"))
+
+
 QUERIES = {name: f for name, f in globals().items() if name[:2] in ("t_", "g_", "k_", "c_", "x_", "s_") and callable(f)}
 
 _CUR = "cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) AS rn FROM nodes WHERE id IS NOT NULL) WHERE rn = 1)"
@@ -579,3 +645,19 @@ SELECT DISTINCT query_id AS query, doc_id AS doc FROM m WHERE ok AND has""",
 }
 
 ORACLE["t_rollup"] = ORACLE["t_effective"].replace("SELECT id, sha256(text) AS hash, length(text)::INT AS size FROM txt", "SELECT id, CASE WHEN length(text) <= 4000 THEN sha256(text) END AS hash, CASE WHEN length(text) <= 4000 THEN 'concatenated' ELSE 'deferred' END AS how, length(text) AS size FROM txt")
+
+ORACLE |= {
+    "k_iris": "SELECT p_partkey, 'urn:x/part/' || replace(p_name, ' ', '%20') AS iri, true AS valid FROM part",
+    "k_boxes": rf"""WITH cut AS (SELECT doc_id, string_split(regexp_replace(chr(10) || text, '\n(#{{1,6}}[ \t]+[^ \t\n\r\f\v])', chr(30) || '\1', 'g'), chr(30)) AS l FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, unnest(l) AS p, generate_subscripts(l, 1) - 1 AS section FROM cut),
+f AS (SELECT *, coalesce(sum(length(p) + 1) OVER (PARTITION BY doc_id ORDER BY section ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p),
+sp AS (SELECT doc_id, section, greatest(before - 1, 0) AS s, greatest(before - 1, 0) + length(p) - CASE WHEN section = 0 AND p LIKE chr(10) || '%' THEN 1 ELSE 0 END AS e FROM f WHERE regexp_matches(p, '^#{{1,6}}[ \t]') OR regexp_replace(p, '[\r\n\t ]', '', 'g') <> ''),
+b AS (SELECT doc_id, unnest(range(0, (length(text) - 1) // 500 + 1)) AS i FROM documents WHERE length(text) > 0), m AS (SELECT sp.doc_id || '/' || section AS a, i // 3 AS page, i % 3 * 100 AS l, min(i // 3) OVER (PARTITION BY sp.doc_id, section) AS first FROM sp JOIN b ON b.doc_id = sp.doc_id AND s < (i + 1) * 500 AND i * 500 < e AND s < e)
+SELECT a, page, min(l) AS left, 0 AS top, max(l) + 90 AS right, 700 AS bottom, count(*) AS blocks FROM m WHERE page = first GROUP BY a, page""",
+    "k_upserted": f"WITH {_PLACED}, n AS (SELECT DISTINCT s, o FROM placed WHERE s % 2 <> 0) SELECT 'in' AS predicate, count(*) AS n, 0 AS late FROM placed UNION ALL SELECT 'lives_in', count(*), count(*) FROM n",
+    "k_orphans": f"WITH {_CUR} SELECT DISTINCT document_id AS id, 'rows' AS kind FROM token_embeddings WHERE document_id IS NOT NULL AND document_id NOT IN (SELECT id FROM cur) UNION ALL SELECT id, 'node' FROM cur WHERE usetype = 'chunk' AND id NOT IN (SELECT document_id FROM token_embeddings WHERE document_id IS NOT NULL)",
+    "g_triples": f"WITH {_PLACED}, e AS (SELECT s AS id, 0 AS i, 1 AS o FROM placed UNION ALL SELECT o, 1, 0 FROM placed) SELECT id, sum(i)::BIGINT AS n_in, sum(o)::BIGINT AS n_out, count(*) AS n_all FROM e GROUP BY 1",
+    "g_branches": ORACLE["g_spines"].replace("SELECT root, leaf, total, place FROM r WHERE place <= 5 AND total >= 0.85::DOUBLE * best", """, ch AS (SELECT root, leaf FROM r WHERE place <= 5 AND total >= 0.85::DOUBLE * best), wh AS (SELECT sc.id, sc.score + coalesce((SELECT sum(x.score) FROM up JOIN sc x ON x.id = up.id WHERE up.anc = sc.id), 0) AS w FROM sc),
+st AS (SELECT root, leaf, anc AS child FROM ch JOIN up ON up.id = ch.leaf UNION ALL SELECT root, leaf, leaf FROM ch) SELECT root, leaf, c.parent_id AS parent, child, o.id AS sibling FROM st JOIN cur c ON c.id = child JOIN cur o ON o.parent_id = c.parent_id AND o.id <> child JOIN wh m ON m.id = child JOIN wh t ON t.id = o.id WHERE t.w > 0 AND t.w >= 0.85::DOUBLE * m.w"""),
+    "g_bridges": "WITH s AS (SELECT q.vec_id AS x, d.vec_id AS y, q.label AS lx, d.label AS ly, list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]) AS s FROM embeddings q, embeddings d WHERE q.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY s DESC, y) AS k FROM s) SELECT least(x, y) AS a, greatest(x, y) AS b, round(max(s), 6) AS score FROM r WHERE k <= 20 AND s >= 0.3 AND x <> y AND lx <> ly GROUP BY ALL",
+    "x_conversations": f"WITH {_CUR}, o AS (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY position ASC NULLS LAST, created_at, id) - 1 AS place FROM cur WHERE parent_id IS NOT NULL), t AS (SELECT parent_id, string_agg('[' || CASE WHEN place % 2 = 0 THEN 'user' ELSE 'assistant' END || ']: ' || content, chr(10) || chr(10) ORDER BY place) AS t FROM o WHERE usetype = 'message' AND content IS NOT NULL GROUP BY 1) SELECT parent_id, sha256(t) AS hash, length(t)::INT AS size FROM t",
+}

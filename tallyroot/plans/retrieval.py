@@ -212,7 +212,39 @@ def e_means(spark: SparkSession, folder: str) -> DataFrame:
     return m.select(*[F.round(c, 5).alias(c) for c in ("ndcg", "precision", "recall", "ap", "rr")], "queries")
 
 
-QUERIES = {f.__name__: f for f in (r_terms, r_bm25, r_vector, r_truncated, r_ann, r_mmr, r_maxsim, r_rerank, r_fused, r_hybrid, r_parents, r_boosted, r_routes, r_tiers, r_containers, r_merged, r_index, r_covering, r_projected, r_withheld, r_rescored, r_recall, r_candidates, e_metrics, e_means)}
+def r_similar(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors of a similarity of 0.35 or more to the stated ones, at most ten each."""
+    e = table(spark, folder, "embeddings")
+    docs = e.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v"))
+    queries = e.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query"), F.col("embedding").alias("v"))
+    return retrieval.vector_search(docs, queries, TOP, 0.35).select("query", "doc", F.round("score", 6).alias("score"), "rank")
+
+
+def r_important(spark: SparkSession, folder: str) -> DataFrame:
+    """Hits boosted by the importance of their nodes."""
+    value = embedding.importance_of(table(spark, folder, "token_embeddings"), "document_id", "importance_score").withColumnRenamed("id", "doc")
+    hits = _lists(spark, folder).where("method = 'vector'").join(value, "doc", "left")
+    return hits.select("query", "doc", F.round(retrieval.importance(F.col("score"), F.col("importance"), 0.5), 9).alias("score"))
+
+
+def r_subtree(spark: SparkSession, folder: str) -> DataFrame:
+    """Each query's best leaves below the folders of odd ids, by statistics of the whole index."""
+    nodes, index, terms = _leaves(spark, folder)
+    roots = nodes.where("usetype = 'folder' and id % 2 = 1").select("id")
+    below = ancestors(tree(spark, folder), index.lengths.select(F.col("doc").alias("id")), roots, sound=True).select(F.col("id").alias("doc")).distinct()
+    scored = retrieval.bm25(index, terms).join(below, "doc", "left_semi").withColumn("score", F.round("score", 7))
+    return retrieval.top_k(scored, TOP).select("query", "doc", "score", "rank")
+
+
+def e_report(spark: SparkSession, folder: str) -> DataFrame:
+    lists = _lists(spark, folder)
+    run = lists.where("method = 'bm25'").select("query", "doc", "rank")
+    grades = lists.where("method = 'maxsim'").select("query", "doc", F.when(F.col("rank") <= 3, 2).otherwise(1).alias("grade"))
+    m = evaluation.report(run, grades, depth=TOP)
+    return m.select(*[F.round(c, 5).alias(c) for c in ("ndcg", "recall")], "recall_100", "queries")
+
+
+QUERIES = {f.__name__: f for f in (r_terms, r_bm25, r_vector, r_truncated, r_ann, r_mmr, r_maxsim, r_rerank, r_fused, r_hybrid, r_parents, r_boosted, r_routes, r_tiers, r_containers, r_merged, r_index, r_covering, r_projected, r_withheld, r_rescored, r_recall, r_candidates, r_similar, r_important, r_subtree, e_metrics, e_means, e_report)}
 
 _TOK = "list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda x: length(x) >= 2)"
 _CUR = "cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) AS rn FROM nodes WHERE id IS NOT NULL) WHERE rn = 1)"
@@ -299,3 +331,11 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY hits DESC, doc) A
     "e_metrics": f"{_METRICS} SELECT * FROM m",
     "e_means": f"{_METRICS} SELECT round(avg(ndcg), 5) AS ndcg, round(avg(precision), 5) AS precision, round(avg(recall), 5) AS recall, round(avg(ap), 5) AS ap, round(avg(rr), 5) AS rr, count(*) AS queries FROM m",
 }
+
+ORACLE |= {
+    "r_similar": ORACLE["r_vector"].replace("WHERE rank <= 10", "WHERE rank <= 10 AND score >= 0.35"),
+    "r_important": f"WITH {_LISTS}, t AS (SELECT document_id AS doc, least(avg(s), 1.0) AS m FROM (SELECT DISTINCT document_id, token_idx, importance_score AS s FROM token_embeddings) WHERE s > 0 AND NOT isnan(s) GROUP BY 1) SELECT query, doc, round(score * (1 + 0.5 * (coalesce(round_even(1 + 9 * m, 2), 1.0) - 1) / 9), 9) AS score FROM lists LEFT JOIN t USING (doc) WHERE method = 'vector'",
+    "r_subtree": f"""{_CONTAINERS.split("full_ AS")[0].rstrip().rstrip(',')}, ok AS (SELECT DISTINCT up.id AS doc FROM up JOIN cur ON cur.id = anc WHERE usetype = 'folder' AND anc % 2 = 1),
+s AS (SELECT query, doc, round(sum(w * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg))), 7) AS score FROM tf JOIN w USING (term) JOIN docs USING (doc), n WHERE doc IN (SELECT doc FROM ok) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM s) SELECT query, doc, score, rank FROM r WHERE rank <= 10""",
+    "e_report": f"{_METRICS} SELECT round(avg(ndcg), 5) AS ndcg, round(avg(recall), 5) AS recall, NULL::DOUBLE AS recall_100, count(*) AS queries FROM m",
+}

@@ -37,3 +37,10 @@ def read_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     newest = versions.groupBy("doc").agg(F.max("batch").alias("batch"))
     live = spark.read.parquet(f"{folder}/postings").join(newest, ["doc", "batch"], "left_semi").select("doc", "term", "tf", "dl")
     return live, live.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def index_totals(spark: SparkSession, folder: str) -> tuple[int, float]:
+    """The number of documents with a token in the index as it stands, and their average length: what a rebuild would give."""
+    live = read_index(spark, folder)[0].groupBy("doc").agg(F.max("dl").alias("dl"))
+    n, avg = live.agg(F.count("*"), F.avg("dl")).first()
+    return n, avg or 0.0
