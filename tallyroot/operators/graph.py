@@ -74,10 +74,12 @@ def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = DAMPING, ro
         total = reset.agg(F.sum("weight")).first()[0]
         base = v.join(reset.groupBy("id").agg(F.sum("weight").alias("w")), "id", "left").select("id", (F.coalesce("w", F.lit(0.0)) / total).alias("r"))
     base = work.keep(base)
-    summed = edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight")).where("weight > 0")
+    # Edges to or from what is no vertex are none, so their sources keep no mass for them.
+    inner = edges.join(v.withColumnRenamed("id", "dst"), "dst", "left_semi").join(v.withColumnRenamed("id", "src"), "src", "left_semi")
+    summed = work.keep(inner.groupBy("src", "dst").agg(F.sum("weight").alias("weight")).where("weight > 0"))
     out = summed.groupBy("src").agg(F.sum("weight").alias("all"))
     # In buckets by their source, the edges stay where they are from round to round; only ranks and sums move.
-    steps = work.keep_bucketed(summed.join(out, "src").join(v.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", (F.col("weight") / F.col("all")).alias("p")), "src")
+    steps = work.keep_bucketed(summed.join(out, "src").select("src", "dst", (F.col("weight") / F.col("all")).alias("p")), "src")
     if rounds is None:
         return _walk_sum(work, base, steps, damping, tolerance)
     sinks = work.keep(v.join(out.withColumnRenamed("src", "id"), "id", "left_anti"))

@@ -98,8 +98,11 @@ def t_bundle(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def t_uncovered(spark: SparkSession, folder: str) -> DataFrame:
-    n = _nodes(spark, folder, "parent_id", "usetype")
-    return views.without_summary(n, views.children_counts(n).select("id", F.col("n_children").alias("score")), 25)
+    """Of the 25 nodes that rank highest by the links from children to parents those without a summary below them."""
+    n = Workspace(spark, "uncovered").keep(_nodes(spark, folder, "parent_id", "usetype"))
+    edges = n.where("parent_id is not null and usetype is not null").select(F.col("id").alias("src"), F.col("parent_id").alias("dst"), F.lit(1.0).alias("weight"))
+    ranks = graph.pagerank(n, edges).select("id", F.round("score", 9).alias("score"))
+    return views.without_summary(n, ranks, 25)
 
 
 def c_markdown(spark: SparkSession, folder: str) -> DataFrame:
@@ -583,7 +586,6 @@ SELECT id, sha256(text) AS hash, length(text)::INT AS size FROM txt""",
     "t_copies": f"WITH {_CUR}, h AS (SELECT *, row_number() OVER (PARTITION BY parent_id, content ORDER BY created_at DESC, id DESC) AS k, count(*) OVER (PARTITION BY parent_id, content) AS copies FROM cur WHERE usetype IS DISTINCT FROM 'file' AND content <> '') SELECT parent_id, sha256(content) AS hash, id, copies FROM h WHERE k = 1",
     "t_next": f"WITH {_CUR}, l AS (SELECT parent_id AS id, max(position) + 1 AS n FROM cur WHERE parent_id IS NOT NULL GROUP BY 1) SELECT cur.id, coalesce(n, 0)::INT AS next_position FROM cur LEFT JOIN l USING (id)",
     "t_bundle": f"{_DOWN}, {_KIDS}, d AS (SELECT id, len(path) AS depth FROM down), b AS (SELECT anc AS id, count(*) AS n_below FROM up GROUP BY 1) SELECT cur.id, title, usetype, coalesce(depth, 0) AS depth, coalesce(n, 0) AS n_children, coalesce(n_below, 0) AS n_below FROM cur LEFT JOIN kids USING (id) LEFT JOIN d USING (id) LEFT JOIN b USING (id)",
-    "t_uncovered": f"WITH {_CUR}, {_KIDS}, best AS (SELECT cur.id, coalesce(n, 0) AS score FROM cur LEFT JOIN kids USING (id) ORDER BY 2 DESC, 1 LIMIT 25) SELECT * FROM best WHERE id NOT IN (SELECT parent_id FROM cur WHERE usetype = 'summary' AND parent_id IS NOT NULL)",
     "c_markdown": "SELECT n_nationkey, '| ' || n_nationkey || ' | ' || n_name || ' |' AS line FROM nation",
     "t_summarised": f"{_DOWN} SELECT anc AS id, count(*) AS below, sum(length(content))::BIGINT AS chars, max(depth - ad) AS height FROM up JOIN cur USING (id) GROUP BY 1",
     "g_degrees": f"WITH {_LINKS}, {_DEG.format('')} SELECT *, n_in + n_out AS n_all FROM deg",
@@ -661,3 +663,9 @@ st AS (SELECT root, leaf, anc AS child FROM ch JOIN up ON up.id = ch.leaf UNION
     "g_bridges": "WITH s AS (SELECT q.vec_id AS x, d.vec_id AS y, q.label AS lx, d.label AS ly, list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]) AS s FROM embeddings q, embeddings d WHERE q.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY s DESC, y) AS k FROM s) SELECT least(x, y) AS a, greatest(x, y) AS b, round(max(s), 6) AS score FROM r WHERE k <= 20 AND s >= 0.3 AND x <> y AND lx <> ly GROUP BY ALL",
     "x_conversations": f"WITH {_CUR}, o AS (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY position ASC NULLS LAST, created_at, id) - 1 AS place FROM cur WHERE parent_id IS NOT NULL), t AS (SELECT parent_id, string_agg('[' || CASE WHEN place % 2 = 0 THEN 'user' ELSE 'assistant' END || ']: ' || content, chr(10) || chr(10) ORDER BY place) AS t FROM o WHERE usetype = 'message' AND content IS NOT NULL GROUP BY 1) SELECT parent_id, sha256(t) AS hash, length(t)::INT AS size FROM t",
 }
+
+_RANKED = "".join(
+    f", r{i} AS MATERIALIZED (SELECT b.id, (0.15 + 0.85 * (SELECT coalesce(sum(score), 0) FROM r{i - 1} WHERE id NOT IN (SELECT src FROM steps))) * b.r + 0.85 * coalesce(m, 0) AS score FROM base b LEFT JOIN (SELECT dst, sum(score) AS m FROM steps JOIN r{i - 1} ON r{i - 1}.id = steps.src GROUP BY 1) x ON x.dst = b.id)"
+    for i in range(1, 31)
+)
+ORACLE["t_uncovered"] = f"WITH {_CUR}, steps AS (SELECT id AS src, parent_id AS dst FROM cur WHERE parent_id IN (SELECT id FROM cur) AND usetype IS NOT NULL), base AS MATERIALIZED (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM cur) AS r FROM cur), r0 AS (SELECT id, r AS score FROM base){_RANKED}, best AS (SELECT id, round(score, 9) AS score FROM r30 ORDER BY 2 DESC, 1 LIMIT 25) SELECT * FROM best WHERE id NOT IN (SELECT parent_id FROM cur WHERE usetype = 'summary' AND parent_id IS NOT NULL)"
