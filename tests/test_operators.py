@@ -518,3 +518,36 @@ def test_in_force_wide(spark):
     plain = in_force(df, "id", "updated_at", keep).collect()
     assert sorted(map(str, plain)) == sorted(map(str, in_force_wide(df, "id", "updated_at", keep, work).collect()))
     assert in_force_wide(df.limit(0), "id", "updated_at", ["content"], work).count() == 0
+
+
+def test_pagerank_rounds(spark, monkeypatch):
+    """30 rounds as stated, in one task and in jobs, on a forest, with a loop, with shared steps and from seeds; few jobs where walks end."""
+    from tallyroot.work import Workspace
+
+    rnd = random.Random(8)
+    n = 60
+    forest = [(i, rnd.randrange(i), 1.0) for i in range(1, n - 4)]
+    shared = [(rnd.randrange(n - 3), rnd.randrange(n), rnd.choice([0.5, 2.0])) for _ in range(150)]
+    big = 1 << 60  # ids that no double holds
+    kept = []
+    keep = Workspace.keep
+    monkeypatch.setattr(Workspace, "keep", lambda self, df: kept.append(1) or keep(self, df))
+    for edges in (forest, forest + [(0, 5, 1.0), (n - 1, n + 7, 1.0)], shared):
+        for seeds in (None, {3: 1.0, 17: 2.0, 40: 1.0}):
+            w, r = np.zeros((n, n)), np.full(n, 1 / n)
+            for a, b, x in edges:
+                if b < n:
+                    w[a, b] += x
+            if seeds:
+                r = np.array([seeds.get(i, 0.0) / 4 for i in range(n)])
+            p, out = r, w.sum(axis=1)
+            for _ in range(30):
+                p = (0.15 + 0.85 * p[out == 0].sum()) * r + 0.85 * (w / np.where(out, out, 1)[:, None]).T @ p
+            df = spark.createDataFrame([(a + big, b + big, x) for a, b, x in edges], "src long, dst long, weight double")
+            v = spark.range(big, big + n)
+            reset = spark.createDataFrame([(i + big, x) for i, x in seeds.items()], "id long, weight double") if seeds else None
+            for finish in (200_000,) if seeds and edges is not shared else (0, 20, 200_000):
+                kept.clear()
+                got = {x.id - big: x.score for x in graph.pagerank(v, df, reset=reset, finish_edges=finish).collect()}
+                assert len(got) == n and max(abs(got[i] - p[i]) for i in range(n)) < 1e-9, (len(edges), seeds, finish)
+                assert finish < 200_000 or len(kept) <= 6
