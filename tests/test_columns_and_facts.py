@@ -156,6 +156,45 @@ def test_betweenness(spark):
     assert round(sum(one.values()), 8) == round(sum(ways(0, v) * ways(v, b) / ways(0, b) for v in range(1, 16) for b in range(1, 16) if v != b and far[0, b] < float("inf") and far[0, v] + far[v, b] == far[0, b]) / 2, 8)
 
 
+def test_betweenness_of_trees(spark, monkeypatch):
+    """Trees, and trees that hang on loops, from some sources and from all; on trees no table grows beyond the edges."""
+    from tallyroot.work import Workspace
+
+    rows = []
+    keep = Workspace.keep
+
+    def counted(self, df):
+        rows.append((out := keep(self, df)).count())
+        return out
+
+    monkeypatch.setattr(Workspace, "keep", counted)
+    rnd = random.Random(6)
+    tree = [(rnd.randrange(max(0, i - 9), i), i, rnd.choice([1.0, 2.0])) for i in range(1, 60)] + [(60, 61, 1.0)]
+    star = [(100, 101 + i, 1.0) for i in range(40)]
+    loops = [(200 + i, 200 + (i + 1) % 6, 1.0) for i in range(6)] + [(202, 209, 1.0), (209, 210, 1.0), (210, 211, 1.0), (211, 209, 1.0), (205, 206, 1.0), (206, 207, 1.0), (206, 208, 1.0), (211, 212, 1.0)]
+    for edges in (tree + star, loops, tree[:20] + loops + [(300, 301, 1.0)]):
+        ids = sorted({x for a, b, _ in edges for x in (a, b)})
+        near = {x: {} for x in ids}
+        for a, b, w in edges:
+            near[a][b] = near[b][a] = w
+        far = {(a, b): 0.0 if a == b else near[a].get(b, float("inf")) for a in ids for b in ids}
+        for k in ids:
+            for a in ids:
+                for b in ids:
+                    far[a, b] = min(far[a, b], far[a, k] + far[k, b])
+        ways = {}
+        for a in ids:
+            for b in sorted((b for b in ids if far[a, b] < float("inf")), key=lambda b: far[a, b]):
+                ways[a, b] = 1 if a == b else sum(ways[a, x] for x in near[b] if far[a, x] + near[b][x] == far[a, b])
+        for some in (None, [x for x in ids if x % 3 == 0]):
+            want = {v: sum(ways[s, v] * ways[v, t] / ways[s, t] for s in some or ids for t in ids if len({s, t, v}) == 3 and (s, t) in ways and far[s, v] + far[v, t] == far[s, t]) / 2 for v in ids} | {999: 0.0}
+            rows.clear()
+            v = spark.createDataFrame([(x,) for x in [*ids, 999]], "id long")
+            got = graph.betweenness(v, spark.createDataFrame(edges, "src long, dst long, weight double"), spark.createDataFrame([(x,) for x in [*some, 999]], "id long") if some else None)
+            assert {r.id: round(r.score, 8) for r in got.collect()} == {k: round(x, 8) for k, x in want.items()}
+            assert edges[-1] != star[-1] or max(rows) <= 2 * len(edges)
+
+
 def test_bounded_walk(spark):
     df = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 5), (1, 9)], "src long, dst long")
     seed = spark.createDataFrame([(1,)], "id long")
